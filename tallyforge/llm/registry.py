@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import licenses
+from tallyforge.llm import licenses, lines
 from tallyforge.llm.common import table
 
 QUERIES = {
     "op2_license_scan": lambda spark, d: licenses.license_report(table(spark, d, "documents")),
+    "op3_line_dedup": lambda spark, d: lines.line_report(table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": lines.ORACLE,
+}
