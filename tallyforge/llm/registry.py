@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import licenses, lines, substrings
+from tallyforge.llm import licenses, lines, near, substrings
 from tallyforge.llm.common import table
 
 QUERIES = {
     "op2_license_scan": lambda spark, d: licenses.license_report(table(spark, d, "documents")),
     "op3_line_dedup": lambda spark, d: lines.line_report(table(spark, d, "documents")),
+    "op6_ngram_jaccard": lambda spark, d: near.near_report(table(spark, d, "documents")),
     "op5_substring_dedup": lambda spark, d: substrings.substring_report(table(spark, d, "documents")),
 }
 
