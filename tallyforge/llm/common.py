@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -108,4 +109,25 @@ def ascii_nonword_separators() -> np.ndarray:
     return t
 
 
-LONG_ARRAY = T.ArrayType(T.LongType())
+def grouped(columns: int, solve):
+    """Runs ``solve`` on each group of consecutive rows with equal first ``columns`` values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True))
+            a = 0
+            while a < len(keys):
+                b = a
+                while b < len(keys) and keys[b] == keys[a]:
+                    b += 1
+                if keys[a] != key and held:
+                    yield from solve(pa.Table.from_batches(held))
+                    held = []
+                key = keys[a]
+                held.append(batch.slice(a, b - a))
+                a = b
+        if held:
+            yield from solve(pa.Table.from_batches(held))
+
+    return run

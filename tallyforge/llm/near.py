@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import WordHasher, ascii_nonword_separators, materialise
+from tallyforge.llm.common import WordHasher, ascii_nonword_separators, grouped, materialise
 from tallyforge.llm.graph import blocked, components
 
 WORDS = 5
@@ -131,30 +131,6 @@ def forest(sig: np.ndarray, least: int) -> np.ndarray:
     return root
 
 
-def _grouped(columns: int, solve):
-    """Runs ``solve`` on each group of consecutive rows with equal first ``columns`` values."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(columns)), strict=True))
-            a = 0
-            while a < len(keys):
-                b = a
-                while b < len(keys) and keys[b] == keys[a]:
-                    b += 1
-                if keys[a] != key and held:
-                    yield from solve(pa.Table.from_batches(held))
-                    held = []
-                key = keys[a]
-                held.append(batch.slice(a, b - a))
-                a = b
-        if held:
-            yield from solve(pa.Table.from_batches(held))
-
-    return run
-
-
 def _links(least: int):
     def solve(group: pa.Table):
         nodes = group.column("node").to_numpy()
@@ -168,7 +144,7 @@ def _links(least: int):
         if far.any():
             yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(root[far])], ["u", "v"])
 
-    return _grouped(3, solve)
+    return grouped(3, solve)
 
 
 def _sets(words: int):
@@ -229,7 +205,7 @@ def _verify(similarity: float):
                     queue.extend(more.tolist())
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links.astype(np.int64)), pa.array(nodes[root])], ["node", "links", "root"])
 
-    return _grouped(3, solve)
+    return grouped(3, solve)
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

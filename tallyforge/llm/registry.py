@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import licenses, lines, near, substrings
+from tallyforge.llm import licenses, lines, near, neighbours, substrings
 from tallyforge.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": lambda spark, d: lines.line_report(table(spark, d, "documents")),
     "op6_ngram_jaccard": lambda spark, d: near.near_report(table(spark, d, "documents")),
     "op5_substring_dedup": lambda spark, d: substrings.substring_report(table(spark, d, "documents")),
+    "op10_nearest_neighbours": lambda spark, d: neighbours.nearest(table(spark, d, "embeddings")),
 }
 
 ORACLES: dict[str, str] = {
