@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import licenses, lines, near, neighbours, substrings
+from tallyforge.llm import licenses, lines, mixing, near, neighbours, substrings, toxicity
 from tallyforge.llm.common import table
 
 QUERIES = {
     "op2_license_scan": lambda spark, d: licenses.license_report(table(spark, d, "documents")),
     "op3_line_dedup": lambda spark, d: lines.line_report(table(spark, d, "documents")),
     "op6_ngram_jaccard": lambda spark, d: near.near_report(table(spark, d, "documents")),
+    "op4_toxicity": lambda spark, d: toxicity.toxicity_report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_substring_dedup": lambda spark, d: substrings.substring_report(table(spark, d, "documents")),
+    "op9_mixing": lambda spark, d: mixing.mixing_report(table(spark, d, "documents")),
     "op10_nearest_neighbours": lambda spark, d: neighbours.nearest(table(spark, d, "embeddings")),
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": lines.ORACLE,
+    "op9_mixing": mixing.oracle(),
 }
