@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import WordHasher, whitespace_separators
 
 WINDOW = 13
-ORDER = 3
+ORDER = 2
 BUCKETS = 256
 #: Bytes of packed strings after which a task sends what it holds.
 FLUSH = 96 << 20
@@ -78,7 +78,7 @@ def _packer(window: int, order: int, buckets: int):
         hasher = WordHasher(whitespace_separators())
         held: dict[int, dict[bytes, list[int]]] = {}
         size = 0
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=5)
 
         def flush():
             keys, blobs = [], []
