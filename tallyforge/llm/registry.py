@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontam, licenses, lines, mixing, near, neighbours, substrings, toxicity
+from tallyforge.llm import decontam, licenses, lines, mixing, near, neighbours, pages, substrings, toxicity
 from tallyforge.llm.common import table
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_ngram_jaccard": lambda spark, d: near.near_report(table(spark, d, "documents")),
     "op4_toxicity": lambda spark, d: toxicity.toxicity_report(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_substring_dedup": lambda spark, d: substrings.substring_report(table(spark, d, "documents")),
+    "op7_html_extraction": lambda spark, d: pages.main_texts(table(spark, d, "pages")),
     "op8_decontamination": lambda spark, d: decontam.decontamination_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_mixing": lambda spark, d: mixing.mixing_report(table(spark, d, "documents")),
     "op10_nearest_neighbours": lambda spark, d: neighbours.nearest(table(spark, d, "embeddings")),
