@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontam, licenses, lines, mixing, near, neighbours, pages, substrings, toxicity
+from tallyforge.llm import decontam, licenses, lines, lm, mixing, near, neighbours, pages, substrings, toxicity
 from tallyforge.llm.common import table
 
 QUERIES = {
+    "op1_lm_scoring": lambda spark, d: lm.lm_report(table(spark, d, "documents")),
     "op2_license_scan": lambda spark, d: licenses.license_report(table(spark, d, "documents")),
     "op3_line_dedup": lambda spark, d: lines.line_report(table(spark, d, "documents")),
     "op6_ngram_jaccard": lambda spark, d: near.near_report(table(spark, d, "documents")),
