@@ -1,0 +1,140 @@
+"""Content scanning: unsafe paths, secrets by line, private addresses, terms, duplicates, digest masking, archives."""
+
+from __future__ import annotations
+
+import base64
+import gzip
+import io
+import re
+import tarfile
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Networks that are private or local, as first address and prefix length.
+PRIVATE = [("10.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("100.64.0.0", 10), ("169.254.0.0", 16)]
+LINE_RULES = {"home_path": r"/(?:home|Users)/[A-Za-z0-9._-]+/", "url_credential": r"[a-z][a-z0-9+.-]*://[^/\s:@]+:[^/\s:@]+@", "control_character": r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]", "private_dns": r"\b[a-z0-9-]+\.(?:internal|corp|lan|local)\b"}
+QUAD = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
+DIGEST = r'("[A-Za-z_]*sha256": *")[0-9a-f]{64}(")'
+DEPTH, ITEM, TOTAL = 6, 64 << 20, 512 << 20
+
+
+def unsafe_path(path: Column) -> Column:
+    """The first rule that a path breaks, else null."""
+    parts, leaf = F.split(path, "/"), F.element_at(F.split(path, "/"), -1)
+    bad = F.array(*map(F.lit, [".git", ".ssh", "__pycache__", "node_modules"]))
+    return (
+        F.when(path.startswith("/") | path.contains("\\"), "absolute_or_backslash").when(F.array_contains(parts, ".."), "parent")
+        .when(F.size(F.array_intersect(parts, bad)) > 0, "component").when(leaf.rlike(r"\.(?:pem|key|p12|pfx|env|sqlite)$"), "suffix").when(leaf.rlike(r"^(?:\.env|id_rsa|id_ed25519|credentials)"), "name")
+    )
+
+
+def line_findings(payloads: DataFrame, rules: dict[str, str] = LINE_RULES) -> DataFrame:
+    """(name, rule, line) for each line that a rule matches."""
+    lines = payloads.select("name", F.posexplode(F.split("text", "\n")).alias("pos", "t"))
+    hit = F.filter(F.array(*[F.when(F.col("t").rlike(p), F.lit(n)) for n, p in rules.items()]), lambda r: r.isNotNull())
+    return lines.select("name", F.explode(hit).alias("rule"), (F.col("pos") + 1).alias("line"))
+
+
+def private_ipv4(payloads: DataFrame) -> DataFrame:
+    """(name, address, n) of private addresses; a network's own notation with its prefix length is no finding."""
+    found = payloads.select("name", F.explode(F.regexp_extract_all("text", F.lit(rf"{QUAD}(?:/[0-9]{{1,2}})?"), F.lit(0))).alias("m"))
+    address, octets = F.substring_index("m", "/", 1), F.split(F.substring_index("m", "/", 1), "\\.")
+    part = lambda i: F.element_at(octets, i).cast("long")
+    number = part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4)
+    valid = F.forall(octets, lambda o: o.cast("int") <= 255)
+    inside = F.lit(False)
+    for network, bits in PRIVATE:
+        a, b, c, d = map(int, network.split("."))
+        low = a * 16777216 + b * 65536 + c * 256 + d
+        inside = inside | number.between(low, low + 2 ** (32 - bits) - 1)
+    return found.where(valid & inside & ~F.col("m").isin([f"{n}/{b}" for n, b in PRIVATE])).groupBy("name", address.alias("address")).agg(F.count("*").alias("n"))
+
+
+def private_ipv6(payloads: DataFrame) -> DataFrame:
+    return payloads.select("name", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(?:f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]):[0-9a-f:]+"), F.lit(0))).alias("address"))
+
+
+def term_search(payloads: DataFrame, terms: list[str]) -> DataFrame:
+    """(name, term) where a literal term occurs, whatever its case."""
+    hits = F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower("text"), F.lower(t)))
+    return payloads.select("name", F.explode(hits).alias("term"))
+
+
+def first_seen(payloads: DataFrame, order: str) -> DataFrame:
+    """(sha256, name, copies): the first payload of equal content."""
+    return payloads.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min_by("name", order).alias("name"), F.count("*").alias("copies"))
+
+
+def mask_digests(text: Column) -> tuple[Column, Column]:
+    """(text with digest fields blanked, how many)."""
+    return F.regexp_replace(text, DIGEST, "$1<digest>$2"), F.regexp_count(text, F.lit(DIGEST))
+
+
+def merge_scanner(findings: DataFrame, sources: DataFrame) -> DataFrame:
+    """An outside scanner's findings (sha256, rule) by source name, and whether all is well."""
+    return findings.join(sources.select("sha256", "name"), "sha256", "left").groupBy("name", "rule").agg(F.count("*").alias("n"))
+
+
+_DATA = re.compile(rb"data:[a-z0-9.+/-]*;base64,([A-Za-z0-9+/=]+)")
+
+
+def expand(name: str, content: bytes, depth: int = 0, room: list[int] | None = None) -> Iterator[tuple[str, bytes | None, str | None]]:
+    """(name, content, problem) of a payload and of everything packed inside it, within the bounds of depth and size."""
+    room = room if room is not None else [TOTAL]
+    room[0] -= len(content)
+    if depth > DEPTH or len(content) > ITEM or room[0] < 0:
+        yield name, None, "too_large_or_deep"
+        return
+    yield name, content, None
+    try:
+        if content[:2] == b"\x1f\x8b":
+            with gzip.GzipFile(fileobj=io.BytesIO(content)) as f:
+                inner = f.read(ITEM + 1)
+            yield from expand(f"{name}!gz", inner, depth + 1, room)
+        elif content[:4] == b"PK\x03\x04":
+            for m in zipfile.ZipFile(io.BytesIO(content)).infolist():
+                if m.filename.startswith("/") or ".." in m.filename.split("/"):
+                    yield f"{name}!{m.filename}", None, "unsafe_member"
+                elif (m.external_attr >> 16) & 0o170000 == 0o120000:
+                    yield f"{name}!{m.filename}", None, "link"
+                elif m.file_size > ITEM:
+                    yield f"{name}!{m.filename}", None, "too_large_or_deep"
+                elif not m.is_dir():
+                    yield from expand(f"{name}!{m.filename}", zipfile.ZipFile(io.BytesIO(content)).read(m), depth + 1, room)
+        elif content[257:262] == b"ustar":
+            with tarfile.open(fileobj=io.BytesIO(content)) as t:
+                for m in t:
+                    if m.issym() or m.islnk():
+                        yield f"{name}!{m.name}", None, "link"
+                    elif m.isfile():
+                        yield from expand(f"{name}!{m.name}", t.extractfile(m).read(ITEM + 1), depth + 1, room)
+        else:
+            for k, m in enumerate(_DATA.finditer(content)):
+                yield from expand(f"{name}!data{k}", base64.b64decode(m[1] + b"=" * (-len(m[1]) % 4)), depth + 1, room)
+    except (OSError, EOFError, zipfile.BadZipFile, tarfile.TarError, ValueError, RuntimeError):
+        yield name, None, "unreadable"
+
+
+def expand_archives(files: DataFrame) -> DataFrame:
+    """(name, text, problem) of (path, content) files and all they pack; undecodable content is a problem, not skipped."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, content in zip(f["path"], f["content"], strict=True):
+                rows = []
+                for name, inner, problem in expand(path, bytes(content)):
+                    text = None
+                    if inner is not None and problem is None and not (inner[:2] == b"\x1f\x8b" or inner[:4] == b"PK\x03\x04" or inner[257:262] == b"ustar"):
+                        try:
+                            text = inner.decode("utf-8")
+                            problem = "nul" if "\x00" in text else None
+                        except UnicodeDecodeError:
+                            problem = "undecodable"
+                    rows.append((name, text, problem))
+                yield pd.DataFrame(rows, columns=["name", "text", "problem"])
+
+    return files.select("path", "content").mapInPandas(run, "name string, text string, problem string")
