@@ -1,0 +1,649 @@
+"""The registered queries of the evaluation operators, each over its whole table, and SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyforge.functions import text as tx
+from tallyforge.operators import bootstrap, guard, overlap, prepare, report, runlog, scan, scoring
+from tallyforge.plans import fixtures as fx
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+REPLICATES = 100
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def _rounded(df, *names):
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def _prepared(spark, d):
+    rows = fx.exam(spark, d)
+    tasks = fx.tasks(rows)
+    return rows, tasks, prepare.coverage(rows, tasks)
+
+
+def _corrupted(rows):
+    """Predictions with a repeated, a missing, a foreign, an altered and an out-of-range row."""
+    k = F.col("example_id")
+    p = fx.left(rows).where(k % 1000 != 0)
+    p = p.withColumns({"label": F.when(k % 501 == 0, 3).otherwise(F.col("label")), "prediction": F.when(k % 503 == 0, 9).otherwise(F.col("prediction"))})
+    return p.unionByName(p.where(k % 507 == 0)).unionByName(p.where(k % 509 == 0).withColumn("example_id", -k))
+
+
+CORRUPTED = """cp0 AS (SELECT example_id, agreement_id, task_id, split, CASE WHEN example_id % 501 = 0 THEN 3 ELSE label END AS label, CASE WHEN example_id % 503 = 0 THEN 9 ELSE prediction END AS prediction FROM pred_left WHERE example_id % 1000 <> 0),
+cp AS (SELECT * FROM cp0 UNION ALL SELECT * FROM cp0 WHERE example_id % 507 = 0 UNION ALL SELECT -example_id, agreement_id, task_id, split, label, prediction FROM cp0 WHERE example_id % 509 = 0)"""
+WITH = f"WITH {fx.EXAM}"
+
+
+# preparation -------------------------------------------------------------------------------------------------------
+@query("group_split", f"{WITH} SELECT * FROM groups")
+def _(spark, d):
+    return prepare.group_split(fx.exam(spark, d).select("agreement_id"), fx.SEED)
+
+
+@query("split_profile", f"{WITH} SELECT split, data_type, count(*) AS n, count(DISTINCT agreement_id) AS agreements FROM exam GROUP BY GROUPING SETS ((split, data_type), (split))")
+def _(spark, d):
+    return prepare.split_profile(fx.exam(spark, d))
+
+
+@query("all_split_groups", "SELECT n_nationkey FROM (SELECT c_nationkey AS n_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier INTERSECT SELECT n_nationkey FROM nation)")
+def _(spark, d):
+    parts = [fx.read(spark, d, t).select(F.col(c).alias("n_nationkey"), F.lit(t).alias("source")) for t, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey"))]
+    return prepare.in_all(parts[0].unionByName(parts[1]).unionByName(parts[2]), "source", "n_nationkey", 3)
+
+
+@query("binary_target", """SELECT o_orderkey, CASE WHEN sub = '<NONE>' THEN NULL WHEN list_contains(string_split(ans, ', '), sub) THEN 1 ELSE 0 END AS expected,
+CASE WHEN sub = '<NONE>' THEN ans WHEN list_contains(string_split(ans, ', '), sub) THEN sub ELSE '<OTHER>' END AS target FROM (
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '<NONE>' ELSE o_orderstatus END AS sub, CASE WHEN o_orderkey % 2 = 0 THEN 'F, O' ELSE 'P, X' END AS ans FROM orders)""")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    rows = fx.read(spark, d, "orders").select(k, F.when(k % 3 == 0, "<NONE>").otherwise(F.col("o_orderstatus")).alias("sub"), F.when(k % 2 == 0, "F, O").otherwise("P, X").alias("ans"))
+    expected, target = prepare.binary_target(F.col("sub"), F.col("ans"))
+    return rows.select("o_orderkey", expected.alias("expected"), target.alias("target"))
+
+
+@query("task_schema", f"{WITH} SELECT task_id, min(question) AS question, min(subquestion) AS subquestion, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM exam GROUP BY task_id")
+def _(spark, d):
+    s = prepare.task_schema(fx.exam(spark, d).withColumn("target", F.get(F.array(*map(F.lit, fx.ANSWERS)), F.col("label"))))
+    return s.select("task_id", "question", "subquestion", F.array_join(F.transform("pairs", lambda p: p["label"].cast("string")), ",").alias("labels"))
+
+
+@query("schema_violations", f"""{WITH}, v AS (SELECT task_id, CASE WHEN example_id % 997 = 0 THEN 'odd' ELSE question END AS question, CASE WHEN subquestion = 'P' THEN label * 2 ELSE label END AS label FROM exam),
+s AS (SELECT task_id, count(DISTINCT question) AS q, max(label) AS top, count(DISTINCT label) AS n FROM v GROUP BY task_id)
+SELECT 'attributes' AS rule, task_id FROM s WHERE q <> 1 UNION ALL SELECT 'dense_labels', task_id FROM s WHERE top <> n - 1""")
+def _(spark, d):
+    rows = fx.exam(spark, d).withColumn("target", F.get(F.array(*map(F.lit, fx.ANSWERS)), F.col("label")))
+    rows = rows.withColumns({"question": F.when(F.col("example_id") % 997 == 0, "odd").otherwise(F.col("question")), "label": F.when(F.col("subquestion") == "P", F.col("label") * 2).otherwise(F.col("label"))})
+    return prepare.schema_violations(rows).where("rule <> 'duplicate_question'")
+
+
+@query("exclusions", f"""{WITH} SELECT e.example_id, CASE WHEN e.data_type = 'abridged' AND e.example_id % 7 = 0 THEN 'rare_answers' WHEN g.agreement_id IS NULL THEN 'agreement_not_assigned' END AS reason
+FROM exam e LEFT JOIN (SELECT * FROM groups WHERE split <> 'test') g ON e.agreement_id = g.agreement_id""")
+def _(spark, d):
+    rows = fx.exam(spark, d)
+    kept = prepare.group_split(rows.select("agreement_id"), fx.SEED).where("split <> 'test'")
+    marked = rows.withColumn("data_type", F.when((F.col("data_type") == "abridged") & (F.col("example_id") % 7 == 0), "rare_answers").otherwise(F.col("data_type")))
+    return prepare.exclusions(marked, kept).select("example_id", "reason")
+
+
+@query("row_integrity", f"{WITH} SELECT example_id, CASE WHEN example_id % 91 = 0 THEN 'blank_text' ELSE 'answer_mismatch' END AS rule FROM exam WHERE example_id % 91 = 0 OR example_id % 89 = 0")
+def _(spark, d):
+    rows, k = fx.exam(spark, d), F.col("example_id")
+    answers = F.array(*map(F.lit, fx.ANSWERS))
+    broken = rows.withColumns({"text": F.when(k % 91 == 0, " \n\t ").otherwise("x"), "target": F.when(k % 89 == 0, "other").otherwise(F.get(answers, F.col("label")))})
+    return prepare.integrity(broken, fx.tasks(rows))
+
+
+@query("coverage_cells", f"""{WITH}, sp3 AS (SELECT task_id, label, unnest(['train', 'validation', 'test']) AS split FROM spine)
+SELECT s.task_id, s.split, s.label, count(e.example_id) AS examples, count(DISTINCT e.agreement_id) AS agreements FROM sp3 s LEFT JOIN exam e ON e.task_id = s.task_id AND e.label = s.label AND e.split = s.split GROUP BY ALL""")
+def _(spark, d):
+    rows = fx.exam(spark, d)
+    return prepare.coverage_cells(rows, fx.tasks(rows))
+
+
+@query("eligible_tasks", f"{WITH} SELECT e.task_id, t.examples AS train_examples, t.agreements AS train_agreements, e.eligible FROM eligible e JOIN train t USING (task_id)")
+def _(spark, d):
+    return _prepared(spark, d)[2].select("task_id", "train_examples", "train_agreements", "eligible")
+
+
+@query("support_flags", f"""{WITH} SELECT s.task_id, array_to_string(list_sort(list(s.label) FILTER (s.n = 0)), ',') AS unsupported, array_to_string(list_sort(list(s.label) FILTER (s.n * 1.0 / greatest(1, t.examples) <= 0.1)), ',') AS rare,
+array_to_string(list_sort(list(s.label) FILTER (s.agreements < 3)), ',') AS thin FROM support s JOIN train t USING (task_id) GROUP BY s.task_id""")
+def _(spark, d):
+    join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return _prepared(spark, d)[2].select("task_id", join("unsupported_labels").alias("unsupported"), join("rare_labels").alias("rare"), join("thin_labels").alias("thin"))
+
+
+@query("rare_labels", f"{WITH} SELECT task_id, label FROM rare")
+def _(spark, d):
+    return _prepared(spark, d)[2].select("task_id", F.explode("rare_labels").alias("label"))
+
+
+@query("duplicate_documents", "SELECT count(*) - count(DISTINCT text) AS duplicates FROM documents")
+def _(spark, d):
+    return prepare.duplicate_documents(fx.read(spark, d, "documents").where("text is not null"), "text")
+
+
+@query("audit_summary", f"""{WITH}, a AS (SELECT count(*) AS rows, count(DISTINCT agreement_id) AS agreements, count(DISTINCT task_id) AS tasks, count(DISTINCT question) AS parents, count(*) FILTER (split = 'train') AS train,
+count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test, (SELECT count(*) FROM eligible WHERE eligible) AS eligible FROM exam) UNPIVOT a ON COLUMNS(*) INTO NAME name VALUE value""")
+def _(spark, d):
+    rows, _, cover = _prepared(spark, d)
+    return prepare.audit_summary(rows, cover)
+
+
+@query("length_percentiles", f"{WITH} SELECT split, round(quantile_cont(prompt_tokens, 0.5), 4) AS p50, round(quantile_cont(prompt_tokens, 0.9), 4) AS p90, round(quantile_cont(prompt_tokens, 0.95), 4) AS p95, round(quantile_cont(prompt_tokens, 0.99), 4) AS p99, max(prompt_tokens) AS longest FROM exam GROUP BY split")
+def _(spark, d):
+    return prepare.length_percentiles(fx.exam(spark, d))
+
+
+@query("context_size", f"{WITH} SELECT CAST(ceil(max(prompt_tokens + greatest(example_id % 12, 8)) / 256.0) * 256 AS BIGINT) AS context, ceil(max(prompt_tokens + greatest(example_id % 12, 8)) / 256.0) * 256 <= 32768 AS allowed FROM exam")
+def _(spark, d):
+    return prepare.context_size(fx.exam(spark, d), F.col("example_id") % 12)
+
+
+BUCKET = "CASE WHEN prompt_tokens = 0 THEN 'unknown' WHEN prompt_tokens <= 1024 THEN '0-1024' WHEN prompt_tokens <= 2048 THEN '1025-2048' WHEN prompt_tokens <= 4096 THEN '2049-4096' ELSE '4097+' END"
+
+
+@query("length_buckets", f"{WITH} SELECT {BUCKET} AS bucket, count(*) AS n FROM exam GROUP BY 1")
+def _(spark, d):
+    return fx.exam(spark, d).groupBy(prepare.length_bucket(F.col("prompt_tokens")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("frozen_differences", f"{WITH}, b AS (SELECT example_id, label + (example_id % 1009 = 0)::INT AS label FROM exam) SELECT *, 'left' AS side FROM (SELECT example_id, label FROM exam EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT example_id, label FROM exam)")
+def _(spark, d):
+    a = fx.exam(spark, d).select("example_id", "label")
+    return prepare.differences(a, a.withColumn("label", F.col("label") + (F.col("example_id") % 1009 == 0).cast("int")))
+
+
+@query("manifest", f"{WITH} SELECT example_id, agreement_id, split, task_id, data_type FROM exam")
+def _(spark, d):
+    return fx.exam(spark, d).select("example_id", "agreement_id", "split", "task_id", "data_type")
+
+
+# overlap ------------------------------------------------------------------------------------------------------------
+DX = f"WITH {fx.DOCS}, g AS (SELECT task_id, norm, list_sort(list(DISTINCT agreement_id)) AS a, list_sort(list(DISTINCT split)) AS s, list_sort(list(example_id)) AS ids, list_sort(list(DISTINCT label)) AS labels FROM dx WHERE norm IS NOT NULL GROUP BY task_id, norm HAVING count(DISTINCT agreement_id) > 1)"
+GRAMS = """, tw AS MATERIALIZED (SELECT text_type, norm, regexp_extract_all(norm, '[\\p{L}\\p{N}_]+') AS w FROM (SELECT DISTINCT text_type, norm FROM dx)),
+tg AS MATERIALIZED (SELECT DISTINCT text_type, norm, array_to_string(w[i:i+4], ' ') AS gram FROM (SELECT *, unnest(generate_series(1, len(w) - 4)) AS i FROM tw WHERE len(w) >= 5)),
+tn AS (SELECT text_type, norm, count(*) AS n FROM tg GROUP BY ALL HAVING count(*) >= 26),
+tp AS MATERIALIZED (SELECT a.text_type, sha256(a.norm) AS h1, sha256(b.norm) AS h2, a.norm AS n1, b.norm AS n2, count(*) AS i FROM tg a JOIN tg b ON a.text_type = b.text_type AND a.gram = b.gram AND sha256(a.norm) < sha256(b.norm) GROUP BY ALL),
+np AS MATERIALIZED (SELECT tp.text_type, h1, h2, n1, n2, i * 1.0 / (x.n + y.n - i) AS j FROM tp JOIN tn x ON x.norm = n1 AND x.text_type = tp.text_type JOIN tn y ON y.norm = n2 AND y.text_type = tp.text_type WHERE i * 1.0 / (x.n + y.n - i) >= 0.9)"""
+
+
+def _documents(spark, d):
+    return fx.docs_exam(spark, d).where("text is not null").withColumn("norm", tx.normalise(F.col("text"))).drop("text")
+
+
+def _ids(*names):
+    return [F.array_join(F.transform(n, lambda x: x.cast("string")), ",").alias(n) for n in names]
+
+
+@query("exact_overlap", DX + " SELECT task_id, sha256(norm) AS text_sha256, array_to_string(a, ',') AS agreement_ids, array_to_string(s, ',') AS splits, array_to_string(ids, ',') AS example_ids, array_to_string(labels, ',') AS labels FROM g")
+def _(spark, d):
+    return overlap.exact_groups(_documents(spark, d)).select("task_id", "text_sha256", *_ids("agreement_ids", "splits", "example_ids", "labels"))
+
+
+@query("conflicting_dups", DX + " SELECT task_id, sha256(norm) AS text_sha256, array_to_string(labels, ',') AS labels FROM g WHERE len(labels) > 1")
+def _(spark, d):
+    return overlap.conflicting(overlap.exact_groups(_documents(spark, d))).select("task_id", "text_sha256", *_ids("labels"))
+
+
+@query("train_seen_exact", DX + " SELECT x.example_id FROM dx x JOIN g ON g.task_id = x.task_id AND g.norm = x.norm WHERE x.split <> 'train' AND list_contains(g.s, 'train')")
+def _(spark, d):
+    return overlap.seen_exact(_documents(spark, d))
+
+
+@query("near_overlap", DX + GRAMS + " SELECT text_type, h1 AS left_sha256, h2 AS right_sha256, round(j, 6) AS jaccard FROM np")
+def _(spark, d):
+    return overlap.near_pairs(overlap.text_sets(_documents(spark, d))).select("text_type", F.col("left").alias("left_sha256"), F.col("right").alias("right_sha256"), F.round("jaccard", 6).alias("jaccard"))
+
+
+EXPANDED = """, ex AS MATERIALIZED (SELECT np.text_type, l.task_id, h1, h2, n1, n2, j, bool_or(l.agreement_id <> r.agreement_id) AS crossed, list_sort(list(DISTINCT l.example_id)) AS li, list_sort(list(DISTINCT r.example_id)) AS ri,
+bool_or(l.split = 'train') AS lt, bool_or(r.split = 'train') AS rt, count(DISTINCT l.split) AS ls, count(DISTINCT r.split) AS rs, list_sort(list_distinct(list_concat(list(l.split), list(r.split)))) AS splits
+FROM np JOIN dx l ON l.norm = n1 AND l.text_type = np.text_type JOIN dx r ON r.norm = n2 AND r.text_type = np.text_type AND r.task_id = l.task_id GROUP BY ALL HAVING bool_or(l.agreement_id <> r.agreement_id))"""
+
+
+@query("near_overlap_tasks", DX + GRAMS + EXPANDED + " SELECT task_id, h1 AS left_sha256, h2 AS right_sha256, array_to_string(li, ',') AS left_example_ids, array_to_string(ri, ',') AS right_example_ids, array_to_string(splits, ',') AS splits FROM ex")
+def _(spark, d):
+    rows = _documents(spark, d)
+    e = overlap.near_tasks(overlap.near_pairs(overlap.text_sets(rows)), rows)
+    return e.select("task_id", F.col("left").alias("left_sha256"), F.col("right").alias("right_sha256"), *_ids("left_example_ids", "right_example_ids", "splits"))
+
+
+SEEN = " SELECT DISTINCT x.example_id FROM ex, dx x WHERE x.split <> 'train' AND x.text_type = ex.text_type AND x.task_id = ex.task_id AND ((rt AND x.norm = n1) OR (lt AND x.norm = n2))"
+
+
+@query("train_seen_near", DX + GRAMS + EXPANDED + SEEN)
+def _(spark, d):
+    rows = _documents(spark, d)
+    return overlap.seen_near(overlap.near_tasks(overlap.near_pairs(overlap.text_sets(rows)), rows), rows)
+
+
+@query("train_seen", DX + GRAMS + EXPANDED + f" SELECT x.example_id FROM dx x JOIN g ON g.task_id = x.task_id AND g.norm = x.norm WHERE x.split <> 'train' AND list_contains(g.s, 'train') UNION {SEEN}")
+def _(spark, d):
+    rows = _documents(spark, d)
+    near = overlap.seen_near(overlap.near_tasks(overlap.near_pairs(overlap.text_sets(rows)), rows), rows)
+    return overlap.seen_exact(rows).union(near).distinct()
+
+
+@query("overlap_summary", DX + GRAMS + EXPANDED + f""", sn AS ({SEEN}), se AS (SELECT x.example_id FROM dx x JOIN g ON g.task_id = x.task_id AND g.norm = x.norm WHERE x.split <> 'train' AND list_contains(g.s, 'train'))
+SELECT 'exact_groups' AS name, count(*) AS value FROM g UNION ALL SELECT 'exact_cross_split', count(*) FROM g WHERE len(s) > 1 UNION ALL SELECT 'exact_conflicts', count(*) FROM g WHERE len(labels) > 1
+UNION ALL SELECT 'near_pairs', count(*) FROM ex UNION ALL SELECT 'near_cross_split', count(*) FROM ex WHERE len(splits) > 1 UNION ALL SELECT 'flagged_exact', count(*) FROM se UNION ALL SELECT 'flagged_near', count(*) FROM sn""")
+def _(spark, d):
+    rows = _documents(spark, d)
+    groups = overlap.exact_groups(rows)
+    e = overlap.near_tasks(overlap.near_pairs(overlap.text_sets(rows)), rows)
+    return overlap.summary(groups, e, overlap.seen_exact(rows), overlap.seen_near(e, rows))
+
+
+# scoring ------------------------------------------------------------------------------------------------------------
+def _left(spark, d):
+    rows, tasks, cover = _prepared(spark, d)
+    return scoring.confusion(fx.left(rows)), tasks, cover
+
+
+@query("prediction_violations", f"""{WITH}, {CORRUPTED}, p AS (SELECT example_id, count(*) AS n, min(label) AS label, min(prediction) AS low, max(prediction) AS high FROM cp GROUP BY example_id)
+SELECT 'prediction_repeated' AS rule, example_id FROM p WHERE n > 1 UNION ALL SELECT 'missing', example_id FROM exam WHERE example_id NOT IN (SELECT example_id FROM p) UNION ALL SELECT 'foreign', example_id FROM p WHERE example_id NOT IN (SELECT example_id FROM exam)
+UNION ALL SELECT 'label_differs', example_id FROM p JOIN exam e USING (example_id) WHERE p.label <> e.label UNION ALL SELECT 'prediction_out_of_range', example_id FROM p JOIN exam e USING (example_id) WHERE low < -1 OR high >= 4""")
+def _(spark, d):
+    rows = fx.exam(spark, d)
+    return scoring.violations(rows, _corrupted(rows), fx.tasks(rows))
+
+
+LEFT = WITH + "," + fx.scores_sql("pred_left", [])
+
+
+@query("label_stats", LEFT + "SELECT task_id, label, tp, fp, fn, support, round(precision_, 6) AS precision, round(recall_, 6) AS recall, round(f1, 6) AS f1 FROM lf")
+def _(spark, d):
+    counts, tasks, _ = _left(spark, d)
+    return _rounded(scoring.label_stats(counts, tasks).drop("question", "category"), "precision", "recall", "f1")
+
+
+@query("confusion", f"{WITH} SELECT task_id, label, prediction, count(*) AS n FROM pred_left GROUP BY ALL")
+def _(spark, d):
+    return _left(spark, d)[0]
+
+
+@query("task_metrics", LEFT + "SELECT task_id, any_value(macro_f1) AS x, round(any_value(macro_f1), 6) AS macro_f1, count(*) AS n, round(avg((label = prediction)::INT), 6) AS accuracy, round(avg((prediction = -1)::INT), 6) AS invalid_rate FROM pr JOIN ts USING (task_id) GROUP BY task_id".replace("any_value(macro_f1) AS x, ", ""))
+def _(spark, d):
+    counts, tasks, _ = _left(spark, d)
+    return _rounded(scoring.task_metrics(counts, tasks).select("task_id", "macro_f1", "n", "accuracy", "invalid_rate"), "macro_f1", "accuracy", "invalid_rate")
+
+
+def _summary_sql(source: str, keys: list[str]) -> str:
+    k = "".join(f"{x}, " for x in keys)
+    using = f"USING ({', '.join(keys)})" if keys else "ON true"
+    g = f"GROUP BY {', '.join(keys)}" if keys else ""
+    return f"""{WITH}, {fx.scores_sql(source, keys)}, te AS (SELECT ts.*, eligible FROM ts JOIN eligible USING (task_id)),
+m AS (SELECT {k}avg(macro_f1) FILTER (eligible) AS question_macro_f1, count(*) FILTER (eligible) AS eligible_tasks FROM te {g}),
+pm AS (SELECT {k}avg(f) AS parent_macro_f1 FROM (SELECT {k}question, avg(macro_f1) AS f FROM te WHERE eligible GROUP BY ALL) {g}),
+po AS (SELECT {k}avg((label = prediction)::INT) AS accuracy, avg((prediction = -1)::INT) AS invalid_rate, count(*) AS n FROM pr {g}),
+ra AS (SELECT {k}count(*) FILTER (rare.label IS NOT NULL) AS rare_n, avg((pr.label = pr.prediction)::INT) FILTER (rare.label IS NOT NULL) AS rare_accuracy FROM pr LEFT JOIN rare ON rare.task_id = pr.task_id AND rare.label = pr.label {g}),
+rr AS (SELECT {k}avg(recall_) FILTER (rare.label IS NOT NULL AND support > 0) AS rare_macro_recall FROM lf LEFT JOIN rare ON rare.task_id = lf.task_id AND rare.label = lf.label {g})
+SELECT {k}round(question_macro_f1, 6) AS question_macro_f1, round(accuracy, 6) AS accuracy, round(invalid_rate, 6) AS invalid_rate, n, eligible_tasks, round(parent_macro_f1, 6) AS parent_macro_f1, rare_n, round(rare_accuracy, 6) AS rare_accuracy, round(rare_macro_recall, 6) AS rare_macro_recall
+FROM m JOIN pm {using} JOIN po {using} JOIN ra {using} JOIN rr {using}"""
+
+
+FLOATS = ["question_macro_f1", "accuracy", "invalid_rate", "parent_macro_f1", "rare_accuracy", "rare_macro_recall"]
+
+
+def _stratum(name: str, source: str, keys: list[str], change):
+    def run(spark, d):
+        rows, tasks, cover = _prepared(spark, d)
+        return _rounded(scoring.score(scoring.confusion(change(fx.left(rows)), keys), tasks, cover, keys), *FLOATS)
+
+    QUERIES[name], ORACLES[name] = run, _summary_sql(source, keys)
+
+
+_stratum("score_summary", "pred_left", [], lambda p: p)
+_stratum("strata_agreement", "pred_left", ["agreement_id"], lambda p: p)
+_stratum("strata_data_type", "pred_left", ["data_type"], lambda p: p)
+_stratum("strata_length", f"(SELECT *, {BUCKET} AS bucket FROM pred_left)", ["bucket"], lambda p: p.withColumn("bucket", prepare.length_bucket(F.col("prompt_tokens"))))
+_stratum("novelty_score", "(SELECT * FROM pred_left WHERE example_id % 11 <> 0)", [], lambda p: p.where("example_id % 11 <> 0"))
+
+
+@query("multi_system_scores", f"{_summary_sql('(SELECT *, 1 AS system FROM pred_left UNION ALL SELECT *, 2 FROM pred_right)', ['system'])}")
+def _(spark, d):
+    rows, tasks, cover = _prepared(spark, d)
+    both = fx.left(rows).withColumn("system", F.lit(1)).unionByName(fx.right(rows).withColumn("system", F.lit(2)))
+    return _rounded(scoring.score(scoring.confusion(both, ["system"]), tasks, cover, ["system"]), *FLOATS)
+
+
+@query("missing_tasks", f"{WITH} SELECT task_id FROM eligible WHERE eligible AND task_id NOT IN (SELECT task_id FROM pred_left WHERE subquestion <> 'P')")
+def _(spark, d):
+    rows, _, cover = _prepared(spark, d)
+    return scoring.missing_tasks(fx.left(rows).where("subquestion <> 'P'"), cover)
+
+
+@query("parent_macro", LEFT + "SELECT question, round(avg(macro_f1), 6) AS macro_f1 FROM ts JOIN eligible USING (task_id) WHERE eligible GROUP BY question")
+def _(spark, d):
+    counts, tasks, cover = _left(spark, d)
+    m = scoring.task_metrics(counts, tasks).join(cover.where("eligible").select("task_id"), "task_id", "left_semi")
+    return m.groupBy("question").agg(F.round(F.avg("macro_f1"), 6).alias("macro_f1"))
+
+
+@query("category_metrics", LEFT + ", pc AS (SELECT category, avg((label = prediction)::INT) AS accuracy, count(*) AS n FROM pr GROUP BY category) SELECT category, round(avg(macro_f1) FILTER (eligible), 6) AS macro_f1, round(any_value(accuracy), 6) AS accuracy, any_value(n) AS n, count(*) FILTER (eligible) AS eligible_tasks FROM ts JOIN eligible USING (task_id) JOIN pc USING (category) GROUP BY category")
+def _(spark, d):
+    counts, tasks, cover = _left(spark, d)
+    return _rounded(scoring.category_metrics(counts, tasks, cover), "macro_f1", "accuracy")
+
+
+@query("majority_baseline", f"{WITH} SELECT task_id, label AS majority FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY n DESC, label) AS rn FROM support) WHERE rn = 1")
+def _(spark, d):
+    rows = fx.exam(spark, d)
+    return scoring.majority(rows, fx.tasks(rows))
+
+
+@query("error_tags", f"""{WITH} SELECT p.example_id, p.task_id, p.label, p.prediction, concat_ws(',', CASE WHEN p.prediction = -1 THEN 'invalid_format' END, CASE WHEN r.label IS NOT NULL THEN 'rare_label' END, CASE WHEN u.n = 0 THEN 'unsupported_training_label' END,
+CASE WHEN prompt_tokens > 2048 THEN 'long_passage' END, CASE WHEN p.example_id % 11 = 0 THEN 'train_lexical_overlap' END) AS tags FROM pred_left p LEFT JOIN rare r ON r.task_id = p.task_id AND r.label = p.label LEFT JOIN support u ON u.task_id = p.task_id AND u.label = p.label WHERE p.prediction <> p.label""")
+def _(spark, d):
+    rows, _, cover = _prepared(spark, d)
+    return scoring.error_rows(fx.left(rows), cover, rows.where("example_id % 11 = 0").select("example_id")).withColumn("tags", F.array_join("tags", ","))
+
+
+@query("rare_stats", f"""{WITH}, b AS (SELECT 'left' AS system, * FROM pred_left UNION ALL SELECT 'right', * FROM pred_right), c AS (SELECT b.*, x.label IS NOT NULL AS gold, y.label IS NOT NULL AS chosen FROM b LEFT JOIN rare x ON x.task_id = b.task_id AND x.label = b.label LEFT JOIN rare y ON y.task_id = b.task_id AND y.label = b.prediction),
+a AS (SELECT system, count(*) FILTER (gold) AS rare_n, count(*) FILTER (gold AND label = prediction) AS rare_correct, count(*) FILTER (chosen) AS rare_chosen FROM c GROUP BY system)
+SELECT *, rare_chosen - rare_correct AS rare_incorrect, round(CASE WHEN rare_n > 0 THEN rare_correct * 1.0 / rare_n END, 6) AS recall, round(CASE WHEN rare_chosen > 0 THEN rare_correct * 1.0 / rare_chosen END, 6) AS precision FROM a""")
+def _(spark, d):
+    rows, _, cover = _prepared(spark, d)
+    both = fx.left(rows).withColumn("system", F.lit("left")).unionByName(fx.right(rows).withColumn("system", F.lit("right")))
+    return _rounded(scoring.rare_stats(scoring.confusion(both, ["system"]), cover, ["system"]), "recall", "precision")
+
+
+@query("paired_outcomes", f"""{WITH} SELECT CASE WHEN rare.label IS NOT NULL THEN 'rare' ELSE 'nonrare' END AS stratum, CASE WHEN l.prediction = l.label AND r.prediction = l.label THEN 'both_correct' WHEN l.prediction <> l.label AND r.prediction <> l.label THEN 'both_wrong' WHEN r.prediction = l.label THEN 'correction' ELSE 'regression' END AS outcome, count(*) AS n
+FROM pred_left l JOIN pred_right r USING (example_id) LEFT JOIN rare ON rare.task_id = l.task_id AND rare.label = l.label GROUP BY 1, 2""")
+def _(spark, d):
+    rows, _, cover = _prepared(spark, d)
+    return scoring.paired_outcomes(fx.left(rows), fx.right(rows), cover)
+
+
+@query("rare_support_strata", f"{WITH} SELECT CASE WHEN s.agreements = 0 THEN '0' WHEN s.agreements <= 2 THEN '1-2' ELSE '3+' END AS support, count(*) AS n, count(*) FILTER (p.label = p.prediction) AS correct FROM pred_left p JOIN rare r ON r.task_id = p.task_id AND r.label = p.label JOIN support s ON s.task_id = p.task_id AND s.label = p.label GROUP BY 1")
+def _(spark, d):
+    rows, tasks, cover = _prepared(spark, d)
+    return scoring.rare_support_strata(fx.left(rows), prepare.coverage_cells(rows, tasks), cover)
+
+
+@query("prefix_resume", f"{WITH}, w AS (SELECT example_id, row_number() OVER (ORDER BY example_id) - 1 AS pos FROM exam), dn AS (SELECT * FROM w WHERE pos < 100) SELECT count(*) AS done, max(pos) = count(*) - 1 AS is_prefix, count(*) AS next_position FROM dn")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    wanted = fx.exam(spark, d).select("example_id", (F.row_number().over(Window.orderBy("example_id")) - 1).alias("pos"))
+    return scoring.prefix_resume(wanted.where("pos < 100").select("example_id"), wanted)
+
+
+@query("parse_answers", r"""SELECT conv_id, turn, CASE WHEN length(t) = 1 AND unicode(t) - 65 BETWEEN 0 AND 3 THEN unicode(t) - 65 ELSE -1 END AS answer FROM (SELECT conv_id, turn, substr(text, 1, 1) AS t FROM conversations)""")
+def _(spark, d):
+    return fx.read(spark, d, "conversations").select("conv_id", "turn", tx.parse_answer(F.concat(F.lit(" "), F.substring("text", 1, 1), F.lit("\n")), F.lit(4)).alias("answer"))
+
+
+@query("prompt_text", f"""{WITH} SELECT example_id, sha256('Question: ' || question || chr(10) || 'Clause: ' || subquestion || chr(10) || 'A. no' || chr(10) || 'B. yes' || chr(10) || 'C. partial' || chr(10) || 'D. never' || chr(10) || 'Passage: ' || data_type) AS prompt_sha256 FROM exam""")
+def _(spark, d):
+    rows = fx.exam(spark, d).withColumn("answers", F.array(*map(F.lit, fx.ANSWERS)))
+    return rows.select("example_id", F.sha2(tx.prompt(F.col("question"), F.col("subquestion"), F.col("answers"), F.col("data_type")), 256).alias("prompt_sha256"))
+
+
+@query("metric_unpivot", LEFT + ", a AS (SELECT task_id, count(*)::DOUBLE AS n, avg((label = prediction)::INT) AS accuracy FROM pr GROUP BY task_id), b AS (SELECT a.task_id, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, n FROM a JOIN ts USING (task_id)) UNPIVOT b ON accuracy, macro_f1, n INTO NAME metric VALUE value")
+def _(spark, d):
+    counts, tasks, _ = _left(spark, d)
+    m = _rounded(scoring.task_metrics(counts, tasks), "accuracy", "macro_f1")
+    return report.metric_rows(m, ["task_id"], ["accuracy", "macro_f1", "n"])
+
+
+# bootstrap ----------------------------------------------------------------------------------------------------------
+WEIGHTS = f"""bc AS (SELECT agreement_id, row_number() OVER (ORDER BY agreement_id) - 1 AS c FROM (SELECT DISTINCT agreement_id FROM exam WHERE split = 'test')), bn AS (SELECT count(*) AS a FROM bc),
+bd AS (SELECT rep, ('0x' || substr(sha256('exam-v1:' || rep::VARCHAR || ':' || j::VARCHAR), 1, 8))::BIGINT % a AS c FROM range({REPLICATES}) r(rep), bn, LATERAL (SELECT unnest(generate_series(0, a - 1)) AS j)),
+bw AS MATERIALIZED (SELECT rep, agreement_id, count(*) AS w FROM bd JOIN bc USING (c) GROUP BY ALL)"""
+REPS = f"""{WITH}, {WEIGHTS}, sy AS (SELECT 'left' AS system, * FROM pred_left WHERE split = 'test' UNION ALL SELECT 'right', * FROM pred_right WHERE split = 'test'),
+cc AS MATERIALIZED (SELECT system, sy.task_id, agreement_id, label, prediction, count(*) AS n FROM sy JOIN eligible e ON e.task_id = sy.task_id AND e.eligible GROUP BY ALL),
+wc AS MATERIALIZED (SELECT rep, system, task_id, label, prediction, sum(w * n) AS n FROM cc JOIN bw USING (agreement_id) GROUP BY ALL),
+lp AS (SELECT rep, system, task_id, label, CASE WHEN label = prediction THEN n ELSE 0 END AS tp, n AS m FROM wc UNION ALL SELECT rep, system, task_id, prediction, 0, n FROM wc WHERE prediction >= 0),
+ll AS (SELECT rep, system, task_id, label, sum(tp) AS tp, sum(m) AS m FROM lp GROUP BY ALL), lt AS (SELECT rep, system, task_id, sum(2.0 * tp / m) / 4 AS f1 FROM ll GROUP BY ALL),
+reps AS (SELECT rep, avg(f1) FILTER (system = 'left') AS l, avg(f1) FILTER (system = 'right') AS r, count(DISTINCT task_id) AS tasks FROM lt GROUP BY rep)"""
+
+
+def _reps(spark, d):
+    rows, tasks, cover = _prepared(spark, d)
+    test = rows.where("split = 'test'")
+    both = fx.left(test).withColumn("system", F.lit("left")).unionByName(fx.right(test).withColumn("system", F.lit("right")))
+    weights = bootstrap.hashed_weights(test, REPLICATES, fx.SEED)
+    return both, weights, bootstrap.replicates(both, weights, tasks, cover)
+
+
+@query("bootstrap_weights", f"{WITH}, {WEIGHTS} SELECT rep, agreement_id, w FROM bw")
+def _(spark, d):
+    return bootstrap.hashed_weights(fx.exam(spark, d).where("split = 'test'"), REPLICATES, fx.SEED)
+
+
+@query("bootstrap_replicates", REPS + " SELECT rep, round(l, 6) AS \"left\", round(r, 6) AS \"right\", round(r - l, 6) AS difference, tasks FROM reps")
+def _(spark, d):
+    return _rounded(_reps(spark, d)[2], "left", "right", "difference")
+
+
+@query("bootstrap_ci", REPS + """, lg AS (SELECT 'left' AS statistic, l AS x FROM reps UNION ALL SELECT 'right', r FROM reps UNION ALL SELECT 'difference', r - l FROM reps)
+SELECT statistic, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high, count(*) AS replicates FROM lg GROUP BY statistic""")
+def _(spark, d):
+    return _rounded(bootstrap.interval(_reps(spark, d)[2]), "low", "high")
+
+
+@query("bootstrap_accuracy", f"{WITH}, {WEIGHTS}, ac AS (SELECT rep, sum(w * (l.prediction = l.label)::INT) * 1.0 / sum(w) AS a, sum(w * (r.prediction = l.label)::INT) * 1.0 / sum(w) AS b FROM pred_left l JOIN pred_right r USING (example_id) JOIN bw ON bw.agreement_id = l.agreement_id GROUP BY rep) SELECT rep, round(a, 6) AS \"left\", round(b, 6) AS \"right\", round(b - a, 6) AS difference FROM ac")
+def _(spark, d):
+    both, weights, _ = _reps(spark, d)
+    return _rounded(bootstrap.accuracy_replicates(both, weights), "left", "right", "difference")
+
+
+@query("pairing_violations", f"{WITH}, {CORRUPTED}, p AS (SELECT example_id, count(*) AS n, min(label) AS label FROM cp GROUP BY 1) SELECT coalesce(e.example_id, p.example_id) AS example_id, CASE WHEN e.example_id IS NULL THEN 'left_missing' WHEN p.example_id IS NULL THEN 'right_missing' WHEN n > 1 THEN 'repeated' ELSE 'label_differs' END AS rule FROM exam e FULL JOIN p ON e.example_id = p.example_id WHERE e.example_id IS NULL OR p.example_id IS NULL OR n > 1 OR e.label <> p.label")
+def _(spark, d):
+    rows = fx.exam(spark, d)
+    return bootstrap.pairing_violations(fx.left(rows), _corrupted(rows))
+
+
+# run logs -----------------------------------------------------------------------------------------------------------
+RL = f"WITH {fx.RUNLOG}"
+
+
+@query("batch_weighted_loss", RL + " SELECT batch, round(sum(weight * loss) / sum(weight), 6) AS weighted_loss, sum(weight) AS weight_sum, count(*) FILTER (weight > 1) AS upweighted FROM rl GROUP BY batch")
+def _(spark, d):
+    return _rounded(runlog.weighted_loss(fx.runlog(spark, d)), "weighted_loss")
+
+
+@query("batches", RL + " SELECT batch, array_to_string(list(global_step ORDER BY pos), ',') AS ids, count(*) AS n FROM rl GROUP BY batch")
+def _(spark, d):
+    return runlog.batches(fx.runlog(spark, d).withColumnRenamed("global_step", "example_id")).select("batch", *_ids("ids"), "n")
+
+
+@query("seeded_order", f"{WITH} SELECT example_id, row_number() OVER (ORDER BY sha256('exam-v1:2:' || example_id::VARCHAR)) - 1 AS pos FROM exam")
+def _(spark, d):
+    return runlog.seeded_order(fx.exam(spark, d).select("example_id"), fx.SEED, 2)
+
+
+@query("learning_rate", RL + " SELECT global_step, round(CASE WHEN global_step < 30 THEN 0.001 * global_step / 30 ELSE greatest(0.0, 0.001 * 0.5 * (1 + cos(pi() * (global_step - 30) / 970.0))) END, 9) AS rate FROM rl")
+def _(spark, d):
+    return fx.runlog(spark, d).select("global_step", F.round(runlog.cosine_schedule(F.col("global_step"), 30, 1000, 0.001), 9).alias("rate"))
+
+
+@query("example_weights", f"{WITH} SELECT e.example_id, CASE WHEN r.label IS NOT NULL THEN 3.0 ELSE 1.0 END::DOUBLE AS weight FROM exam e LEFT JOIN rare r ON r.task_id = e.task_id AND r.label = e.label")
+def _(spark, d):
+    rows, _, cover = _prepared(spark, d)
+    return rows.join(cover.select("task_id", "rare_labels"), "task_id").select("example_id", runlog.rare_weight(F.col("label"), F.col("rare_labels")).alias("weight"))
+
+
+@query("weight_violations", RL + " SELECT global_step AS example_id FROM rl WHERE global_step % 97 = 0")
+def _(spark, d):
+    k = F.col("global_step")
+    return runlog.weight_violations(fx.runlog(spark, d).select(k.alias("example_id"), F.when(k % 97 == 0, F.when(k % 2 == 0, float("nan")).otherwise(-1.0)).otherwise(F.col("weight")).alias("weight")))
+
+
+@query("throughput", RL + " SELECT global_step, round(16 / (1 + loss), 6) AS examples_per_second, round((100 + pos % 50) / (1 + loss), 6) AS tokens_per_second, round(global_step / 64.0, 6) AS epoch FROM rl")
+def _(spark, d):
+    log = fx.runlog(spark, d).select("global_step", F.lit(16).alias("examples"), (100 + F.col("pos") % 50).alias("tokens"), (1 + F.col("loss")).alias("seconds"))
+    return _rounded(runlog.throughput(log, 64), "examples_per_second", "tokens_per_second", "epoch").select("global_step", "examples_per_second", "tokens_per_second", "epoch")
+
+
+@query("steady_state", RL + " SELECT count(*) AS n, round(avg(loss), 6) AS mean, round(quantile_cont(loss, 0.5), 6) AS median, max(loss) AS longest FROM rl WHERE global_step > 2")
+def _(spark, d):
+    return _rounded(runlog.steady_state(fx.runlog(spark, d)), "mean", "median")
+
+
+@query("checkpoint_due", RL + " SELECT global_step FROM rl WHERE global_step = 10 OR global_step % 100 = 0 OR global_step = (SELECT max(global_step) FROM rl)")
+def _(spark, d):
+    log = fx.runlog(spark, d)
+    return log.crossJoin(F.broadcast(log.agg(F.max("global_step").alias("last")))).where(runlog.checkpoint_due(F.col("global_step"), F.col("last"))).select("global_step")
+
+
+SCORES = RL + ", sc AS (SELECT epoch_no AS epoch, round(avg(loss), 6) AS score FROM rl GROUP BY 1)"
+
+
+def _scores(spark, d):
+    return fx.runlog(spark, d).groupBy(F.col("epoch_no").alias("epoch")).agg(F.round(F.avg("loss"), 6).alias("score"))
+
+
+@query("early_stopping", SCORES.replace("WITH ", "WITH RECURSIVE ", 1) + """, od AS (SELECT *, row_number() OVER (ORDER BY epoch) AS i FROM sc),
+st AS (SELECT i, epoch, score, score AS best, 0 AS bad FROM od WHERE i = 1 UNION ALL SELECT o.i, o.epoch, o.score, CASE WHEN o.score > st.best THEN o.score ELSE st.best END, CASE WHEN o.score > st.best THEN 0 ELSE st.bad + 1 END FROM st JOIN od o ON o.i = st.i + 1 WHERE st.bad < 2)
+SELECT epoch, score, best, bad, bad >= 2 AS stop FROM st""")
+def _(spark, d):
+    return runlog.early_stopping(_scores(spark, d))
+
+
+@query("select_best", SCORES + " SELECT epoch, score FROM sc ORDER BY score DESC, epoch LIMIT 1")
+def _(spark, d):
+    return runlog.select_best(_scores(spark, d))
+
+
+@query("score_series", SCORES + " SELECT epoch, score, max(score) OVER (ORDER BY epoch) AS best_so_far, epoch = (SELECT epoch FROM sc ORDER BY score DESC, epoch LIMIT 1) AS selected FROM sc")
+def _(spark, d):
+    return report.series(_scores(spark, d))
+
+
+@query("latency_summary", RL + " SELECT count(*) AS n, round(sum(loss), 4) AS total, round(count(*) / sum(loss), 6) AS per_second, round(quantile_cont(loss, 0.5), 6) AS p50, round(quantile_cont(loss, 0.95), 6) AS p95 FROM rl")
+def _(spark, d):
+    return _rounded(runlog.latency_summary(fx.runlog(spark, d), "loss"), "per_second", "p50", "p95").withColumn("total", F.round("total", 4))
+
+
+@query("run_diff", "SELECT 'loss' AS metric, 0 AS unpaired, 1e-7 AS largest, true AS agree UNION ALL SELECT 'weight', 0, 0.5, false")
+def _(spark, d):
+    a, k = fx.runlog(spark, d), F.col("global_step")
+    b = a.withColumns({"loss": F.when(k % 10 == 0, F.col("loss") + 1e-7).otherwise(F.col("loss")), "weight": F.when(k % 50 == 0, F.col("weight") + 0.5).otherwise(F.col("weight"))})
+    return runlog.run_difference(a, b, ["loss", "weight"]).withColumn("largest", F.round("largest", 9)).select("metric", "unpaired", "largest", "agree")
+
+
+@query("longest_row", f"{WITH} SELECT example_id, prompt_tokens FROM exam WHERE split = 'train' ORDER BY prompt_tokens DESC, example_id LIMIT 1")
+def _(spark, d):
+    return runlog.longest_row(fx.exam(spark, d))
+
+
+@query("id_sequence_hash", f"{WITH} SELECT split, sha256(string_agg(example_id::VARCHAR, chr(10) ORDER BY example_id)) AS sequence_sha256, count(*) AS n FROM exam GROUP BY split")
+def _(spark, d):
+    return runlog.sequence_hash(fx.exam(spark, d).withColumn("pos", F.col("example_id")), "example_id", "pos", ["split"])
+
+
+@query("padded_batches", "SELECT conv_id, turn, n, greatest(m - n, 0) AS padding FROM (SELECT conv_id, turn, len(string_split(text, ' ')) AS n, max(len(string_split(text, ' '))) OVER (PARTITION BY conv_id) AS m FROM conversations)")
+def _(spark, d):
+    rows = fx.read(spark, d, "conversations").select("conv_id", "turn", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("tokens"))
+    p = runlog.pad(rows, "tokens", "conv_id", 0)
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    return p.select("conv_id", "turn", total("mask").cast("long").alias("n"), (F.size("padded") - total("mask")).cast("long").alias("padding"))
+
+
+@query("supervision_labels", "SELECT conv_id, turn, len(string_split(text, ' ')) AS masked, len(string_split(text, ' ')) + 2 AS n FROM conversations")
+def _(spark, d):
+    rows = fx.read(spark, d, "conversations").select("conv_id", "turn", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("p"))
+    labels = runlog.supervision(F.col("p"), F.array(F.lit(65), F.lit(99)), 1 << 20)
+    return rows.select("conv_id", "turn", F.size(F.filter(labels, lambda x: x == -100)).cast("long").alias("masked"), F.size(labels).cast("long").alias("n"))
+
+
+# guard --------------------------------------------------------------------------------------------------------------
+DECISION = "CASE WHEN gpu_limit_w > 200 OR cpu_max_khz > 3000000 THEN 'limits_changed' WHEN cpu_c >= 85 OR gpu_c >= 80 OR slowdown THEN 'hot' WHEN cpu_c <= 75 AND gpu_c <= 72 THEN 'cool' ELSE 'hold' END"
+
+
+@query("guard_decisions", f"WITH {fx.READINGS} SELECT event_id, {DECISION} AS decision FROM rd")
+def _(spark, d):
+    return fx.readings(spark, d).select("event_id", guard.decision().alias("decision"))
+
+
+@query("guard_latest", f"WITH {fx.READINGS}, z AS (SELECT *, {DECISION} AS decision, row_number() OVER (PARTITION BY host ORDER BY ts DESC, event_id DESC) AS rn FROM rd) SELECT host, event_id, decision, cpu_c, gpu_c FROM z WHERE rn = 1")
+def _(spark, d):
+    return guard.latest(fx.readings(spark, d))
+
+
+@query("guard_invalid", f"WITH {fx.READINGS} SELECT event_id FROM rd WHERE event_id % 83 = 0")
+def _(spark, d):
+    return guard.invalid(fx.readings(spark, d).withColumn("cpu_c", F.when(F.col("event_id") % 83 == 0, F.when(F.col("event_id") % 2 == 0, 130)).otherwise(F.col("cpu_c")))).select("event_id")
+
+
+@query("guard_state_machine")
+def _(spark, d):
+    return guard.run_machine(fx.readings(spark, d))
+
+
+# scanning and reports -----------------------------------------------------------------------------------------------
+def _payloads(spark, d):
+    docs = fx.read(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), "text")
+    return docs.unionByName(fx.read(spark, d, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("name"), F.col("html").alias("text")))
+
+
+PAYLOADS = "pl AS (SELECT 'doc-' || doc_id::VARCHAR AS name, text FROM documents UNION ALL SELECT 'page-' || page_id::VARCHAR, html FROM pages)"
+
+
+@query("path_rules", r"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'parent' WHEN page_id % 5 = 1 THEN 'component' WHEN page_id % 5 = 2 THEN 'suffix' WHEN page_id % 5 = 3 THEN 'absolute_or_backslash' END AS rule FROM pages")
+def _(spark, d):
+    k = F.col("page_id")
+    path = F.when(k % 5 == 0, "a/../b").when(k % 5 == 1, "a/.git/config").when(k % 5 == 2, "keys/server.pem").when(k % 5 == 3, "/etc/x").otherwise("docs/readme.txt")
+    return fx.read(spark, d, "pages").select("page_id", scan.unsafe_path(path).alias("rule"))
+
+
+@query("line_findings", f"WITH {PAYLOADS}, li AS (SELECT name, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM pl WHERE text IS NOT NULL) SELECT name, 'digits' AS rule, line FROM li WHERE regexp_matches(t, '[0-9]{{4}}') UNION ALL SELECT name, 'mail', line FROM li WHERE regexp_matches(t, '[a-z]+@[a-z]+')")
+def _(spark, d):
+    return scan.line_findings(_payloads(spark, d), {"digits": "[0-9]{4}", "mail": "[a-z]+@[a-z]+"})
+
+
+@query("private_ipv4", f"""WITH {PAYLOADS}, m AS (SELECT name, unnest(regexp_extract_all(text, '(?:[0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}(?:/[0-9]{{1,2}})?')) AS m FROM (SELECT name, text FROM pl UNION ALL SELECT 'extra', 'a 10.1.2.3 b 10.0.0.0/8 c 192.168.1.1 d 8.8.8.8 e 172.31.0.9 f 10.1.2.3')),
+o AS (SELECT name, string_split(m, '/')[1] AS address, m, list_transform(string_split(string_split(m, '/')[1], '.'), lambda x: x::BIGINT) AS q FROM m)
+SELECT name, address, count(*) AS n FROM o WHERE list_max(q) <= 255 AND (q[1] = 10 OR (q[1] = 172 AND q[2] BETWEEN 16 AND 31) OR (q[1] = 192 AND q[2] = 168) OR (q[1] = 100 AND q[2] BETWEEN 64 AND 127) OR (q[1] = 169 AND q[2] = 254))
+AND m NOT IN ('10.0.0.0/8', '172.16.0.0/12', '192.168.0.0/16', '100.64.0.0/10', '169.254.0.0/16') GROUP BY ALL""")
+def _(spark, d):
+    extra = spark.createDataFrame([("extra", "a 10.1.2.3 b 10.0.0.0/8 c 192.168.1.1 d 8.8.8.8 e 172.31.0.9 f 10.1.2.3")], "name string, text string")
+    return scan.private_ipv4(_payloads(spark, d).unionByName(extra))
+
+
+@query("private_ipv6", "SELECT doc_id::VARCHAR AS name, 'fd00:1::' || doc_id::VARCHAR AS address FROM documents WHERE doc_id % 10 = 0")
+def _(spark, d):
+    docs = fx.read(spark, d, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("name"), F.concat(F.lit("at FD00:1::"), F.col("doc_id").cast("string"), F.lit(" and 2001:db8::1")).alias("text"))
+    return scan.private_ipv6(docs)
+
+
+@query("term_search", f"WITH {PAYLOADS} SELECT name, term FROM pl, (SELECT unnest(['license', 'Copyright', 'ing the']) AS term) t WHERE contains(lower(text), lower(term))")
+def _(spark, d):
+    return scan.term_search(_payloads(spark, d), ["license", "Copyright", "ing the"])
+
+
+@query("content_dedupe", "SELECT sha256(text) AS sha256, min(doc_id) AS name, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text")
+def _(spark, d):
+    return scan.first_seen(fx.read(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("name"), "text"), "name")
+
+
+@query("digest_mask", """SELECT doc_id, sha256('{"file_sha256": "<digest>", "n": ' || doc_id::VARCHAR || '}') AS masked, 1 AS n FROM documents""")
+def _(spark, d):
+    docs = fx.read(spark, d, "documents").select("doc_id", F.concat(F.lit('{"file_sha256": "'), F.sha2(F.coalesce("text", F.lit("")), 256), F.lit('", "n": '), F.col("doc_id").cast("string"), F.lit("}")).alias("t"))
+    text, n = scan.mask_digests(F.col("t"))
+    return docs.select("doc_id", F.sha2(text, 256).alias("masked"), n.alias("n"))
+
+
+@query("html_word_count", r"""SELECT page_id, len(w) AS words, CAST(ceil(len(w) / 230.0) AS BIGINT) AS minutes FROM (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)^.*?<body[^>]*>|<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*') AS w FROM pages)""")
+def _(spark, d):
+    return report.html_words(fx.read(spark, d, "pages"))
+
+
+@query("formatted_metrics", LEFT + "SELECT task_id, printf('%.4f', round(macro_f1, 6)) AS f1, printf('%.2f%%', 100 * round(macro_f1, 6)) AS percent, printf('%+.3f', round(macro_f1, 6) - 0.5) AS difference FROM ts")
+def _(spark, d):
+    counts, tasks, _ = _left(spark, d)
+    m = _rounded(scoring.task_metrics(counts, tasks), "macro_f1")
+    return m.select("task_id", report.fixed(F.col("macro_f1")).alias("f1"), report.percent(F.col("macro_f1")).alias("percent"), report.signed(F.col("macro_f1") - 0.5).alias("difference"))
