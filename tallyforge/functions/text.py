@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def normalise(text: Column) -> Column:
@@ -14,7 +15,7 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\x09-\x0D\x20]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalise_exact(text: pd.Series) -> pd.Series:
     """NFKC, case folding, Unicode white space collapsed and trimmed."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
