@@ -1,7 +1,7 @@
 """Benchmark decontamination: latent semantic retrieval, then longest common subsequences and answer checks.
 
-Method. Texts are cut into overlapping passages. TF-IDF over the hashed terms of the benchmark (document frequencies
-counted over all passages) makes a sparse matrix; its leading right singular space comes from a distributed randomised
+Method. Texts are cut into overlapping passages. TF-IDF over the hashed terms of the benchmark (frequencies counted over
+all passages; terms that stand in too many are left out) makes a sparse matrix; its leading right singular space comes from a distributed randomised
 SVD: every task adds up A'(A R) for a random R, the sums are merged by aggregation, and the small result is
 orthonormalised with the benchmark's own rows weighted in, so that the space can tell the benchmark's passages apart.
 Passages and benchmark items are projected, and pairs with enough cosine are candidates, for every passage of every
@@ -37,6 +37,8 @@ COSINE = 0.6
 COVER, PARAPHRASE, ANSWER = 0.85, 0.6, 0.6
 ANSWER_WORDS = 6
 LEAST_WORDS = 8
+#: Share of passages beyond which a term is too common to tell anything; terms that each item keeps all the same.
+COMMON, LEAST_TERMS = 0.02, 6
 MAX_ITEMS = 20_000
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -47,20 +49,59 @@ def _terms(hasher: WordHasher, text: str | None) -> np.ndarray:
 
 
 class Vocabulary:
-    """Hashes of the benchmark's words, each with a column."""
+    """Hashes of the benchmark's words, each with a column; lookups go through two small direct tables."""
 
-    def __init__(self, texts: list[str]):
-        hasher = WordHasher(ascii_nonword_separators())
-        words = np.unique(np.concatenate([_terms(hasher, t) for t in texts])) if texts else np.zeros(0, np.uint64)
+    BITS = 18
+
+    def __init__(self, words: np.ndarray):
         self.words = words
         self.columns = (words % np.uint64(TERMS)).astype(np.int64)
+        self.tables, rest = [], np.arange(len(words))
+        for shift in (64 - self.BITS, 8):  # what the first table has no room for goes to the second, then to a search
+            slot = (words[rest] >> np.uint64(shift)).astype(np.int64) & ((1 << self.BITS) - 1)
+            table = np.full(1 << self.BITS, -1, np.int32)
+            table[slot] = rest
+            self.tables.append((shift, table))
+            rest = rest[table[slot] != rest]
+        self.rest = np.sort(words[rest])
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Vocabulary:
+        hasher = WordHasher(ascii_nonword_separators())
+        return cls(np.unique(np.concatenate([_terms(hasher, t) for t in texts])) if texts else np.zeros(0, np.uint64))
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         """Columns of word hashes; -1 for a word that no item has."""
+        out = np.full(len(h), -1)
         if not len(self.words):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, self.columns[at], -1)
+            return out
+        for shift, table in self.tables:
+            at = table[(h >> np.uint64(shift)).astype(np.int64) & ((1 << self.BITS) - 1)]
+            good = (at >= 0) & (self.words[at] == h)
+            out[good] = self.columns[at[good]]
+        if len(self.rest):
+            at = np.minimum(np.searchsorted(self.rest, h), len(self.rest) - 1)
+            good = self.rest[at] == h
+            out[good] = (h[good] % np.uint64(TERMS)).astype(np.int64)
+        return out
+
+
+def _chunks(batch: pa.RecordBatch, hasher: WordHasher, vocabulary: Vocabulary, most: int = 1 << 19):
+    """(first row, texts, columns of all their words one text after the other, words of each text), by bounded bytes.
+
+    A text is never cut: one longer than the bound is a chunk of its own.
+    """
+    column, at = batch.column(batch.num_columns - 1), 0
+    while at < batch.num_rows:
+        texts, size, first = [], 0, at
+        while at < batch.num_rows and (not texts or size < most):
+            texts.append(column[at].as_py() or "")
+            size += len(texts[-1])
+            at += 1
+        parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+        starts, _, h = hasher.words(b"\n".join(parts))
+        edges = np.cumsum([0, *[len(x) + 1 for x in parts]])
+        yield first, texts, vocabulary(h), np.diff(np.searchsorted(starts, edges))
 
 
 def _windows(n: int) -> np.ndarray:
@@ -71,33 +112,16 @@ def _windows(n: int) -> np.ndarray:
     return starts if starts[-1] == n - PASSAGE else np.append(starts, n - PASSAGE)
 
 
-def _rows(columns: np.ndarray, step: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
-    """(passage, column) of each known word, in passages that do not overlap."""
-    known = np.flatnonzero(columns >= 0)
-    return known // step, columns[known]
-
-
-def _texts(batch: pa.RecordBatch, hasher, vocabulary):
-    """Known columns of the words of a batch's texts, and the number of each text's words; texts follow each other."""
-    parts = [_terms(hasher, t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    h = np.concatenate(parts) if len(parts) else np.zeros(0, np.uint64)
-    return vocabulary(h), sizes
-
-
 def _counting(vocabulary):
-    """Passages in all, and passages that hold each column."""
+    """Passages in all (column TERMS), and how often each column occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(ascii_nonword_separators())
         count = np.zeros(TERMS + 1, np.int64)
         for batch in batches:
-            columns, sizes = _texts(batch, hasher, vocabulary)
-            row = _passage_of(sizes)
-            known = columns >= 0
-            pairs = np.unique(row[known] * TERMS + columns[known])
-            count[:TERMS] += np.bincount(pairs % TERMS, minlength=TERMS)
-            count[TERMS] += int(row[-1]) + 1 if len(row) else 0
+            for _, _, columns, sizes in _chunks(batch, hasher, vocabulary):
+                count[:TERMS] += np.bincount(columns[columns >= 0], minlength=TERMS)
+                count[TERMS] += int((-(-sizes // PASSAGE)).sum())
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(count), pa.int32()), pa.array(count[count > 0], pa.int64())], ["column", "n"])
 
     return run
@@ -128,18 +152,18 @@ def _sketching(vocabulary, idf, test):
         total = np.zeros((TERMS, test.shape[1]))
         seen = np.zeros(TERMS, bool)
         for batch in batches:
-            columns, sizes = _texts(batch, hasher, vocabulary)
-            known = columns >= 0
-            if not known.any():
-                continue
-            r, c, v = _weights(_passage_of(sizes)[known], columns[known], idf)
-            cut = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            y = np.add.reduceat(test[c] * v[:, None], cut, axis=0)
-            back = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(r))))
-            order = np.argsort(c, kind="stable")
-            at = np.flatnonzero(np.concatenate([[True], c[order][1:] != c[order][:-1]]))
-            total[c[order][at]] += np.add.reduceat(y[back[order]] * v[order][:, None], at, axis=0)
-            seen[c] = True
+            for _, _, columns, sizes in _chunks(batch, hasher, vocabulary):
+                known = columns >= 0
+                if not known.any():
+                    continue
+                r, c, v = _weights(_passage_of(sizes)[known], columns[known], idf)
+                cut = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                y = np.add.reduceat(test[c] * v[:, None], cut, axis=0)
+                back = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(r))))
+                order = np.argsort(c, kind="stable")
+                at = np.flatnonzero(np.concatenate([[True], c[order][1:] != c[order][:-1]]))
+                total[c[order][at]] += np.add.reduceat(y[back[order]] * v[order][:, None], at, axis=0)
+                seen[c] = True
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(list(total[used].astype(np.float64)), pa.list_(pa.float64()))], ["column", "sums"])
 
@@ -194,51 +218,65 @@ def _judging(vocabulary, idf, space, items: list[tuple[int, str]]):
         rarest = []
         for n, (_, t) in enumerate(items):
             columns = vocabulary(_terms(hasher, t))
+            columns = columns[columns >= 0]
             weight = np.bincount(columns, minlength=TERMS)
             v = np.where(weight > 0, 1 + np.log(np.maximum(weight, 1)), 0) * idf
             vectors[n] = (v / max(np.linalg.norm(v), 1e-12)) @ space
-            rarest.append(set(np.unique(columns).tolist()))
+            rarest.append(np.unique(columns))
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         weighted = (space * idf[:, None]).astype(np.float32)
         # a passage that holds enough of some item has at least so much weight in known words
-        masses = [float(idf[vocabulary(_terms(hasher, t))].mean() * min(PASSAGE // 2, len(w) // 2)) for (_, t), w in zip(items, words, strict=True)]
+        masses = []
+        for (_, t), w in zip(items, words, strict=True):
+            c = vocabulary(_terms(hasher, t))
+            masses.append(float(np.where(c >= 0, idf[c], 0.0).sum() * min(1.0, PASSAGE / (2 * len(w)))))
         least_mass = PARAPHRASE * min(masses, default=0.0)
+
+        def look(text: str, columns: np.ndarray) -> dict[int, float]:
+            """Items found in a text, with the share of each that stands there."""
+            hits: dict[int, float] = {}
+            known = columns >= 0
+            if known.sum() < LEAST_TERMS // 2:
+                return hits
+            mass = np.concatenate([[0.0], np.cumsum(np.where(known, idf[columns], 0.0))])
+            starts = _windows(len(columns))
+            ends = np.minimum(starts + PASSAGE, len(columns))
+            heavy = mass[ends] - mass[starts] >= least_mass
+            if not heavy.any():
+                return hits
+            starts, ends = starts[heavy], ends[heavy]
+            p = np.zeros((len(starts), space.shape[1]), np.float32)
+            for k, (x, y) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+                inside = columns[x:y]
+                p[k] = weighted[inside[inside >= 0]].sum(axis=0)
+            p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
+            close = p @ vectors.T
+            split = None
+            tried: dict[int, int] = {}
+            for s, n in zip(*(x.tolist() for x in np.nonzero(close >= COSINE)), strict=True):
+                at = int(starts[s])
+                if hits.get(n) == 1.0 or tried.get(n, -1) >= at:
+                    continue
+                size = len(words[n])
+                a, b = max(0, at - size), min(len(columns), at + PASSAGE + size)
+                inside = columns[a:b]
+                # the item's terms that stand here bound what a common subsequence can have of them
+                if np.isin(inside[inside >= 0], rarest[n]).sum() < PARAPHRASE * len(rarest[n]) / 2:
+                    continue
+                if split is None:
+                    split = _WORD.findall(text.lower().encode("utf-8", "surrogatepass"))
+                hits[n] = max(hits.get(n, 0.0), verdict(words[n], split[a:b]))
+                tried[n] = at
+            return hits
         for batch in batches:
             found_items, shares = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                columns = vocabulary(_terms(hasher, text))
-                hits: dict[int, float] = {}
-                if (columns >= 0).sum() >= LEAST_WORDS // 2 and len(items):
-                    starts = _windows(len(columns))
-                    ends = np.minimum(starts + PASSAGE, len(columns))
-                    mass = np.concatenate([[0.0], np.cumsum(np.where(columns >= 0, idf[columns], 0.0))])
-                    heavy = mass[ends] - mass[starts] >= least_mass
-                    starts, ends = starts[heavy], ends[heavy]
-                    p = np.zeros((len(starts), space.shape[1]), np.float32)
-                    for k, (x, y) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-                        inside = columns[x:y]
-                        p[k] = weighted[inside[inside >= 0]].sum(axis=0)
-                    p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
-                    split = None
-                    tried: dict[int, int] = {}
-                    close = p @ vectors.T
-                    for s, n in zip(*(x.tolist() for x in np.nonzero(close >= COSINE)), strict=True):
-                        at = int(starts[s])
-                        if n in hits and hits[n] == 1.0 or tried.get(n, -1) >= at:
-                            continue
-                        size = len(words[n])
-                        a, b = max(0, at - size), min(len(columns), at + PASSAGE + size)
-                        inside = columns[a:b]
-                        # an upper bound of the common subsequence spares most of them
-                        if np.isin(inside[inside >= 0], list(rarest[n])).sum() < PARAPHRASE * size:
-                            continue
-                        if split is None:
-                            split = _WORD.findall(text.lower().encode("utf-8", "surrogatepass"))
-                        hits[n] = max(hits.get(n, 0.0), verdict(words[n], split[a:b]))
-                        tried[n] = at
-                good = sorted((items[n][0], share) for n, share in hits.items() if share > 0)
-                found_items.append([i for i, _ in good])
-                shares.append(max((s for _, s in good), default=0.0))
+            for _, texts, all_columns, sizes in _chunks(batch, hasher, vocabulary):
+                ends_ = np.cumsum(sizes)
+                for text, begin, end in zip(texts, (ends_ - sizes).tolist(), ends_.tolist(), strict=True):
+                    hits = look(text, all_columns[begin:end]) if items else {}
+                    good = sorted((items[n][0], share) for n, share in hits.items() if share > 0)
+                    found_items.append([i for i, _ in good])
+                    shares.append(max((s for _, s in good), default=0.0))
             keep = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(found_items, pa.list_(pa.int64())), pa.array(shares, pa.float64())], [*batch.schema.names[:-1], "tf_items", "tf_share"])
 
@@ -246,18 +284,26 @@ def _judging(vocabulary, idf, space, items: list[tuple[int, str]]):
 
 
 def latent_space(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK):
-    """(vocabulary, idf, space): the benchmark's terms, their weights over all passages, and the singular space."""
-    vocabulary = Vocabulary([t for _, t in items])
+    """(vocabulary, idf, space): the benchmark's telling terms, their weights over all passages, the singular space.
+
+    A term in more than ``COMMON`` of all passages tells nothing and is dropped, but for each item's LEAST_TERMS rarest.
+    """
+    vocabulary = Vocabulary.of([t for _, t in items])
     texts = docs.select("text").where("text is not null")
     counted = texts.mapInArrow(_counting(vocabulary), "column int, n long").groupBy("column").agg(F.sum("n").alias("n")).collect()
     frequency = np.zeros(TERMS + 1)
     for r in counted:  # at most TERMS + 1 rows
         frequency[r["column"]] = r["n"]
-    idf = np.log((1 + frequency[TERMS]) / (1 + frequency[:TERMS]))
+    idf = np.maximum(np.log((1 + frequency[TERMS]) / (1 + frequency[:TERMS])), 0.05)
+    hasher = WordHasher(ascii_nonword_separators())
+    telling = frequency[:TERMS] <= COMMON * frequency[TERMS]
+    for _, t in items:
+        own = np.unique(vocabulary(_terms(hasher, t)))
+        telling[own[np.argsort(-idf[own], kind="stable")[:LEAST_TERMS]]] = True
+    vocabulary = Vocabulary(vocabulary.words[telling[vocabulary.columns]])
     rng = np.random.default_rng(5)
     test = rng.normal(size=(TERMS, rank)).astype(np.float32)
-    hasher = WordHasher(ascii_nonword_separators())
-    columns = [vocabulary(_terms(hasher, t)) for _, t in items]
+    columns = [c[c >= 0] for c in (vocabulary(_terms(hasher, t)) for _, t in items)]
     row = np.repeat(np.arange(len(items)), [len(c) for c in columns])
     r, c, v = _weights(row, np.concatenate(columns) if columns else np.zeros(0, np.int64), idf)
     own = np.zeros((len(items), TERMS), np.float32)
@@ -286,7 +332,7 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark_items(benchmark)
     if len(items) > MAX_ITEMS:
         raise ValueError(f"the benchmark has {len(items)} items; call judge for blocks of at most {MAX_ITEMS}")
-    parts = latent_space(docs, items) if items else (Vocabulary([]), np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32))
+    parts = latent_space(docs, items) if items else (Vocabulary.of([]), np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.select("*", F.col("text").alias("tf_text")).mapInArrow(_judging(*parts, items), f"{fields}, tf_items array<long>, tf_share double")
 
