@@ -17,7 +17,7 @@ instead where there is one.
 Cells are aggregated before anything is shuffled, so a source with a third of all rows is one row per task and cell.
 
 Defined cases. Null language or source: a key of its own, ''. Null or empty text: no tokens, never drawn. Null doc_id:
-hashed as ''. Repeated rows: drawn alike. An empty table gives an empty table.
+hashed as ''. Repeated rows: one document, with the tokens of all of them. An empty table gives an empty table.
 """
 
 from __future__ import annotations
