@@ -3,7 +3,7 @@
 Method. Stems (beginnings of words) whose documents are labelled toxic far more often than chance explains form the
 lexicon, with a short list of plain insults. The lexicon is a trie. A word matches a stem exactly at its beginning, or,
 for stems of five letters and more, as a whole within one edit: the Levenshtein automaton of the word is run along the
-trie, and branches it cannot accept are cut. A pigeonhole test on halves of stems spares words that no automaton could accept.
+trie, and branches it cannot accept are cut. A test on words without one letter spares those that no automaton could accept.
 Every hit is then read in its window: quotation marks and words of reporting say it is quoted, words of address say it
 is meant. A logistic model over counts of exact, misspelled, quoted and addressed hits gives the score.
 
@@ -106,46 +106,44 @@ def intersect(trie: Trie, automaton: Levenshtein, least: int) -> int | None:
 
 
 class Matcher:
-    """Words to hits: None, or (stem number, whether it is misspelled). Answers are kept for a bounded number of words."""
+    """Words to hits, (stem number, whether it is misspelled). Words without a hit are kept, a bounded number of them."""
 
     FUZZY = 5
-    KEEP = 400_000
+    KEEP = 500_000
 
     def __init__(self, lexicon: dict[str, float]):
         stems = list(lexicon)
         self.trie = Trie(stems)
         self.strength = list(lexicon.values())
-        self.known: dict[str, tuple[int, bool] | None] = {}
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[tuple[int, int], set[str]] = {}
-        for s in stems:
-            if len(s) >= self.FUZZY:
-                half = len(s) // 2
-                self.heads.setdefault(half, set()).add(s[:half])
-                self.tails.setdefault((half, len(s) - half), set()).add(s[half:])
+        self.clean: set[str] = set()
+        fuzzy = [s for s in stems if len(s) >= self.FUZZY]
+        self.begin = {s[: STEM.start] for s in stems}
+        # one edit leaves the first two letters or the last three alone
+        self.heads, self.tails = {s[:2] for s in fuzzy}, {s[-3:] for s in fuzzy}
+        self.sizes = {len(s) + d for s in fuzzy for d in (-1, 0, 1)}
+        self.shorter = {x for s in fuzzy for x in (s, *(s[:i] + s[i + 1 :] for i in range(len(s))))}
 
     def possible(self, word: str) -> bool:
-        """Whether one half of some stem stands where one edit could leave it."""
-        if len(word) < self.FUZZY - 1:
+        """Whether the word, or it without one letter, is a stem or one without a letter: true of all within one edit."""
+        if len(word) not in self.sizes or not (word[:2] in self.heads or word[-3:] in self.tails):
             return False
-        if any(word[:n] in heads for n, heads in self.heads.items()):
-            return True
-        return any(word[at + d : at + d + n] in tails for (at, n), tails in self.tails.items() for d in (-1, 0, 1))
+        return word in self.shorter or any(word[:i] + word[i + 1 :] in self.shorter for i in range(len(word)))
 
     def __call__(self, word: str) -> tuple[int, bool] | None:
-        try:
-            return self.known[word]
-        except KeyError:
-            pass
-        n = self.trie.beginning(word)
-        hit = None if n is None else (n, False)
-        if hit is None and self.possible(word):
-            n = intersect(self.trie, Levenshtein(word, 1), self.FUZZY)
-            hit = None if n is None else (n, True)
-        if len(self.known) >= self.KEEP:
-            self.known.clear()
-        self.known[word] = hit
-        return hit
+        n = self.trie.beginning(word) if word[: STEM.start] in self.begin else None
+        if n is not None:
+            return n, False
+        n = intersect(self.trie, Levenshtein(word, 1), self.FUZZY) if self.possible(word) else None
+        return None if n is None else (n, True)
+
+    def hits(self, words: set[str]) -> dict[str, tuple[int, bool]]:
+        """The words that hit, of a text's distinct words."""
+        new = words - self.clean
+        found = {w: h for w in new if (h := self(w))}
+        if len(self.clean) >= self.KEEP:
+            self.clean.clear()
+        self.clean.update(new.difference(found))
+        return found
 
 
 FEATURES = 6
@@ -155,7 +153,7 @@ def features(text: str | None, match: Matcher) -> list[float]:
     """exact, misspelled, quoted, addressed (as log counts), the strongest exact stem, misspelled hits by word."""
     low = text.lower() if text else ""
     words = _WORD.findall(low)
-    hits = {w: h for w in set(words) if (h := match(w))}
+    hits = match.hits(set(words))
     if not hits:
         return [0.0] * FEATURES
     exact = fuzzy = quoted = meant = 0
@@ -193,22 +191,23 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = {(toxic, first): Counter() for toxic in (0, 1) for first in (False, True)}
-    for batch in batches:
-        for text, toxic, first in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            found: set[str] = set()
-            for w in set(_WORD.findall((text or "").lower())):
-                found.update(w[:n] for n in STEM if n <= len(w))
-            counts[toxic, first].update(found)
-    keys = list(counts[1, True].keys() | counts[1, False].keys())  # a stem of clean documents alone is never chosen
-    rest = list((counts[0, True].keys() | counts[0, False].keys()) - set(keys))
-    for names in (keys, rest):
+def _stems(candidates: frozenset | None):
+    """Documents of the first part and of all that hold a stem, by label; of ``candidates`` only, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {(toxic, first): Counter() for toxic in (0, 1) for first in (False, True)}
+        for batch in batches:
+            for text, toxic, first in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found = {w[:n] for w in set(_WORD.findall((text or "").lower())) for n in STEM if n <= len(w)}
+                counts[toxic, first].update(found if candidates is None else found & candidates)
+        names = list(set().union(*counts.values()))
         for at in range(0, len(names), 50_000):
             part = names[at : at + 50_000]
             columns = [pa.array([counts[toxic, True][s] + (0 if first else counts[toxic, False][s]) for s in part], pa.int64()) for first in (True, False) for toxic in (1, 0)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *columns], ["stem", "toxic1", "clean1", "toxic", "clean"])
 
+    return run
+
 
 def choose(rows: list[tuple[str, int, float]], limit: int = LEXICON) -> dict[str, float]:
     """Stems and strengths from (stem, toxic documents, ratio), the most telling first; none begins with another."""
@@ -234,8 +233,17 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     rows = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("tf_id")).select("text", "toxic", "first")
     rows = rows.repartition(max(1, min(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     total = rows.groupBy("toxic").agg(F.count("*").alias("n"), F.count(F.when(F.col("first"), 1)).alias("n1")).collect()
-    counts = rows.select("text", "toxic", "first").mapInArrow(_stems, "stem string, toxic1 long, clean1 long, toxic long, clean long")
-    counts = materialise(counts.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("toxic1", "clean1", "toxic", "clean")]).where(F.col("toxic") >= LEAST_DOCUMENTS), "stems")
+    schema = "stem string, toxic1 long, clean1 long, toxic long, clean long"
+
+    def counted(label: int, candidates: frozenset | None) -> DataFrame:
+        found = rows.where(F.col("toxic") == label).select("text", "toxic", "first").mapInArrow(_stems(candidates), schema)
+        return found.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("toxic1", "clean1", "toxic", "clean")])
+
+    # stems of toxic documents first: what clean documents of the sample hold is counted for those alone
+    telling = materialise(counted(1, None).where(F.col("toxic") >= LEAST_DOCUMENTS), "stems")
+    candidates = frozenset(r["stem"] for r in telling.select("stem").collect())
+    counts = telling.union(counted(0, candidates)).groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("toxic1", "clean1", "toxic", "clean")])
+    counts = materialise(counts, "stems")
 
     def lexicon(suffix: str, column: str) -> dict[str, float]:
         n1, n0 = (sum(r[column] for r in total if r["toxic"] == k) for k in (1, 0))
