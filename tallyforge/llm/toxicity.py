@@ -176,14 +176,28 @@ PRIOR = np.array([-4.0, 2.5, 2.5, -1.5, 0.5, 3.5, 0.5])
 FULL_RATIO, PLAIN = 200.0, 0.5
 
 
-def fit(x: np.ndarray, y: np.ndarray, pull: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Logistic regression by Newton's method, drawn to PRIOR."""
+def fit(x: np.ndarray, y: np.ndarray, pull: float = 1.0, steps: int = 60) -> np.ndarray:
+    """Logistic regression drawn to PRIOR, by Newton steps that are halved until the loss falls."""
     a = np.column_stack([np.ones(len(x)), x]) if len(x) else np.zeros((0, FEATURES + 1))
+
+    def loss(w):
+        z = a @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + pull / 2 * ((w - PRIOR) ** 2).sum())
+
     w = PRIOR.copy()
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        gradient = a.T @ (p - y) + pull * (w - PRIOR)
-        w = w - np.linalg.solve((a.T * (p * (1 - p))) @ a + pull * np.eye(len(w)), gradient)
+        step = np.linalg.solve((a.T * (p * (1 - p))) @ a + pull * np.eye(len(w)), a.T @ (p - y) + pull * (w - PRIOR))
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w - size * step
+        before, now = now, loss(w)
+        if before - now < 1e-9:
+            break
     return w
 
 

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from tallyforge.llm import toxicity as tox
 
 
@@ -41,6 +43,18 @@ def test_quotation_is_told_from_abuse():
     assert tox.features("", match) == tox.features(None, match) == tox.features("nothing here", match) == [0.0] * tox.FEATURES
 
 
+def test_fit_does_not_diverge_on_separable_rows():
+    rng = np.random.default_rng(0)
+    y = (rng.random(3500) < 0.1).astype(float)
+    x = np.zeros((3500, tox.FEATURES))
+    x[:, 0] = y * np.log1p(rng.integers(1, 20, 3500))
+    x[:, 1] = (rng.random(3500) < 0.02) * 0.7
+    x[:, 4], x[:, 5] = y, x[:, 1] * rng.random(3500) * 3
+    w = tox.fit(x, y)
+    p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+    assert np.abs(w).max() < 50 and ((p >= 0.3) == (y == 1)).all()
+
+
 def test_held_out_accuracy_and_edge_cases(spark):
     rng = random.Random(2)
     words = ["la", "mer", "vent", "rue", "bleu", "porte", "livre", "jour"]
