@@ -245,10 +245,11 @@ def _judging(vocabulary, idf, space, items: list[tuple[int, str]]):
             if not heavy.any():
                 return hits
             starts, ends = starts[heavy], ends[heavy]
-            p = np.zeros((len(starts), space.shape[1]), np.float32)
-            for k, (x, y) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-                inside = columns[x:y]
-                p[k] = weighted[inside[inside >= 0]].sum(axis=0)
+            # sums over the known words alone, which are few; a passage is the difference of two of them
+            where = np.flatnonzero(known)
+            sums = np.zeros((len(where) + 1, space.shape[1]))
+            np.cumsum(weighted[columns[where]], axis=0, dtype=np.float64, out=sums[1:])
+            p = (sums[np.searchsorted(where, ends)] - sums[np.searchsorted(where, starts)]).astype(np.float32)
             p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
             close = p @ vectors.T
             split = None
