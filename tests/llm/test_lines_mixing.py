@@ -25,6 +25,20 @@ def test_lines_by_hand(spark):
     assert lines.line_report(df.limit(0)).count() == 0
 
 
+def test_only_a_copy_keeps_its_boilerplate(spark):
+    notices = [f"notice {k} that many sites print under every page" for k in range(4)]
+    block = "\n".join(notices)
+    rows = [(i, f"own sentence {i}\n{block}", f"s{i}") for i in range(6)]
+    rows += [(10, f"short\n{block}", "s1"), (11, f"short\n{block}", "s2")]
+    rows += [(20, f"{notices[1]}\n\n {notices[2]}", "s3"), (21, f"{notices[2]}\n{notices[0]}", "s4"), (22, block, "s5"), (None, block, None)]
+    rows += [(30, f"{notices[0]}\n{notices[1]}\n{notices[3]}", "s6"), (40, f"{notices[0]}\nmiddle\n{notices[1]}", "s7")]
+    got = {r.doc_id: r for r in lines.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].tf_text == f"own sentence {i}" and got[i].tf_removed == 4 for i in range(6))
+    assert got[10].tf_text == got[11].tf_text == "short" and got[40].tf_text == "middle"
+    assert all((got[i].tf_text, got[i].tf_removed) == (got[i].text, 0) for i in (20, 22, None))
+    assert (got[21].tf_text, got[21].tf_removed, got[30].tf_text) == ("", 2, "")
+
+
 def test_exact_counts_decide_near_the_threshold(spark):
     rows = [(i, f"line {i % 40}", f"s{i}") for i in range(200)] + [(1000 + i, f"line {i % 39}", f"t{i}") for i in range(39)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
