@@ -1,14 +1,16 @@
-"""Mixing sources to target weights by iterative proportional fitting, in DataFrame functions alone.
+"""Mixing sources to target weights by iterative proportional fitting: rows in DataFrame functions alone, the few cells in numpy.
 
 Method. Tokens are summed into cells of (source, language, topic). Cell weights are raked to the three marginals in
-turn, each step an aggregate over one key and a join back, until ``ROUNDS`` rounds are done. A document's probability
-is its cell's weight over the cell's tokens, scaled to the wanted share of all tokens; what exceeds 1 in full cells is
-spread over the others in a second scaling. A document is drawn where a hash of its id, as a number in [0, 1), lies
+turn, until a round moves less than ``TOLERANCE`` of all weight. A cell weighs at most its tokens over the wanted tokens:
+each step finds the factor of a key's value by which its cells, those that get full at their bound, reach the target. A
+document's probability is its cell's weight over the cell's tokens, scaled to the wanted share of all tokens. A document is drawn where a hash of its id, as a number in [0, 1), lies
 below its probability, so a draw repeats, needs no state and is the same on any cluster. Its weight 1/p makes weighted
 token sums unbiased.
 
 Targets. Marginals follow tokens to the power ``TEMPERATURE`` (1: as found, 0: even), each scaled to one. Other targets
-can be given as tables of (key, share).
+can be given as tables of (key, share). Where a value has fewer tokens than its target wants, all are taken and the other
+values of its key get the rest in proportion. Where targets contradict each other under the bounds, the weights settle
+with the last key met and the others as near as they come: ``reached`` gives target and reached share of every value.
 
 Topic. The tables have no topic, so by default a document belongs to the topic most of its words vote for, a word
 voting by the code of its first character modulo ``TOPICS`` (ties: the smaller topic; no word: topic 0). Pass a column
@@ -22,13 +24,20 @@ hashed as ''. Repeated rows: one document, with the tokens of all of them. An em
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallyforge.llm.common import materialise
 
 TOPICS = 6
+#: Rounds that the SQL of ``oracle`` unrolls; the operator goes on until it has settled.
 ROUNDS = 5
+TOLERANCE = 1e-9
+MOST_ROUNDS = 1000
 TEMPERATURE = 0.5
 SHARE = 0.5
 KEYS = ["source", "lang", "topic"]
@@ -58,27 +67,75 @@ def marginal(cells: DataFrame, key: str, temperature: float) -> DataFrame:
     return raised.join(F.broadcast(whole)).select(key, (F.col("a") / F.col("z")).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (keys, tokens) with w, weights that sum to one and have the targets as marginals."""
-    for key, target in targets.items():
-        cells = cells.join(target.select(key, F.col("share").alias(f"to_{key}")), key)
-    now = materialise(cells.withColumn("w", F.col("tokens").cast("double")), "cells")
+def factor(lat: np.ndarray, cap: np.ndarray, to: float) -> float:
+    """The f with sum(minimum(cap, f * lat)) = to; where all caps are less, the one that fills all."""
+    order = np.argsort(cap / lat, kind="stable")
+    ratio, cap, lat = (cap / lat)[order], cap[order], lat[order]
+    before = np.concatenate([[0.0], np.cumsum(cap)[:-1]])
+    f = (to - before) / np.cumsum(lat[::-1])[::-1]  # if the cells before this one are full and no others
+    fits = f <= ratio
+    return float(f[fits].max() if fits.any() else ratio[-1])
+
+
+def settle(start: np.ndarray, cap: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], rounds: int) -> np.ndarray:
+    """Weights near ``start``, none above ``cap``; ``groups``: for each key the value of each cell, the share of each value."""
+    at = [[np.flatnonzero(codes == v) for v in range(len(share))] for codes, share in groups]
+    wanted = []
+    for (_, share), cells in zip(groups, at, strict=True):
+        held = np.array([cap[i].sum() for i in cells])
+        wanted.append(np.minimum(held, share * factor(share, held, 1.0)) if np.isfinite(held).all() else share)
+    lat, was, moved = start.copy(), np.zeros(len(start)), 0.0
     for _ in range(rounds):
-        for key in targets:
-            sums = now.groupBy(key).agg(F.sum("w").alias("z"))
-            # each step reads the cells twice, so a chain of steps would double its plan every time: a small table cuts it
-            now = materialise(now.join(sums, key).withColumn("w", F.col("w") * F.col(f"to_{key}") / F.col("z")).drop("z"), "cells")
-    return now.select(*targets, "tokens", "w")
+        for to, cells in zip(wanted, at, strict=True):
+            for v, i in enumerate(cells):
+                lat[i] *= factor(lat[i], cap[i], to[v])
+        w = np.minimum(lat, cap)
+        moved = np.abs(w - was).sum()
+        if moved <= TOLERANCE:
+            return w
+        was = w
+    warnings.warn(f"mixing: the last of {rounds} rounds still moved {moved:.2g} of the weight", stacklevel=2)
+    return was
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MOST_ROUNDS, share: float | None = None) -> DataFrame:
+    """``cells`` (keys, tokens) with w, weights that sum to one and have the targets as marginals.
+
+    With ``share``, the part of all tokens that is wanted, no cell weighs more than its tokens over the wanted ones.
+    The driver settles the weights: it gathers one row per cell, as many as there are keys, whatever the rows.
+    """
+    shares = {k: {r[0]: float(r[1]) for r in t.select(k, "share").collect() if r[1] > 0} for k, t in targets.items()}
+    found = [r for r in cells.select(*targets, "tokens").collect() if all(r[k] in shares[k] for k in targets)]
+    found.sort(key=lambda r: tuple(r[k] for k in targets))
+    w = np.zeros(0)
+    if found:
+        tokens = np.array([r["tokens"] for r in found], float)
+        cap = tokens / (tokens.sum() * share) if share else np.full(len(tokens), np.inf)
+        groups = []
+        for k in targets:
+            values = sorted({r[k] for r in found})
+            code = {v: i for i, v in enumerate(values)}
+            groups.append((np.array([code[r[k]] for r in found]), np.array([shares[k][v] for v in values])))
+        w = settle(tokens / tokens.sum(), cap, groups, rounds)
+    schema = StructType([*[cells.schema[k] for k in targets], cells.schema["tokens"], StructField("w", DoubleType())])
+    return cells.sparkSession.createDataFrame([(*[r[k] for k in targets], r["tokens"], float(x)) for r, x in zip(found, w, strict=True)], schema)
 
 
 def probabilities(cells: DataFrame, share: float) -> DataFrame:
-    """``cells`` with p, the probability of each of their documents."""
-    total = cells.agg((F.sum("tokens") * share).alias("want"), F.sum("w").alias("all"))
-    raw = cells.join(F.broadcast(total)).withColumn("r", F.col("w") / F.col("all") * F.col("want") / F.col("tokens"))
-    full = raw.agg(F.sum(F.when(F.col("r") >= 1, F.col("tokens")).otherwise(0)).alias("filled"), F.sum(F.when(F.col("r") < 1, F.col("r") * F.col("tokens")).otherwise(0.0)).alias("rest"))
-    scale = F.when(F.col("rest") > 0, (F.col("want") - F.col("filled")) / F.col("rest")).otherwise(1.0)
-    p = F.when(F.col("r") >= 1, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("r") * scale)))
-    return raw.join(F.broadcast(full)).select(*KEYS, p.alias("p"))
+    """``cells`` with p, the probability of each of their documents, from weights bounded for this ``share``."""
+    total = cells.agg((F.sum("tokens") * share).alias("want"))
+    return cells.join(F.broadcast(total)).select(*KEYS, "tokens", F.least(F.lit(1.0), F.col("w") * F.col("want") / F.col("tokens")).alias("p"))
+
+
+def reached(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """(key, value, target, reached) of ``cells`` with p: shares of the tokens that are drawn, as expected."""
+    out = None
+    whole = cells.agg(F.sum(F.col("tokens") * F.col("p")).alias("z"))
+    for key, target in targets.items():
+        sums = cells.groupBy(key).agg(F.sum(F.col("tokens") * F.col("p")).alias("n")).join(F.broadcast(whole))
+        one = target.join(sums, key).select(F.lit(key).alias("key"), F.col(key).cast("string").alias("value"), F.col("share").alias("target"), (F.col("n") / F.col("z")).alias("reached"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 def draw(doc_id: Column) -> Column:
@@ -86,12 +143,12 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix(docs: DataFrame, topic: Column | None = None, share: float = SHARE, temperature: float = TEMPERATURE, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def mix(docs: DataFrame, topic: Column | None = None, share: float = SHARE, temperature: float = TEMPERATURE, targets: dict[str, DataFrame] | None = None, rounds: int = MOST_ROUNDS) -> DataFrame:
     """(doc_id, th, source, lang, topic, tokens, p) of the documents that are drawn."""
     counted = materialise(with_tokens(docs, topic), "tokens")
     cells = materialise(counted.where("tokens > 0").groupBy(*KEYS).agg(F.sum("tokens").alias("tokens")), "cells")
     wanted = targets or {k: marginal(cells, k, temperature) for k in KEYS}
-    p = materialise(probabilities(rake(cells, wanted, rounds), share), "p")
+    p = materialise(probabilities(rake(cells, wanted, rounds, share), share).select(*KEYS, "p"), "p")
     return counted.where("tokens > 0").join(p, KEYS).where(draw(F.col("doc_id")) < F.col("p"))
 
 
