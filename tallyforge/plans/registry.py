@@ -616,8 +616,8 @@ def _(spark, d):
 
 @query("private_ipv6", "SELECT doc_id::VARCHAR AS name, 'fd00:1::' || doc_id::VARCHAR AS address FROM documents WHERE doc_id % 10 = 0")
 def _(spark, d):
-    docs = fx.read(spark, d, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("name"), F.concat(F.lit("at FD00:1::"), F.col("doc_id").cast("string"), F.lit(" and 2001:db8::1")).alias("text"))
-    return scan.private_ipv6(docs)
+    extra = spark.createDataFrame([("extra", "at FD00:1::7 and 2001:db8::1 or fe80::1, fc12::a")], "name string, text string")
+    return scan.private_ipv6(_payloads(spark, d).unionByName(extra))
 
 
 @query("term_search", f"WITH {PAYLOADS} SELECT name, term FROM pl, (SELECT unnest(['license', 'Copyright', 'ing the']) AS term) t WHERE contains(lower(text), lower(term))")
