@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session has no such setting (a local test) is a folder of this machine used.
+    A local session without that setting (a test) gets a folder of this machine; a cluster without it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -38,9 +40,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_key(doc_id, text):
-    """A key for rows whose doc_id may be null or repeated: equal rows share it and are treated alike."""
-    return F.struct(doc_id.alias("d"), F.xxhash64(text).alias("h"))
+def boxed(rows: DataFrame, *named: str) -> DataFrame:
+    """``rows`` with all columns but ``named`` renamed by place, so that no name of theirs can clash with one in use."""
+    return rows.toDF(*[c if c in named else f"tf_c{i}" for i, c in enumerate(rows.columns)])
+
+
+def unboxed(result: DataFrame, rows: DataFrame, *more: str) -> DataFrame:
+    """The first columns of ``result`` under the names of ``rows`` again, then ``more``, which follow them."""
+    return result.toDF(*rows.columns, *more)
 
 
 # ---------------------------------------------------------------------------------------------------------------------
@@ -131,3 +138,59 @@ def grouped(columns: int, solve):
             yield from solve(pa.Table.from_batches(held))
 
     return run
+
+
+def word_chunks(column: pa.Array, hasher: WordHasher, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, hashes of the lower-cased words of some rows one after the other, words of each row), by bounded bytes.
+
+    A text is never cut: one longer than the bound is a chunk of its own. ``hasher`` must take a newline as a separator.
+    """
+    at = 0
+    while at < len(column):
+        parts, size, first = [], 0, at
+        while at < len(column) and (not parts or size < most):
+            parts.append((column[at].as_py() or "").lower().encode("utf-8", "surrogatepass"))
+            size += len(parts[-1])
+            at += 1
+        starts, _, h = hasher.words(b"\n".join(parts))
+        edges = np.cumsum([0, *[len(x) + 1 for x in parts]])
+        yield first, h, np.diff(np.searchsorted(starts, edges))
+
+
+class Lookup:
+    """Places of 64-bit hashes in an array of distinct ones, -1 for others, by two small direct tables and then a search."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.bits = int(min(22, max(8, np.ceil(np.log2(4 * len(hashes) + 1)))))
+        self.tables, rest = [], np.arange(len(hashes))
+        for shift in (64 - self.bits, 8):  # what the first table has no room for goes to the second, then to a search
+            table = np.full(1 << self.bits, -1, np.int32)
+            slot = self._slot(hashes[rest], shift)
+            table[slot] = rest
+            self.tables.append((shift, table))
+            rest = rest[table[slot] != rest]
+        self.rest = rest[np.argsort(hashes[rest])]
+
+    def __reduce__(self):
+        return Lookup, (self.hashes,)
+
+    def _slot(self, h: np.ndarray, shift: int) -> np.ndarray:
+        return (h >> np.uint64(shift)).astype(np.int64) & ((1 << self.bits) - 1)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int64)
+        if not len(self.hashes) or not len(h):
+            return out
+        todo = np.arange(len(h))
+        for shift, table in self.tables:
+            at = table[self._slot(h[todo], shift)]
+            good = (at >= 0) & (self.hashes[at] == h[todo])
+            out[todo[good]] = at[good]
+            todo = todo[~good]
+        if len(self.rest) and len(todo):
+            known = self.hashes[self.rest]
+            at = np.minimum(np.searchsorted(known, h[todo]), len(known) - 1)
+            good = known[at] == h[todo]
+            out[todo[good]] = self.rest[at[good]]
+        return out

@@ -8,21 +8,35 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import materialise
 
 
+#: A vertex's edges are dealt to so many tasks.
+SALTS = 8
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` joined with ``least`` (u, m) on u, a vertex with very many edges in ``SALTS`` parts."""
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v", F.lit(23)), F.lit(SALTS)).cast("int"))
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, ["u", "salt"])
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step. A vertex's least neighbour comes from an aggregate, so a vertex with very many neighbours is no list."""
     if large:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = _with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        out = _with_least(down, least).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, label) for each node of ``edges`` (u, v: long); the label is the smallest node it is joined with."""
+    """(node, label) for each node of ``edges`` (u, v: long); the label is the smallest node it is joined with.
+
+    The number of rounds grows with the logarithm of the nodes; ``rounds`` without rest is an error, never a wrong class.
+    """
     now = materialise(edges.select("u", "v").where("u <> v").distinct(), "edges")
     mark = None
     for _ in range(rounds):
@@ -31,6 +45,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if (seen["n"], seen["s"]) == mark:
             break
         mark = (seen["n"], seen["s"])
+    else:
+        raise RuntimeError(f"components: not settled after {rounds} rounds")
     stars = now.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("label"))
     return stars.groupBy("node").agg(F.min("label").alias("label")).union(stars.select(F.col("label").alias("node"), "label").distinct())
 

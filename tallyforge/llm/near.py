@@ -15,7 +15,8 @@ level except with probability below 1e-5; pairs above it are safer still.
 
 Defined cases. Null and empty texts: a class of their own each, no links. Texts under five words: joined to equal word
 sequences only. Null doc_id: takes part; a class's id is its smallest non-null doc_id (null if it has none). Repeated
-rows: same class. An empty table gives an empty table. Other columns are ignored by the report and kept by ``deduplicate``.
+rows: same class. Very long texts: their whole set takes part. An empty table gives an empty table. Other columns,
+whatever their names, are ignored by the report and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import WordHasher, ascii_nonword_separators, grouped, materialise
+from tallyforge.llm.common import WordHasher, ascii_nonword_separators, boxed, grouped, materialise, unboxed
 from tallyforge.llm.graph import blocked, components
 
 WORDS = 5
@@ -209,7 +210,7 @@ def _verify(similarity: float):
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """One row per row of ``docs``: doc_id, row (hash of its text), class_id, n_copies and n_links.
+    """One row per row of ``docs``: doc_id, row (hash of id and text), label of its class, class_id, n_copies and n_links.
 
     n_copies counts the documents with this word sequence, itself included; n_links the different word sequences whose
     n-gram sets are at least ``similarity`` alike.
@@ -238,18 +239,18 @@ def near_classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     joined = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     labelled = nodes.select("node", "least", "copies").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")).join(links, "node", "left")
     ids = labelled.groupBy("label").agg(F.min("least").alias("class_id"))
-    info = labelled.join(ids, "label").select("node", "class_id", F.col("copies").alias("n_copies"), F.coalesce("links", F.lit(0)).alias("n_links"))
-    return sketches.select("doc", "row", "node").join(info, "node").select(F.col("doc").alias("doc_id"), "row", "class_id", "n_copies", "n_links")
+    info = labelled.join(ids, "label").select("node", "label", "class_id", F.col("copies").alias("n_copies"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    return sketches.select("doc", "row", "node").join(info, "node").select(F.col("doc").alias("doc_id"), "row", "label", "class_id", "n_copies", "n_links")
 
 
 def near_report(docs: DataFrame) -> DataFrame:
-    return near_classes(docs).drop("row")
+    return near_classes(docs).drop("row", "label")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one with its smallest doc_id, once."""
-    kept = near_classes(docs).where("doc_id <=> class_id").groupBy("row").agg(F.max("class_id").alias("tf_class")).select(F.col("row").alias("tf_row"), "tf_class")
-    columns = docs.columns
-    joined = docs.withColumn("tf_row", F.xxhash64("doc_id", "text")).join(kept, "tf_row", "left_semi")
-    once = joined.withColumn("tf_n", F.row_number().over(Window.partitionBy("tf_row").orderBy(F.lit(1)))).where("tf_n = 1")
-    return once.select(*columns)
+    """The rows of ``docs`` that stay, one of each class: that with the smallest doc_id (null last), equal rows once."""
+    rows = boxed(docs, "doc_id", "text")
+    first = near_classes(rows).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    marked = rows.withColumn("tf_row", F.xxhash64("doc_id", "text"))
+    kept = marked.join(first.select(F.col("first.row").alias("tf_row")), "tf_row", "left_semi").dropDuplicates(["tf_row"])
+    return unboxed(kept.drop("tf_row"), docs)
