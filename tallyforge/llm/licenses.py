@@ -1,16 +1,19 @@
 """License scan: ordered signature rules over normalised words, in DataFrame functions alone.
 
 Method. Each rule is a regular expression over the words of a text (lower-cased, one space between words), with a
-label, a priority and a keyword that every match contains. A text is first gated by a handful of substrings; a gated
-text is normalised once and meets only the rules whose keyword it holds. Matches become intervals. A span falls where
-a span of higher priority overlaps it, or one of its own priority contains it; what is left gives the labels. Rules
-marked base are exact phrases that nothing suppresses.
+label, a priority and a keyword that every match contains. Every rule also belongs to a class of rules with one trigger
+(``TRIGGERS``): words that every match of the class holds. A text that holds a plain piece of no trigger is let go; any
+other is normalised once, its classes are found, and it meets only the rules of those classes whose keyword it holds.
+Neither step can lose a match: triggers and keywords are parts of the patterns themselves, and a test draws matches of
+every rule to see that they pass. Matches become intervals. A span falls where a span of higher priority overlaps it, or
+one of its own priority contains it; what is left gives the labels. Rules marked base are exact phrases that nothing
+suppresses.
 
 Everything happens inside one row: no shuffle, no join, no Python. A hot source or a copied document costs no more
 than its own rows.
 
-Defined cases. Null and empty texts have no word and no label; score 0. Equal rows give equal rows. An empty table
-gives an empty table. Other columns of the input are ignored, whatever their names.
+Defined cases. Null and empty texts have no word and no label; score 0. Equal rows give equal rows. Very long texts are
+scanned whole, in one row. An empty table gives an empty table. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -120,6 +123,51 @@ FAMILIES = [
 #: Creative Commons terms; labels, patterns and addresses follow from them by rule.
 CC_TERMS = [("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nc", "attribution non ?commercial"), ("by-nd", "attribution no ?deriv(?:ative)?s?"), ("by-nc-sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "attribution non ?commercial no ?deriv(?:ative)?s?")]
 
+#: Sentences of the licences themselves: (label, pattern over normalised words). Fixed values, from the public texts.
+BODIES = [
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files(?: the software)? to deal in the software without restriction"),
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsl-1", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("isc", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", r"neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-2", r"you may not use this file except in compliance with the licen[cs]e"),
+    ("gpl", r"is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
+    ("gpl-2", r"is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e(?: [^ ]+){0,8} version 2(?: of the licen[cs]e)?(?: or(?: at your option)? any later version)?"),
+    ("gpl-3", r"is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e(?: [^ ]+){0,8} version 3(?: of the licen[cs]e)?(?: or(?: at your option)? any later version)?"),
+    ("lgpl", r"is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e"),
+    ("agpl", r"is free software you can redistribute it and or modify it under the terms of the gnu affero general public licen[cs]e"),
+    ("gpl", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public licen[cs]e for more details"),
+    ("gfdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e"),
+    ("mpl-2", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    ("zlib", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("cc0", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    ("python-2", r"psf hereby grants licensee a nonexclusive royalty free world wide licen[cs]e"),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+]
+
+#: A class of rules has a trigger: pieces of which one stands in every text that holds a match, as it is written there,
+#: and a pattern over the normalised words, part of every match.
+VERBS = r"licen[cs]ed|released|distributed|available|provided|published|covered|shared|offered"
+TRIGGERS = {
+    "licence": (["licen"], r"licen[cs]e"),
+    "apache": (["apache"], r"apache"),
+    "spdx": (["spdx"], r"spdx licen"),
+    "grant": (["under", "according"], rf"(?:{VERBS}) (?:only )?(?:under|according to) "),
+    "address": (["org", "net"], r" (?:org|net) "),
+    "cc by": (["cc"], r"cc by"),
+    "creative": (["creative"], r"creative commons"),
+    "cc0": (["cc0"], r"cc0"),
+    "domain": (["domain"], r"the public domain"),
+    "body": (["permission", "redistribution", "endorse", "advertising", "compliance", "free", "warranty", "licen", "domain"], r"permission is |permission to |permission notice|redistribution|endorse or promote|advertising materials|in compliance with|is free |implied warranty|source code form|dedicated the work|made available|hereby grants"),
+}
+
 GRANT = r"(?:licen[cs]ed|released|distributed|available|provided|published|covered|shared|offered|made available) (?:only )?(?:under|according to) (?:the )?(?:terms of (?:the )?)?"
 TAIL = r"(?: licen[cs]e)?"
 
@@ -127,47 +175,54 @@ TAIL = r"(?: licen[cs]e)?"
 def literal(pattern: str) -> str:
     """The longest piece that every match of the pattern holds as it stands."""
     flat = pattern
-    while (less := re.sub(r"\([^()]*\)[?*]?", "|", flat)) != flat:
+    while (less := re.sub(r"\([^()]*\)(?:[?*]|\{[^}]*\})?", "|", flat)) != flat:
         flat = less
-    return max(re.sub(r"\[[^\]]*\]|\\.|.\?", "|", flat).split("|"), key=len).strip()
+    return max(re.sub(r"(?:\[[^\]]*\]|\\.|.)[?*+]|\[[^\]]*\]|\\.", "|", flat).split("|"), key=len).strip()
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, keyword, pattern, priority, confidence), in order; the first of equal spans wins."""
-    out = [(label, phrase, phrase, 5, 1.0) for label, phrase in BASE]
+    return [r[:5] for r in classed_rules()]
+
+
+def classed_rules() -> list[tuple[str, str, str, int, float, str]]:
+    """The rules, each with its class of ``TRIGGERS``."""
+    out = [(label, phrase, phrase, 5, 1.0, "cc by" if phrase.startswith("cc") else "licence") for label, phrase in BASE]
     for label, name, spdx, address in FAMILIES:
         key = literal(name)
         if spdx:
-            out.append((label, "spdx license identifier " + literal(spdx), rf"spdx license identifier {spdx}", 4, 1.0))
-        out.append((label, key, rf"{GRANT}{name}{TAIL}", 3, 0.95))
-        out.append((label, key, name if "licen" in name else rf"{name} licen[cs]e", 2, 0.7))
+            out.append((label, "spdx license identifier " + literal(spdx), rf"spdx license identifier {spdx}", 4, 1.0, "spdx"))
+        out.append((label, key, rf"{GRANT}{name}{TAIL}", 3, 0.95, "grant"))
+        out.append((label, key, name if "licen" in name else rf"{name} licen[cs]e", 2, 0.7, "apache" if label.startswith("apache") else "licence"))
         if address:
-            out.append((label, literal(address), rf"(?:https? )?(?:www )?{address}", 2, 0.9))
+            out.append((label, literal(address), rf"(?:https? )?(?:www )?{address}", 2, 0.9, "address"))
     for terms, name in CC_TERMS:
         words = terms.replace("-", " ")
         label = f"cc-{terms}"
-        out.append((label, f"spdx license identifier cc {words}", rf"spdx license identifier cc {words} \d 0", 4, 1.0))
-        out.append((label, f"cc {words}", rf"(?:{GRANT})?(?:creative commons )?cc {words}(?: (?:[1-4] 0|licen[cs]e))*", 3, 0.95))
-        out.append((label, "creative commons attribution", rf"(?:{GRANT})?creative commons {name}(?: (?:[1-4] 0|international|licen[cs]e))*", 3, 0.95))
-        out.append((label, f"creativecommons org licenses {words}", rf"(?:https? )?creativecommons org licenses {words}(?: [1-4] 0)?", 3, 0.95))
-    return out + [
-        ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", 3, 0.9),
-        ("cc", "creative commons", r"creative commons(?: licen[cs]e)?", 1, 0.5),
-        ("public-domain", "the public domain", r"(?:dedicated to|released into|placed in|in) the public domain", 2, 0.8),
-        ("proprietary", "without", r"(?:may not be|not) (?:copied|used|reproduced|redistributed) without (?:a |prior )?(?:written )?licen[cs]e", 2, 0.6),
-        ("license-notice", "licen", r"(?:see|refer to) (?:the )?licen[cs]e(?: file)?", 1, 0.3),
-        ("license-notice", "licen", rf"{GRANT}(?:the |a )?[^ ]+ licen[cs]e", 1, 0.4),
+        out.append((label, f"spdx license identifier cc {words}", rf"spdx license identifier cc {words} \d 0", 4, 1.0, "spdx"))
+        out.append((label, f"cc {words}", rf"(?:{GRANT})?(?:creative commons )?cc {words}(?: (?:[1-4] 0|licen[cs]e))*", 3, 0.95, "cc by"))
+        out.append((label, "creative commons attribution", rf"(?:{GRANT})?creative commons {name}(?: (?:[1-4] 0|international|licen[cs]e))*", 3, 0.95, "creative"))
+        out.append((label, f"creativecommons org licenses {words}", rf"(?:https? )?creativecommons org licenses {words}(?: [1-4] 0)?", 3, 0.95, "address"))
+    out += [
+        ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", 3, 0.9, "cc0"),
+        ("cc", "creative commons", r"creative commons(?: licen[cs]e)?", 1, 0.5, "creative"),
+        ("public-domain", "the public domain", r"(?:dedicated to|released into|placed in|in) the public domain", 2, 0.8, "domain"),
+        ("proprietary", "without", r"(?:may not be|not) (?:copied|used|reproduced|redistributed) without (?:a |prior )?(?:written )?licen[cs]e", 2, 0.6, "licence"),
+        ("license-notice", "licen", r"(?:see|refer to) (?:the )?licen[cs]e(?: file)?", 1, 0.3, "licence"),
+        ("license-notice", "licen", rf"{GRANT}(?:the |a )?[^ ]+ licen[cs]e", 1, 0.4, "grant"),
     ]
+    return out + [(label, literal(body), body, 4, 0.98, "body") for label, body in BODIES]
 
 
 def gated(text: Column) -> Column:
-    """Whether some rule can match at all, by plain substrings; may say yes too often, never no."""
+    """Whether the text holds a piece of some trigger, and so may hold a match; a text that does not has none."""
+    low = F.lower(text)
+    return _let(low, lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in dict.fromkeys(w for pieces, _ in TRIGGERS.values() for w in pieces)]))
 
-    def holds(low):
-        has = lambda word: F.contains(low, F.lit(word))
-        return has("licen") | has("spdx") | has("cc0") | has("creative") | (has("public") & has("domain")) | (has("cc") & low.rlike(f"cc{SEPARATORS}by")) | has("opensource") | has("org")
 
-    return _let(F.lower(text), holds)
+def classes(norm: Column) -> Column:
+    """The classes of rules, as an array of names, whose trigger stands in the normalised text."""
+    return F.filter(F.array(*[F.when(norm.rlike(pattern), F.lit(name)) for name, (_, pattern) in TRIGGERS.items()]), lambda c: c.isNotNull())
 
 
 def word_count(text: Column) -> Column:
@@ -257,13 +312,13 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     A detection has first_word and end_word (from 0, end exclusive), label, priority (5: base) and confidence.
     """
-    table = F.array(*[F.struct(F.lit(k).alias("n"), F.lit(a).alias("label"), F.lit(w).alias("keyword"), F.lit(p).alias("pattern"), F.lit(q).alias("priority"), F.lit(c).alias("confidence")) for k, (a, w, p, q, c) in enumerate(rules())])
+    table = F.array(*[F.struct(F.lit(k).alias("n"), F.lit(a).alias("label"), F.lit(w).alias("keyword"), F.lit(p).alias("pattern"), F.lit(q).alias("priority"), F.lit(c).alias("confidence"), F.lit(t).alias("trigger")) for k, (a, w, p, q, c, t) in enumerate(classed_rules())])
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def detect(norm):
-        held = F.filter(table, lambda r: F.contains(norm, r["keyword"]))
+        open_ = _let(classes(norm), lambda c: F.filter(table, lambda r: F.array_contains(c, r["trigger"]) & F.contains(norm, r["keyword"])))
         return F.transform(
-            _suppressed(F.flatten(F.transform(held, lambda r: _spans(norm, r)))),
+            _suppressed(F.flatten(F.transform(open_, lambda r: _spans(norm, r)))),
             lambda s: F.struct(_word_at(norm, s["b"]).alias("first_word"), _word_at(norm, s["e"] + 1).alias("end_word"), s["label"].alias("label"), s["p"].alias("priority"), s["confidence"].alias("confidence")),
         )
 

@@ -1,5 +1,7 @@
 import random
 import re
+from re import _constants as sre
+from re import _parser
 
 from tallyforge.llm import licenses
 
@@ -52,3 +54,54 @@ def test_rules_hold_their_keywords():
     assert 250 <= len(licenses.rules()) < 1000
     for label, phrase in licenses.BASE:
         assert any(r[:3] == (label, phrase, phrase) for r in licenses.rules())
+
+
+def drawn(tree, rng):
+    """A random match of a parsed pattern, with few repeats."""
+    out = ""
+    for op, arg in tree:
+        if op is sre.LITERAL:
+            out += chr(arg)
+        elif op is sre.BRANCH:
+            out += drawn(rng.choice(arg[1]), rng)
+        elif op is sre.SUBPATTERN:
+            out += drawn(arg[3], rng)
+        elif op is sre.MAX_REPEAT:
+            out += "".join(drawn(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+        elif op is sre.IN:
+            kinds = [chr(v) if o is sre.LITERAL else chr(v[0]) if o is sre.RANGE else "7" if o is sre.CATEGORY else "x" for o, v in arg]
+            out += "x" if arg[0][0] is sre.NEGATE else rng.choice(kinds)
+        elif op is sre.NOT_LITERAL:
+            out += "x"
+        else:
+            raise AssertionError(op)
+    return out
+
+
+def test_every_rule_passes_its_gate(spark):
+    rng = random.Random(8)
+    rows = []
+    for label, keyword, pattern, _, _, trigger in licenses.classed_rules():
+        for _ in range(4):
+            text = drawn(_parser.parse(pattern), rng)
+            assert re.fullmatch(pattern, text) and keyword in text and re.search(licenses.TRIGGERS[trigger][1], f" {text} "), (pattern, text)
+            assert any(w in text for w in licenses.TRIGGERS[trigger][0]), (pattern, text)
+            rows.append((len(rows), f"Before; {text.upper() if rng.random() < 0.5 else text}. After"))
+    got = [tuple(r) for r in licenses.license_report(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    for g, (i, t) in zip(got, rows, strict=True):
+        assert g == brute(i, t) and g[6], t
+
+
+def test_texts_without_the_word_license(spark):
+    texts = {"Distributed under the GNU GPL v3.": "gpl-3", "Released under MIT.": "mit", "available under the terms of the Apache 2.0": "apache-2", "Licensed under the Do What The F... You Want To Public License": "wtfpl",
+             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction": "mit",
+             "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd", "it is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License": "gpl"}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.license_report(df).collect():
+        assert list(texts.values())[r.doc_id] in r.labels.split(","), r
+
+
+def test_very_long_text(spark):
+    text = "word " * 30_000 + "under the MIT license " + "word " * 30_000
+    r = licenses.license_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, r.base_labels) == (60_004, 1, 30_000, "mit")
