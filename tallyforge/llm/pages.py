@@ -10,8 +10,9 @@ inside a block made one space, blocks in page order, one line each.
 Rows are independent: no shuffle. Nothing is cut or capped.
 
 Defined cases. Null and empty html, and pages without content: empty text. Pages cut off in the middle: what is there;
-an unfinished tag at the end is dropped. Null ids and urls pass through. Repeated rows: alike. An empty table gives an
-empty table. Other columns are ignored.
+an unfinished tag at the end is dropped. A script or style without an end tag runs to the end of the page, as in a
+browser; of every other element without an end tag the tag alone is dropped, never what follows it. Null ids and urls pass
+through. Repeated rows: alike. Very long pages are parsed whole. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,11 @@ MARGIN = 1.0
 #: Elements by role in parsing.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source svg path".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg select option math object xmp noembed noframes head".split())
+#: Elements that are left out with all that they hold; of these, the ones whose text goes on to the end of the page if
+#: they are not closed; tags that are nothing by themselves (their end tags may be left out).
+RAW = set("script style textarea title noscript template iframe svg select datalist math object xmp noembed noframes".split())
+CODE = {"script", "style"}
+FRAME = {"html", "head", "body"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: A start tag of these ends an open paragraph.
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -45,6 +50,7 @@ GOOD = "article content main post body entry story text page hentry blog prose".
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_END = {t: re.compile(rf"</{t}(?:\s[^>]*)?>", re.I) for t in RAW}
 _WORDS = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?]")
 
@@ -75,7 +81,8 @@ def _attributes(source: str) -> tuple[frozenset, bool]:
 def parse(source: str) -> Node:
     """The tree of block nodes; runs of text are leaves '#run'."""
     root = Node("#root", None)
-    here, run, linked, links, at, skip = root, [], 0, 0, 0, None
+    here, run, linked, links, at = root, [], 0, 0, 0
+    open_ended: set[str] = set()
 
     def flush():
         nonlocal run, linked
@@ -88,7 +95,7 @@ def parse(source: str) -> Node:
     for m in _TOKEN.finditer(source):
         if m.start() < at:
             continue
-        if m.start() > at and not skip:
+        if m.start() > at:
             piece = source[at : m.start()]
             run.append(piece)
             linked += len(piece) if links else 0
@@ -101,8 +108,20 @@ def parse(source: str) -> Node:
         if tag in RAW and not end:
             if m[3].rstrip().endswith("/"):
                 continue
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = stop.end() if stop else len(source)
+            stop = None if tag in open_ended else _END[tag].search(source, at)
+            if stop:
+                at = stop.end()
+            elif tag in CODE:
+                at = len(source)
+            else:
+                open_ended.add(tag)
+            continue
+        if tag == "option" and not end:  # outside a list of choices; its end tag may be left out
+            following = source.find("<", at)
+            at = following if following >= 0 else len(source)
+            continue
+        if tag in RAW or tag in FRAME or tag == "option":
+            flush()
             continue
         if tag in INLINE:
             if tag == "br":
@@ -134,12 +153,10 @@ def parse(source: str) -> Node:
                     if x.tag == "p":
                         break
                 x = x.parent
-        if tag in ("html", "body"):
-            continue
         tokens, hidden = _attributes(m[3]) if m[3].strip() else (frozenset(), False)
         here = Node(tag, here, tokens, hidden)
     else:
-        if at < len(source) and not skip:
+        if at < len(source):
             run.append(source[at:])
     flush()
     return root

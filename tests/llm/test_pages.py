@@ -42,3 +42,42 @@ def test_table(spark):
     assert [tuple(r) for r in got][0] == (1, "u", "", 0)
     assert got[1].n_chars == len(got[1].text)
     assert pages.main_texts(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_elements_without_end_tags():
+    boosted = pages.model()
+    para = "<p>This is a paragraph of the article, and it is long enough to be kept.</p>"
+    text = "This is a paragraph of the article, and it is long enough to be kept."
+    for before in ("<head><title>T</title><body>", "<head><title>T</title>", "<noscript>", "<body><svg>", "<head><meta charset=utf-8><template>", "<body><object data=x>"):
+        assert pages.texts([f"<!DOCTYPE html><html>{before}<article>{para}{para}</article>"], boosted)[0] == f"{text}\n{text}", before
+    closed = "<noscript>none of this</noscript><select><option>one<option>two</select>"
+    assert pages.texts([f"<html><head></head><body><article>{para}{closed}{para}</article>"], boosted)[0] == f"{text}\n{text}"
+    assert pages.texts([f"<article>{para}<script>var x = 1;"], boosted)[0] == text
+    assert pages.texts([f"<article>{para}<datalist><option value=1>one</option><option>two {para}</article>"], boosted)[0] == f"{text}\n{text}"
+
+
+def test_decoding_against_all_labellings():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        n = int(rng.integers(1, 10))
+        parents = [-1, *[int(rng.integers(0, k)) for k in range(1, n)]]
+        odds = rng.normal(-pages.MARGIN, 2, n)
+        worth = odds + pages.MARGIN
+        best = max(
+            (sum(worth[k] for k in range(1, n) if kept[k - 1]) for kept in itertools.product([False, True], repeat=n - 1) if all(parents[k] == 0 or kept[parents[k] - 1] for k in range(1, n) if kept[k - 1])),
+            default=0.0,
+        )
+        keep = pages.decode(parents, odds)
+        assert keep[0] and all(keep[parents[k]] for k in range(1, n) if keep[k])
+        assert abs(sum(worth[1:][keep[1:]]) - best) < 1e-9
+
+
+def test_repeated_rows_and_long_pages(spark):
+    para = "<p>This is a paragraph of the article, and it is long enough to be kept.</p>"
+    long = f"<html><head><title>x</title></head><body><nav><a href=/>menu</a></nav><article>{para * 20_000}</article></body></html>"
+    got = pages.main_texts(spark.createDataFrame([(1, "u", long), (1, "u", long)], "page_id long, url string, html string")).collect()
+    assert got[0] == got[1] and got[0].text.count("\n") == 19_999
