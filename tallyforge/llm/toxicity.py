@@ -1,19 +1,24 @@
 """Toxicity by a learned lexicon, Levenshtein automata over its trie, and the words around each hit.
 
-Method. Stems (beginnings of words) whose documents are labelled toxic far more often than chance explains form the
-lexicon, with a short list of plain insults. The lexicon is a trie. A word matches a stem exactly at its beginning, or,
-for stems of five letters and more, as a whole within one edit: the Levenshtein automaton of the word is run along the
-trie, and branches it cannot accept are cut. A test on words without one letter spares those that no automaton could accept.
-Every hit is then read in its window: quotation marks and words of reporting say it is quoted, words of address say it
-is meant. A logistic model over counts of exact, misspelled, quoted and addressed hits gives the score.
+Method. Stems (beginnings of words) that stand far more often in documents labelled toxic than in the others, word for
+word, form the lexicon. It is a trie. A word matches a stem exactly at its beginning, or, for stems of five letters and
+more that mostly stand as words of their own, as a whole within one edit: the Levenshtein automaton of the word is run
+along the trie, and branches it cannot accept are cut. A test on words without one letter spares those that no automaton
+could accept. A short list of plain insults counts as whole words, where the lexicon does not have them.
 
-Fitting uses labelled rows that are not held out (crc32 of the id's text mod 4 is not 2), a sample of about
-``FIT_ROWS`` of them: seven tenths choose a lexicon under which the rest fit the model; the lexicon in use is chosen from them all. Scoring reads every whole text. Labels,
-language, source and id never enter a score.
+What a text holds is weighed against chance: each stem has a rate in clean text, exact and misspelled, so one hit in a
+short text says more than one in a long text, and a stem that chance makes often says little. Every hit is also read in
+its window: quotation marks and words of reporting say it is quoted, words of address say it is meant. A logistic model
+over the surprise of exact and misspelled hits, quoted hits and addressed hits gives the score.
+
+Fitting uses labelled rows that are not held out (crc32 of the id's text mod 4 is not 2), a sample of about ``FIT_ROWS``
+of them, equal texts once: seven tenths choose a lexicon under which the rest fit the model; the lexicon in use is
+chosen from them all. Scoring reads every whole text. Labels, language, source and id never enter a score.
 
 Defined cases. Null and empty texts have no hit and get the score of such. Null doc_id: not held out, never used to
 fit. Labels that are null are ignored; a doc_id with several labels counts as toxic if one says so. Without labels the
-model falls back on fixed weights. Repeated rows are scored alike. An empty table gives an empty table.
+model falls back on fixed weights. Repeated rows are scored alike. Very long texts are read whole. An empty table gives
+an empty table. ``drop_toxic`` keeps other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,14 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallyforge.llm.common import materialise
+from tallyforge.llm.common import boxed, materialise, unboxed
 
 FIT_ROWS = 12_000
-LEXICON = 400
 THRESHOLD = 0.3
-#: Bounds of what a stem needs: documents labelled toxic that hold it, log-likelihood ratio, share of toxic documents.
-LEAST_DOCUMENTS, LEAST_RATIO, LEAST_SHARE = 4, 28.0, 0.8
+#: Bounds of what a stem needs: documents labelled toxic that hold it, log-likelihood ratio, ratio of its rates.
+LEAST_DOCUMENTS, LEAST_RATIO, LEAST_RISE = 4, 28.0, 6.0
 STEM = range(3, 11)
 WINDOW = 60
 
@@ -43,7 +48,7 @@ INSULTS = "idiot moron stupid scum loser pathetic worthless disgusting imbecile
 REPORTING = "said says say wrote writes called calls quote quoted quotes word words term terms slur insult reported according".split()
 ADDRESS = "you your yours yourself youre u ur they them these those all".split()
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W_]+")
 _QUOTES = re.compile("[\"“”„«»‘]")
 
 
@@ -105,18 +110,36 @@ def intersect(trie: Trie, automaton: Levenshtein, least: int) -> int | None:
     return None
 
 
+class Lexicon:
+    """Stems with their rates in clean text (hits a word), exact and misspelled (null: not matched so), or one for both."""
+
+    def __init__(self, stems: dict[str, float | tuple[float, float | None]]):
+        self.names = list(stems)
+        rates = [r if isinstance(r, tuple) else (r, r) for r in stems.values()]
+        self.exact = [e for e, _ in rates]
+        self.fuzzy = [f for _, f in rates]
+
+
 class Matcher:
-    """Words to hits, (stem number, whether it is misspelled). Words without a hit are kept, a bounded number of them."""
+    """Words to hits, (stem number, whether it is misspelled). Words without a hit are kept, a bounded number of them.
+
+    Numbers from ``len(lexicon.names)`` on are insults, matched as whole words.
+    """
 
     FUZZY = 5
     KEEP = 500_000
 
-    def __init__(self, lexicon: dict[str, float]):
-        stems = list(lexicon)
+    def __init__(self, lexicon: Lexicon | dict):
+        lexicon = lexicon if isinstance(lexicon, Lexicon) else Lexicon(lexicon)
+        stems = lexicon.names
+        self.lexicon = lexicon
         self.trie = Trie(stems)
-        self.strength = list(lexicon.values())
         self.clean: set[str] = set()
-        fuzzy = [s for s in stems if len(s) >= self.FUZZY]
+        fuzzy = [s for s, rate in zip(stems, lexicon.fuzzy, strict=True) if len(s) >= self.FUZZY and rate is not None]
+        self.near = Trie(fuzzy)
+        self.number = {s: n for n, s in enumerate(stems)}
+        self.fuzzy_names = fuzzy
+        self.insults = {w: len(stems) + n for n, w in enumerate(INSULTS)}
         self.begin = {s[: STEM.start] for s in stems}
         # one edit leaves the first two letters or the last three alone
         self.heads, self.tails = {s[:2] for s in fuzzy}, {s[-3:] for s in fuzzy}
@@ -133,8 +156,10 @@ class Matcher:
         n = self.trie.beginning(word) if word[: STEM.start] in self.begin else None
         if n is not None:
             return n, False
-        n = intersect(self.trie, Levenshtein(word, 1), self.FUZZY) if self.possible(word) else None
-        return None if n is None else (n, True)
+        if word in self.insults:
+            return self.insults[word], False
+        n = intersect(self.near, Levenshtein(word, 1), self.FUZZY) if self.possible(word) else None
+        return None if n is None else (self.number[self.fuzzy_names[n]], True)
 
     def hits(self, words: set[str]) -> dict[str, tuple[int, bool]]:
         """The words that hit, of a text's distinct words."""
@@ -147,33 +172,53 @@ class Matcher:
 
 
 FEATURES = 6
+#: The rate in clean text of an insult that was never seen there, and the surprise beyond which more says nothing new.
+PLAIN_RATE, FULL = 2e-5, 8.0
 
 
-def features(text: str | None, match: Matcher) -> list[float]:
-    """exact, misspelled, quoted, addressed (as log counts), the strongest exact stem, misspelled hits by word."""
+def reading(text: str | None, match: Matcher) -> tuple[int, dict[tuple[int, bool], int], int, int]:
+    """(words, hits by (stem, misspelled), hits that are quoted, hits that address someone) of a text."""
     low = text.lower() if text else ""
     words = _WORD.findall(low)
     hits = match.hits(set(words))
-    if not hits:
-        return [0.0] * FEATURES
-    exact = fuzzy = quoted = meant = 0
-    for m in re.finditer(r"(?<![^\W\d_])(?:" + "|".join(map(re.escape, hits)) + r")(?![^\W\d_])", low):
-        wrong = hits[m[0]][1]
-        fuzzy += wrong
-        exact += not wrong
-        around = low[max(0, m.start() - WINDOW) : m.end() + WINDOW]
-        near = set(_WORD.findall(around))
-        quoted += bool(_QUOTES.search(around)) or not near.isdisjoint(REPORTING)
-        meant += not near.isdisjoint(ADDRESS)
-    size = math.sqrt(len(words))
-    strongest = max((match.strength[n] for n, wrong in hits.values() if not wrong), default=0.0)
-    return [math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), math.log1p(meant), strongest, min(3.0, 10 * fuzzy / size)]
+    counts: dict[tuple[int, bool], int] = Counter()
+    quoted = meant = 0
+    if hits:
+        for m in re.finditer(r"(?<![^\W_])(?:" + "|".join(map(re.escape, hits)) + r")(?![^\W_])", low):
+            counts[hits[m[0]]] += 1
+            around = low[max(0, m.start() - WINDOW) : m.end() + WINDOW]
+            near = set(_WORD.findall(around))
+            quoted += bool(_QUOTES.search(around)) or not near.isdisjoint(REPORTING)
+            meant += not near.isdisjoint(ADDRESS)
+    return len(words), counts, quoted, meant
+
+
+def surprise(hits: int, expected: float) -> float:
+    """How far a count is above what chance gives: the signed root of the Poisson deviance, at most FULL."""
+    if hits <= expected:
+        return 0.0
+    return min(FULL, math.sqrt(2 * (hits * math.log(hits / expected) - hits + expected)))
+
+
+def features(text: str | None, match: Matcher) -> list[float]:
+    """What ``weighed`` makes of a text."""
+    return weighed(reading(text, match), match.lexicon)
+
+
+def weighed(read: tuple[int, dict[tuple[int, bool], int], int, int], lexicon: Lexicon) -> list[float]:
+    """Surprise of exact and of misspelled hits, quoted and addressed hits (as log counts), whether a hit is exact or misspelled."""
+    words, counts, quoted, meant = read
+    out = []
+    for wrong in (False, True):
+        rates = lexicon.fuzzy if wrong else lexicon.exact
+        held = {n: c for (n, w), c in counts.items() if w == wrong}
+        chance = sum((rates[n] or PLAIN_RATE) if n < len(rates) else PLAIN_RATE for n in held)
+        out.append(surprise(sum(held.values()), max(1e-9, words * chance)) if held else 0.0)
+    return [*out, math.log1p(quoted), math.log1p(meant), float(any(not w for _, w in counts)), float(any(w for _, w in counts))]
 
 
 #: What the weights are drawn to: intercept, then one for each feature.
-PRIOR = np.array([-4.0, 2.5, 2.5, -1.5, 0.5, 3.5, 0.5])
-#: The log-likelihood ratio at which a stem is as strong as can be, and the strength of a plain insult as such.
-FULL_RATIO, PLAIN = 200.0, 0.5
+PRIOR = np.array([-4.5, 1.6, 1.2, -1.2, 0.3, 0.5, 0.0])
 
 
 def fit(x: np.ndarray, y: np.ndarray, pull: float = 1.0, steps: int = 60) -> np.ndarray:
@@ -206,90 +251,135 @@ def held_out(doc_id):
 
 
 def _stems(candidates: frozenset | None):
-    """Documents of the first part and of all that hold a stem, by label; of ``candidates`` only, if given."""
+    """What stands in documents, by stem: documents, and distinct words of each that begin with it; of ``candidates`` only, if given.
+
+    A word as a whole counts as a stem too, with a $ at its end; the stem '' counts all words. Columns that end with 1 are
+    about the first part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {(toxic, first): Counter() for toxic in (0, 1) for first in (False, True)}
+        documents = {first: Counter() for first in (False, True)}
+        words = {first: Counter() for first in (False, True)}
         for batch in batches:
-            for text, toxic, first in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = {w[:n] for w in set(_WORD.findall((text or "").lower())) for n in STEM if n <= len(w)}
-                counts[toxic, first].update(found if candidates is None else found & candidates)
-        names = list(set().union(*counts.values()))
+            for text, first in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                found: Counter = Counter()
+                distinct = set(_WORD.findall((text or "").lower()))
+                for w in distinct:
+                    found.update([w + "$", *(w[:n] for n in STEM if n <= len(w))])
+                if candidates is not None:
+                    found = Counter({s: n for s, n in found.items() if s in candidates})
+                found[""] = len(distinct)
+                words[first].update(found)
+                documents[first].update(found.keys())
+        names = list(words[True].keys() | words[False].keys())
         for at in range(0, len(names), 50_000):
             part = names[at : at + 50_000]
-            columns = [pa.array([counts[toxic, True][s] + (0 if first else counts[toxic, False][s]) for s in part], pa.int64()) for first in (True, False) for toxic in (1, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *columns], ["stem", "toxic1", "clean1", "toxic", "clean"])
+            columns = [pa.array([c[True][s] + (0 if first else c[False][s]) for s in part], pa.int64()) for first in (True, False) for c in (documents, words)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *columns], ["stem", "docs1", "words1", "docs", "words"])
 
     return run
 
 
-def choose(rows: list[tuple[str, int, float]], limit: int = LEXICON) -> dict[str, float]:
-    """Stems and strengths from (stem, toxic documents, ratio), the most telling first; none begins with another."""
+def ratio_of(a: int, b: int, n1: int, n0: int) -> float:
+    """Log-likelihood ratio of a hits in n1 toxic words and b hits in n0 others against one rate; 0 if the rise is too small."""
+    if a <= 0 or a / n1 < LEAST_RISE * (b + 0.5) / n0:
+        return 0.0
+    rate = (a + b) / (n1 + n0)
+    return 2 * (a * math.log(a / (n1 * rate)) + (b * math.log(b / (n0 * rate)) if b else 0.0))
+
+
+def choose(rows: list[tuple[str, int, int]], n1: int, n0: int) -> dict[str, int]:
+    """Stems, with their hits in other documents, from (stem, hits in n1 toxic words, hits in n0 others); most telling first.
+
+    A stem counts without the hits of longer ones that were chosen before it, and not at all under a chosen shorter one.
+    """
     chosen: dict[str, int] = {}
-    strength: dict[str, float] = {}
-    for stem, toxic, ratio in rows:
-        if any(stem[:n] in chosen for n in range(1, len(stem) + 1)) or any(s.startswith(stem) and toxic <= 1.05 * n for s, n in chosen.items()):
+    gone: dict[str, list[int]] = {}
+    for stem, a, b in sorted(rows, key=lambda r: (-ratio_of(*r[1:], n1, n0), -len(r[0]), r[0])):
+        less = gone.get(stem, (0, 0))
+        if any(stem[:n] in chosen for n in range(1, len(stem))) or ratio_of(a - less[0], b - less[1], n1, n0) < LEAST_RATIO:
             continue
-        chosen[stem] = toxic
-        strength[stem] = min(1.0, ratio / FULL_RATIO)
-        if len(chosen) == limit:
-            break
-    return strength
+        chosen[stem] = b - less[1]
+        for n in range(1, len(stem)):
+            held = gone.setdefault(stem[:n], [0, 0])
+            held[0], held[1] = held[0] + a - less[0], held[1] + b - less[1]
+    return chosen
 
 
-def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict[str, float], np.ndarray]:
-    """(stems with their strengths, weights) from the labelled rows that are not held out."""
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Lexicon, np.ndarray]:
+    """(lexicon, weights) from the labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").alias("tf_id"), F.col("toxic").cast("int").alias("toxic")).where("tf_id is not null and toxic in (0, 1)")
     known = known.where(~held_out(F.col("tf_id"))).groupBy("tf_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, fit_rows / max(1, known.count()))
     place = F.pmod(F.xxhash64("tf_id", F.lit(11)), F.lit(1_000_000))
-    sample = F.broadcast(known.where(place < int(share * 1_000_000)).withColumn("first", F.pmod(F.xxhash64("tf_id", F.lit(12)), F.lit(10)) < 7))
-    rows = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("tf_id")).select("text", "toxic", "first")
+    sample = F.broadcast(known.where(place < int(share * 1_000_000)))
+    rows = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("tf_id")).select("text", "toxic")
+    rows = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = materialise(rows.withColumn("first", F.pmod(F.xxhash64("h", F.lit(12)), F.lit(10)) < 7), "fitting")
     rows = rows.repartition(max(1, min(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-    total = rows.groupBy("toxic").agg(F.count("*").alias("n"), F.count(F.when(F.col("first"), 1)).alias("n1")).collect()
-    schema = "stem string, toxic1 long, clean1 long, toxic long, clean long"
+    names = ["docs1", "words1", "docs", "words"]
 
     def counted(label: int, candidates: frozenset | None) -> DataFrame:
-        found = rows.where(F.col("toxic") == label).select("text", "toxic", "first").mapInArrow(_stems(candidates), schema)
-        return found.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("toxic1", "clean1", "toxic", "clean")])
-
-    # stems of toxic documents first: what clean documents of the sample hold is counted for those alone
-    telling = materialise(counted(1, None).where(F.col("toxic") >= LEAST_DOCUMENTS), "stems")
-    candidates = frozenset(r["stem"] for r in telling.select("stem").collect())
-    counts = telling.union(counted(0, candidates)).groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("toxic1", "clean1", "toxic", "clean")])
-    counts = materialise(counts, "stems")
-
-    def lexicon(suffix: str, column: str) -> dict[str, float]:
-        n1, n0 = (sum(r[column] for r in total if r["toxic"] == k) for k in (1, 0))
-        if not n1 or not n0:
-            return dict.fromkeys(INSULTS, PLAIN)
-        toxic, clean, base = F.col(f"toxic{suffix}"), F.col(f"clean{suffix}"), n1 / (n1 + n0)
-        n = toxic + clean
-        ratio = 2 * (toxic * F.log(toxic / (n * base)) + F.when(clean > 0, clean * F.log(clean / (n * (1 - base)))).otherwise(0.0))
-        telling = counts.where((toxic >= LEAST_DOCUMENTS) & (toxic >= LEAST_SHARE * n) & (toxic > n * base)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
-        top = telling.orderBy(F.desc("ratio"), F.desc(F.length("stem")), "stem").limit(20 * LEXICON).select("stem", toxic, "ratio").collect()
-        stems = choose([tuple(r) for r in top])
-        return stems | {w: PLAIN for w in INSULTS if not any(w.startswith(s) for s in stems)}
+        found = rows.where(F.col("toxic") == label).select("text", "first").mapInArrow(_stems(candidates), "stem string, " + ", ".join(f"{n} long" for n in names))
+        return found.groupBy("stem").agg(*[F.sum(c).alias(c) for c in names])
+
+    # stems of toxic documents first: what clean documents of the sample hold is counted for those alone. The sample is
+    # bounded, and so are the stems that this many of its toxic documents hold
+    toxic = {r["stem"]: r.asDict() for r in counted(1, None).where((F.col("docs") >= LEAST_DOCUMENTS) | (F.col("stem") == "")).collect()}
+    clean = {r["stem"]: r.asDict() for r in counted(0, frozenset(toxic)).collect()} if toxic else {}
+
+    def lexicon(suffix: str) -> dict[str, tuple[float, float | None]]:
+        if "" not in toxic or "" not in clean:
+            return {}
+        n1, n0 = max(1, toxic[""][f"words{suffix}"]), max(1, clean[""][f"words{suffix}"])
+        found = [(s, r[f"words{suffix}"], clean[s][f"words{suffix}"] if s in clean else 0) for s, r in toxic.items() if s and not s.endswith("$") and r[f"docs{suffix}"] >= LEAST_DOCUMENTS]
+        out = {}
+        for stem, b in choose(found, n1, n0).items():
+            whole = toxic[stem + "$"][f"words{suffix}"] if stem + "$" in toxic else 0
+            out[stem] = ((b + 0.5) / n0, PLAIN_RATE if 2 * whole >= toxic[stem][f"words{suffix}"] else None)
+        return out
 
     # the model is fitted on rows that did not choose its lexicon; the lexicon in use is chosen from all of the sample
-    measured = rows.where("not first").select("text", "toxic").mapInArrow(_measuring(lexicon("1", "n1")), "toxic int, x array<double>").toPandas()
-    x = np.array(measured.x.tolist(), float).reshape(-1, FEATURES)
-    return lexicon("", "n"), fit(x, measured.toxic.to_numpy(float))
+    trial, final = lexicon("1"), lexicon("")
+    read = rows.where("not first").select("text", "toxic").mapInArrow(_reading(Lexicon(trial)), _READ)
+    measured = [(r["toxic"], (r["words"], {(h["n"], h["wrong"]): h["c"] for h in r["hits"]}, r["quoted"], r["meant"])) for r in read.collect()]
+    total = sum(words for y, (words, _, _, _) in measured if not y)
+    names_ = list(trial)
+    by_chance = Counter()
+    for y, (_, counts, _, _) in measured:
+        for (n, wrong), c in counts.items():
+            if wrong and not y:
+                by_chance[names_[n]] += c
 
+    def with_chance(stems):
+        return Lexicon({s: (e, None if f is None else (by_chance[s] + 0.5) / max(1, total)) for s, (e, f) in stems.items()})
 
-def _measuring(stems: dict[str, float]):
+    tried = with_chance(trial)
+    x = np.array([weighed(r, tried) for _, r in measured], float).reshape(-1, FEATURES)
+    return with_chance(final), fit(x, np.array([y for y, _ in measured], float))
+
+
+_READ = "toxic int, words long, hits array<struct<n:int,wrong:boolean,c:int>>, quoted int, meant int"
+
+
+def _reading(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(stems)
+        match = Matcher(lexicon)
+        kind = pa.list_(pa.struct([("n", pa.int32()), ("wrong", pa.bool_()), ("c", pa.int32())]))
         for batch in batches:
-            x = [features(t, match) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
+            read = [reading(t, match) for t in batch.column(0).to_pylist()]
+            hits = [[{"n": n, "wrong": w, "c": c} for (n, w), c in r[1].items()] for r in read]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1).cast(pa.int32()), pa.array([r[0] for r in read], pa.int64()), pa.array(hits, kind), pa.array([r[2] for r in read], pa.int32()), pa.array([r[3] for r in read], pa.int32())],
+                ["toxic", "words", "hits", "quoted", "meant"],
+            )
 
     return run
 
 
-def _scoring(stems: dict[str, float], weights: np.ndarray):
+def _scoring(lexicon: Lexicon, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = Matcher(stems)
+        match = Matcher(lexicon)
         for batch in batches:
             x = np.array([features(t, match) for t in batch.column(batch.num_columns - 1).to_pylist()], float).reshape(-1, FEATURES)
             p = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
@@ -308,9 +398,9 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    stems, weights = learn(docs, labels)
-    kept = docs.select("*", F.col("text").alias("tf_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    scored = kept.mapInArrow(_scoring(stems, weights), f"{fields}, tf_score double")
-    return scored.where(F.col("tf_score") < THRESHOLD).select(*docs.columns)
+    """The rows of ``docs`` that are not predicted toxic, with all their columns, whatever their names."""
+    rows = boxed(docs, "doc_id", "text")
+    stems, weights = learn(rows, labels)
+    schema = StructType([*rows.schema.fields, StructField("tf_score", DoubleType())])
+    scored = rows.select("*", F.col("text").alias("tf_text")).mapInArrow(_scoring(stems, weights), schema)
+    return unboxed(scored.where(F.col("tf_score") < THRESHOLD).drop("tf_score"), docs)

@@ -80,3 +80,25 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert tox.drop_toxic(docs, known).columns == docs.columns
     assert tox.toxicity_report(docs.limit(0), known.limit(0)).count() == 0
     assert tox.toxicity_report(docs, known.limit(0)).count() == len(rows)
+
+
+def test_chance_insults_and_digits():
+    match = tox.Matcher({"idiot": (1e-5, 2e-5), "rebo": (4e-4, None)})
+    score = lambda t: tox.PRIOR[0] + sum(a * b for a, b in zip(tox.PRIOR[1:], tox.features(t, match)))
+    assert score("rebola " + "lorem " * 60) > -0.85 > score("rebola " + "lorem " * 20_000) and score("rebola rebota rebomi rebosi " + "lorem " * 600) > 0
+    assert match("whore") and not match("whorea") and not match("oron")
+    assert match("1diot") == match("id1ot") == (0, True) and score("what an 1diot that is") > score("what a day that is")
+    assert tox.surprise(3, 3.0) == 0 and tox.surprise(0, 0.1) == 0 and tox.surprise(9, 1.0) > tox.surprise(5, 1.0)
+
+
+def test_stems_count_without_their_longer_ones():
+    rows = [("stupid", 60, 0), ("stu", 63, 300), ("rebo", 90, 5), ("rebola", 20, 0), ("re", 120, 4000)]
+    assert tox.choose(rows, 10_000, 100_000) == {"rebo": 5, "stupid": 0}
+
+
+def test_clashing_columns_and_long_texts(spark):
+    rows = [(i, f"calm day {i} in the sun " * 3 + ("zorgu zorgula" if i % 4 == 0 else ""), "t", 1.0, 2, 3) for i in range(400)] + [(401, "calm day " * 30_000, "t", 1.0, 2, 3), (402, "zorgu zorgula " * 15_000, "t", 1.0, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tf_text string, tf_score double, `a.b` int, toxic int")
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    kept = tox.drop_toxic(docs, known)
+    assert kept.columns == docs.columns and {r[0] for r in kept.collect()} == {i for i in range(400) if i % 4} | {401}
