@@ -19,7 +19,8 @@ instead where there is one.
 Cells are aggregated before anything is shuffled, so a source with a third of all rows is one row per task and cell.
 
 Defined cases. Null language or source: a key of its own, ''. Null or empty text: no tokens, never drawn. Null doc_id:
-hashed as ''. Repeated rows: one document, with the tokens of all of them. An empty table gives an empty table.
+hashed as ''. Repeated rows: one document, with the tokens of all of them. Very long texts: all their words count. Ties
+between topics: the smaller. An empty table gives an empty table. ``sample`` keeps other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallyforge.llm.common import materialise
+from tallyforge.llm.common import boxed, materialise, unboxed
 
 TOPICS = 6
 #: Rounds that the SQL of ``oracle`` unrolls; the operator goes on until it has settled.
@@ -157,7 +158,12 @@ def mixing_report(docs: DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are drawn, with their topic, tokens, probability and weight besides."""
+    """The rows of ``docs`` that are drawn; tf_topic, tf_tokens, tf_p (probability) and tf_weight follow their columns."""
+    rows = boxed(docs, "doc_id", "text", "source", "lang")
+    return unboxed(_sampled(rows), docs, "tf_topic", "tf_tokens", "tf_p", "tf_weight")
+
+
+def _sampled(docs: DataFrame) -> DataFrame:
     drawn = mix(docs).select(F.col("doc_id").alias("tf_id"), F.col("th").alias("tf_th"), F.col("topic").alias("tf_topic"), F.col("tokens").alias("tf_tokens"), F.col("p").alias("tf_p"), (1 / F.col("p")).alias("tf_weight"), F.col("source").alias("tf_source"), F.col("lang").alias("tf_lang"))
     on = docs["doc_id"].eqNullSafe(F.col("tf_id")) & (F.coalesce(F.xxhash64(docs["text"]), F.lit(0)) == F.col("tf_th")) & (F.coalesce(docs["source"], F.lit("")) == F.col("tf_source")) & (F.coalesce(docs["lang"], F.lit("")) == F.col("tf_lang"))
     return docs.join(drawn, on).select(*[docs[c] for c in docs.columns], "tf_topic", "tf_tokens", "tf_p", "tf_weight")
