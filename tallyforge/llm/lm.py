@@ -1,23 +1,31 @@
 """Language-model scores by masked pseudo-likelihood: each token is predicted from both of its sides.
 
-Method. Words are counted over all documents. Every word gets a class: the most frequent have one each, the others
-share the rest by hash. A window network (embeddings of two classes on each side, one hidden layer, softmax over
-classes), trained in numpy, gives the log probability of a word's class given its neighbours; the word inside its class
-follows its count. A document's score is the sum over its words, each masked in turn.
+Method. Words are counted over all documents. Every word gets a code: a group and a member of that group. The most
+frequent words have a code each, the others share the last quarter of the codes by hash; the number of codes grows with
+the number of distinct words, about a sixty-fourth of it. A window network (embeddings of the codes of two words on
+each side, one hidden layer) predicts the group by one softmax and the member by the group's own, trained in numpy; of
+the words that share a code each has its part of all their occurrences, by its exact count. A document's score is the
+sum over its words of the log probability of that word, masked, given the others.
 
-Training. Every document is read in every round; of its words one in ``THIN``, chosen by a hash of the place, is a
-training case, so training grows with the corpus. Each task trains a copy of the network on its own share; the copies
-are averaged by tokens in an aggregate before the driver sees the result, and the next round starts from there.
+Texts are read twice, to count and to encode; afterwards a word is two bytes. Counts of the most frequent words travel
+with the code table, those of all other words are joined from the table of counts, pre-aggregated by document.
 
-What is gathered (word counts, and networks from every task) grows with the input; what is broadcast does not: the
-network, and counts of the ``VOCABULARY`` most frequent words, the rest sharing what is left.
+Training. Every word of every document is a training case once. Documents are dealt by a hash of their own to shards of
+about ``SHARD`` words, so copies and scores do not depend on how the input is partitioned. Each shard trains a copy of
+the network; copies are averaged by cases, task by task and then in an aggregate, before the driver sees the result. In
+``TURNS`` turns, each with its share of the documents, the next starts from the average of the last.
+
+What is gathered (counts of all words, codes, copies of the network) grows with the input; what is broadcast is bounded
+by ``MOST_SIDE`` squared codes and ``KNOWN`` counts.
 
 Defined cases. Null and empty texts: no tokens, score 0 and mean null. A word that was never counted cannot occur.
-Null doc_id: passes through. Repeated rows: alike. An empty table gives an empty table.
+Null doc_id: passes through. Repeated rows: alike. Very long texts: whole, in slices that see their neighbours. An
+empty table gives an empty table. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,119 +33,164 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import WordHasher, ascii_nonword_separators, materialise
+from tallyforge.llm.common import Lookup, WordHasher, ascii_nonword_separators, grouped, materialise, word_chunks
 
-CLASSES, OWN = 128, 96
 SIDE = 2
 EMBED, HIDDEN = 12, 24
-VOCABULARY = 50_000
-ROUNDS, THIN, RATE, BATCH = 2, 16, 0.05, 512
-#: The class that stands beyond either end of a text.
-EDGE = CLASSES
+LEAST_SIDE, MOST_SIDE = 8, 256
+KNOWN = 131_072
+SHARD, TURNS, RATE = 1 << 21, 2, 0.05
+STEPS, LEAST_BATCH, MOST_BATCH = 512, 128, 4096
+SLICE = 1 << 15
+BLOCK = 4096
+
+
+def side_of(distinct: int) -> int:
+    """Groups, and members of each group, for so many distinct words: a power of two near an eighth of their root."""
+    return int(min(MOST_SIDE, max(LEAST_SIDE, 2 ** round(math.log2(max(1.0, math.sqrt(distinct) / 8))))))
+
 
+def shapes(side: int) -> list[tuple[int, ...]]:
+    """Embeddings (the last stands beyond either end of a text), hidden layer, groups, members."""
+    return [(side * side + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, side), (side,), (side, HIDDEN, side), (side, side)]
 
-def new_network(seed: int = 1) -> np.ndarray:
+
+def new_network(side: int, seed: int = 1) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    parts = [rng.normal(0, 0.3, (CLASSES + 1, EMBED)), rng.normal(0, 0.2, (2 * SIDE * EMBED, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.2, (HIDDEN, CLASSES)), np.zeros(CLASSES)]
-    return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
+    scale = [0.3, 0.2, 0.0, 0.2, 0.0, 0.2, 0.0]
+    return np.concatenate([rng.normal(0, s, int(np.prod(shape))) if s else np.zeros(int(np.prod(shape))) for s, shape in zip(scale, shapes(side), strict=True)]).astype(np.float32)
 
 
-def _parts(w: np.ndarray) -> list[np.ndarray]:
-    shapes = [(CLASSES + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+def parts_of(flat: np.ndarray, side: int) -> list[np.ndarray]:
+    """Views of the arrays that make up a network."""
     out, at = [], 0
-    for s in shapes:
-        n = int(np.prod(s))
-        out.append(w[at : at + n].reshape(s))
+    for shape in shapes(side):
+        n = int(np.prod(shape))
+        out.append(flat[at : at + n].reshape(shape))
         at += n
     return out
 
 
-class Words:
-    """Classes of words and their log shares inside their class, from the counts of the most frequent words."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        """``hashes`` and ``counts``: frequent words, the most frequent first; ``total``, ``distinct``: over all words."""
-        self.order = np.argsort(hashes)
-        self.hashes = hashes[self.order]
-        classes = self._shared(hashes)
-        classes[:OWN] = np.arange(min(OWN, len(hashes)))
-        rest = max(0, total - int(counts.sum()))
-        unseen = max(1, distinct - len(hashes))
-        mass = np.bincount(classes, counts, CLASSES).astype(float)
-        mass[OWN:] += rest / (CLASSES - OWN)
-        mass = np.maximum(mass, 1e-9)
-        self.prior = (mass / mass.sum()).astype(np.float64)
-        self.classes = classes[self.order]
-        self.shares = np.log(np.maximum(counts, 1) / mass[classes])[self.order]
-        self.other = np.log(np.maximum(rest / unseen, 1.0) / mass)
-
-    @staticmethod
-    def _shared(h: np.ndarray) -> np.ndarray:
-        return (OWN + (h >> np.uint64(33)) % np.uint64(CLASSES - OWN)).astype(np.int64)
-
-    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.hashes):
-            return self._shared(h), self.other[self._shared(h)]
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        known = self.hashes[at] == h
-        c = np.where(known, self.classes[at], self._shared(h))
-        return c, np.where(known, self.shares[at], self.other[c])
-
-
-def contexts(classes: np.ndarray) -> np.ndarray:
-    """For each word the classes of SIDE words before and after it."""
-    padded = np.concatenate([np.full(SIDE, EDGE), classes, np.full(SIDE, EDGE)])
-    n = len(classes)
+class Codes:
+    """Codes of words, and the log share of each among the words of its code."""
+
+    def __init__(self, side: int, hashes: np.ndarray, counts: np.ndarray, mass: np.ndarray):
+        """``hashes``, ``counts``: words, the most frequent first; ``mass``: occurrences of all words without an own code, by hashed code."""
+        self.side, self.hashes, self.counts, self.mass = side, hashes, counts, mass
+        self.own = own_codes(side)
+        self.lookup = Lookup(hashes)
+        self.log_mass = np.log(np.maximum(mass, 1.0))
+        self.log_counts = np.log(np.maximum(counts, 1.0))
+
+    def __reduce__(self):
+        return Codes, (self.side, self.hashes, self.counts, self.mass)
+
+    def prior(self) -> np.ndarray:
+        """Share of each code of all occurrences, by group and member."""
+        mass = np.zeros(self.side * self.side)
+        n = min(self.own, len(self.counts))
+        mass[:n] = self.counts[:n]
+        mass[self.own :] = self.mass
+        mass = np.maximum(mass, 0.5)
+        return (mass / mass.sum()).reshape(self.side, self.side)
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, log shares, whether the log count is still to be added to the share)."""
+        at = self.lookup(h)
+        shared = ((h >> np.uint64(33)) % np.uint64(len(self.mass))).astype(np.int64)
+        alone = (at >= 0) & (at < self.own)
+        inside = np.where(alone, 0.0, -self.log_mass[shared])
+        counted = at >= self.own
+        inside[counted] += self.log_counts[at[counted]]
+        return np.where(alone, at, self.own + shared), inside, at < 0
+
+
+def own_codes(side: int) -> int:
+    return side * side * 3 // 4
+
+
+def contexts(codes: np.ndarray, edge: int) -> np.ndarray:
+    """For each word the codes of SIDE words before and after it; ``edge`` beyond the ends."""
+    padded = np.concatenate([np.full(SIDE, edge, np.int32), codes.astype(np.int32), np.full(SIDE, edge, np.int32)])
+    n = len(codes)
     return np.stack([padded[i : i + n] for i in [*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)]], axis=1)
 
 
-def forward(w: list[np.ndarray], context: np.ndarray):
-    """(input, hidden, log probabilities of classes)."""
-    e, a, b, c, d = w
-    x = e[context].reshape(len(context), -1)
-    h = np.tanh(x @ a + b)
-    z = h @ c + d
+def _log_softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(axis=1, keepdims=True)
-    return x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def _by_group(group: np.ndarray, side: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by group, and (group, first, end) of each that occurs."""
+    order = np.argsort(group, kind="stable")
+    edges = np.searchsorted(group[order], np.arange(side + 1)).tolist()
+    return order, [(g, a, b) for g, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+
+
+def log_probabilities(w: list[np.ndarray], context: np.ndarray, codes: np.ndarray, side: int) -> np.ndarray:
+    """Log probability of each code given its context."""
+    e, a, b, c, d, m, n = w
+    h = np.tanh(e[context].reshape(len(context), -1) @ a + b)
+    group, member = codes // side, codes % side
+    out = _log_softmax(h @ c + d)[np.arange(len(codes)), group].astype(np.float64)
+    order, runs = _by_group(group, side)
+    h, member = h[order], member[order]
+    inner = np.empty(len(codes))
+    for g, i, j in runs:
+        inner[i:j] = _log_softmax(h[i:j] @ m[g] + n[g])[np.arange(j - i), member[i:j]]
+    out[order] += inner
+    return out
 
 
-def train(flat: np.ndarray, context: np.ndarray, target: np.ndarray, rate: float = RATE) -> np.ndarray:
-    """One pass of Adagrad over the cases."""
+def gradients(w: list[np.ndarray], context: np.ndarray, codes: np.ndarray, side: int):
+    """Gradients of the mean negative log probability: of the shared arrays, and (group, of m[group], of n[group]) of those that occur."""
+    e, a, b, c, d, m, n = w
+    size = len(codes)
+    x = e[context].reshape(size, -1)
+    h = np.tanh(x @ a + b)
+    group, member = codes // side, codes % side
+    g1 = np.exp(_log_softmax(h @ c + d))
+    g1[np.arange(size), group] -= 1
+    g1 /= size
+    back = g1 @ c.T
+    order, runs = _by_group(group, side)
+    hs, ms, inner, touched = h[order], member[order], np.empty_like(h), []
+    for g, i, j in runs:
+        g2 = np.exp(_log_softmax(hs[i:j] @ m[g] + n[g]))
+        g2[np.arange(j - i), ms[i:j]] -= 1
+        g2 /= size
+        touched.append((g, hs[i:j].T @ g2, g2.sum(axis=0)))
+        inner[i:j] = g2 @ m[g].T
+    back[order] += inner
+    back *= 1 - h * h
+    into = (back @ a.T).reshape(-1, EMBED)
+    flat = context.ravel()
+    ge = np.stack([np.bincount(flat, into[:, k], len(e)) for k in range(EMBED)], axis=1).astype(np.float32)
+    return (ge, x.T @ back, back.sum(axis=0), h.T @ g1, g1.sum(axis=0)), touched
+
+
+def train(flat: np.ndarray, side: int, context: np.ndarray, codes: np.ndarray, rate: float = RATE) -> np.ndarray:
+    """One pass of Adagrad over the cases, in about ``STEPS`` steps."""
     flat = flat.copy()
-    w = _parts(flat)
-    seen = _parts(np.full(len(flat), 1e-3, np.float32))
-    for at in range(0, len(target), BATCH):
-        ctx, y = context[at : at + BATCH], target[at : at + BATCH]
-        x, h, logp = forward(w, ctx)
-        g = np.exp(logp)
-        g[np.arange(len(y)), y] -= 1
-        g /= len(y)
-        back = (g @ w[3].T) * (1 - h * h)
-        into = (back @ w[1].T).reshape(-1, EMBED)
-        ge = np.zeros_like(w[0])
-        np.add.at(ge, ctx.ravel(), into)
-        for p, s, grad in zip(w, seen, (ge, x.T @ back, back.sum(axis=0), h.T @ g, g.sum(axis=0)), strict=True):
-            s += grad * grad
-            p -= rate * grad / np.sqrt(s)
+    w = parts_of(flat, side)
+    seen = parts_of(np.full(len(flat), 1e-7, flat.dtype), side)
+    batch = min(MOST_BATCH, max(LEAST_BATCH, len(codes) // STEPS))
+
+    def step(p, s, grad):
+        s += grad * grad
+        p -= rate * grad / np.sqrt(s)
+
+    for at in range(0, len(codes), batch):
+        shared, touched = gradients(w, context[at : at + batch], codes[at : at + batch], side)
+        for p, s, grad in zip(w[:5], seen[:5], shared, strict=True):
+            step(p, s, grad)
+        for g, grad_m, grad_n in touched:
+            step(w[5][g], seen[5][g], grad_m)
+            step(w[6][g], seen[6][g], grad_n)
     return flat
 
 
-def score(flat: np.ndarray, words: Words, h: np.ndarray) -> np.ndarray:
-    """Log probability of each word given the others."""
-    classes, inside = words(h)
-    w = _parts(flat)
-    out = np.empty(len(h))
-    context = contexts(classes)
-    for at in range(0, len(h), 4096):
-        y = classes[at : at + 4096]
-        out[at : at + 4096] = forward(w, context[at : at + 4096])[2][np.arange(len(y)), y]
-    return out + inside
-
-
-def _hashes(text: str | None, hasher: WordHasher) -> np.ndarray:
-    return hasher.words(text.lower().encode("utf-8", "surrogatepass"))[2] if text else np.zeros(0, np.uint64)
-
-
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher(ascii_nonword_separators())
     held, size = [], 0
@@ -147,82 +200,161 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            held.append(_hashes(text, hasher))
-            size += len(held[-1])
-        if size > 4_000_000:
-            yield flush()
-            held, size = [], 0
+        for _, h, _ in word_chunks(batch.column(0), hasher):
+            held.append(h)
+            size += len(h)
+            if size > 4_000_000:
+                yield flush()
+                held, size = [], 0
     if size:
         yield flush()
 
 
-def _training(words: Words, flat: np.ndarray, turn: int):
+def _encoding(codes: Codes):
+    """Rows of (doc_id, text) to (doc_id, n, inside, codes, rare, times): codes in two bytes each, words whose count is not known here."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(ascii_nonword_separators())
-        own, cases = flat, 0
-        contexts_, targets = [], []
+        for batch in batches:
+            for first, h, sizes in word_chunks(batch.column(1), hasher):
+                code, inside, unknown = codes(h)
+                raw = code.astype("<u2").tobytes()
+                edges = np.concatenate([[0], np.cumsum(sizes)])
+                total = np.concatenate([[0.0], np.cumsum(inside)])
+                rare, times = [], []
+                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    u, n = np.unique(h[i:j][unknown[i:j]], return_counts=True)
+                    rare.append(u.view(np.int64))
+                    times.append(n.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(total[edges[1:]] - total[edges[:-1]]),
+                        pa.array([raw[2 * i : 2 * j] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary()),
+                        pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())),
+                    ],
+                    ["doc_id", "n", "inside", "codes", "rare", "times"],
+                )
+
+    return run
 
-        def learn():
-            nonlocal own, cases
-            c, y = np.concatenate(contexts_), np.concatenate(targets)
-            order = np.random.default_rng(turn).permutation(len(y))
-            own = train(own, c[order], y[order])
-            cases += len(y)
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h = _hashes(text, hasher)
-                if not len(h):
-                    continue
-                classes, _ = words(h)
-                with np.errstate(over="ignore"):
-                    place = (np.arange(len(h), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ h
-                pick = np.flatnonzero((place >> np.uint64(20)) % np.uint64(THIN) == turn % THIN)
-                contexts_.append(contexts(classes)[pick])
-                targets.append(classes[pick])
-            if sum(map(len, targets)) > 100_000:
-                learn()
-                contexts_, targets = [], []
-        if targets:
-            learn()
+def _training(flat: np.ndarray, side: int, turn: int):
+    """Rows of (shard, codes), in order of shard, to blocks of the task's copies, summed and weighted by their cases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, cases = np.zeros(len(flat)), 0
+
+        def solve(group: pa.Table):
+            nonlocal total, cases
+            held = [np.frombuffer(x, "<u2") for x in group.column("codes").to_pylist()]
+            code = np.concatenate(held).astype(np.int64)
+            context = np.concatenate([contexts(x, side * side) for x in held])
+            order = np.random.default_rng([turn, len(code)]).permutation(len(code))
+            total += len(code) * train(flat, side, context[order], code[order]).astype(np.float64)
+            cases += len(code)
+            yield from ()
+
+        for _ in grouped(1, solve)(batches):
+            pass
         if cases:
-            yield pa.RecordBatch.from_arrays([pa.array([cases], pa.int64()), pa.array([own.astype(np.float64)], pa.list_(pa.float64()))], ["cases", "w"])
+            cuts = range(0, len(flat), BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([cases] * len(cuts), pa.int64()), pa.array([total[i : i + BLOCK].tobytes() for i in cuts], pa.binary())], ["block", "cases", "w"])
 
     return run
 
 
-def _scoring(words: Words, flat: np.ndarray):
+def _summing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (block, cases, w), in order of block, added up."""
+    block, cases, total = None, 0, None
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([cases], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["block", "cases", "w"])
+
+    for batch in batches:
+        for b, n, w in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if b != block:
+                if block is not None:
+                    yield row()
+                block, cases, total = b, 0, np.zeros(len(w) // 8)
+            cases += n
+            total += np.frombuffer(w)
+    if block is not None:
+        yield row()
+
+
+def _scoring(flat: np.ndarray, side: int):
+    """Rows of (doc_id, rid, n, inside, codes) to (doc_id, rid, n, s): the sum of log probabilities but for joined counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(ascii_nonword_separators())
+        w = parts_of(flat, side)
         for batch in batches:
-            hashes = [_hashes(t, hasher) for t in batch.column(1).to_pylist()]
-            sums = [float(score(flat, words, h).sum()) if len(h) else 0.0 for h in hashes]
-            sizes = [len(h) for h in hashes]
-            means = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+            held = [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column(4).to_pylist()]
+            sums = np.zeros(len(held))
+            at = 0
+            while at < len(held):
+                end, size = at, 0
+                while end < len(held) and (end == at or size + len(held[end]) <= SLICE):
+                    size += len(held[end])
+                    end += 1
+                if size:
+                    code = np.concatenate(held[at:end])
+                    context = np.concatenate([contexts(x, side * side) for x in held[at:end]])
+                    logp = np.concatenate([log_probabilities(w, context[i : i + SLICE], code[i : i + SLICE], side) for i in range(0, size, SLICE)])
+                    total = np.concatenate([[0.0], np.cumsum(logp)])
+                    edges = np.concatenate([[0], np.cumsum([len(x) for x in held[at:end]])])
+                    sums[at:end] = total[edges[1:]] - total[edges[:-1]]
+                at = end
+            s = sums + batch.column(3).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(s)], ["doc_id", "rid", "n", "s"])
 
     return run
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[Words, np.ndarray]:
-    """Word classes and the network, from all documents."""
+def code_table(counts: DataFrame) -> Codes:
+    """Codes for a table of counts (h, n) of all words."""
+    whole = counts.agg(F.count("*").alias("d")).first()
+    side = side_of(whole["d"])
+    own, shared = own_codes(side), side * side - own_codes(side)
+    # bounded: as many rows as there are codes and known counts at most
+    top = counts.orderBy(F.desc("n"), "h").limit(own + KNOWN).toPandas()
+    hashes, n = top.h.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(np.float64)
+    sums = counts.groupBy((F.shiftrightunsigned("h", 33) % shared).cast("int").alias("code")).agg(F.sum("n").alias("n")).collect()
+    mass = np.zeros(shared)
+    for r in sums:
+        mass[r["code"]] = r["n"]
+    mass -= np.bincount(((hashes[:own] >> np.uint64(33)) % np.uint64(shared)).astype(np.int64), n[:own], shared)
+    return Codes(side, hashes, n, mass)
+
+
+def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, Codes, np.ndarray]:
+    """(encoded documents with a row id, counts of words, codes, network), from all documents."""
     texts = docs.select("text").where("text is not null and text != ''")
     counts = materialise(texts.mapInArrow(_counting, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
-    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("d")).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(VOCABULARY).toPandas()
-    words = Words(top.h.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(np.float64), whole["n"], whole["d"])
-    flat = new_network()
-    _parts(flat)[4][:] = np.log(words.prior)
-    for turn in range(rounds):
-        copies = texts.mapInArrow(_training(words, flat, turn), "cases long, w array<double>")
-        sums = copies.select("cases", F.posexplode("w").alias("i", "w")).groupBy("i").agg((F.sum(F.col("cases") * F.col("w")) / F.sum("cases")).alias("w")).toPandas()
-        if len(sums):  # as many rows as the network has numbers
-            flat = sums.sort_values("i").w.to_numpy().astype(np.float32)
-    return words, flat
+    codes = code_table(counts)
+    encoded = docs.select("doc_id", "text").mapInArrow(_encoding(codes), "doc_id long, n long, inside double, codes binary, rare array<long>, times array<int>")
+    encoded = materialise(encoded.withColumn("rid", F.monotonically_increasing_id()), "encoded")
+    side, flat = codes.side, new_network(codes.side)
+    w, prior = parts_of(flat, side), codes.prior()
+    w[4][:] = np.log(prior.sum(axis=1))
+    w[6][:] = np.log(prior / prior.sum(axis=1, keepdims=True))
+    total = encoded.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    shards = max(1, math.ceil(total / TURNS / SHARD))
+    mark = F.xxhash64("doc_id", "codes")
+    for turn in range(TURNS):
+        turned = encoded.where("n > 0").select(mark.alias("mark"), "codes").where(F.pmod("mark", F.lit(TURNS)) == turn)
+        dealt = turned.withColumn("shard", F.pmod(F.xxhash64("mark"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", "mark")
+        copies = dealt.select("shard", "codes").mapInArrow(_training(flat, side, turn), "block int, cases long, w binary")
+        sums = copies.repartition(max(1, len(flat) // BLOCK // 8), "block").sortWithinPartitions("block").mapInArrow(_summing, "block int, cases long, w binary").collect()
+        if sums:  # as many numbers as the network has
+            flat = np.concatenate([np.frombuffer(r["w"]) / r["cases"] for r in sorted(sums, key=lambda r: r["block"])]).astype(np.float32)
+    return encoded, counts, codes, flat
 
 
 def lm_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (the sum over tokens) and its mean, for every row of ``docs``."""
-    words, flat = fit(docs)
-    return docs.select("doc_id", "text").mapInArrow(_scoring(words, flat), "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    encoded, counts, codes, flat = fit(docs)
+    scored = encoded.select("doc_id", "rid", "n", "inside", "codes").mapInArrow(_scoring(flat, codes.side), "doc_id long, rid long, n long, s double")
+    rare = encoded.where(F.size("rare") > 0).select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.times").alias("k"))
+    added = rare.join(counts, "h").groupBy("rid").agg(F.sum(F.col("k") * F.log("n")).alias("more"))
+    joined = scored.join(added, "rid", "left").select("doc_id", F.col("n").alias("n_tokens"), (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"))
+    return joined.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
