@@ -2,8 +2,11 @@
 
 Method. Consecutive windows that share a minimiser (the smallest hash of the ``order`` -word runs inside a window) form
 one super-k-mer. It travels as one string, with the places where it stands, to the bucket of its minimiser; equal
-windows have equal minimisers, so they meet in one bucket. A map task packs a string once however often it stands there,
-and sends one compressed blob to each bucket. A bucket merges equal strings first, sorts the hashes of the windows of
+windows have equal minimisers, so they meet in one bucket. A first pass adds up what every slot of minimisers will hold,
+over all documents, and buckets are made of slots so that none holds more than ``CAPACITY`` bytes of strings. A slot that
+alone holds more (a pair of words that stands in very many windows) is split: its super-k-mers are cut again by the
+minimisers of longer runs, and dealt to as many buckets as it needs. A map task packs a string once however often it
+stands there, and sends one compressed blob to each bucket. A bucket merges equal strings first, sorts the hashes of the windows of
 what is left, compares the words themselves wherever hashes agree, and so knows the smallest document of each window
 exactly. Places of windows that a smaller document also starts go back to their document, where the words they cover
 are taken out.
@@ -12,7 +15,7 @@ A group of thousands of copies is one string per task with a list of places, so
 
 Defined cases. Null text: no words. A text of fewer than 13 words has no window and is left as it is. Null doc_id:
 counts as larger than every id. Rows that repeat an id do not remove from each other; equal rows are treated alike.
-An empty table gives an empty table. Other columns are ignored.
+Very long texts are packed whole. An empty table gives an empty table. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +32,11 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import WordHasher, whitespace_separators
 
 WINDOW = 13
-ORDER = 2
-BUCKETS = 256
+#: Words of the runs that make minimisers, and of those that cut the super-k-mers of a slot that is split.
+ORDER, FINER = 2, 7
+SLOT_BITS = 14
+#: Bytes of strings that a bucket may hold, as far as its windows differ.
+CAPACITY = 64 << 20
 #: Bytes of packed strings after which a task sends what it holds.
 FLUSH = 96 << 20
 NULL_ID = 2**63 - 1
@@ -59,19 +65,72 @@ def _run_hash(h: np.ndarray, n: int) -> np.ndarray:
     return acc
 
 
-def super_kmers(h: np.ndarray, window: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, minimiser) of each maximal run of windows that share their minimiser."""
+class Plan:
+    """The buckets of each slot: the first, and how many it is split over."""
+
+    def __init__(self, loads: np.ndarray, capacity: int):
+        self.parts = np.maximum(1, -(-loads // capacity)).astype(np.int64)
+        self.parts[self.parts > 1] *= 2  # finer cuts repeat more words
+        self.base, bucket, room = np.zeros(len(loads), np.int64), 0, capacity
+        for slot, (load, parts) in enumerate(zip(loads.tolist(), self.parts.tolist(), strict=True)):
+            if load > room and room < capacity:
+                bucket, room = bucket + 1, capacity
+            self.base[slot] = bucket
+            if parts > 1:
+                bucket, room = bucket + parts, capacity
+            else:
+                room -= load
+        self.buckets = bucket + 1
+
+
+def _slots(least: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((least * _u64(0xD6E8FEB86659FD93)) >> _u64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def super_kmers(h: np.ndarray, window: int, order: int, plan: Plan | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, slot, or with a plan bucket) of each maximal run of windows that belong together."""
     if len(h) < window:
         z = np.zeros(0, np.int64)
-        return z, z, z.astype(_u64)
+        return z, z, z
     least = _sliding_min(_run_hash(h, order), window - order + 1)
-    cut = np.flatnonzero(least[1:] != least[:-1]) + 1
+    slot = _slots(least)
+    change = least[1:] != least[:-1]
+    if plan is not None:
+        where, parts = plan.base[slot], plan.parts[slot]
+        split = parts > 1
+        if split.any():
+            finer = min(FINER, window)
+            finest = _sliding_min(_run_hash(h, finer), window - finer + 1)
+            change = change | (split[1:] & (finest[1:] != finest[:-1]))
+            with np.errstate(over="ignore"):
+                spread = ((finest * _u64(0xA0761D6478BD642F)) >> _u64(32)) % parts.astype(_u64)
+            where = where + np.where(split, spread.astype(np.int64), 0)
+        slot = where
+    cut = np.flatnonzero(change) + 1
     first = np.concatenate([[0], cut])
-    last = np.concatenate([cut - 1, [len(least) - 1]])
-    return first, last, least[first]
+    return first, np.concatenate([cut - 1, [len(least) - 1]]), slot[first]
 
 
-def _packer(window: int, order: int, buckets: int):
+def _surveying(window: int, order: int):
+    """Arrow batches of (text) to one row of bytes to come for each slot that occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(whitespace_separators())
+        loads = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                starts, ends, h = hasher.words(text.encode("utf-8", "surrogatepass") if text else b"")
+                first, last, slot = super_kmers(h, window, order)
+                if len(first):
+                    loads += np.bincount(slot, ends[last + window - 1] - starts[first], 1 << SLOT_BITS).astype(np.int64)
+        used = np.flatnonzero(loads)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(loads[used])], ["slot", "load"])
+
+    return run
+
+
+def _packer(window: int, order: int, plan: Plan):
     """Arrow batches of (k, row, text) to rows of (bucket, blob)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,18 +149,16 @@ def _packer(window: int, order: int, buckets: int):
                 keys.append(bucket)
                 blobs.append(squeeze.compress(raw))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
             for doc, row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = text.encode("utf-8", "surrogatepass") if text else b""
                 starts, ends, h = hasher.words(data)
-                first, last, least = super_kmers(h, window, order)
+                first, last, where = super_kmers(h, window, order, plan)
                 if not len(first):
                     continue
-                with np.errstate(over="ignore"):
-                    spread = ((least * _u64(0xD6E8FEB86659FD93)) >> _u64(40)) % _u64(buckets)
-                for a, b, w, bucket in zip(starts[first].tolist(), ends[last + window - 1].tolist(), first.tolist(), spread.tolist(), strict=True):
+                for a, b, w, bucket in zip(starts[first].tolist(), ends[last + window - 1].tolist(), first.tolist(), where.tolist(), strict=True):
                     s = data[a:b]
                     strings = held.setdefault(bucket, {})
                     places = strings.get(s)
@@ -255,14 +312,22 @@ def _covering(window: int):
     return run
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW, order: int = ORDER, buckets: int | None = None) -> DataFrame:
+def survey(docs: DataFrame, window: int, order: int, capacity: int) -> Plan:
+    """Buckets for the super-k-mers of all texts: small enough for memory, and enough of them for the session's tasks."""
+    found = docs.where("text is not null").select("text").mapInArrow(_surveying(window, order), "slot int, load long").groupBy("slot").agg(F.sum("load").alias("load")).collect()
+    loads = np.zeros(1 << SLOT_BITS, np.int64)
+    for r in found:  # as many rows as there are slots at most
+        loads[r["slot"]] = r["load"]
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Plan(loads, max(1, min(capacity, int(loads.sum()) // (4 * tasks) + 1)))
+
+
+def drop_repeats(docs: DataFrame, window: int = WINDOW, order: int = ORDER, capacity: int = CAPACITY) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 and kept, the words that are left."""
-    spark = docs.sparkSession
-    buckets = buckets or max(BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select("doc_id", "text").select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).cast("long").alias("k"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("row"))
-    packed = base.where("text is not null").select("k", "row", "text").mapInArrow(_packer(window, order, buckets), "bucket int, blob binary")
-    parts = max(1, min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    plan = survey(base, window, order, capacity)
+    packed = base.where("text is not null").select("k", "row", "text").mapInArrow(_packer(window, order, plan), "bucket long, blob binary")
+    dealt = packed.repartition(plan.buckets, "bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(_bucket(window), "doc long, row long, starts array<int>")
     at = found.groupBy("doc", "row").agg(F.flatten(F.collect_list("starts")).alias("starts")).select(F.col("doc").alias("k"), "row", "starts")
     joined = base.join(at, ["k", "row"], "left").select("doc_id", "text", "starts")

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from tallyforge.llm import substrings
 
 
@@ -40,3 +42,27 @@ def test_against_brute_force(spark):
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, bucket int, starts string, row string, k int")
     assert substrings.substring_report(df).count() == 0
+
+
+def test_one_pair_of_words_in_every_window(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"hot pair {rng.choice('abc')}{rng.randrange(4)}" for _ in range(40))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = substrings.survey(df, 13, 2, 2000)
+    assert (plan.parts > 1).any() and plan.buckets > 10
+    got = sorted((tuple(r) for r in substrings.drop_repeats(df, capacity=2000).drop("kept").collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_buckets_hold_no_more_than_their_capacity():
+    loads = np.random.default_rng(0).integers(0, 900, 500)
+    loads[7] = 5000
+    plan = substrings.Plan(loads, 1000)
+    held = np.bincount(plan.base[plan.parts == 1], loads[plan.parts == 1], plan.buckets)
+    assert held.max() <= 1000 and plan.parts[7] == 10 and (plan.base[8:] >= plan.base[7] + 10).all()
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    got = {r.doc_id: r for r in substrings.substring_report(spark.createDataFrame([(1, long), (2, "start " + long)], "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].n_words) == (0, 60_000, 60_001)
