@@ -44,3 +44,39 @@ def test_small_and_empty(spark):
     rows = [(0, [1.0, 0.0], 0, ""), (1, [0.5, 0.5], 0, ""), (1, [0.5, 0.5], 0, ""), (2, [-1.0, 0.0], 0, "")]
     got = sorted((r.rank, r.vec_id, r.score) for r in neighbours.nearest(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(1, 1, 0.5), (2, 2, -1.0)]
+
+
+def test_the_tree_prunes_where_there_are_clusters():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(200, 32))
+    x = centres[rng.integers(0, 200, 12_000)] + 0.2 * rng.normal(size=(12_000, 32))
+    tree = neighbours.Tree(x, leaf=64)
+    asking = rng.permutation(len(x))[:200]
+    visits = neighbours.calibrate(tree, x, asking, 20, 0.94)
+    assert visits < tree.leaves / 8
+    own, hit = tree.assign(x), 0
+    for i in asking:
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        hit += np.isin(own[np.argsort(-scores)[:20]], tree.order(x[i], visits)).sum()
+    assert hit / (20 * len(asking)) >= 0.94
+    less = sum(np.isin(own[np.argsort(-np.where(np.arange(len(x)) == i, -np.inf, x @ x[i]))[:20]], tree.order(x[i], visits - 1)).sum() for i in asking)
+    assert less / (20 * len(asking)) < 0.94
+
+
+def test_blocks_and_lengths(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    monkeypatch.setattr(neighbours, "ASKING", 3)
+    monkeypatch.setattr(neighbours, "CELL", 30)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=6 if i % 3 else 4)], 0, "") for i in range(500)]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, SCHEMA), recall=1.0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    hit = total = 0
+    for length in (4, 6):
+        for i, best in brute([r for r in rows if len(r[1]) == length], 20, 20).items():
+            assert len(got[i]) == 20
+            hit += len({j for _, j in best} & {j for _, j in got[i]})
+            total += 20
+    assert len(got) == 25 and hit / total > 0.95
