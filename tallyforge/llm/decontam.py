@@ -1,21 +1,24 @@
 """Benchmark decontamination: latent semantic retrieval, then longest common subsequences and answer checks.
 
-Method. Texts are cut into overlapping passages. TF-IDF over the hashed terms of the benchmark (frequencies counted over
-all passages; terms that stand in too many are left out) makes a sparse matrix; its leading right singular space comes from a distributed randomised
-SVD: every task adds up A'(A R) for a random R, the sums are merged by aggregation, and the small result is
-orthonormalised with the benchmark's own rows weighted in, so that the space can tell the benchmark's passages apart.
-Passages and benchmark items are projected, and pairs with enough cosine are candidates, for every passage of every
-text. A candidate is verified on the words themselves: the longest common subsequence of the item with the words around
-the passage must cover most of the item, and the item's answer (its last words) must be there too, unless nearly all of
-the item is.
-
-The benchmark is broadcast: it is the set of queries, and its size is checked (``MAX_ITEMS``, beyond which it is worked
-off in blocks of that size). Sums sent on are TERMS x RANK numbers for each task and are added up before the driver sees
-one of them. Nothing of the documents is collected or shuffled but their verdicts.
-
-Defined cases. Null and empty texts: clean. Items that are null or have fewer than ``LEAST_WORDS`` words are ignored,
-equal items are one under the smallest id. Null doc_id: takes part. Repeated rows: same verdict. Empty tables: every
-document is clean; no document gives no row.
+Method. Texts are cut into passages, and passages are rows of a sparse TF-IDF matrix over the benchmark's words (hashed
+into ``TERMS`` columns; document frequencies counted over all passages). The benchmark's own items are rows of it too,
+weighted so that they have as much of its mass as all passages together: the space must tell them apart. A distributed
+randomised SVD gives its leading right singular vectors: every task adds up A'(A R) for a random R, the sums are merged
+by aggregation, Q spans their range, every task adds up (A Q)'(A Q), and the eigenvectors of that small matrix turn Q into
+singular vectors, its eigenvalues being the squares of the singular values. Passages, now overlapping, and items are
+projected, and pairs with enough cosine are candidates, for every passage of every text. A candidate is verified on the words
+themselves: the longest common subsequence of the item with the words around the passage must cover most of the item, and
+the item's answer (its last words) must be there too, unless nearly all of the item is. Items of fewer than ``LEAST_WORDS``
+words say too little to be retrieved by meaning: they are found where they stand whole.
+
+The benchmark is worked off in blocks of ``BLOCK_ITEMS`` items, so what is broadcast is bounded. Sums sent on are TERMS x
+RANK numbers for each task and are added up before the driver sees one of them. Nothing of the documents is collected or
+shuffled but their verdicts.
+
+Defined cases. Null and empty texts: clean. Items that are null or without a word are ignored, equal items are one under
+the smallest id. Null doc_id: takes part. Repeated rows: same verdict. Equal shares of several items: all are given. Very
+long texts are read whole. Empty tables: every document is clean; no document gives no row. Other columns are kept by
+``drop_contaminated``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,43 +30,42 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from tallyforge.llm.common import WordHasher, ascii_nonword_separators
+from tallyforge.llm.common import Lookup, WordHasher, ascii_nonword_separators, boxed, materialise, unboxed
 
 TERMS = 1 << 13
-RANK = 48
+RANK, OVERSAMPLE = 48, 8
 PASSAGE, STRIDE = 32, 8
 COSINE = 0.6
 COVER, PARAPHRASE, ANSWER = 0.85, 0.6, 0.6
 ANSWER_WORDS = 6
 LEAST_WORDS = 8
-#: Share of passages beyond which a term is too common to tell anything; terms that each item keeps all the same.
-COMMON, LEAST_TERMS = 0.02, 6
-MAX_ITEMS = 20_000
+BLOCK_ITEMS = 20_000
+#: The least weight of a term, that of one that stands in nearly every passage.
+LEAST_IDF = 0.05
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
+def _split(text: str) -> list[bytes]:
+    return _WORD.findall(text.lower().encode("utf-8", "surrogatepass"))
+
+
 def _terms(hasher: WordHasher, text: str | None) -> np.ndarray:
     return hasher.words(text.lower().encode("utf-8", "surrogatepass"))[2] if text else np.zeros(0, np.uint64)
 
 
 class Vocabulary:
-    """Hashes of the benchmark's words, each with a column; lookups go through two small direct tables."""
-
-    BITS = 18
+    """Hashes of the benchmark's words, each with a column."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
         self.columns = (words % np.uint64(TERMS)).astype(np.int64)
-        self.tables, rest = [], np.arange(len(words))
-        for shift in (64 - self.BITS, 8):  # what the first table has no room for goes to the second, then to a search
-            slot = (words[rest] >> np.uint64(shift)).astype(np.int64) & ((1 << self.BITS) - 1)
-            table = np.full(1 << self.BITS, -1, np.int32)
-            table[slot] = rest
-            self.tables.append((shift, table))
-            rest = rest[table[slot] != rest]
-        self.rest = np.sort(words[rest])
+        self.lookup = Lookup(words)
+
+    def __reduce__(self):
+        return Vocabulary, (self.words,)
 
     @classmethod
     def of(cls, texts: list[str]) -> Vocabulary:
@@ -72,104 +74,137 @@ class Vocabulary:
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         """Columns of word hashes; -1 for a word that no item has."""
-        out = np.full(len(h), -1)
-        if not len(self.words):
-            return out
-        for shift, table in self.tables:
-            at = table[(h >> np.uint64(shift)).astype(np.int64) & ((1 << self.BITS) - 1)]
-            good = (at >= 0) & (self.words[at] == h)
-            out[good] = self.columns[at[good]]
-        if len(self.rest):
-            at = np.minimum(np.searchsorted(self.rest, h), len(self.rest) - 1)
-            good = self.rest[at] == h
-            out[good] = (h[good] % np.uint64(TERMS)).astype(np.int64)
-        return out
-
-
-def _chunks(batch: pa.RecordBatch, hasher: WordHasher, vocabulary: Vocabulary, most: int = 1 << 19):
-    """(first row, texts, columns of all their words one text after the other, words of each text), by bounded bytes.
+        at = self.lookup(h)
+        return np.where(at >= 0, self.columns[at], -1) if len(self.words) else at
+
+
+def _chunks(column: pa.Array, hasher: WordHasher, most: int = 1 << 19):
+    """(first row, texts, hashes of all their words one text after the other, words of each text), by bounded bytes.
 
     A text is never cut: one longer than the bound is a chunk of its own.
     """
-    column, at = batch.column(batch.num_columns - 1), 0
-    while at < batch.num_rows:
+    at = 0
+    while at < len(column):
         texts, size, first = [], 0, at
-        while at < batch.num_rows and (not texts or size < most):
+        while at < len(column) and (not texts or size < most):
             texts.append(column[at].as_py() or "")
             size += len(texts[-1])
             at += 1
         parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
         starts, _, h = hasher.words(b"\n".join(parts))
         edges = np.cumsum([0, *[len(x) + 1 for x in parts]])
-        yield first, texts, vocabulary(h), np.diff(np.searchsorted(starts, edges))
+        yield first, texts, h, np.diff(np.searchsorted(starts, edges))
 
 
-def _windows(n: int) -> np.ndarray:
-    """Starts of the passages of a text of n words; the last one ends with the text."""
-    if n <= PASSAGE:
-        return np.zeros(1, np.int64)
-    starts = np.arange(0, n - PASSAGE + 1, STRIDE)
-    return starts if starts[-1] == n - PASSAGE else np.append(starts, n - PASSAGE)
+def _passage_of(sizes: np.ndarray) -> np.ndarray:
+    """For each word of texts that follow each other, the number of its passage among passages that do not overlap."""
+    per = -(-sizes // PASSAGE)
+    first = np.cumsum(per) - per
+    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.repeat(first, sizes) + inside // PASSAGE
 
 
-def _counting(vocabulary):
-    """Passages in all (column TERMS), and how often each column occurs."""
+def _counted(row: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries (row, column, count) of (row, column) occurrences, in order."""
+    key, n = np.unique(row * TERMS + columns, return_counts=True)
+    return key // TERMS, key % TERMS, n
+
+
+def _encoding(vocabulary: Vocabulary):
+    """Texts to the counts of their passages' known words: a row for each chunk, of entries in order, and its passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(ascii_nonword_separators())
-        count = np.zeros(TERMS + 1, np.int64)
         for batch in batches:
-            for _, _, columns, sizes in _chunks(batch, hasher, vocabulary):
-                count[:TERMS] += np.bincount(columns[columns >= 0], minlength=TERMS)
-                count[TERMS] += int((-(-sizes // PASSAGE)).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(count), pa.int32()), pa.array(count[count > 0], pa.int64())], ["column", "n"])
+            for _, _, h, sizes in _chunks(batch.column(0), hasher):
+                columns = vocabulary(h)
+                known = columns >= 0
+                r, c, n = _counted(_passage_of(sizes)[known], columns[known])
+                parts = [np.diff(r, prepend=0).astype("<u4"), c.astype("<u2"), np.minimum(n, 255).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([pa.array([int((-(-sizes // PASSAGE)).sum())], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], ["passages", "r", "c", "n"])
 
     return run
 
 
-def _passage_of(sizes: np.ndarray) -> np.ndarray:
-    """For each word of texts that follow each other, the number of its passage among passages that do not overlap."""
-    per = -(-sizes // PASSAGE)
-    first = np.cumsum(per) - per
-    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.repeat(first, sizes) + inside // PASSAGE
+_ENCODED = "passages long, r binary, c binary, n binary"
 
 
-def _weights(row: np.ndarray, columns: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """TF-IDF entries (row, column, value) of (row, column) occurrences, rows of length one."""
-    key, n = np.unique(row * TERMS + columns, return_counts=True)
-    r, c = key // TERMS, key % TERMS
+def _entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for r, c, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        if c:
+            yield np.cumsum(np.frombuffer(r, "<u4").astype(np.int64)), np.frombuffer(c, "<u2").astype(np.int64), np.frombuffer(n, np.uint8)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages that hold each column; column TERMS: all passages; column TERMS + 1: those that hold any."""
+    count = np.zeros(TERMS + 2, np.int64)
+    for batch in batches:
+        count[TERMS] += int(np.sum(batch.column(3).to_numpy()))
+        for r, c, _ in _entries(batch):
+            count[:TERMS] += np.bincount(c, minlength=TERMS)
+            count[TERMS + 1] += 1 + int(np.count_nonzero(np.diff(r)))
+    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(count), pa.int32()), pa.array(count[count > 0], pa.int64())], ["column", "n"])
+
+
+def weights(r: np.ndarray, c: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows numbered from 0 without gaps, TF-IDF values) of entries in order of row; rows have length one."""
+    row = np.concatenate([[0], np.cumsum(r[1:] != r[:-1])])
     v = (1 + np.log(n)) * idf[c]
-    length = np.sqrt(np.bincount(r, v * v))
-    return r, c, (v / np.maximum(length[r], 1e-12)).astype(np.float32)
+    return row, (v / np.sqrt(np.bincount(row, v * v))[row]).astype(np.float32)
+
+
+def _times(row: np.ndarray, c: np.ndarray, v: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """The sparse matrix times ``dense``."""
+    cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    return np.add.reduceat(dense[c] * v[:, None], cut, axis=0)
 
 
-def _sketching(vocabulary, idf, test):
-    """A'(A R) over a task's passages, as one row of TERMS x RANK numbers for each column that occurs."""
+def _back(total: np.ndarray, row: np.ndarray, c: np.ndarray, v: np.ndarray, y: np.ndarray) -> None:
+    """Adds the transposed sparse matrix times ``y`` to ``total``."""
+    order = np.argsort(c, kind="stable")
+    at = c[order]
+    cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    total[at[cut]] += np.add.reduceat(y[row[order]] * v[order][:, None], cut, axis=0)
+
+
+def _sketching(idf: np.ndarray, test: np.ndarray):
+    """A'(A R) over a task's passages, as one row of numbers for each column that occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(ascii_nonword_separators())
         total = np.zeros((TERMS, test.shape[1]))
-        seen = np.zeros(TERMS, bool)
         for batch in batches:
-            for _, _, columns, sizes in _chunks(batch, hasher, vocabulary):
-                known = columns >= 0
-                if not known.any():
-                    continue
-                r, c, v = _weights(_passage_of(sizes)[known], columns[known], idf)
-                cut = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                y = np.add.reduceat(test[c] * v[:, None], cut, axis=0)
-                back = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(r))))
-                order = np.argsort(c, kind="stable")
-                at = np.flatnonzero(np.concatenate([[True], c[order][1:] != c[order][:-1]]))
-                total[c[order][at]] += np.add.reduceat(y[back[order]] * v[order][:, None], at, axis=0)
-                seen[c] = True
-        used = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(list(total[used].astype(np.float64)), pa.list_(pa.float64()))], ["column", "sums"])
+            for r, c, n in _entries(batch):
+                row, v = weights(r, c, n, idf)
+                _back(total, row, c, v, _times(row, c, v, test))
+        used = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(list(total[used]), pa.list_(pa.float64()))], ["row", "sums"])
 
     return run
 
 
+def _squaring(idf: np.ndarray, basis: np.ndarray):
+    """(A Q)'(A Q) over a task's passages, as a row for each of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((basis.shape[1], basis.shape[1]))
+        for batch in batches:
+            for r, c, n in _entries(batch):
+                row, v = weights(r, c, n, idf)
+                y = _times(row, c, v, basis)
+                total += y.T @ y
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["row", "sums"])
+
+    return run
+
+
+def _added(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of the tasks' matrices; the driver gets as many numbers as one of them has."""
+    out = np.zeros(shape)
+    for r in parts.select("row", F.posexplode("sums").alias("k", "x")).groupBy("row", "k").agg(F.sum("x").alias("x")).collect():
+        out[r["row"], r["k"]] = r["x"]
+    return out
+
+
 def common_subsequence(a: list, b: list) -> list[tuple[int, int]]:
     """Places (in a, in b) of a longest common subsequence."""
     ids: dict = {}
@@ -208,134 +243,171 @@ def verdict(item: list, words: list) -> float:
     return share if share >= COVER or said >= ANSWER * len(answer) else 0.0
 
 
-def _judging(vocabulary, idf, space, items: list[tuple[int, str]]):
+class Items:
+    """A block of items, ready to be looked for: words, vectors, columns, and the short ones by length."""
+
+    def __init__(self, items: list[tuple[int, str]], vocabulary: Vocabulary, idf: np.ndarray, space: np.ndarray):
+        hasher = WordHasher(ascii_nonword_separators())
+        words = [(i, _split(t)) for i, t in items]
+        long = [(i, w, t) for (i, w), (_, t) in zip(words, items, strict=True) if len(w) >= LEAST_WORDS]
+        self.ids, self.words = [i for i, _, _ in long], [w for _, w, _ in long]
+        columns = [vocabulary(_terms(hasher, t)) for _, _, t in long]
+        self.columns = [np.unique(c) for c in columns]
+        self.vectors = np.zeros((len(long), space.shape[1]), np.float32)
+        for n, c in enumerate(columns):
+            k, count = np.unique(c, return_counts=True)
+            self.vectors[n] = ((1 + np.log(count)) * idf[k]) @ space[k]
+        self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
+        # a passage over half of an item or all of it has at least so much weight in known words
+        self.least = PARAPHRASE * min((float(idf[c].sum()) * min(1.0, PASSAGE / (2 * len(c))) for c in columns), default=0.0)
+        self.short: dict[int, dict[tuple[bytes, ...], int]] = {}
+        for i, w in words:
+            if 0 < len(w) < LEAST_WORDS:
+                self.short.setdefault(len(w), {}).setdefault(tuple(w), i)
+        self.runs = {n: np.sort(np.array([_runs(_terms(hasher, b" ".join(w).decode("utf-8", "surrogatepass")), n)[0] for w in known])) for n, known in self.short.items()}
+
+
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n words that follow each other."""
+    out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            out = (out ^ h[i : i + len(out)]) * np.uint64(0x9FB21C651E98DF25)
+            out ^= out >> np.uint64(29)
+    return out
+
+
+def _windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the overlapping passages of texts that follow each other; the last one ends with its text."""
+    spare = np.maximum(sizes - PASSAGE, 0)
+    count = np.where(sizes > 0, 1 + -(-spare // STRIDE), 0)
+    text = np.repeat(np.arange(len(sizes)), count)
+    inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    offset = (np.cumsum(sizes) - sizes)[text]
+    start = offset + np.minimum(inside * STRIDE, spare[text])
+    return text, start, np.minimum(start + PASSAGE, offset + sizes[text])
+
+
+def _judging(vocabulary: Vocabulary, idf: np.ndarray, space: np.ndarray, items: list[tuple[int, str]]):
     """Rows whose last column is the text, to the same columns without it and the verdict."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(ascii_nonword_separators())
-        words = [_WORD.findall(t.lower().encode("utf-8", "surrogatepass")) for _, t in items]
-        vectors = np.zeros((len(items), space.shape[1]), np.float32)
-        rarest = []
-        for n, (_, t) in enumerate(items):
-            columns = vocabulary(_terms(hasher, t))
-            columns = columns[columns >= 0]
-            weight = np.bincount(columns, minlength=TERMS)
-            v = np.where(weight > 0, 1 + np.log(np.maximum(weight, 1)), 0) * idf
-            vectors[n] = (v / max(np.linalg.norm(v), 1e-12)) @ space
-            rarest.append(np.unique(columns))
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        weighted = (space * idf[:, None]).astype(np.float32)
-        # a passage that holds enough of some item has at least so much weight in known words
-        masses = []
-        for (_, t), w in zip(items, words, strict=True):
-            c = vocabulary(_terms(hasher, t))
-            masses.append(float(np.where(c >= 0, idf[c], 0.0).sum() * min(1.0, PASSAGE / (2 * len(w)))))
-        least_mass = PARAPHRASE * min(masses, default=0.0)
-
-        def look(text: str, columns: np.ndarray) -> dict[int, float]:
-            """Items found in a text, with the share of each that stands there."""
-            hits: dict[int, float] = {}
-            known = columns >= 0
-            if known.sum() < LEAST_TERMS // 2:
-                return hits
-            mass = np.concatenate([[0.0], np.cumsum(np.where(known, idf[columns], 0.0))])
-            starts = _windows(len(columns))
-            ends = np.minimum(starts + PASSAGE, len(columns))
-            heavy = mass[ends] - mass[starts] >= least_mass
-            if not heavy.any():
-                return hits
-            starts, ends = starts[heavy], ends[heavy]
-            # sums over the known words alone, which are few; a passage is the difference of two of them
-            where = np.flatnonzero(known)
-            sums = np.zeros((len(where) + 1, space.shape[1]))
-            np.cumsum(weighted[columns[where]], axis=0, dtype=np.float64, out=sums[1:])
-            p = (sums[np.searchsorted(where, ends)] - sums[np.searchsorted(where, starts)]).astype(np.float32)
-            p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
-            close = p @ vectors.T
-            split = None
-            tried: dict[int, int] = {}
-            for s, n in zip(*(x.tolist() for x in np.nonzero(close >= COSINE)), strict=True):
-                at = int(starts[s])
-                if hits.get(n) == 1.0 or tried.get(n, -1) >= at:
+        wanted = Items(items, vocabulary, idf, space)
+        # one row more, of zeros, for words that no item has
+        weighted = np.concatenate([space * idf[:, None], np.zeros((1, space.shape[1]))]).astype(np.float32)
+        weight = np.append(idf, 0.0)
+
+        def candidates(columns: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+            """(text, first word of a passage, number of an item) of pairs with enough cosine, text by text."""
+            mass = np.concatenate([[0.0], np.cumsum(weight[columns])])
+            text, start, end = _windows(sizes)
+            heavy = mass[end] - mass[start] >= wanted.least
+            text, start, end = text[heavy], start[heavy], end[heavy]
+            most = max(64, min(2048, (1 << 22) // max(1, len(wanted.ids))))
+            for i in range(0, len(start), most):
+                place = start[i : i + most, None] + np.arange(PASSAGE)
+                inside = np.where(place < end[i : i + most, None], columns[np.minimum(place, len(columns) - 1)], TERMS)
+                p = weighted[inside].sum(axis=1)
+                p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
+                which, who = np.nonzero(p @ wanted.vectors.T >= COSINE)
+                yield from zip(text[i + which].tolist(), start[i + which].tolist(), who.tolist(), strict=True)
+
+        for batch in batches:
+            found: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]
+            for first, texts, h, sizes in _chunks(batch.column(batch.num_columns - 1), hasher):
+                if not len(h):
                     continue
-                size = len(words[n])
-                a, b = max(0, at - size), min(len(columns), at + PASSAGE + size)
-                inside = columns[a:b]
-                # the item's terms that stand here bound what a common subsequence can have of them
-                if np.isin(inside[inside >= 0], rarest[n]).sum() < PARAPHRASE * len(rarest[n]) / 2:
+                offset = np.cumsum(sizes) - sizes
+                split: dict[int, list[bytes]] = {}
+
+                def words_of(k, texts=texts, split=split):
+                    if k not in split:
+                        split.clear()
+                        split[k] = _split(texts[k])
+                    return split[k]
+
+                for length, runs in wanted.runs.items():
+                    run_ = _runs(h, length)
+                    for at in np.flatnonzero(np.isin(run_, runs)).tolist():
+                        k = int(np.searchsorted(offset, at, side="right")) - 1
+                        a = at - int(offset[k])
+                        if a + length <= sizes[k] and (i := wanted.short[length].get(tuple(words_of(k)[a : a + length]))) is not None:
+                            found[first + k][i] = 1.0
+                if not wanted.ids:
                     continue
-                if split is None:
-                    split = _WORD.findall(text.lower().encode("utf-8", "surrogatepass"))
-                hits[n] = max(hits.get(n, 0.0), verdict(words[n], split[a:b]))
-                tried[n] = at
-            return hits
-        for batch in batches:
-            found_items, shares = [], []
-            for _, texts, all_columns, sizes in _chunks(batch, hasher, vocabulary):
-                ends_ = np.cumsum(sizes)
-                for text, begin, end in zip(texts, (ends_ - sizes).tolist(), ends_.tolist(), strict=True):
-                    hits = look(text, all_columns[begin:end]) if items else {}
-                    good = sorted((items[n][0], share) for n, share in hits.items() if share > 0)
-                    found_items.append([i for i, _ in good])
-                    shares.append(max((s for _, s in good), default=0.0))
+                columns = vocabulary(h)
+                columns[columns < 0] = TERMS
+                for k, start, n in candidates(columns, sizes):
+                    hits, i, size = found[first + k], wanted.ids[n], len(wanted.words[n])
+                    if hits.get(i) == 1.0:
+                        continue
+                    a = max(0, start - int(offset[k]) - size)
+                    b = min(int(sizes[k]), start - int(offset[k]) + PASSAGE + size)
+                    # words that the item has, wherever they stand, bound a common subsequence
+                    if np.isin(columns[offset[k] + a : offset[k] + b], wanted.columns[n]).sum() < PARAPHRASE * size:
+                        continue
+                    if (share := verdict(wanted.words[n], words_of(k)[a:b])) > 0:
+                        hits[i] = max(share, hits.get(i, 0.0))
             keep = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(found_items, pa.list_(pa.int64())), pa.array(shares, pa.float64())], [*batch.schema.names[:-1], "tf_items", "tf_share"])
+            lists = pa.array([sorted(x) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*keep, lists, pa.array([max(x.values(), default=0.0) for x in found], pa.float64())], [*batch.schema.names[:-1], "tf_items", "tf_share"])
 
     return run
 
 
 def latent_space(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK):
-    """(vocabulary, idf, space): the benchmark's telling terms, their weights over all passages, the singular space.
-
-    A term in more than ``COMMON`` of all passages tells nothing and is dropped, but for each item's LEAST_TERMS rarest.
-    """
+    """(vocabulary, idf, space, singular values): the benchmark's words, their weights, and the leading singular vectors."""
     vocabulary = Vocabulary.of([t for _, t in items])
-    texts = docs.select("text").where("text is not null")
-    counted = texts.mapInArrow(_counting(vocabulary), "column int, n long").groupBy("column").agg(F.sum("n").alias("n")).collect()
-    frequency = np.zeros(TERMS + 1)
-    for r in counted:  # at most TERMS + 1 rows
+    encoded = docs.select("text").where("text is not null").mapInArrow(_encoding(vocabulary), _ENCODED)
+    encoded = materialise(encoded, "passages")
+    entries = encoded.select("r", "c", "n")
+    frequency = np.zeros(TERMS + 2)
+    for r in encoded.select("r", "c", "n", "passages").mapInArrow(_frequencies, "column int, n long").groupBy("column").agg(F.sum("n").alias("n")).collect():
         frequency[r["column"]] = r["n"]
-    idf = np.maximum(np.log((1 + frequency[TERMS]) / (1 + frequency[:TERMS])), 0.05)
+    idf = np.maximum(np.log((1 + frequency[TERMS]) / (1 + frequency[:TERMS])), LEAST_IDF)
     hasher = WordHasher(ascii_nonword_separators())
-    telling = frequency[:TERMS] <= COMMON * frequency[TERMS]
-    for _, t in items:
-        own = np.unique(vocabulary(_terms(hasher, t)))
-        telling[own[np.argsort(-idf[own], kind="stable")[:LEAST_TERMS]]] = True
-    vocabulary = Vocabulary(vocabulary.words[telling[vocabulary.columns]])
-    rng = np.random.default_rng(5)
-    test = rng.normal(size=(TERMS, rank)).astype(np.float32)
-    columns = [c[c >= 0] for c in (vocabulary(_terms(hasher, t)) for _, t in items)]
-    row = np.repeat(np.arange(len(items)), [len(c) for c in columns])
-    r, c, v = _weights(row, np.concatenate(columns) if columns else np.zeros(0, np.int64), idf)
-    own = np.zeros((len(items), TERMS), np.float32)
-    own[r, c] = v
-    # rows of the sums are pre-aggregated per task; the driver gets TERMS x rank numbers
-    sums = texts.mapInArrow(_sketching(vocabulary, idf, test), "column int, sums array<double>")
-    exploded = sums.select("column", F.posexplode("sums").alias("k", "x")).groupBy("column", "k").agg(F.sum("x").alias("x"))
-    sketch = np.zeros((TERMS, rank))
-    for block in exploded.collect():
-        sketch[block["column"], block["k"]] = block["x"]
-    mine = own.T @ (own @ test)
-    if np.linalg.norm(sketch) > 0:
-        sketch *= np.linalg.norm(mine) / np.linalg.norm(sketch) * 0.5
-    space, _ = np.linalg.qr(sketch + mine)
-    return vocabulary, idf.astype(np.float32), space.astype(np.float32)
-
-
-def benchmark_items(benchmark: DataFrame) -> list[tuple[int, str]]:
-    """The items that can be looked for; equal texts once."""
-    rows = benchmark.where("text is not null and item_id is not null").groupBy("text").agg(F.min("item_id").alias("item_id")).orderBy("item_id").collect()
-    return [(r["item_id"], r["text"]) for r in rows if len(_WORD.findall(r["text"].lower().encode("utf-8", "surrogatepass"))) >= LEAST_WORDS]
+    columns = [vocabulary(_terms(hasher, t)) for _, t in items]
+    r, c, n = _counted(np.repeat(np.arange(len(items)), [len(x) for x in columns]), np.concatenate(columns))
+    row, v = weights(r, c, n, idf)
+    mass = max(1.0, frequency[TERMS + 1]) / len(items)
+    width = rank + OVERSAMPLE
+    test = np.random.default_rng(5).normal(size=(TERMS, width)).astype(np.float32)
+    sketch = _added(entries.mapInArrow(_sketching(idf, test), "row int, sums array<double>"), (TERMS, width))
+    own = np.zeros((TERMS, width))
+    _back(own, row, c, v, _times(row, c, v, test))
+    basis, _ = np.linalg.qr(sketch + mass * own)
+    square = _added(entries.mapInArrow(_squaring(idf, basis.astype(np.float32)), "row int, sums array<double>"), (width, width))
+    y = _times(row, c, v, basis)
+    values, vectors = np.linalg.eigh(square + mass * (y.T @ y))
+    top = np.argsort(-values)[:rank]
+    return vocabulary, idf.astype(np.float32), (basis @ vectors[:, top]).astype(np.float32), np.sqrt(np.maximum(values[top], 0.0))
+
+
+def benchmark_items(benchmark: DataFrame, block: int = 0, blocks: int = 1) -> list[tuple[int, str]]:
+    """The items of a block that can be looked for; equal texts once."""
+    rows = benchmark.where("text is not null and item_id is not null").where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(blocks)) == block)
+    found = rows.groupBy("text").agg(F.min("item_id").cast("long").alias("item_id")).orderBy("item_id").collect()
+    return [(r["item_id"], r["text"]) for r in found if _split(r["text"])]
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with tf_items (ids of the items found in the text) and tf_share (the largest share of one found)."""
-    items = benchmark_items(benchmark)
-    if len(items) > MAX_ITEMS:
-        raise ValueError(f"the benchmark has {len(items)} items; call judge for blocks of at most {MAX_ITEMS}")
-    parts = latent_space(docs, items) if items else (Vocabulary.of([]), np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.select("*", F.col("text").alias("tf_text")).mapInArrow(_judging(*parts, items), f"{fields}, tf_items array<long>, tf_share double")
+    """``docs`` with tf_items (ids of the items found in the text) and tf_share (the largest share of one found) at the end."""
+    bench = benchmark.select("item_id", "text")
+    blocks = max(1, -(-bench.where("text is not null").select("text").distinct().count() // BLOCK_ITEMS))
+    kept = StructType([*docs.schema.fields, StructField("tf_items", ArrayType(LongType())), StructField("tf_share", DoubleType())])
+    out = docs.withColumn("tf_items", F.expr("cast(array() as array<bigint>)")).withColumn("tf_share", F.lit(0.0))
+    for block in range(blocks):
+        items = benchmark_items(bench, block, blocks)
+        if not items:
+            continue
+        vocabulary, idf, space, _ = latent_space(docs, items)
+        more = StructType([*kept.fields[:-2], StructField("tf_before", ArrayType(LongType())), StructField("tf_most", DoubleType()), *kept.fields[-2:]])
+        before = out.withColumnsRenamed({"tf_items": "tf_before", "tf_share": "tf_most"}).withColumn("tf_text", F.col("text"))
+        found = before.mapInArrow(_judging(vocabulary, idf, space, items), more)
+        merged = {"tf_items": F.array_sort(F.concat("tf_before", "tf_items")), "tf_share": F.greatest("tf_most", "tf_share")}
+        out = found.select(*docs.columns, *[c.alias(name) for name, c in merged.items()])
+    return out
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -344,4 +416,6 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return judge(docs, benchmark).where(F.size("tf_items") == 0).select(*docs.columns)
+    """The rows of ``docs`` in which no item is found, with all their columns, whatever their names."""
+    rows = boxed(docs, "text")
+    return unboxed(judge(rows, benchmark).where(F.size("tf_items") == 0).drop("tf_items", "tf_share"), docs)
