@@ -20,10 +20,7 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their cross-site boilerplate lines; n_chars follows the text."""
-    cleaned = lines.clean(docs)
-    changed = F.col("tf_removed") > 0
-    new = {"text": F.col("tf_text"), "n_chars": F.when(changed, F.length("tf_text").cast("long")).otherwise(F.col("n_chars"))}
-    return cleaned.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return lines.remove(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
