@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -194,3 +196,12 @@ class Lookup:
             good = known[at] == h[todo]
             out[todo[good]] = self.rest[at[good]]
         return out
+
+
+def one_thread() -> None:
+    """Keeps this process's linear algebra to one thread, where the library can be told: tasks run side by side already."""
+    for path in Path(np.__file__).parents[1].glob("numpy.libs/*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)

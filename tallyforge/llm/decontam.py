@@ -1,7 +1,8 @@
 """Benchmark decontamination: latent semantic retrieval, then longest common subsequences and answer checks.
 
 Method. Texts are cut into passages, and passages are rows of a sparse TF-IDF matrix over the benchmark's words (hashed
-into ``TERMS`` columns; document frequencies counted over all passages). The benchmark's own items are rows of it too,
+into ``TERMS`` columns; document frequencies counted over all passages; the inverse frequency is squared, so that words that
+stand everywhere, which are not left out, do not make passages alike). The benchmark's own items are rows of it too,
 weighted so that they have as much of its mass as all passages together: the space must tell them apart. A distributed
 randomised SVD gives its leading right singular vectors: every task adds up A'(A R) for a random R, the sums are merged
 by aggregation, Q spans their range, every task adds up (A Q)'(A Q), and the eigenvectors of that small matrix turn Q into
@@ -15,8 +16,8 @@ The benchmark is worked off in blocks of ``BLOCK_ITEMS`` items, so what is broad
 RANK numbers for each task and are added up before the driver sees one of them. Nothing of the documents is collected or
 shuffled but their verdicts.
 
-Defined cases. Null and empty texts: clean. Items that are null or without a word are ignored, equal items are one under
-the smallest id. Null doc_id: takes part. Repeated rows: same verdict. Equal shares of several items: all are given. Very
+Defined cases. Null and empty texts: clean. Items that are null or without a word are ignored, items of equal text
+are one under the smallest id. Null doc_id: takes part. Repeated rows: same verdict. Equal shares of several items: all are given. Very
 long texts are read whole. Empty tables: every document is clean; no document gives no row. Other columns are kept by
 ``drop_contaminated``, whatever their names.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from tallyforge.llm.common import Lookup, WordHasher, ascii_nonword_separators, boxed, materialise, unboxed
+from tallyforge.llm.common import Lookup, WordHasher, ascii_nonword_separators, boxed, materialise, one_thread, unboxed
 
 TERMS = 1 << 13
 RANK, OVERSAMPLE = 48, 8
@@ -42,8 +43,10 @@ COVER, PARAPHRASE, ANSWER = 0.85, 0.6, 0.6
 ANSWER_WORDS = 6
 LEAST_WORDS = 8
 BLOCK_ITEMS = 20_000
-#: The least weight of a term, that of one that stands in nearly every passage.
-LEAST_IDF = 0.05
+#: The least inverse frequency of a term, that of one that stands in nearly every passage, and the power that weights take.
+LEAST_IDF, POWER = 0.05, 2
+#: Items whose columns a task keeps at hand as a table.
+TABLES = 1024
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -171,6 +174,7 @@ def _sketching(idf: np.ndarray, test: np.ndarray):
     """A'(A R) over a task's passages, as one row of numbers for each column that occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         total = np.zeros((TERMS, test.shape[1]))
         for batch in batches:
             for r, c, n in _entries(batch):
@@ -186,6 +190,7 @@ def _squaring(idf: np.ndarray, basis: np.ndarray):
     """(A Q)'(A Q) over a task's passages, as a row for each of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         total = np.zeros((basis.shape[1], basis.shape[1]))
         for batch in batches:
             for r, c, n in _entries(batch):
@@ -252,7 +257,7 @@ class Items:
         long = [(i, w, t) for (i, w), (_, t) in zip(words, items, strict=True) if len(w) >= LEAST_WORDS]
         self.ids, self.words = [i for i, _, _ in long], [w for _, w, _ in long]
         columns = [vocabulary(_terms(hasher, t)) for _, _, t in long]
-        self.columns = [np.unique(c) for c in columns]
+        self.columns = columns
         self.vectors = np.zeros((len(long), space.shape[1]), np.float32)
         for n, c in enumerate(columns):
             k, count = np.unique(c, return_counts=True)
@@ -260,10 +265,10 @@ class Items:
         self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
         # a passage over half of an item or all of it has at least so much weight in known words
         self.least = PARAPHRASE * min((float(idf[c].sum()) * min(1.0, PASSAGE / (2 * len(c))) for c in columns), default=0.0)
-        self.short: dict[int, dict[tuple[bytes, ...], int]] = {}
+        self.short: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
         for i, w in words:
             if 0 < len(w) < LEAST_WORDS:
-                self.short.setdefault(len(w), {}).setdefault(tuple(w), i)
+                self.short.setdefault(len(w), {}).setdefault(tuple(w), []).append(i)
         self.runs = {n: np.sort(np.array([_runs(_terms(hasher, b" ".join(w).decode("utf-8", "surrogatepass")), n)[0] for w in known])) for n, known in self.short.items()}
 
 
@@ -292,6 +297,7 @@ def _judging(vocabulary: Vocabulary, idf: np.ndarray, space: np.ndarray, items:
     """Rows whose last column is the text, to the same columns without it and the verdict."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         hasher = WordHasher(ascii_nonword_separators())
         wanted = Items(items, vocabulary, idf, space)
         # one row more, of zeros, for words that no item has
@@ -313,6 +319,20 @@ def _judging(vocabulary: Vocabulary, idf: np.ndarray, space: np.ndarray, items:
                 which, who = np.nonzero(p @ wanted.vectors.T >= COSINE)
                 yield from zip(text[i + which].tolist(), start[i + which].tolist(), who.tolist(), strict=True)
 
+        tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def in_common(n: int, columns: np.ndarray) -> int:
+            """Words that an item and a run of words have in common, each as often as both have it: no common subsequence is longer."""
+            if n not in tables:
+                if len(tables) >= TABLES:
+                    tables.clear()
+                own, count = np.unique(wanted.columns[n], return_counts=True)
+                place = np.full(TERMS + 1, len(own), np.int16)
+                place[own] = np.arange(len(own))
+                tables[n] = place, count
+            place, count = tables[n]
+            return int(np.minimum(np.bincount(place[columns], minlength=len(count) + 1)[:-1], count).sum())
+
         for batch in batches:
             found: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]
             for first, texts, h, sizes in _chunks(batch.column(batch.num_columns - 1), hasher):
@@ -332,20 +352,22 @@ def _judging(vocabulary: Vocabulary, idf: np.ndarray, space: np.ndarray, items:
                     for at in np.flatnonzero(np.isin(run_, runs)).tolist():
                         k = int(np.searchsorted(offset, at, side="right")) - 1
                         a = at - int(offset[k])
-                        if a + length <= sizes[k] and (i := wanted.short[length].get(tuple(words_of(k)[a : a + length]))) is not None:
-                            found[first + k][i] = 1.0
+                        if a + length <= sizes[k]:
+                            found[first + k].update(dict.fromkeys(wanted.short[length].get(tuple(words_of(k)[a : a + length]), []), 1.0))
                 if not wanted.ids:
                     continue
                 columns = vocabulary(h)
                 columns[columns < 0] = TERMS
+                # where an item was looked for last: what overlaps that passage was seen whole, whatever came of it
+                looked: dict[tuple[int, int], int] = {}
                 for k, start, n in candidates(columns, sizes):
                     hits, i, size = found[first + k], wanted.ids[n], len(wanted.words[n])
-                    if hits.get(i) == 1.0:
+                    if hits.get(i) == 1.0 or start < looked.get((k, n), -PASSAGE) + PASSAGE:
                         continue
+                    looked[k, n] = start
                     a = max(0, start - int(offset[k]) - size)
                     b = min(int(sizes[k]), start - int(offset[k]) + PASSAGE + size)
-                    # words that the item has, wherever they stand, bound a common subsequence
-                    if np.isin(columns[offset[k] + a : offset[k] + b], wanted.columns[n]).sum() < PARAPHRASE * size:
+                    if in_common(n, columns[offset[k] + a : offset[k] + b]) < PARAPHRASE * size:
                         continue
                     if (share := verdict(wanted.words[n], words_of(k)[a:b])) > 0:
                         hits[i] = max(share, hits.get(i, 0.0))
@@ -365,7 +387,7 @@ def latent_space(docs: DataFrame, items: list[tuple[int, str]], rank: int = RANK
     frequency = np.zeros(TERMS + 2)
     for r in encoded.select("r", "c", "n", "passages").mapInArrow(_frequencies, "column int, n long").groupBy("column").agg(F.sum("n").alias("n")).collect():
         frequency[r["column"]] = r["n"]
-    idf = np.maximum(np.log((1 + frequency[TERMS]) / (1 + frequency[:TERMS])), LEAST_IDF)
+    idf = np.maximum(np.log((1 + frequency[TERMS]) / (1 + frequency[:TERMS])), LEAST_IDF) ** POWER
     hasher = WordHasher(ascii_nonword_separators())
     columns = [vocabulary(_terms(hasher, t)) for _, t in items]
     r, c, n = _counted(np.repeat(np.arange(len(items)), [len(x) for x in columns]), np.concatenate(columns))

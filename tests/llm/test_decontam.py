@@ -56,3 +56,78 @@ def test_planted_passages(spark):
     assert kept.columns == docs.columns and kept.count() == 300 - len(want) + 2
     assert decontam.decontamination_report(docs.limit(0), bench).count() == 0
     assert decontam.decontamination_report(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_singular_values_equal_numpy(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(20))) for i in range(8)]
+    texts = [" ".join(rng.choice(vocabulary + ["outside"] * 30) for _ in range(rng.randrange(0, 150))) for _ in range(80)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    vocabulary_, weight, space, values = decontam.latent_space(df, items)
+    hasher = WordHasher(ascii_nonword_separators())
+
+    def rows(texts, size):
+        for t in texts:
+            w = t.split()
+            for i in range(0, len(w), size):
+                c = vocabulary_(decontam._terms(hasher, " ".join(w[i : i + size])))
+                x = np.zeros(decontam.TERMS)
+                for k, n in zip(*np.unique(c[c >= 0], return_counts=True), strict=True):
+                    x[k] = (1 + np.log(n)) * weight[k]
+                if x.any():
+                    yield x / np.linalg.norm(x)
+
+    a, b = np.array(list(rows(texts, decontam.PASSAGE))), np.array(list(rows([t for _, t in items], 1000)))
+    passages = sum(-(-len(t.split()) // decontam.PASSAGE) for t in texts)
+    frequency = (a > 0).sum(axis=0)
+    known = frequency > 0
+    assert np.allclose(weight[known], np.maximum(np.log((1 + passages) / (1 + frequency[known])), decontam.LEAST_IDF) ** decontam.POWER, rtol=1e-5)
+    want = np.linalg.svd(np.concatenate([a, np.sqrt(len(a) / len(b)) * b]), compute_uv=False)
+    assert np.allclose(values[:20], want[:20], rtol=0.03) and np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-4)
+
+
+def test_retrieval_finds_what_the_words_say(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("aeioulmnrst") for _ in range(rng.randrange(2, 8))) for _ in range(2000)]
+    common = ["the", "of", "and", "is", "to", "in"]
+    text = lambda n: [rng.choice(common) if rng.random() < 0.5 else rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, text(rng.randrange(10, 70))) for i in range(25)]
+    rows, want = [], {}
+    for i in range(200):
+        w, k = text(rng.randrange(20, 250)), i % 25
+        x = list(items[k][1])
+        for j in rng.sample(range(len(x)), int(len(x) * rng.choice([0, 0.1, 0.2, 0.3]))):
+            x[j] = rng.choice(vocabulary)
+        if i % 2:
+            at = rng.randrange(len(w))
+            w[at:at] = x
+            if decontam.verdict([y.encode() for y in items[k][1]], [y.encode() for y in x]) > 0:
+                want[i] = k
+        rows.append((i, w))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.decontamination_report(docs, bench).collect()}
+    found = sum(k in got[i].item_ids for i, k in want.items())
+    assert len(want) > 80 and found >= 0.98 * len(want), (found, len(want))
+    assert sum(len(r.item_ids) for r in got.values()) - found <= 3
+    for i, w in rows:  # whatever is found stands there by the words
+        for k in got[i].item_ids:
+            x, v = [y.encode() for y in items[k][1]], [y.encode() for y in w]
+            assert any(decontam.verdict(x, v[max(0, a - len(x)) : a + decontam.PASSAGE + len(x)]) > 0 for a in range(len(v)))
+
+
+def test_short_items_blocks_ties_and_clashing_columns(spark, monkeypatch):
+    rng = random.Random(2)
+    text = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    items = [(i, text(20)) for i in range(12)] + [(50, "what is the answer"), (51, "What is the answer!"), (52, "seven words that stand whole in it"), (53, "?!")]
+    rows = [(0, text(50)), (1, text(30) + " " + items[3][1] + " " + items[7][1] + " " + text(9)), (2, text(9) + " What, is: THE answer " + text(9)), (3, text(9) + " what is an answer " + text(9)), (4, "seven words that stand whole in it"), (5, "whole in it seven words that stand"), (6, text(30_000) + " " + items[5][1] + " " + text(30_000))]
+    schema = "doc_id long, text string, tf_text string, tf_items int, `a.b` int"
+    docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], schema)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {0: [], 1: [3, 7], 2: [50, 51], 3: [], 4: [52], 5: [], 6: [5]}
+    assert {r.doc_id: r.item_ids for r in decontam.decontamination_report(docs, bench).collect()} == want
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 4)
+    assert {r.doc_id: r.item_ids for r in decontam.decontamination_report(docs, bench).collect()} == want
+    kept = decontam.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and {r[0] for r in kept.collect()} == {0, 3, 5}
