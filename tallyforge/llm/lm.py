@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Lookup, WordHasher, ascii_nonword_separators, grouped, materialise, word_chunks
+from tallyforge.llm.common import Lookup, WordHasher, ascii_nonword_separators, grouped, materialise, one_thread, word_chunks
 
 SIDE = 2
 EMBED, HIDDEN = 12, 24
-LEAST_SIDE, MOST_SIDE = 8, 256
+LEAST_SIDE, MOST_SIDE = 8, 64
 KNOWN = 131_072
 SHARD, TURNS, RATE = 1 << 21, 2, 0.05
 STEPS, LEAST_BATCH, MOST_BATCH = 512, 128, 4096
@@ -116,9 +116,18 @@ def contexts(codes: np.ndarray, edge: int) -> np.ndarray:
     return np.stack([padded[i : i + n] for i in [*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)]], axis=1)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _powers(h: np.ndarray, a: np.ndarray, b: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(logits, their powers) of h @ a + b; where they can be ``wide``, the largest of each row is taken off first."""
+    z = h @ a
+    z += b
+    if wide:
+        z -= z.max(axis=1, keepdims=True)
+    return z, np.exp(z)
+
+
+def _wide(w: list[np.ndarray]) -> tuple[bool, bool]:
+    """Whether logits of groups, and of members, could be too large for their powers; hidden values are at most one."""
+    return tuple(bool(np.abs(a).sum(axis=-2).max() + np.abs(b).max() > 60) for a, b in ((w[3], w[4]), (w[5], w[6])))
 
 
 def _by_group(group: np.ndarray, side: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -131,42 +140,48 @@ def _by_group(group: np.ndarray, side: int) -> tuple[np.ndarray, list[tuple[int,
 def log_probabilities(w: list[np.ndarray], context: np.ndarray, codes: np.ndarray, side: int) -> np.ndarray:
     """Log probability of each code given its context."""
     e, a, b, c, d, m, n = w
+    wide = _wide(w)
     h = np.tanh(e[context].reshape(len(context), -1) @ a + b)
     group, member = codes // side, codes % side
-    out = _log_softmax(h @ c + d)[np.arange(len(codes)), group].astype(np.float64)
+    z, p = _powers(h, c, d, wide[0])
+    out = (z[np.arange(len(codes)), group] - np.log(p.sum(axis=1))).astype(np.float64)
     order, runs = _by_group(group, side)
     h, member = h[order], member[order]
     inner = np.empty(len(codes))
     for g, i, j in runs:
-        inner[i:j] = _log_softmax(h[i:j] @ m[g] + n[g])[np.arange(j - i), member[i:j]]
+        z, p = _powers(h[i:j], m[g], n[g], wide[1])
+        inner[i:j] = z[np.arange(j - i), member[i:j]] - np.log(p.sum(axis=1))
     out[order] += inner
     return out
 
 
+def _errors(p: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """Gradient of the mean negative log probability by the logits, in place of their powers."""
+    p *= (1 / (size * p.sum(axis=1)))[:, None]
+    p[np.arange(len(right)), right] -= 1 / size
+    return p
+
+
 def gradients(w: list[np.ndarray], context: np.ndarray, codes: np.ndarray, side: int):
     """Gradients of the mean negative log probability: of the shared arrays, and (group, of m[group], of n[group]) of those that occur."""
     e, a, b, c, d, m, n = w
-    size = len(codes)
+    size, wide = len(codes), _wide(w)
     x = e[context].reshape(size, -1)
     h = np.tanh(x @ a + b)
     group, member = codes // side, codes % side
-    g1 = np.exp(_log_softmax(h @ c + d))
-    g1[np.arange(size), group] -= 1
-    g1 /= size
+    g1 = _errors(_powers(h, c, d, wide[0])[1], group, size)
     back = g1 @ c.T
     order, runs = _by_group(group, side)
     hs, ms, inner, touched = h[order], member[order], np.empty_like(h), []
     for g, i, j in runs:
-        g2 = np.exp(_log_softmax(hs[i:j] @ m[g] + n[g]))
-        g2[np.arange(j - i), ms[i:j]] -= 1
-        g2 /= size
+        g2 = _errors(_powers(hs[i:j], m[g], n[g], wide[1])[1], ms[i:j], size)
         touched.append((g, hs[i:j].T @ g2, g2.sum(axis=0)))
         inner[i:j] = g2 @ m[g].T
     back[order] += inner
     back *= 1 - h * h
     into = (back @ a.T).reshape(-1, EMBED)
     flat = context.ravel()
-    ge = np.stack([np.bincount(flat, into[:, k], len(e)) for k in range(EMBED)], axis=1).astype(np.float32)
+    ge = np.stack([np.bincount(flat, into[:, k], len(e)) for k in range(EMBED)], axis=1).astype(e.dtype)
     return (ge, x.T @ back, back.sum(axis=0), h.T @ g1, g1.sum(axis=0)), touched
 
 
@@ -242,6 +257,7 @@ def _training(flat: np.ndarray, side: int, turn: int):
     """Rows of (shard, codes), in order of shard, to blocks of the task's copies, summed and weighted by their cases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         total, cases = np.zeros(len(flat)), 0
 
         def solve(group: pa.Table):
@@ -286,6 +302,7 @@ def _scoring(flat: np.ndarray, side: int):
     """Rows of (doc_id, rid, n, inside, codes) to (doc_id, rid, n, s): the sum of log probabilities but for joined counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         w = parts_of(flat, side)
         for batch in batches:
             held = [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column(4).to_pylist()]
