@@ -6,7 +6,7 @@ Prediction -1 is invalid: wrong, and a miss of the true label, but never a label
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators.prepare import label_spine
@@ -29,53 +29,72 @@ def violations(gold: DataFrame, predictions: DataFrame, tasks: DataFrame) -> Dat
 
 
 def confusion(predictions: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """Counts by keys, task, label and prediction."""
-    return predictions.groupBy(*keys, "task_id", "label", "prediction").agg(F.count("*").alias("n"))
+    """Counts by keys, task, label and prediction; a row without a key's value belongs to the stratum 'unknown'."""
+    text = {n for n, t in predictions.dtypes if t == "string"}
+    named = [F.coalesce(k, F.lit("unknown")).alias(k) if k in text else F.col(k) for k in keys]
+    return predictions.groupBy(*named, "task_id", "label", "prediction").agg(F.count("*").alias("n"))
 
 
 def label_stats(counts: DataFrame, tasks: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Precision, recall and F1 of every valid label, zeros where a denominator is zero.
 
-    Each count goes to its label's row and to its prediction's row, so no join of labels with predictions is needed.
+    Each count goes to its label's row and to its prediction's row, so no join of labels with predictions is needed. A
+    task's labels, few, meet as a map, from which every valid label takes its counts.
     """
-    n = F.col("n")
+    n, zero = F.col("n"), F.lit(0).cast("long")
     hit = F.col("label") == F.col("prediction")
     parts = F.array(
-        F.struct(F.col("label").alias("label"), F.when(hit, n).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("fp"), F.when(hit, 0).otherwise(n).alias("fn")),
-        F.struct(F.when(hit, F.lit(None)).otherwise(F.col("prediction")).alias("label"), F.lit(0).cast("long").alias("tp"), n.alias("fp"), F.lit(0).cast("long").alias("fn")),
+        F.struct(F.col("label").alias("label"), F.when(hit, n).otherwise(zero).alias("tp"), zero.alias("fp"), F.when(hit, zero).otherwise(n).alias("fn"), F.when(F.col("prediction") == -1, n).otherwise(zero).alias("invalid")),
+        F.struct(F.when(hit, F.lit(None)).otherwise(F.col("prediction")).alias("label"), zero.alias("tp"), n.alias("fp"), zero.alias("fn"), zero.alias("invalid")),
     )
-    sums = counts.select(*keys, "task_id", F.inline(parts)).where("label >= 0").groupBy(*keys, "task_id", "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    spine = counts.select(*keys, "task_id").distinct().join(label_spine(tasks), "task_id")
-    s = spine.join(sums, [*keys, "task_id", "label"], "left").fillna(0, ["tp", "fp", "fn"])
+    names = ["tp", "fp", "fn", "invalid"]
+    sums = counts.select(*keys, "task_id", F.inline(parts)).where("label >= 0").groupBy(*keys, "task_id", "label").agg(*[F.sum(c).alias(c) for c in names])
+    held = sums.groupBy(*keys, "task_id").agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct(*names)))).alias("m"))
+    every = F.inline(F.transform("answers", lambda a, i: F.struct(i.alias("label"), *[F.coalesce(F.col("m")[i][c], zero).alias(c) for c in names])))
+    s = held.join(tasks.select("task_id", "question", "category", "answers"), "task_id").select(*keys, "task_id", "question", "category", every)
 
     def ratio(a, b):
         return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return s.select(*keys, "task_id", "question", "category", "label", "tp", "fp", "fn", (tp + fn).alias("support"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    return s.select(*keys, "task_id", "question", "category", "label", *names, (tp + fn).alias("support"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+def _by_task(stats: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    sums = [F.sum("support").alias("n"), F.sum("tp").alias("correct"), F.sum("invalid").alias("invalid"), F.avg("f1").alias("macro_f1")]
+    return stats.groupBy(*keys, "task_id", "question", "category").agg(*sums, *more)
 
 
 def task_metrics(counts: DataFrame, tasks: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
     """Per task: rows, accuracy, share of invalid predictions, macro F1 over all valid labels."""
-    n = F.col("n")
-    rows = counts.groupBy(*keys, "task_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label") == F.col("prediction"), n).otherwise(0)).alias("correct"), F.sum(F.when(F.col("prediction") == -1, n).otherwise(0)).alias("invalid"))
-    f1 = label_stats(counts, tasks, keys).groupBy(*keys, "task_id", "question", "category").agg(F.avg("f1").alias("macro_f1"))
-    return rows.join(f1, [*keys, "task_id"]).withColumns({"accuracy": F.col("correct") / F.col("n"), "invalid_rate": F.col("invalid") / F.col("n")})
+    rows = _by_task(label_stats(counts, tasks, keys), keys)
+    return rows.withColumns({"accuracy": F.col("correct") / F.col("n"), "invalid_rate": F.col("invalid") / F.col("n")})
 
 
 def score(counts: DataFrame, tasks: DataFrame, cover: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """The report, one row per key: primary and parent macro F1 over eligible tasks, pooled accuracy, rare labels."""
-    flags = cover.select("task_id", "eligible", "rare_labels")
-    m = task_metrics(counts, tasks, keys).join(flags, "task_id")
-    eligible = F.when(F.col("eligible"), F.col("macro_f1"))
-    pooled = m.groupBy(*keys).agg(F.avg(eligible).alias("question_macro_f1"), (F.sum("correct") / F.sum("n")).alias("accuracy"), (F.sum("invalid") / F.sum("n")).alias("invalid_rate"), F.sum("n").alias("n"), F.count(eligible).alias("eligible_tasks"))
-    parent = m.where("eligible").groupBy(*keys, "question").agg(F.avg("macro_f1").alias("f")).groupBy(*keys).agg(F.avg("f").alias("parent_macro_f1"))
-    rare_rows = counts.join(flags, "task_id").where(F.array_contains("rare_labels", F.col("label")))
-    rare = rare_rows.groupBy(*keys).agg(F.sum("n").alias("rare_n"), (F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)) / F.sum("n")).alias("rare_accuracy"))
-    recall = label_stats(counts, tasks, keys).join(flags, "task_id").where(F.array_contains("rare_labels", F.col("label")) & (F.col("support") > 0)).groupBy(*keys).agg(F.avg("recall").alias("rare_macro_recall"))
-    if keys:
-        return pooled.join(parent, keys, "left").join(rare, keys, "left").join(recall, keys, "left").fillna(0, ["rare_n"])
-    return pooled.join(parent, how="left", on=F.lit(True)).join(rare, how="left", on=F.lit(True)).join(recall, how="left", on=F.lit(True)).fillna(0, ["rare_n"])
+    """The report, one row per key: primary and parent macro F1 over eligible tasks, pooled accuracy, rare labels.
+
+    The counts are read once; labels become tasks, tasks become questions, questions the report. Without keys and
+    without rows the report is one row with n = 0.
+    """
+    stats = label_stats(counts, tasks, keys).join(cover.select("task_id", "eligible", "rare_labels"), "task_id")
+    rare = F.array_contains("rare_labels", F.col("label"))
+    recall = F.when(rare & (F.col("support") > 0), F.col("recall"))
+    m = _by_task(stats, keys, F.first("eligible").alias("eligible"), F.sum(F.when(rare, F.col("support"))).alias("rare_n"), F.sum(F.when(rare, F.col("tp"))).alias("rare_correct"), F.sum(recall).alias("recalls"), F.count(recall).alias("recalled"))
+    total = ["n", "correct", "invalid", "rare_n", "rare_correct", "recalls", "recalled"]
+    f1 = F.when(F.col("eligible"), F.col("macro_f1"))
+    q = m.groupBy(*keys, "question").agg(F.sum(f1).alias("f1"), F.count(f1).alias("eligible_tasks"), F.avg(f1).alias("parent"), *[F.sum(c).alias(c) for c in total])
+    r = q.groupBy(*keys).agg(F.sum("f1").alias("f1"), F.coalesce(F.sum("eligible_tasks"), F.lit(0)).alias("eligible_tasks"), F.avg("parent").alias("parent_macro_f1"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in total])
+    return r.select(
+        *keys, F.try_divide("f1", "eligible_tasks").alias("question_macro_f1"), F.try_divide("correct", "n").alias("accuracy"), F.try_divide("invalid", "n").alias("invalid_rate"), "n", "eligible_tasks", "parent_macro_f1",
+        "rare_n", F.try_divide("rare_correct", "rare_n").alias("rare_accuracy"), F.try_divide("recalls", "recalled").alias("rare_macro_recall"),
+    )
+
+
+def without_overlap(predictions: DataFrame, flag: str = "train_overlap") -> DataFrame:
+    """Rows that training has not seen; none at all where some row does not say whether it has."""
+    silent = predictions.agg(F.count(F.when(F.col(flag).isNull(), 1)).alias("tf_silent"))  # one row
+    return predictions.join(F.broadcast(silent), F.col("tf_silent") == 0).where(~F.col(flag)).drop("tf_silent")
 
 
 def missing_tasks(predictions: DataFrame, cover: DataFrame) -> DataFrame:
@@ -137,18 +156,8 @@ def rare_support_strata(predictions: DataFrame, cells: DataFrame, cover: DataFra
     return rows.groupBy(bucket.alias("support")).agg(F.count("*").alias("n"), F.count(F.when(F.col("label") == F.col("prediction"), 1)).alias("correct"))
 
 
-def ordered(rows: DataFrame, key: str = "example_id") -> DataFrame:
-    """Rows in canonical order."""
-    return rows.orderBy(key)
-
-
 def prefix_resume(done: DataFrame, wanted: DataFrame, key: str = "example_id", position: str = "pos") -> DataFrame:
     """Where to go on: rows done, whether they are exactly the first of the wanted ones, and the next position."""
     d = done.groupBy(key).agg(F.count("*").alias("times"))
     w = wanted.select(key, position).join(d, key, "full_outer")
     return w.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("done"), F.count(F.when(F.col("times").isNotNull(), 1)).alias("distinct_done"), F.max(F.when(F.col("times").isNotNull(), F.col(position))).alias("last"), F.count(F.when(F.col(position).isNull(), 1)).alias("foreign")).select("done", ((F.col("foreign") == 0) & (F.col("done") == F.col("distinct_done")) & (F.coalesce("last", F.lit(-1)) == F.col("done") - 1)).alias("is_prefix"), F.col("done").alias("next_position"))
-
-
-def top_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each group."""
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("rn = 1").drop("rn")
