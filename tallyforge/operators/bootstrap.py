@@ -61,6 +61,24 @@ def accuracy_replicates(systems: DataFrame, weights: DataFrame) -> DataFrame:
     return w.withColumn("difference", F.col("right") - F.col("left"))
 
 
+def missing_tasks(systems: DataFrame, weights: DataFrame, cover: DataFrame) -> DataFrame:
+    """(replicates, replicates_missing_tasks): how many there are, and in how many some eligible task with rows had no weight."""
+    clusters = systems.join(cover.where("eligible").select("task_id"), "task_id", "left_semi").select("task_id", "agreement_id").distinct()
+    whole = clusters.agg(F.count_distinct("task_id").alias("whole"))
+    drawn = clusters.join(weights, "agreement_id").groupBy("rep").agg(F.count_distinct("task_id").alias("tasks"))
+    every = weights.select("rep").distinct().join(drawn, "rep", "left").join(F.broadcast(whole))  # one row
+    return every.agg(F.count("*").alias("replicates"), F.count(F.when(F.coalesce("tasks", F.lit(0)) < F.col("whole"), 1)).alias("replicates_missing_tasks"))
+
+
+def rare_recall_replicates(systems: DataFrame, weights: DataFrame, cover: DataFrame) -> DataFrame:
+    """(rep, left, right, difference) for the recall of rare labels; a replicate without a rare row has nulls."""
+    rare = systems.join(cover.select("task_id", "rare_labels"), "task_id").where(F.array_contains("rare_labels", F.col("label")))
+    n = rare.groupBy("system", "agreement_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("label") == F.col("prediction"), 1)).alias("k"))
+    total = lambda s, c: F.sum(F.when(F.col("system") == s, F.col("w") * F.col(c)))
+    w = weights.select("rep").distinct().join(n.join(weights, "agreement_id").groupBy("rep").agg(*[F.try_divide(total(s, "k"), total(s, "n")).alias(s) for s in ("left", "right")]), "rep", "left")
+    return w.withColumn("difference", F.col("right") - F.col("left"))
+
+
 def interval(reps: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """(statistic, low, high): percentiles over replicates."""
     long = reps.unpivot(["rep"], ["left", "right", "difference"], "statistic", "x")

@@ -31,9 +31,11 @@ def binary_target(subquestion: Column, answer: Column) -> tuple[Column, Column]:
 
 
 def task_schema(rows: DataFrame) -> DataFrame:
-    """Per task: its attributes, how many values each has, and the ordered answers."""
+    """Per task: its attributes (question, subquestion, category and, where there is one, text type), how many different
+    combinations of them it has, and the ordered answers."""
     pairs = F.array_sort(F.collect_set(F.struct("label", "target")))
-    return rows.groupBy("task_id").agg(F.min("question").alias("question"), F.min("subquestion").alias("subquestion"), F.min("category").alias("category"), F.count_distinct("question", "subquestion", "category").alias("n_attributes"), pairs.alias("pairs")).withColumn("answers", F.transform("pairs", lambda p: p["target"]))
+    attributes = [F.coalesce(c, F.lit("")) for c in ("question", "subquestion", "category", "text_type") if c in rows.columns]
+    return rows.groupBy("task_id").agg(F.min("question").alias("question"), F.min("subquestion").alias("subquestion"), F.min("category").alias("category"), F.size(F.collect_set(F.struct(*attributes))).alias("n_attributes"), pairs.alias("pairs")).withColumn("answers", F.transform("pairs", lambda p: p["target"]))
 
 
 def schema_violations(rows: DataFrame, least: int = 2, most: int = 26) -> DataFrame:
@@ -132,6 +134,17 @@ def length_bucket(tokens: Column) -> Column:
     return F.when(F.coalesce(tokens, F.lit(0)) == 0, "unknown").when(tokens <= 1024, "0-1024").when(tokens <= 2048, "1025-2048").when(tokens <= 4096, "2049-4096").otherwise("4097+")
 
 
+def row_json(columns: list[str]) -> Column:
+    """The JSON of a row with its keys in order, whatever the order of its columns."""
+    return F.struct(*sorted(columns))
+
+
+def restore(rows: DataFrame, assignment: DataFrame, excluded: DataFrame, present: DataFrame) -> DataFrame:
+    """The rows of the splits that are not ``present`` (split), under the assignment that is there: never a new one."""
+    missing = assignment.join(F.broadcast(present.select("split").distinct()), "split", "left_anti")  # a handful of splits
+    return rows.join(missing, "agreement_id").join(excluded.select("example_id"), "example_id", "left_anti")
+
+
 def content_id(name: Column, number: Column, row: Column) -> Column:
     """name:row:hash of the row's JSON."""
     return F.concat_ws(":", name, number.cast("string"), F.substring(F.sha2(F.to_json(row), 256), 1, 16))

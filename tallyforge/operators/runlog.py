@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,29 @@ from pyspark.sql import functions as F
 def seeded_order(rows: DataFrame, seed: str, epoch: int, key: str = "example_id") -> DataFrame:
     """Rows with pos, their place in a seeded order of the epoch."""
     h = F.sha2(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(key).cast("string")), 256)
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy(h)) - 1)
+    return positions(rows.withColumn("tf_h", h), ["tf_h"]).drop("tf_h")
+
+
+def positions(rows: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """Rows with pos, their place in the order of the columns, without sorting all of them in one task.
+
+    Rows are dealt by ranges of the first column's own first bytes; places inside a range start after the rows of all
+    ranges before it, of which there are few.
+    """
+    n = parts or 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = rows.select(F.min(order[0]).alias("low")).schema[0].dataType.typeName()
+    # hashes are even over their first digits; other keys are dealt by their quantiles
+    if first == "string":
+        bucket = F.floor(F.conv(F.substring(order[0], 1, 8), 16, 10).cast("double") / (2.0**32 / n)).cast("int")
+    else:
+        edges = rows.approxQuantile(order[0], [i / n for i in range(1, n)], 0.5 / n)
+        bucket = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(order[0]))) if edges else F.lit(0)
+    dealt = rows.withColumn("tf_bucket", bucket)
+    counts = dealt.groupBy("tf_bucket").agg(F.count("*").alias("tf_n"))
+    before = F.coalesce(F.sum("tf_n").over(Window.orderBy("tf_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("tf_bucket", before.alias("tf_before")))  # one row for each of the parts
+    place = F.row_number().over(Window.partitionBy("tf_bucket").orderBy(*order)) - 1
+    return dealt.join(starts, "tf_bucket").withColumn("pos", (place + F.col("tf_before")).cast("long")).drop("tf_bucket", "tf_before")
 
 
 def numpy_order(spark: SparkSession, n: int, seed: int, epoch: int) -> DataFrame:
@@ -115,9 +139,30 @@ def longest_row(rows: DataFrame, tokens: str = "prompt_tokens", key: str = "exam
 
 
 def sequence_hash(rows: DataFrame, key: str, position: str, groups: list[str]) -> DataFrame:
-    """Per group the hash of its ids in order, one per line."""
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(position, F.col(key).cast("string").alias("id")))), lambda s: s["id"]), "\n")
-    return rows.groupBy(*groups).agg(F.sha2(ids, 256).alias("sequence_sha256"), F.count("*").alias("n"))
+    """Per group the hash of its ids in order, one per line: rows stream through it in order, group by group.
+
+    A hash of a sequence is taken in one go, so a group is one task's work, but never one row: the hash takes the ids as
+    they come.
+    """
+    out = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in groups) + ", sequence_sha256 string, n long"
+    dealt = rows.select(*groups, position, F.col(key).cast("string").alias("tf_id")).repartition(*groups).sortWithinPartitions(*groups, position)
+
+    def walk(frames):
+        now, digest, n = None, None, 0
+        for f in frames:
+            done = []
+            for *group, _, id_ in f.itertuples(index=False):
+                if group != now:
+                    if now is not None:
+                        done.append((*now, digest.hexdigest(), n))
+                    now, digest, n = group, hashlib.sha256(), 0
+                digest.update(("\n" if n else "").encode() + id_.encode())
+                n += 1
+            yield pd.DataFrame(done, columns=[*groups, "sequence_sha256", "n"])
+        if now is not None:
+            yield pd.DataFrame([(*now, digest.hexdigest(), n)], columns=[*groups, "sequence_sha256", "n"])
+
+    return dealt.mapInPandas(walk, out)
 
 
 def pad(rows: DataFrame, tokens: str, batch: str, value: int) -> DataFrame:

@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import json
+import platform
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this machine where a local session has none."""
+    """The folder in spark.checkpoint.dir; one of this machine where a local session has none, an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -77,8 +82,6 @@ def verified_gzip(spark: SparkSession, manifest: DataFrame, path: str) -> DataFr
     files = spark.read.format("binaryFile").load(path).select("path", "content").join(manifest, "path")
 
     def open_(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
         for f in frames:
             for r in f.itertuples(index=False):
                 if hashlib.sha256(r.content).hexdigest() != r.gzip_sha256:
@@ -99,11 +102,62 @@ def unsafe_members(content: bytes) -> list[str]:
     return [n for n in zipfile.ZipFile(io.BytesIO(content)).namelist() if n.startswith("/") or ".." in n.split("/")]
 
 
-def with_line_numbers(df: DataFrame, order: Column, first: int = 2) -> DataFrame:
-    """Rows numbered from ``first`` in a stated order."""
-    from pyspark.sql import Window
+def with_line_numbers(df: DataFrame, order: str, first: int = 2) -> DataFrame:
+    """Rows numbered from ``first`` in the order of a column, range by range."""
+    from tallyforge.operators.runlog import positions
+
+    return positions(df, [order]).withColumn("row_number", F.col("pos") + first).drop("pos")
+
+
+def write_json(spark: SparkSession, document: dict, path: str) -> None:
+    """A small document as JSON, indented, non-ASCII kept; written aside and renamed, so readers see all or nothing."""
+    text = json.dumps(document, indent=2, ensure_ascii=False, allow_nan=False) + "\n"
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(aside, True)
+    try:
+        out.write(bytearray(text.encode("utf-8", "surrogatepass")))
+    finally:
+        out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    if not fs.rename(aside, target):
+        raise OSError(f"cannot rename to {path}")
+
+
+def config_hash(config: dict) -> str:
+    """The hash of a configuration, whatever the order of its keys."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
+
+
+def run_metadata(spark: SparkSession, config: dict, code_commit: str, code_dirty: bool | None, files: dict[str, str]) -> DataFrame:
+    """One row that says where a result comes from: configuration and its hash, code, platform, hashes of named inputs.
+
+    ``files`` maps a name to the path of a file, or of a folder of which each file counts, in order.
+    """
+    row = {"config": json.dumps(config, sort_keys=True), "config_sha256": config_hash(config), "platform": platform.platform(), "spark": spark.version, "code_commit": code_commit, "code_dirty": code_dirty}
+    for name, path in files.items():
+        found = file_hashes(spark, path).select(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: x["sha256"]), "\n"), 256).alias("h"), F.count("*").alias("n"), F.max("sha256").alias("one")).first()
+        row[f"{name}_sha256"] = found["one"] if found["n"] == 1 else found["h"]
+    types = {"code_dirty": "boolean"}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {types.get(k, 'string')}" for k in row))
+
+
+def missing_splits(spark: SparkSession, path: str, splits: list[str]) -> list[str]:
+    """Which splits a folder written by ``write_splits`` does not have."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s for s in splits if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/split={s}"))]
+
 
-    return df.withColumn("row_number", F.row_number().over(Window.orderBy(order)) + (first - 1))
+def write_missing(df: DataFrame, path: str, splits: list[str], key: str = "example_id") -> list[str]:
+    """Writes the rows of missing splits and leaves the others as they are; the splits written."""
+    todo = missing_splits(df.sparkSession, path, splits)
+    if todo:
+        df.where(F.col("split").isin(todo)).repartition("split", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("split", key).write.mode("append").partitionBy("split").parquet(path)
+    return todo
 
 
 def same_identity(a: DataFrame, b: DataFrame) -> DataFrame:
