@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Limits:
+    """Degrees, watts, kHz, readings and seconds."""
+
     cpu_pause: int = 85
     gpu_pause: int = 80
     cpu_resume: int = 75
@@ -23,20 +25,40 @@ class Limits:
 
 
 def decision(limits: Limits = Limits()) -> Column:  # noqa: B008
-    """limits_changed before hot before cool before hold."""
+    """sensor_failure before limits_changed before hot before cool before hold.
+
+    A reading that is missing, not possible, or not of one device alone is a failure of the sensors, never a reason to go on.
+    """
     c = F.col
     return (
-        F.when((c("gpu_limit_w") > limits.gpu_watts) | (c("cpu_max_khz") > limits.cpu_khz), "limits_changed")
+        F.when(broken(), "sensor_failure").when((c("gpu_limit_w") > limits.gpu_watts) | (c("cpu_max_khz") > limits.cpu_khz), "limits_changed")
         .when((c("cpu_c") >= limits.cpu_pause) | (c("gpu_c") >= limits.gpu_pause) | c("slowdown"), "hot")
         .when((c("cpu_c") <= limits.cpu_resume) & (c("gpu_c") <= limits.gpu_resume), "cool")
         .otherwise("hold")
     )
 
 
-def invalid(row: DataFrame) -> DataFrame:
-    """Readings outside the possible range."""
+def broken() -> Column:
+    """Whether a reading cannot be believed: a value is missing, or a temperature is outside (0, 120)."""
     good = lambda x: F.coalesce((F.col(x) > 0) & (F.col(x) < 120), F.lit(False))
-    return row.where(~(good("cpu_c") & good("gpu_c")))
+    known = F.col("gpu_limit_w").isNotNull() & F.col("cpu_max_khz").isNotNull() & F.col("slowdown").isNotNull()
+    return ~(good("cpu_c") & good("gpu_c") & known)
+
+
+def invalid(readings: DataFrame) -> DataFrame:
+    """Readings that cannot be believed."""
+    return readings.where(broken())
+
+
+def several_devices(readings: DataFrame) -> DataFrame:
+    """(host, ts, devices) where one reading of a host is about more devices than one."""
+    return readings.groupBy("host", "ts").agg(F.count("*").alias("devices")).where("devices > 1")
+
+
+def stopping(log: DataFrame) -> DataFrame:
+    """(host, event_id, action) that ends each host's log: a guard that stops leaves what it watches paused."""
+    last = log.groupBy("host").agg(F.max_by(F.struct("event_id", "paused"), "event_id").alias("r"))
+    return last.select("host", "r.event_id", F.when(F.col("r.paused"), "none").otherwise("pause").alias("action"))
 
 
 def latest(readings: DataFrame) -> DataFrame:
