@@ -48,11 +48,16 @@ def docs_exam(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
     rows = docs.join(labels, docs.doc_id == labels.l_id, "left").select(
         F.col("doc_id").alias("example_id"), F.col("source").alias("agreement_id"), F.col("lang").alias("task_id"), F.col("lang").alias("text_type"),
-        F.coalesce("quality", F.lit(0)).cast("int").alias("label"), "text",
+        F.coalesce("quality", F.lit(0)).cast("int").alias("label"), "text", F.when(F.col("doc_id") % 5 < 2, "abridged").otherwise("main").alias("data_type"), F.length("text").alias("prompt_tokens"),
     )
     return prepare.propagate_split(rows, prepare.group_split(rows.select("agreement_id"), SEED, 14, 3))
 
 
+def docs_tasks(rows: DataFrame) -> DataFrame:
+    """One task for each language, with two answers."""
+    return rows.select("task_id").distinct().withColumns({"question": F.col("task_id"), "category": F.col("task_id"), "answers": F.array(*map(F.lit, ANSWERS[:2]))})
+
+
 def runlog(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events")
     i = F.col("event_id")
@@ -70,7 +75,17 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The same relations in SQL, as common table expressions.
-EXAM = """
+#: What a relation exam gives: support, training counts, rare labels, eligible tasks.
+SUPPORT = """
+labels4 AS (SELECT unnest([0, 1, 2, 3]) AS label),
+spine AS (SELECT task_id, category, question, label FROM (SELECT DISTINCT task_id, category, question FROM exam), labels4),
+support AS (SELECT s.task_id, s.label, count(e.example_id) AS n, count(DISTINCT e.agreement_id) AS agreements
+  FROM spine s LEFT JOIN exam e ON e.task_id = s.task_id AND e.label = s.label AND e.split = 'train' GROUP BY ALL),
+train AS (SELECT t.task_id, count(e.example_id) AS examples, count(DISTINCT e.agreement_id) AS agreements FROM (SELECT DISTINCT task_id FROM exam) t LEFT JOIN exam e ON e.task_id = t.task_id AND e.split = 'train' GROUP BY ALL),
+rare AS (SELECT s.task_id, s.label FROM support s JOIN train t USING (task_id) WHERE s.n * 1.0 / greatest(1, t.examples) <= 0.1),
+eligible AS (SELECT t.task_id, t.agreements >= 10 AND sum(CASE WHEN s.agreements >= 3 THEN 1 ELSE 0 END) >= 2 AS eligible FROM train t JOIN support s USING (task_id) GROUP BY t.task_id, t.agreements)
+"""
+EXAM = f"""
 x0 AS (SELECT o_orderkey AS example_id, 'contract_' || (o_custkey % 152)::VARCHAR AS agreement_id, c_mktsegment AS question, o_orderstatus AS subquestion,
   c_mktsegment || '|' || o_orderstatus AS task_id, c_mktsegment AS category,
   CASE WHEN o_orderkey % 25 = 0 THEN 2 WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS label,
@@ -79,13 +94,7 @@ x0 AS (SELECT o_orderkey AS example_id, 'contract_' || (o_custkey % 152)::VARCHA
 groups AS (SELECT agreement_id, CASE WHEN rn <= 106 THEN 'train' WHEN rn <= 129 THEN 'validation' ELSE 'test' END AS split FROM (
   SELECT agreement_id, row_number() OVER (ORDER BY sha256('exam-v1:' || agreement_id)) AS rn FROM (SELECT DISTINCT agreement_id FROM x0))),
 exam AS MATERIALIZED (SELECT x0.*, split FROM x0 JOIN groups USING (agreement_id)),
-labels4 AS (SELECT unnest([0, 1, 2, 3]) AS label),
-spine AS (SELECT task_id, category, question, label FROM (SELECT DISTINCT task_id, category, question FROM exam), labels4),
-support AS (SELECT s.task_id, s.label, count(e.example_id) AS n, count(DISTINCT e.agreement_id) AS agreements
-  FROM spine s LEFT JOIN exam e ON e.task_id = s.task_id AND e.label = s.label AND e.split = 'train' GROUP BY ALL),
-train AS (SELECT t.task_id, count(e.example_id) AS examples, count(DISTINCT e.agreement_id) AS agreements FROM (SELECT DISTINCT task_id FROM exam) t LEFT JOIN exam e ON e.task_id = t.task_id AND e.split = 'train' GROUP BY ALL),
-rare AS (SELECT s.task_id, s.label FROM support s JOIN train t USING (task_id) WHERE s.n * 1.0 / greatest(1, t.examples) <= 0.1),
-eligible AS (SELECT t.task_id, t.agreements >= 10 AND sum(CASE WHEN s.agreements >= 3 THEN 1 ELSE 0 END) >= 2 AS eligible FROM train t JOIN support s USING (task_id) GROUP BY t.task_id, t.agreements),
+{SUPPORT},
 pred_left AS (SELECT *, CASE WHEN example_id % 37 = 0 THEN -1 WHEN example_id % 3 = 0 THEN 0 ELSE label END AS prediction FROM exam),
 pred_right AS (SELECT *, CASE WHEN example_id % 41 = 0 THEN -1 WHEN example_id % 7 = 0 THEN 0 WHEN example_id % 90 = 1 THEN 2 ELSE label END AS prediction FROM exam)
 """
@@ -109,7 +118,7 @@ ts AS (SELECT {k}task_id, category, question, avg(f1) AS macro_f1 FROM lf GROUP
 
 
 DOCS = """
-d0 AS (SELECT d.doc_id AS example_id, d.source AS agreement_id, d.lang AS task_id, d.lang AS text_type, coalesce(l.quality, 0) AS label, d.text FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+d0 AS (SELECT d.doc_id AS example_id, d.source AS agreement_id, d.lang AS task_id, d.lang AS text_type, coalesce(l.quality, 0) AS label, d.text, CASE WHEN d.doc_id % 5 < 2 THEN 'abridged' ELSE 'main' END AS data_type, length(d.text) AS prompt_tokens FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 dg AS (SELECT agreement_id, CASE WHEN rn <= 14 THEN 'train' WHEN rn <= 17 THEN 'validation' ELSE 'test' END AS split FROM (
   SELECT agreement_id, row_number() OVER (ORDER BY sha256('exam-v1:' || agreement_id)) AS rn FROM (SELECT DISTINCT agreement_id FROM d0))),
 dx AS MATERIALIZED (SELECT d0.*, split, trim(regexp_replace(lower(text), '[\\x09-\\x0D\\x20]+', ' ', 'g')) AS norm FROM d0 JOIN dg USING (agreement_id))

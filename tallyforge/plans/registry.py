@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as tx
-from tallyforge.operators import bootstrap, guard, overlap, prepare, report, runlog, scan, scoring
+from tallyforge.operators import audit, bootstrap, guard, overlap, prepare, report, runlog, scan, scoring
 from tallyforge.plans import fixtures as fx
+from tallyforge.sources import io as files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -97,11 +98,12 @@ def _(spark, d):
     return prepare.exclusions(marked, kept).select("example_id", "reason")
 
 
-@query("row_integrity", f"{WITH} SELECT example_id, CASE WHEN example_id % 91 = 0 THEN 'blank_text' ELSE 'answer_mismatch' END AS rule FROM exam WHERE example_id % 91 = 0 OR example_id % 89 = 0")
+@query("row_integrity", f"""{WITH}, br AS (SELECT *, CASE WHEN example_id % 91 = 0 THEN ' ' || chr(10) || chr(9) || ' ' ELSE data_type END AS text, CASE WHEN example_id % 89 = 0 THEN 'other' ELSE (['no', 'yes', 'partial', 'never'])[label + 1] END AS target FROM exam)
+SELECT * FROM (SELECT example_id, CASE WHEN trim(text, ' ' || chr(10) || chr(9)) = '' THEN 'blank_text' WHEN target IS DISTINCT FROM (['no', 'yes', 'partial', 'never'])[label + 1] THEN 'answer_mismatch' END AS rule FROM br) WHERE rule IS NOT NULL""")
 def _(spark, d):
     rows, k = fx.exam(spark, d), F.col("example_id")
     answers = F.array(*map(F.lit, fx.ANSWERS))
-    broken = rows.withColumns({"text": F.when(k % 91 == 0, " \n\t ").otherwise("x"), "target": F.when(k % 89 == 0, "other").otherwise(F.get(answers, F.col("label")))})
+    broken = rows.withColumns({"text": F.when(k % 91 == 0, " \n\t ").otherwise(F.col("data_type")), "target": F.when(k % 89 == 0, "other").otherwise(F.get(answers, F.col("label")))})
     return prepare.integrity(broken, fx.tasks(rows))
 
 
@@ -170,8 +172,30 @@ def _(spark, d):
     return fx.exam(spark, d).select("example_id", "agreement_id", "split", "task_id", "data_type")
 
 
+@query("content_ids", f"""{WITH} SELECT example_id, 'exam:' || (example_id + 1)::VARCHAR || ':' || substr(sha256('{{"agreement_id":"' || agreement_id || '","data_type":"' || data_type || '","example_id":' || example_id::VARCHAR || ',"label":' || label::VARCHAR || ',"split":"' || split || '"}}'), 1, 16) AS content_id FROM exam""")
+def _(spark, d):
+    row = prepare.row_json(["split", "example_id", "data_type", "label", "agreement_id"])
+    return fx.exam(spark, d).select("example_id", prepare.content_id(F.lit("exam"), F.col("example_id") + 1, row).alias("content_id"))
+
+
+@query("line_numbers", f"{WITH} SELECT example_id, row_number() OVER (ORDER BY example_id) + 1 AS row_number FROM exam")
+def _(spark, d):
+    return files.with_line_numbers(fx.exam(spark, d).select("example_id"), "example_id")
+
+
+@query("restored_rows", f"""{WITH}, ex AS (SELECT example_id FROM exam WHERE data_type = 'abridged' AND example_id % 7 = 0), done AS (SELECT DISTINCT split FROM exam WHERE split = 'train')
+SELECT example_id, agreement_id, split FROM x0 JOIN groups USING (agreement_id) WHERE split NOT IN (SELECT split FROM done) AND example_id NOT IN (SELECT example_id FROM ex)""")
+def _(spark, d):
+    rows = fx.exam(spark, d)
+    assignment = prepare.group_split(rows.select("agreement_id"), fx.SEED)
+    excluded = rows.where((F.col("data_type") == "abridged") & (F.col("example_id") % 7 == 0)).select("example_id")
+    return prepare.restore(rows.drop("split"), assignment, excluded, rows.where("split = 'train'").select("split").distinct()).select("example_id", "agreement_id", "split")
+
+
 # overlap ------------------------------------------------------------------------------------------------------------
 DX = f"WITH {fx.DOCS}, g AS (SELECT task_id, norm, list_sort(list(DISTINCT agreement_id)) AS a, list_sort(list(DISTINCT split)) AS s, list_sort(list(example_id)) AS ids, list_sort(list(DISTINCT label)) AS labels FROM dx WHERE norm IS NOT NULL GROUP BY task_id, norm HAVING count(DISTINCT agreement_id) > 1)"
+#: The same over the documents and their variants.
+DV = f"WITH {fx.DOCS.replace('dx AS MATERIALIZED', 'dw AS MATERIALIZED')}, dx AS MATERIALIZED (SELECT * FROM dw UNION ALL SELECT -1 - example_id, agreement_id || '-v', task_id, text_type, label, text, data_type, prompt_tokens, 'test', regexp_replace(norm, '^[^ ]+ ', '') FROM dw)," + DX.split("norm FROM d0 JOIN dg USING (agreement_id))\n,")[1]
 GRAMS = """, tw AS MATERIALIZED (SELECT text_type, norm, regexp_extract_all(norm, '[\\p{L}\\p{N}_]+') AS w FROM (SELECT DISTINCT text_type, norm FROM dx)),
 tg AS MATERIALIZED (SELECT DISTINCT text_type, norm, array_to_string(w[i:i+4], ' ') AS gram FROM (SELECT *, unnest(generate_series(1, len(w) - 4)) AS i FROM tw WHERE len(w) >= 5)),
 tn AS (SELECT text_type, norm, count(*) AS n FROM tg GROUP BY ALL HAVING count(*) >= 26),
@@ -183,6 +207,13 @@ def _documents(spark, d):
     return fx.docs_exam(spark, d).where("text is not null").withColumn("norm", tx.normalise(F.col("text"))).drop("text")
 
 
+def _with_variants(spark, d):
+    """The documents, and each again without its first word, under an agreement of its own."""
+    rows = fx.docs_exam(spark, d).where("text is not null").withColumn("norm", tx.normalise(F.col("text"))).drop("text")
+    less = rows.withColumns({"example_id": -1 - F.col("example_id"), "agreement_id": F.concat("agreement_id", F.lit("-v")), "split": F.lit("test"), "norm": F.regexp_replace("norm", "^[^ ]+ ", "")})
+    return rows.unionByName(less)
+
+
 def _ids(*names):
     return [F.array_join(F.transform(n, lambda x: x.cast("string")), ",").alias(n) for n in names]
 
@@ -202,9 +233,9 @@ def _(spark, d):
     return overlap.seen_exact(_documents(spark, d))
 
 
-@query("near_overlap", DX + GRAMS + " SELECT text_type, h1 AS left_sha256, h2 AS right_sha256, round(j, 6) AS jaccard FROM np")
+@query("near_overlap", DV + GRAMS + " SELECT text_type, h1 AS left_sha256, h2 AS right_sha256, round(j, 6) AS jaccard FROM np")
 def _(spark, d):
-    return overlap.near_pairs(overlap.text_sets(_documents(spark, d))).select("text_type", F.col("left").alias("left_sha256"), F.col("right").alias("right_sha256"), F.round("jaccard", 6).alias("jaccard"))
+    return overlap.near_pairs(overlap.text_sets(_with_variants(spark, d))).select("text_type", F.col("left").alias("left_sha256"), F.col("right").alias("right_sha256"), F.round("jaccard", 6).alias("jaccard"))
 
 
 EXPANDED = """, ex AS MATERIALIZED (SELECT np.text_type, l.task_id, h1, h2, n1, n2, j, bool_or(l.agreement_id <> r.agreement_id) AS crossed, list_sort(list(DISTINCT l.example_id)) AS li, list_sort(list(DISTINCT r.example_id)) AS ri,
@@ -212,9 +243,9 @@ bool_or(l.split = 'train') AS lt, bool_or(r.split = 'train') AS rt, count(DISTIN
 FROM np JOIN dx l ON l.norm = n1 AND l.text_type = np.text_type JOIN dx r ON r.norm = n2 AND r.text_type = np.text_type AND r.task_id = l.task_id GROUP BY ALL HAVING bool_or(l.agreement_id <> r.agreement_id))"""
 
 
-@query("near_overlap_tasks", DX + GRAMS + EXPANDED + " SELECT task_id, h1 AS left_sha256, h2 AS right_sha256, array_to_string(li, ',') AS left_example_ids, array_to_string(ri, ',') AS right_example_ids, array_to_string(splits, ',') AS splits FROM ex")
+@query("near_overlap_tasks", DV + GRAMS + EXPANDED + " SELECT task_id, h1 AS left_sha256, h2 AS right_sha256, array_to_string(li, ',') AS left_example_ids, array_to_string(ri, ',') AS right_example_ids, array_to_string(splits, ',') AS splits FROM ex")
 def _(spark, d):
-    rows = _documents(spark, d)
+    rows = _with_variants(spark, d)
     e = overlap.near_tasks(overlap.near_pairs(overlap.text_sets(rows)), rows)
     return e.select("task_id", F.col("left").alias("left_sha256"), F.col("right").alias("right_sha256"), *_ids("left_example_ids", "right_example_ids", "splits"))
 
@@ -222,24 +253,24 @@ def _(spark, d):
 SEEN = " SELECT DISTINCT x.example_id FROM ex, dx x WHERE x.split <> 'train' AND x.text_type = ex.text_type AND x.task_id = ex.task_id AND ((rt AND x.norm = n1) OR (lt AND x.norm = n2))"
 
 
-@query("train_seen_near", DX + GRAMS + EXPANDED + SEEN)
+@query("train_seen_near", DV + GRAMS + EXPANDED + SEEN)
 def _(spark, d):
-    rows = _documents(spark, d)
+    rows = _with_variants(spark, d)
     return overlap.seen_near(overlap.near_tasks(overlap.near_pairs(overlap.text_sets(rows)), rows), rows)
 
 
-@query("train_seen", DX + GRAMS + EXPANDED + f" SELECT x.example_id FROM dx x JOIN g ON g.task_id = x.task_id AND g.norm = x.norm WHERE x.split <> 'train' AND list_contains(g.s, 'train') UNION {SEEN}")
+@query("train_seen", DV + GRAMS + EXPANDED + f" SELECT x.example_id FROM dx x JOIN g ON g.task_id = x.task_id AND g.norm = x.norm WHERE x.split <> 'train' AND list_contains(g.s, 'train') UNION {SEEN}")
 def _(spark, d):
-    rows = _documents(spark, d)
+    rows = _with_variants(spark, d)
     near = overlap.seen_near(overlap.near_tasks(overlap.near_pairs(overlap.text_sets(rows)), rows), rows)
     return overlap.seen_exact(rows).union(near).distinct()
 
 
-@query("overlap_summary", DX + GRAMS + EXPANDED + f""", sn AS ({SEEN}), se AS (SELECT x.example_id FROM dx x JOIN g ON g.task_id = x.task_id AND g.norm = x.norm WHERE x.split <> 'train' AND list_contains(g.s, 'train'))
+@query("overlap_summary", DV + GRAMS + EXPANDED + f""", sn AS ({SEEN}), se AS (SELECT x.example_id FROM dx x JOIN g ON g.task_id = x.task_id AND g.norm = x.norm WHERE x.split <> 'train' AND list_contains(g.s, 'train'))
 SELECT 'exact_groups' AS name, count(*) AS value FROM g UNION ALL SELECT 'exact_cross_split', count(*) FROM g WHERE len(s) > 1 UNION ALL SELECT 'exact_conflicts', count(*) FROM g WHERE len(labels) > 1
 UNION ALL SELECT 'near_pairs', count(*) FROM ex UNION ALL SELECT 'near_cross_split', count(*) FROM ex WHERE len(splits) > 1 UNION ALL SELECT 'flagged_exact', count(*) FROM se UNION ALL SELECT 'flagged_near', count(*) FROM sn""")
 def _(spark, d):
-    rows = _documents(spark, d)
+    rows = _with_variants(spark, d)
     groups = overlap.exact_groups(rows)
     e = overlap.near_tasks(overlap.near_pairs(overlap.text_sets(rows)), rows)
     return overlap.summary(groups, e, overlap.seen_exact(rows), overlap.seen_near(e, rows))
@@ -265,7 +296,7 @@ LEFT = WITH + "," + fx.scores_sql("pred_left", [])
 @query("label_stats", LEFT + "SELECT task_id, label, tp, fp, fn, support, round(precision_, 6) AS precision, round(recall_, 6) AS recall, round(f1, 6) AS f1 FROM lf")
 def _(spark, d):
     counts, tasks, _ = _left(spark, d)
-    return _rounded(scoring.label_stats(counts, tasks).drop("question", "category"), "precision", "recall", "f1")
+    return _rounded(scoring.label_stats(counts, tasks).drop("question", "category", "invalid"), "precision", "recall", "f1")
 
 
 @query("confusion", f"{WITH} SELECT task_id, label, prediction, count(*) AS n FROM pred_left GROUP BY ALL")
@@ -308,7 +339,30 @@ _stratum("score_summary", "pred_left", [], lambda p: p)
 _stratum("strata_agreement", "pred_left", ["agreement_id"], lambda p: p)
 _stratum("strata_data_type", "pred_left", ["data_type"], lambda p: p)
 _stratum("strata_length", f"(SELECT *, {BUCKET} AS bucket FROM pred_left)", ["bucket"], lambda p: p.withColumn("bucket", prepare.length_bucket(F.col("prompt_tokens"))))
-_stratum("novelty_score", "(SELECT * FROM pred_left WHERE example_id % 11 <> 0)", [], lambda p: p.where("example_id % 11 <> 0"))
+_stratum("strata_origin", "(SELECT * REPLACE (coalesce(origin, 'unknown') AS origin) FROM (SELECT *, CASE WHEN example_id % 13 <> 0 THEN data_type END AS origin FROM pred_left))", ["origin"], lambda p: p.withColumn("origin", F.when(F.col("example_id") % 13 != 0, F.col("data_type"))))
+_stratum("score_empty", "(SELECT * FROM pred_left WHERE prediction > 100)", [], lambda p: p.where("prediction > 100"))
+
+
+#: Documents as an exam: flags of the overlap operators, predictions, and the relations that scores need.
+DOCS_EXAM = DX + f""", se AS (SELECT DISTINCT x.example_id FROM dx x JOIN g ON g.task_id = x.task_id AND g.norm = x.norm WHERE x.split <> 'train' AND list_contains(g.s, 'train')),
+exam AS MATERIALIZED (SELECT dx.* EXCLUDE (norm), sha256(text) AS text_sha256, task_id AS question, task_id AS category, se.example_id IS NOT NULL AS train_overlap, CASE WHEN dx.example_id % 37 = 0 THEN 'Answer: A' WHEN dx.example_id % 3 = 0 THEN ' A' || chr(10) ELSE chr(65 + label) END AS raw_output FROM dx LEFT JOIN se ON se.example_id = dx.example_id WHERE text IS NOT NULL),
+{fx.SUPPORT.replace("[0, 1, 2, 3]", "[0, 1]")}, pred_left AS MATERIALIZED (SELECT *, CASE WHEN regexp_full_match(raw_output, '[ \n]*[AB][ \n]*') THEN ascii(trim(raw_output, ' ' || chr(10))) - 65 ELSE -1 END AS prediction FROM exam)"""
+
+
+def _docs_records(spark, d):
+    """(gold rows with text, tasks, coverage, flagged ids, records) of the documents as an exam."""
+    rows = fx.docs_exam(spark, d).where("text is not null")
+    tasks = fx.docs_tasks(rows)
+    flagged = overlap.seen_exact(_documents(spark, d))
+    k = F.col("example_id")
+    raw = F.when(k % 37 == 0, "Answer: A").when(k % 3 == 0, " A\n").otherwise(F.char(65 + F.col("label")))
+    return rows, tasks, prepare.coverage(rows, tasks), flagged, audit.prediction_records(rows, tasks, flagged, raw)
+
+
+@query("novelty_score", _summary_sql("(SELECT * FROM pred_left WHERE NOT train_overlap)", []).replace(WITH, DOCS_EXAM, 1))
+def _(spark, d):
+    _, tasks, cover, _, records = _docs_records(spark, d)
+    return _rounded(scoring.score(scoring.confusion(scoring.without_overlap(records)), tasks, cover), *FLOATS)
 
 
 @query("multi_system_scores", f"{_summary_sql('(SELECT *, 1 AS system FROM pred_left UNION ALL SELECT *, 2 FROM pred_right)', ['system'])}")
@@ -343,11 +397,11 @@ def _(spark, d):
     return scoring.majority(rows, fx.tasks(rows))
 
 
-@query("error_tags", f"""{WITH} SELECT p.example_id, p.task_id, p.label, p.prediction, concat_ws(',', CASE WHEN p.prediction = -1 THEN 'invalid_format' END, CASE WHEN r.label IS NOT NULL THEN 'rare_label' END, CASE WHEN u.n = 0 THEN 'unsupported_training_label' END,
-CASE WHEN prompt_tokens > 2048 THEN 'long_passage' END, CASE WHEN p.example_id % 11 = 0 THEN 'train_lexical_overlap' END) AS tags FROM pred_left p LEFT JOIN rare r ON r.task_id = p.task_id AND r.label = p.label LEFT JOIN support u ON u.task_id = p.task_id AND u.label = p.label WHERE p.prediction <> p.label""")
+@query("error_tags", DOCS_EXAM + """ SELECT p.example_id, p.task_id, p.label, p.prediction, concat_ws(',', CASE WHEN p.prediction = -1 THEN 'invalid_format' END, CASE WHEN r.label IS NOT NULL THEN 'rare_label' END, CASE WHEN u.n = 0 THEN 'unsupported_training_label' END,
+CASE WHEN prompt_tokens > 2048 THEN 'long_passage' END, CASE WHEN train_overlap THEN 'train_lexical_overlap' END) AS tags FROM pred_left p LEFT JOIN rare r ON r.task_id = p.task_id AND r.label = p.label LEFT JOIN support u ON u.task_id = p.task_id AND u.label = p.label WHERE p.prediction <> p.label""")
 def _(spark, d):
-    rows, _, cover = _prepared(spark, d)
-    return scoring.error_rows(fx.left(rows), cover, rows.where("example_id % 11 = 0").select("example_id")).withColumn("tags", F.array_join("tags", ","))
+    _, _, cover, flagged, records = _docs_records(spark, d)
+    return scoring.error_rows(records, cover, flagged).withColumn("tags", F.array_join("tags", ","))
 
 
 @query("rare_stats", f"""{WITH}, b AS (SELECT 'left' AS system, * FROM pred_left UNION ALL SELECT 'right', * FROM pred_right), c AS (SELECT b.*, x.label IS NOT NULL AS gold, y.label IS NOT NULL AS chosen FROM b LEFT JOIN rare x ON x.task_id = b.task_id AND x.label = b.label LEFT JOIN rare y ON y.task_id = b.task_id AND y.label = b.prediction),
@@ -380,15 +434,28 @@ def _(spark, d):
     return scoring.prefix_resume(wanted.where("pos < 100").select("example_id"), wanted)
 
 
-@query("parse_answers", r"""SELECT conv_id, turn, CASE WHEN length(t) = 1 AND unicode(t) - 65 BETWEEN 0 AND 3 THEN unicode(t) - 65 ELSE -1 END AS answer FROM (SELECT conv_id, turn, substr(text, 1, 1) AS t FROM conversations)""")
+@query("parse_answers", r"""SELECT conv_id, turn, CASE WHEN length(t) = 1 AND unicode(t) - 65 BETWEEN 0 AND 3 THEN unicode(t) - 65 ELSE -1 END AS answer FROM (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM conversations
+UNION ALL SELECT -1 - conv_id, turn, trim('  ' || chr((65 + (turn + conv_id) % 6)::INT) || CASE WHEN conv_id % 3 = 0 THEN '.' ELSE '' END || chr(10), ' ' || chr(10)) FROM conversations)""")
 def _(spark, d):
-    return fx.read(spark, d, "conversations").select("conv_id", "turn", tx.parse_answer(F.concat(F.lit(" "), F.substring("text", 1, 1), F.lit("\n")), F.lit(4)).alias("answer"))
+    turns = fx.read(spark, d, "conversations").select("conv_id", "turn", "text")
+    letter = F.concat(F.lit("  "), F.char(65 + (F.col("turn") + F.col("conv_id")) % 6), F.when(F.col("conv_id") % 3 == 0, ".").otherwise(""), F.lit("\n"))
+    both = turns.unionByName(turns.select((-1 - F.col("conv_id")).alias("conv_id"), "turn", letter.alias("text")))
+    return both.select("conv_id", "turn", tx.parse_answer(F.col("text"), F.lit(4)).alias("answer"))
+
+
+PROMPT = "'Question: ' || task_id || CASE WHEN sub = '<NONE>' THEN '' ELSE chr(10) || 'Clause: ' || sub END || chr(10) || 'A. no' || chr(10) || 'B. yes' || chr(10) || 'Passage: ' || text"
+
+
+def _prompts(spark, d):
+    """Documents with the hash of their prompt."""
+    rows = fx.docs_exam(spark, d).where("text is not null").withColumn("answers", F.array(*map(F.lit, fx.ANSWERS[:2])))
+    sub = F.when(F.col("example_id") % 3 == 0, "<NONE>").otherwise(F.col("agreement_id"))
+    return rows.withColumn("prompt_tokens_sha256", F.sha2(tx.prompt(F.col("task_id"), sub, F.col("answers"), F.col("text")), 256))
 
 
-@query("prompt_text", f"""{WITH} SELECT example_id, sha256('Question: ' || question || chr(10) || 'Clause: ' || subquestion || chr(10) || 'A. no' || chr(10) || 'B. yes' || chr(10) || 'C. partial' || chr(10) || 'D. never' || chr(10) || 'Passage: ' || data_type) AS prompt_sha256 FROM exam""")
+@query("prompt_text", f"WITH {fx.DOCS} SELECT example_id, sha256({PROMPT}) AS prompt_sha256 FROM (SELECT *, CASE WHEN example_id % 3 = 0 THEN '<NONE>' ELSE agreement_id END AS sub FROM dx WHERE text IS NOT NULL)")
 def _(spark, d):
-    rows = fx.exam(spark, d).withColumn("answers", F.array(*map(F.lit, fx.ANSWERS)))
-    return rows.select("example_id", F.sha2(tx.prompt(F.col("question"), F.col("subquestion"), F.col("answers"), F.col("data_type")), 256).alias("prompt_sha256"))
+    return _prompts(spark, d).select("example_id", F.col("prompt_tokens_sha256").alias("prompt_sha256"))
 
 
 @query("metric_unpivot", LEFT + ", a AS (SELECT task_id, count(*)::DOUBLE AS n, avg((label = prediction)::INT) AS accuracy FROM pr GROUP BY task_id), b AS (SELECT a.task_id, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1, n FROM a JOIN ts USING (task_id)) UNPIVOT b ON accuracy, macro_f1, n INTO NAME metric VALUE value")
@@ -398,6 +465,99 @@ def _(spark, d):
     return report.metric_rows(m, ["task_id"], ["accuracy", "macro_f1", "n"])
 
 
+@query("metric_log", LEFT + """, a AS (SELECT avg((label = prediction)::INT) AS accuracy, count(*)::DOUBLE AS n FROM pr), b AS (SELECT round(avg(macro_f1) FILTER (eligible), 6) AS question_macro_f1, round(any_value(accuracy), 6) AS accuracy, any_value(n) AS n FROM ts JOIN eligible USING (task_id), a)
+SELECT 'left' AS run, key, value, 3 AS step FROM (UNPIVOT b ON question_macro_f1, accuracy, n INTO NAME key VALUE value)""")
+def _(spark, d):
+    counts, tasks, cover = _left(spark, d)
+    return files.log_metrics(_rounded(scoring.score(counts, tasks, cover).select("question_macro_f1", "accuracy", "n"), "question_macro_f1", "accuracy"), "left", 3)
+
+
+# publication audit --------------------------------------------------------------------------------------------------
+@query("prediction_records", DOCS_EXAM + f" SELECT example_id, agreement_id, task_id, label, split, data_type, prediction, raw_output, 'no,yes' AS valid_answers, text_sha256, train_overlap, {BUCKET} AS length_bucket, prompt_tokens FROM pred_left")
+def _(spark, d):
+    return _docs_records(spark, d)[4].withColumn("valid_answers", F.array_join("valid_answers", ","))
+
+
+def _altered(records):
+    """Records of which some do not say what they should."""
+    k = F.col("example_id")
+    return records.where(k % 241 != 0).withColumns({
+        "text_sha256": F.when(k % 31 == 0, F.sha2(F.col("text_sha256"), 256)).otherwise(F.col("text_sha256")), "data_type": F.when(k % 29 == 0, "odd").otherwise(F.col("data_type")),
+        "train_overlap": F.when(k % 23 == 0, ~F.col("train_overlap")).otherwise(F.col("train_overlap")), "valid_answers": F.when(k % 19 == 0, F.reverse("valid_answers")).otherwise(F.col("valid_answers")),
+        "prediction": F.when(k % 17 == 0, 1 - F.abs("prediction")).otherwise(F.col("prediction")),
+    })
+
+
+@query("published_violations", DOCS_EXAM + """, pub AS (SELECT * REPLACE (CASE WHEN example_id % 31 = 0 THEN sha256(text_sha256) ELSE text_sha256 END AS text_sha256, CASE WHEN example_id % 29 = 0 THEN 'odd' ELSE data_type END AS data_type, CASE WHEN example_id % 23 = 0 THEN NOT train_overlap ELSE train_overlap END AS train_overlap,
+CASE WHEN example_id % 17 = 0 THEN 1 - abs(prediction) ELSE prediction END AS prediction), CASE WHEN example_id % 19 = 0 THEN ['yes', 'no'] ELSE ['no', 'yes'] END AS valid_answers FROM pred_left WHERE example_id % 241 <> 0),
+b AS (SELECT pub.example_id, pub.text_sha256 <> e.text_sha256 AS t, pub.data_type <> e.data_type AS d, pub.train_overlap <> e.train_overlap AS o, pub.valid_answers <> ['no', 'yes'] AS v, pub.prediction <> e.prediction AS p FROM pub JOIN pred_left e ON e.example_id = pub.example_id)
+SELECT 'missing' AS rule, example_id FROM exam WHERE example_id NOT IN (SELECT example_id FROM pub) UNION ALL SELECT 'text_sha256_differs', example_id FROM b WHERE t UNION ALL SELECT 'data_type_differs', example_id FROM b WHERE d UNION ALL SELECT 'train_overlap_differs', example_id FROM b WHERE o
+UNION ALL SELECT 'valid_answers_differs', example_id FROM b WHERE v UNION ALL SELECT 'raw_output_differs', example_id FROM b WHERE p""")
+def _(spark, d):
+    rows, tasks, _, flagged, records = _docs_records(spark, d)
+    return audit.published_violations(rows, _altered(records), tasks, flagged)
+
+
+MAJORITY = "mj AS (SELECT task_id, label AS majority FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY n DESC, label) AS rn FROM support) WHERE rn = 1)"
+
+
+@query("majority_violations", f"{WITH}, {MAJORITY}, pb AS (SELECT example_id, majority, CASE WHEN example_id % 701 = 0 THEN label + 1 ELSE majority END AS prediction FROM exam JOIN mj USING (task_id)) SELECT example_id, prediction, majority FROM pb WHERE prediction <> majority")
+def _(spark, d):
+    rows = fx.exam(spark, d)
+    tasks = fx.tasks(rows)
+    claimed = rows.join(scoring.majority(rows, tasks), "task_id").withColumn("prediction", F.when(F.col("example_id") % 701 == 0, F.col("label") + 1).otherwise(F.col("majority")))
+    return audit.majority_violations(claimed.drop("majority"), rows, tasks)
+
+
+@query("prompt_mismatches", f"""WITH {fx.DOCS}, l AS (SELECT example_id, sha256({PROMPT}) AS h FROM (SELECT *, CASE WHEN example_id % 3 = 0 THEN '<NONE>' ELSE agreement_id END AS sub FROM dx WHERE text IS NOT NULL)),
+r AS (SELECT example_id, CASE WHEN example_id % 43 = 0 THEN sha256(h) ELSE h END AS h FROM l WHERE example_id % 47 <> 0)
+SELECT CASE WHEN r.h IS NULL OR l.h IS NULL THEN 'example_id' ELSE 'prompt_tokens_sha256' END AS field, coalesce(l.example_id, r.example_id) AS example_id FROM l FULL JOIN r ON l.example_id = r.example_id WHERE l.h IS DISTINCT FROM r.h""")
+def _(spark, d):
+    left, k = _prompts(spark, d).select("example_id", "prompt_tokens_sha256"), F.col("example_id")
+    h = F.col("prompt_tokens_sha256")
+    right = left.where(k % 47 != 0).withColumn("prompt_tokens_sha256", F.when(k % 43 == 0, F.sha2(h, 256)).otherwise(h))
+    return audit.prompt_mismatches(left, right)
+
+
+SYSTEMS = "(SELECT *, 'left' AS system FROM pred_left UNION ALL SELECT *, 'right' FROM pred_right)"
+RARE_BY_SYSTEM = """rc AS (SELECT b.*, x.label IS NOT NULL AS gold, y.label IS NOT NULL AS chosen FROM pr b LEFT JOIN rare x ON x.task_id = b.task_id AND x.label = b.label LEFT JOIN rare y ON y.task_id = b.task_id AND y.label = b.prediction),
+ry AS (SELECT system, count(*) FILTER (gold) AS rare_n, count(*) FILTER (gold AND label = prediction) AS rare_correct, count(*) FILTER (chosen) AS rare_chosen FROM rc GROUP BY system)"""
+
+
+def _both(spark, d):
+    rows, tasks, cover = _prepared(spark, d)
+    return fx.left(rows), fx.right(rows), tasks, cover
+
+
+@query("receipt", f"{WITH}, {fx.scores_sql(SYSTEMS, ['system'])}, {RARE_BY_SYSTEM}, q AS (SELECT system, round(avg(macro_f1) FILTER (eligible), 6) AS question_macro_f1 FROM ts JOIN eligible USING (task_id) GROUP BY system) SELECT pr.system, count(*) AS \"rows\", any_value(question_macro_f1) AS question_macro_f1, round(avg((label = prediction)::INT), 6) AS accuracy, any_value(rare_correct) AS rare_correct, any_value(rare_n) AS rare_n FROM pr JOIN q USING (system) JOIN ry USING (system) GROUP BY pr.system")
+def _(spark, d):
+    left, right, tasks, cover = _both(spark, d)
+    systems = left.withColumn("system", F.lit("left")).unionByName(right.withColumn("system", F.lit("right")))
+    return _rounded(audit.receipt(systems, tasks, cover), "question_macro_f1", "accuracy")
+
+
+@query("branch_comparison", f"""{WITH}, {fx.scores_sql(SYSTEMS, ['system'])}, {RARE_BY_SYSTEM}, q AS (SELECT system, avg(macro_f1) FILTER (eligible) AS f FROM ts JOIN eligible USING (task_id) GROUP BY system),
+c AS (SELECT f, rare_correct * 1.0 / rare_n AS r, rare_correct, rare_chosen FROM q JOIN ry USING (system) WHERE system = 'left'), o AS (SELECT f, rare_correct * 1.0 / rare_n AS r, rare_correct, rare_chosen FROM q JOIN ry USING (system) WHERE system = 'right'),
+mm AS (SELECT count(*) AS mismatches FROM exam WHERE sha256(data_type) <> CASE WHEN example_id % 53 = 0 THEN sha256('other') ELSE sha256(data_type) END)
+SELECT round(c.f, 6) AS control_question_macro_f1, round(o.f, 6) AS other_question_macro_f1, round(c.r, 6) AS control_rare_recall, round(o.r, 6) AS other_rare_recall, c.rare_correct AS control_rare_correct, o.rare_correct AS other_rare_correct, c.rare_chosen - c.rare_correct AS control_incorrect_rare_predictions,
+o.rare_chosen - o.rare_correct AS other_incorrect_rare_predictions, mismatches, o.r > c.r AND o.f >= c.f AS promising FROM c, o, mm""")
+def _(spark, d):
+    left, right, tasks, cover = _both(spark, d)
+    k = F.col("example_id")
+    said = lambda p: p.withColumns({"prompt_tokens_sha256": F.sha2("task_id", 256), "valid_answers": F.array(*map(F.lit, fx.ANSWERS)), "text_sha256": F.sha2("data_type", 256)})
+    other = said(right).withColumn("text_sha256", F.when(k % 53 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("text_sha256")))
+    out = _rounded(audit.compare_branches(said(left), other, tasks, cover), "control_question_macro_f1", "other_question_macro_f1", "control_rare_recall", "other_rare_recall")
+    names = ["question_macro_f1", "rare_recall", "rare_correct", "incorrect_rare_predictions"]
+    return out.select(*[f"{s}_{n}" for n in names for s in ("control", "other")], "mismatches", "promising")
+
+
+@query("rescore", DOCS_EXAM + "," + fx.scores_sql("pred_left", []) + " SELECT round(avg(macro_f1) FILTER (eligible), 6) AS question_macro_f1, (SELECT count(*) FROM pr) AS n, (SELECT count(*) FROM pr WHERE prediction <> label) AS errors FROM ts JOIN eligible USING (task_id)")
+def _(spark, d):
+    rows, tasks, cover, _, records = _docs_records(spark, d)
+    scores, errors = audit.rescore(rows, records, tasks, cover)
+    return _rounded(scores.select("question_macro_f1", "n").join(F.broadcast(errors.agg(F.count("*").alias("errors")))), "question_macro_f1")
+
+
 # bootstrap ----------------------------------------------------------------------------------------------------------
 WEIGHTS = f"""bc AS (SELECT agreement_id, row_number() OVER (ORDER BY agreement_id) - 1 AS c FROM (SELECT DISTINCT agreement_id FROM exam WHERE split = 'test')), bn AS (SELECT count(*) AS a FROM bc),
 bd AS (SELECT rep, ('0x' || substr(sha256('exam-v1:' || rep::VARCHAR || ':' || j::VARCHAR), 1, 8))::BIGINT % a AS c FROM range({REPLICATES}) r(rep), bn, LATERAL (SELECT unnest(generate_series(0, a - 1)) AS j)),
@@ -446,6 +606,27 @@ def _(spark, d):
     return bootstrap.pairing_violations(fx.left(rows), _corrupted(rows))
 
 
+@query("bootstrap_missing", f"{WITH}, {WEIGHTS}, cl AS (SELECT DISTINCT e.task_id, agreement_id FROM exam e JOIN eligible g ON g.task_id = e.task_id AND g.eligible WHERE split = 'test' AND example_id % 60 = 0), pe AS (SELECT rep, count(DISTINCT task_id) AS tasks FROM bw LEFT JOIN cl USING (agreement_id) GROUP BY rep) SELECT count(*) AS replicates, count(*) FILTER (tasks < (SELECT count(DISTINCT task_id) FROM cl)) AS replicates_missing_tasks FROM pe")
+def _(spark, d):
+    rows, _, cover = _prepared(spark, d)
+    test = rows.where("split = 'test'")
+    thin = test.where("example_id % 60 = 0")  # few rows, so that some replicates miss a task
+    return bootstrap.missing_tasks(fx.left(thin), bootstrap.hashed_weights(test, REPLICATES, fx.SEED), cover)
+
+
+@query("bootstrap_rare_recall", f"{WITH}, {WEIGHTS}, ac AS (SELECT rep, sum(w * (l.prediction = l.label)::INT) * 1.0 / sum(w) AS a, sum(w * (r.prediction = l.label)::INT) * 1.0 / sum(w) AS b FROM pred_left l JOIN pred_right r USING (example_id) JOIN rare ON rare.task_id = l.task_id AND rare.label = l.label JOIN bw ON bw.agreement_id = l.agreement_id GROUP BY rep) SELECT rep, round(a, 6) AS \"left\", round(b, 6) AS \"right\", round(b - a, 6) AS difference FROM ac")
+def _(spark, d):
+    rows, _, cover = _prepared(spark, d)
+    both, weights, _ = _reps(spark, d)
+    return _rounded(bootstrap.rare_recall_replicates(both, weights, cover), "left", "right", "difference")
+
+
+@query("bootstrap_degenerate", f"{WITH}, s AS (SELECT e.*, g.eligible FROM exam e JOIN eligible g USING (task_id) WHERE e.split = 'nowhere') SELECT 'no_eligible_task' AS rule WHERE (SELECT count(*) FROM s WHERE eligible) = 0 UNION ALL SELECT 'no_cluster' WHERE (SELECT count(agreement_id) FROM s) = 0")
+def _(spark, d):
+    rows, _, cover = _prepared(spark, d)
+    return audit.degenerate(rows.where("split = 'nowhere'"), cover)
+
+
 # run logs -----------------------------------------------------------------------------------------------------------
 RL = f"WITH {fx.RUNLOG}"
 
@@ -476,10 +657,18 @@ def _(spark, d):
     return rows.join(cover.select("task_id", "rare_labels"), "task_id").select("example_id", runlog.rare_weight(F.col("label"), F.col("rare_labels")).alias("weight"))
 
 
-@query("weight_violations", RL + " SELECT global_step AS example_id FROM rl WHERE global_step % 97 = 0")
+@query("weight_violations", RL + """, wv AS (SELECT global_step AS example_id, CASE WHEN global_step % 97 = 0 THEN CASE WHEN global_step % 2 = 0 THEN 'nan'::DOUBLE ELSE -1.0 END ELSE weight END AS w FROM rl UNION ALL SELECT global_step, weight FROM rl WHERE global_step % 101 = 0)
+SELECT example_id FROM wv GROUP BY example_id HAVING count(*) <> 1 OR bool_or(w IS NULL OR isnan(w) OR isinf(w) OR w <= 0)""")
+def _(spark, d):
+    k, log = F.col("global_step"), fx.runlog(spark, d)
+    bad = log.select(k.alias("example_id"), F.when(k % 97 == 0, F.when(k % 2 == 0, float("nan")).otherwise(-1.0)).otherwise(F.col("weight")).alias("weight"))
+    return runlog.weight_violations(bad.unionByName(log.where(k % 101 == 0).select(k.alias("example_id"), "weight")))
+
+
+@query("step_plan", RL + ", n AS (SELECT ceil(count(*) / 16.0)::BIGINT AS per_epoch FROM rl) SELECT per_epoch, per_epoch * 6 AS total, ceil(per_epoch * 6 * 0.03)::BIGINT AS warm_up, round(per_epoch * 6 * 2.5 / 3600 + 6 * 40.0 / 3600, 6) AS hours FROM n")
 def _(spark, d):
-    k = F.col("global_step")
-    return runlog.weight_violations(fx.runlog(spark, d).select(k.alias("example_id"), F.when(k % 97 == 0, F.when(k % 2 == 0, float("nan")).otherwise(-1.0)).otherwise(F.col("weight")).alias("weight")))
+    s = runlog.steps(fx.runlog(spark, d).count(), 16, 6, 0.03)
+    return spark.createDataFrame([(s["per_epoch"], s["total"], s["warm_up"], round(runlog.runtime_estimate(s["total"], 2.5, 6, 40.0), 6))], "per_epoch long, total long, warm_up long, hours double")
 
 
 @query("throughput", RL + " SELECT global_step, round(16 / (1 + loss), 6) AS examples_per_second, round((100 + pos % 50) / (1 + loss), 6) AS tokens_per_second, round(global_step / 64.0, 6) AS epoch FROM rl")
@@ -528,10 +717,12 @@ def _(spark, d):
     return _rounded(runlog.latency_summary(fx.runlog(spark, d), "loss"), "per_second", "p50", "p95").withColumn("total", F.round("total", 4))
 
 
-@query("run_diff", "SELECT 'loss' AS metric, 0 AS unpaired, 1e-7 AS largest, true AS agree UNION ALL SELECT 'weight', 0, 0.5, false")
+@query("run_diff", RL + """, rb AS (SELECT global_step, CASE WHEN global_step % 10 = 0 THEN loss + 1e-7 ELSE loss END AS loss, CASE WHEN global_step % 50 = 0 THEN weight + 0.5 ELSE weight END AS weight FROM rl WHERE global_step % 75 <> 0),
+j AS (SELECT count(*) FILTER (rl.global_step IS NULL OR rb.global_step IS NULL) AS unpaired, max(abs(rl.loss - rb.loss)) AS loss, max(abs(rl.weight - rb.weight)) AS weight FROM rl FULL JOIN rb ON rl.global_step = rb.global_step)
+SELECT metric, unpaired, round(largest, 9) AS largest, unpaired = 0 AND largest <= 1e-6 AS agree FROM (UNPIVOT j ON loss, weight INTO NAME metric VALUE largest)""")
 def _(spark, d):
     a, k = fx.runlog(spark, d), F.col("global_step")
-    b = a.withColumns({"loss": F.when(k % 10 == 0, F.col("loss") + 1e-7).otherwise(F.col("loss")), "weight": F.when(k % 50 == 0, F.col("weight") + 0.5).otherwise(F.col("weight"))})
+    b = a.where(k % 75 != 0).withColumns({"loss": F.when(k % 10 == 0, F.col("loss") + 1e-7).otherwise(F.col("loss")), "weight": F.when(k % 50 == 0, F.col("weight") + 0.5).otherwise(F.col("weight"))})
     return runlog.run_difference(a, b, ["loss", "weight"]).withColumn("largest", F.round("largest", 9)).select("metric", "unpaired", "largest", "agree")
 
 
@@ -574,14 +765,46 @@ def _(spark, d):
     return guard.latest(fx.readings(spark, d))
 
 
-@query("guard_invalid", f"WITH {fx.READINGS} SELECT event_id FROM rd WHERE event_id % 83 = 0")
+#: Readings of which some are missing or not possible.
+FAULTY = f"WITH {fx.READINGS}, fr AS (SELECT * REPLACE (CASE WHEN event_id % 83 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 130 END ELSE cpu_c END AS cpu_c, CASE WHEN event_id % 79 = 0 THEN NULL ELSE slowdown END AS slowdown) FROM rd)"
+BROKEN = "NOT (coalesce(cpu_c > 0 AND cpu_c < 120, false) AND coalesce(gpu_c > 0 AND gpu_c < 120, false) AND gpu_limit_w IS NOT NULL AND cpu_max_khz IS NOT NULL AND slowdown IS NOT NULL)"
+FAIL_SAFE = f"CASE WHEN {BROKEN} THEN 'sensor_failure' " + DECISION.removeprefix("CASE ")
+
+
+def _faulty(spark, d):
+    k = F.col("event_id")
+    return fx.readings(spark, d).withColumns({"cpu_c": F.when(k % 83 == 0, F.when(k % 2 == 0, 130)).otherwise(F.col("cpu_c")), "slowdown": F.when(k % 79 != 0, F.col("slowdown"))})
+
+
+@query("guard_invalid", f"{FAULTY} SELECT event_id FROM fr WHERE {BROKEN}")
+def _(spark, d):
+    return guard.invalid(_faulty(spark, d)).select("event_id")
+
+
+@query("guard_failures", f"{FAULTY} SELECT event_id, {FAIL_SAFE} AS decision FROM fr")
+def _(spark, d):
+    return _faulty(spark, d).select("event_id", guard.decision().alias("decision"))
+
+
+@query("guard_devices", f"WITH {fx.READINGS} SELECT event_id // 2 AS host, date_trunc('day', ts) AS ts, count(*) AS devices FROM rd GROUP BY ALL HAVING count(*) > 1")
+def _(spark, d):
+    return guard.several_devices(fx.readings(spark, d).withColumns({"host": F.floor(F.col("event_id") / 2), "ts": F.date_trunc("day", "ts")}))
+
+
+MACHINE = FAULTY.replace("WITH ", "WITH RECURSIVE ", 1) + f""", od AS MATERIALIZED (SELECT host, event_id, {FAIL_SAFE} AS decision, epoch(ts) AS t, row_number() OVER (PARTITION BY host ORDER BY ts, event_id) AS i FROM fr),
+st AS (SELECT host, i, event_id, decision, decision IN ('hot', 'limits_changed', 'sensor_failure') AS paused, 0 AS cool, t AS since, CASE WHEN decision IN ('hot', 'limits_changed', 'sensor_failure') THEN 'pause' ELSE 'none' END AS action FROM od WHERE i = 1
+UNION ALL SELECT o.host, o.i, o.event_id, o.decision, CASE WHEN x.bad THEN true WHEN x.back THEN false ELSE s.paused END, CASE WHEN x.bad OR x.back THEN 0 WHEN s.paused THEN x.c ELSE s.cool END, CASE WHEN x.bad AND NOT s.paused THEN o.t ELSE s.since END, CASE WHEN x.bad AND NOT s.paused THEN 'pause' WHEN x.back THEN 'resume' ELSE 'none' END
+FROM st s JOIN od o ON o.host = s.host AND o.i = s.i + 1, LATERAL (SELECT o.decision IN ('hot', 'limits_changed', 'sensor_failure') AS bad, CASE WHEN o.decision = 'cool' THEN s.cool + 1 ELSE 0 END AS c, s.paused AND o.decision = 'cool' AND s.cool + 1 >= 15 AND o.t - s.since >= 60 AS back) x)"""
+
+
+@query("guard_state_machine", MACHINE + " SELECT host, event_id, decision, action, paused, cool FROM st")
 def _(spark, d):
-    return guard.invalid(fx.readings(spark, d).withColumn("cpu_c", F.when(F.col("event_id") % 83 == 0, F.when(F.col("event_id") % 2 == 0, 130)).otherwise(F.col("cpu_c")))).select("event_id")
+    return guard.run_machine(_faulty(spark, d))
 
 
-@query("guard_state_machine")
+@query("guard_stopping", MACHINE + ", z AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY event_id DESC) AS rn FROM st) SELECT host, event_id, CASE WHEN paused THEN 'none' ELSE 'pause' END AS action FROM z WHERE rn = 1")
 def _(spark, d):
-    return guard.run_machine(fx.readings(spark, d))
+    return guard.stopping(guard.run_machine(_faulty(spark, d)))
 
 
 # scanning and reports -----------------------------------------------------------------------------------------------
@@ -593,36 +816,113 @@ def _payloads(spark, d):
 PAYLOADS = "pl AS (SELECT 'doc-' || doc_id::VARCHAR AS name, text FROM documents UNION ALL SELECT 'page-' || page_id::VARCHAR, html FROM pages)"
 
 
-@query("path_rules", r"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'parent' WHEN page_id % 5 = 1 THEN 'component' WHEN page_id % 5 = 2 THEN 'suffix' WHEN page_id % 5 = 3 THEN 'absolute_or_backslash' END AS rule FROM pages")
+#: Paths made of what the pages say, with pieces that rules forbid.
+PATHS = """pa AS (SELECT page_id, url, CASE page_id % 16 WHEN 0 THEN 'a/../' || regexp_replace(url, '^https?:/+', '') WHEN 1 THEN 'a/.git/config' WHEN 2 THEN 'keys/' || page_id::VARCHAR || '.PEM' WHEN 3 THEN '/etc/' || page_id::VARCHAR WHEN 4 THEN 'a' || chr(92) || 'b' WHEN 5 THEN '.env.local' WHEN 6 THEN 'x/Credentials-' || page_id::VARCHAR
+WHEN 7 THEN 'x/my-cookies.txt' WHEN 8 THEN 'model/adapter.safetensors' WHEN 9 THEN 'a/.pem' WHEN 10 THEN 'a/./secrets//b.txt' WHEN 11 THEN 'docs/ID_RSA' WHEN 12 THEN 'a.key/b' WHEN 13 THEN '' ELSE regexp_replace(url, '^https?:/+', '') END AS path FROM pages),
+pb AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '' AND x <> '.') AS parts FROM pa), pc AS (SELECT *, coalesce(lower(parts[-1]), '') AS leaf FROM pb)"""
+PATH_RULE = r"""CASE WHEN starts_with(path, '/') OR contains(path, chr(92)) THEN 'absolute_or_backslash' WHEN list_contains(parts, '..') THEN 'parent' WHEN list_has_any(parts, ['.git', '.ssh', '.aws', '.codex', '.claude', 'secrets', '.secrets', '.operator', '.security-reports']) THEN 'component'
+WHEN regexp_extract(leaf, '^\.*[^.].*(\.[^.]+)$', 1) IN ('.pem', '.key', '.p12', '.pfx', '.token', '.secret', '.pt', '.pth', '.safetensors') THEN 'suffix' WHEN leaf IN ('.env', 'agents.local.md', 'claude.local.md', '.security-private-terms', 'id_rsa', 'id_ed25519') OR starts_with(leaf, '.env.') OR starts_with(leaf, 'credentials') OR contains(leaf, 'cookies') OR contains(leaf, 'storage-state') THEN 'name' END"""
+
+
+def _paths(spark, d):
+    k, tail = F.col("page_id"), F.regexp_replace("url", "^https?:/+", "")
+    own = k.cast("string")
+    shapes = [F.concat(F.lit("a/../"), tail), F.lit("a/.git/config"), F.concat(F.lit("keys/"), own, F.lit(".PEM")), F.concat(F.lit("/etc/"), own), F.lit("a\\b"), F.lit(".env.local"), F.concat(F.lit("x/Credentials-"), own), F.lit("x/my-cookies.txt"), F.lit("model/adapter.safetensors"), F.lit("a/.pem"), F.lit("a/./secrets//b.txt"), F.lit("docs/ID_RSA"), F.lit("a.key/b"), F.lit("")]
+    path = tail
+    for n, shape in enumerate(shapes):
+        path = F.when(k % 16 == n, shape).otherwise(path)
+    return fx.read(spark, d, "pages").select("page_id", path.alias("path"))
+
+
+@query("path_rules", f"WITH {PATHS} SELECT page_id, path, {PATH_RULE} AS rule FROM pc")
 def _(spark, d):
-    k = F.col("page_id")
-    path = F.when(k % 5 == 0, "a/../b").when(k % 5 == 1, "a/.git/config").when(k % 5 == 2, "keys/server.pem").when(k % 5 == 3, "/etc/x").otherwise("docs/readme.txt")
-    return fx.read(spark, d, "pages").select("page_id", scan.unsafe_path(path).alias("rule"))
+    return _paths(spark, d).withColumn("rule", scan.unsafe_path(F.col("path")))
 
 
-@query("line_findings", f"WITH {PAYLOADS}, li AS (SELECT name, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM pl WHERE text IS NOT NULL) SELECT name, 'digits' AS rule, line FROM li WHERE regexp_matches(t, '[0-9]{{4}}') UNION ALL SELECT name, 'mail', line FROM li WHERE regexp_matches(t, '[a-z]+@[a-z]+')")
+@query("line_findings", f"WITH {PAYLOADS}, li AS (SELECT name, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM pl WHERE text IS NOT NULL) SELECT name, 'digits' AS rule, line, len(regexp_extract_all(t, '[0-9]{{4}}')) AS n FROM li WHERE regexp_matches(t, '[0-9]{{4}}') UNION ALL SELECT name, 'mail', line, len(regexp_extract_all(t, '[a-z]+@[a-z]+')) FROM li WHERE regexp_matches(t, '[a-z]+@[a-z]+')")
 def _(spark, d):
     return scan.line_findings(_payloads(spark, d), {"digits": "[0-9]{4}", "mail": "[a-z]+@[a-z]+"})
 
 
-@query("private_ipv4", f"""WITH {PAYLOADS}, m AS (SELECT name, unnest(regexp_extract_all(text, '(?:[0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}(?:/[0-9]{{1,2}})?')) AS m FROM (SELECT name, text FROM pl UNION ALL SELECT 'extra', 'a 10.1.2.3 b 10.0.0.0/8 c 192.168.1.1 d 8.8.8.8 e 172.31.0.9 f 10.1.2.3')),
-o AS (SELECT name, string_split(m, '/')[1] AS address, m, list_transform(string_split(string_split(m, '/')[1], '.'), lambda x: x::BIGINT) AS q FROM m)
-SELECT name, address, count(*) AS n FROM o WHERE list_max(q) <= 255 AND (q[1] = 10 OR (q[1] = 172 AND q[2] BETWEEN 16 AND 31) OR (q[1] = 192 AND q[2] = 168) OR (q[1] = 100 AND q[2] BETWEEN 64 AND 127) OR (q[1] = 169 AND q[2] = 254))
-AND m NOT IN ('10.0.0.0/8', '172.16.0.0/12', '192.168.0.0/16', '100.64.0.0/10', '169.254.0.0/16') GROUP BY ALL""")
+#: Rows beside the payloads, so that every rule has something to find.
+LEAKS = [
+    ("extra-1", "see /home/someone/x and /Users/b'c\nC:\\Users\\me\\f\nfine"), ("extra-2", "host a-b.internal, x.ts.net. and q.local-not; y.LOCAL\nÉ.internal -.local"), ("extra-3", "http://u:p@h and https://a:b@c\nHTTP://x:y@z"), ("extra-4", "zero​width ‮ and ⁦\n\U000e0041"),
+    ("extra-5", "a 10.1.2.3 b 10.0.0.0/8 c 192.168.1.1 d 8.8.8.8 e 172.31.0.9 f 10.1.2.3\n10.0.0.1.5 v10.0.0.1 010.0.0.1 10.0.0.0/80 10.0.0.0/9 1.1.1.1/10.0.0.7 100.64.0.0/10 100.64.0.0/1"), ("extra-6", "at FD00:1::7 and 2001:db8::1 or fe80::1, fc12::a\nxfd00::1 :fd00::2 fd00:zz FE9f:abcd:: "),
+]
+_PLAIN = lambda t: "'" + "' || chr(10) || '".join(x.replace("'", "''") for x in t.split("\n")) + "'"
+SCANNED = PAYLOADS + ", sc AS (SELECT name, text FROM pl WHERE text IS NOT NULL UNION ALL " + " UNION ALL ".join(f"SELECT '{n}', {_PLAIN(t)}" for n, t in LEAKS) + "), li AS (SELECT name, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM sc)"
+#: The rules without looking around: whole runs of characters first, then what they must be.
+LEAK_SQL = r"""lk AS (SELECT name, line, 'personal_path' AS rule, len(regexp_extract_all(t, '/(?:Users|home)/[^\s/"''<>]+|[A-Za-z]:\\Users\\[^\s\\]+')) AS n FROM li
+UNION ALL SELECT name, line, 'private_dns', len(list_filter(regexp_extract_all(t, '[\p{L}\p{N}_.-]+'), lambda x: regexp_matches(x, '(?i)[\p{L}\p{N}_][\p{L}\p{N}_.-]*\.(?:ts\.net|internal|local)$'))) FROM li
+UNION ALL SELECT name, line, 'url_credential', len(regexp_extract_all(t, '(?i)https?://[^\s/@:]+:[^\s/@]+@')) FROM li
+UNION ALL SELECT name, line, 'hidden_control', len(regexp_extract_all(t, '[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{E0000}-\x{E007F}]')) FROM li)"""
+V4_SQL = r"""m4 AS (SELECT name, line, unnest(regexp_extract_all(regexp_replace(t, '/([0-9]+)', '/\1 /\1', 'g'), '[\p{L}\p{N}_.]+(?:/[0-9]+)?')) AS m FROM li WHERE regexp_matches(t, '[0-9]\.[0-9]')),
+o4 AS (SELECT name, line, string_split(m, '/')[1] AS address, string_split(m, '/')[2] AS bits, list_transform(string_split(string_split(m, '/')[1], '.'), lambda x: try_cast(x AS BIGINT)) AS q FROM m4 WHERE regexp_full_match(m, '(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})(?:/[0-9]+)?')),
+v4 AS (SELECT name, line, address, count(*) AS n FROM o4 WHERE list_max(q) <= 255 AND (q[1] = 10 OR (q[1] = 172 AND q[2] BETWEEN 16 AND 31) OR (q[1] = 192 AND q[2] = 168) OR (q[1] = 100 AND q[2] BETWEEN 64 AND 127) OR (q[1] = 169 AND q[2] = 254))
+AND NOT coalesce((address = '10.0.0.0' AND starts_with(bits, '8')) OR (address = '172.16.0.0' AND starts_with(bits, '12')) OR (address IN ('192.168.0.0', '169.254.0.0') AND starts_with(bits, '16')) OR (address = '100.64.0.0' AND starts_with(bits, '10')), false) GROUP BY ALL)"""
+V6_SQL = r"""v6 AS (SELECT name, line, regexp_extract(m, '^(?:f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]):[0-9a-f:]+') AS address FROM (SELECT name, line, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}_:]+')) AS m FROM li WHERE regexp_matches(t, '(?i)f[cde][0-9a-f]{2}:')) WHERE regexp_matches(m, '^(?:f[cd][0-9a-f]{2}|fe[89ab][0-9a-f]):[0-9a-f:]+'))"""
+
+
+def _scanned(spark, d):
+    return _payloads(spark, d).where("text is not null").unionByName(spark.createDataFrame(LEAKS, "name string, text string"))
+
+
+@query("leak_lines", f"WITH {SCANNED}, {LEAK_SQL} SELECT name, rule, line, n FROM lk WHERE n > 0")
 def _(spark, d):
-    extra = spark.createDataFrame([("extra", "a 10.1.2.3 b 10.0.0.0/8 c 192.168.1.1 d 8.8.8.8 e 172.31.0.9 f 10.1.2.3")], "name string, text string")
-    return scan.private_ipv4(_payloads(spark, d).unionByName(extra))
+    return scan.line_findings(_scanned(spark, d))
+
+
+@query("private_ipv4", f"WITH {SCANNED}, {V4_SQL} SELECT name, line, address, n FROM v4")
+def _(spark, d):
+    return scan.private_ipv4(_scanned(spark, d))
+
+
+WITH_EXTRA = PAYLOADS + ", sc AS (SELECT name, text FROM pl WHERE text IS NOT NULL UNION ALL SELECT 'extra', 'at FD00:1::7 and 2001:db8::1 or fe80::1, fc12::a'), li AS" + SCANNED.split(", li AS")[1]
 
 
-@query("private_ipv6", "SELECT doc_id::VARCHAR AS name, 'fd00:1::' || doc_id::VARCHAR AS address FROM documents WHERE doc_id % 10 = 0")
+@query("private_ipv6", f"WITH {WITH_EXTRA}, {V6_SQL} SELECT name, line, address FROM v6")
 def _(spark, d):
     extra = spark.createDataFrame([("extra", "at FD00:1::7 and 2001:db8::1 or fe80::1, fc12::a")], "name string, text string")
     return scan.private_ipv6(_payloads(spark, d).unionByName(extra))
 
 
-@query("term_search", f"WITH {PAYLOADS} SELECT name, term FROM pl, (SELECT unnest(['license', 'Copyright', 'ing the']) AS term) t WHERE contains(lower(text), lower(term))")
+TERMS = ["license", "Copyright", "ing the", " "]
+TERM_SQL = "tm AS (SELECT name, line, term, (length(t) - length(replace(lower(t), lower(term), ''))) // length(term) AS n FROM li, (SELECT unnest(['license', 'Copyright', 'ing the']) AS term) WHERE contains(lower(t), lower(term)))"
+
+
+@query("term_search", f"WITH {SCANNED}, {TERM_SQL} SELECT name, term, line, n FROM tm")
 def _(spark, d):
-    return scan.term_search(_payloads(spark, d), ["license", "Copyright", "ing the"])
+    return scan.term_search(_scanned(spark, d), TERMS)
+
+
+#: Names are judged of all payloads, contents where they were seen first, by name.
+FINDINGS = f"""WITH {SCANNED.split(', li AS')[0]}, fs AS (SELECT min(name) AS name FROM sc GROUP BY text), li AS (SELECT name, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM sc WHERE name IN (SELECT name FROM fs)), {LEAK_SQL}, {V4_SQL}, {V6_SQL}, {TERM_SQL},
+{PATHS.replace("FROM pages)", "FROM (SELECT name, regexp_extract(name, '[0-9]+')::BIGINT AS page_id FROM sc))").replace("SELECT page_id, url, CASE page_id % 16", "SELECT name, name AS path2, page_id, CASE -1").replace("regexp_replace(url, '^https?:/+', '')", "name").replace("page_id::VARCHAR", "name")},
+fd AS (SELECT 'unsafe_name' AS rule, name, NULL::INT AS line, 1 AS n FROM pc WHERE {PATH_RULE} IS NOT NULL UNION ALL SELECT rule, name, line, n FROM lk WHERE n > 0 UNION ALL SELECT 'private_address', name, line, n FROM v4
+UNION ALL SELECT 'private_ipv6', name, line, count(*) FROM v6 GROUP BY name, line UNION ALL SELECT 'private_term', name, line, sum(n)::BIGINT FROM tm GROUP BY name, line)"""
+
+
+def _findings(spark, d):
+    return scan.findings(_scanned(spark, d), TERMS, "name")
+
+
+@query("scan_findings", f"{FINDINGS} SELECT rule, name, line, n FROM fd")
+def _(spark, d):
+    return _findings(spark, d)
+
+
+@query("scanner_merge", f"""{FINDINGS}, og AS (SELECT 'outside-' || (length(text) % 3)::VARCHAR AS rule, sha256(text) AS h FROM sc WHERE length(text) % 7 = 0 UNION ALL SELECT 'outside-x', 'unknown'),
+mg AS (SELECT rule, coalesce(fs2.name, 'scanner-input') AS name, 1 AS n FROM og LEFT JOIN (SELECT sha256(text) AS h, min(name) AS name FROM sc GROUP BY text) fs2 USING (h) UNION ALL SELECT rule, name, n FROM fd) SELECT rule, name, sum(n)::BIGINT AS n FROM mg GROUP BY ALL""")
+def _(spark, d):
+    rows = _scanned(spark, d)
+    outside = rows.where(F.length("text") % 7 == 0).select(F.sha2("text", 256).alias("sha256"), F.concat(F.lit("outside-"), (F.length("text") % 3).cast("string")).alias("rule"))
+    outside = outside.unionByName(spark.createDataFrame([("unknown", "outside-x")], "sha256 string, rule string"))
+    return scan.merge_scanner(outside, scan.first_seen(rows, "name"), _findings(spark, d))
+
+
+@query("scan_summary", f"{FINDINGS} SELECT (SELECT count(DISTINCT text) FROM sc) AS unique_payloads, (SELECT sum(strlen(text))::BIGINT FROM (SELECT DISTINCT text FROM sc)) AS inspected_bytes, 0 AS masked_digests, (SELECT sum(n)::BIGINT FROM fd) AS findings, (SELECT count(*) FROM fd) = 0 AS passed")
+def _(spark, d):
+    return scan.scan_summary(_scanned(spark, d), _findings(spark, d))
 
 
 @query("content_dedupe", "SELECT sha256(text) AS sha256, min(doc_id) AS name, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text")
@@ -630,16 +930,21 @@ def _(spark, d):
     return scan.first_seen(fx.read(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("name"), "text"), "name")
 
 
-@query("digest_mask", """SELECT doc_id, sha256('{"file_sha256": "<digest>", "n": ' || doc_id::VARCHAR || '}') AS masked, 1 AS n FROM documents""")
+@query("digest_mask", r"""SELECT doc_id, sha256(regexp_replace(t, '(^|[^\p{L}\p{N}_])prompt_tokens_sha256": "[a-f0-9]{64}"', '\1prompt_tokens_sha256": "SHA256_DIGEST"', 'g')) AS masked, len(regexp_extract_all(t, '(?:^|[^\p{L}\p{N}_])prompt_tokens_sha256": "[a-f0-9]{64}"')) AS n
+FROM (SELECT doc_id, '{"file_sha256": "' || h || '", "prompt_tokens_sha256": "' || h || '", "' || CASE WHEN doc_id % 2 = 0 THEN 'x_' ELSE '' END || 'prompt_tokens_sha256": "' || h || '", "prompt_tokens_sha256": "none", "text": "' || coalesce(text, '') || '"}' AS t FROM (SELECT doc_id, text, sha256(coalesce(text, '')) AS h FROM documents))""")
 def _(spark, d):
-    docs = fx.read(spark, d, "documents").select("doc_id", F.concat(F.lit('{"file_sha256": "'), F.sha2(F.coalesce("text", F.lit("")), 256), F.lit('", "n": '), F.col("doc_id").cast("string"), F.lit("}")).alias("t"))
+    docs = fx.read(spark, d, "documents").withColumn("h", F.sha2(F.coalesce("text", F.lit("")), 256))
+    t = F.concat(F.lit('{"file_sha256": "'), "h", F.lit('", "prompt_tokens_sha256": "'), "h", F.lit('", "'), F.when(F.col("doc_id") % 2 == 0, "x_").otherwise(""), F.lit('prompt_tokens_sha256": "'), "h", F.lit('", "prompt_tokens_sha256": "none", "text": "'), F.coalesce("text", F.lit("")), F.lit('"}'))
     text, n = scan.mask_digests(F.col("t"))
-    return docs.select("doc_id", F.sha2(text, 256).alias("masked"), n.alias("n"))
+    return docs.select("doc_id", t.alias("t")).select("doc_id", F.sha2(text, 256).alias("masked"), n.alias("n"))
 
 
-@query("html_word_count", r"""SELECT page_id, len(w) AS words, CAST(ceil(len(w) / 230.0) AS BIGINT) AS minutes FROM (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)^.*?<body[^>]*>|<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*') AS w FROM pages)""")
+@query("html_word_count", r"""SELECT page_id, len(w) AS words, CAST(ceil(len(w) / 230.0) AS BIGINT) AS minutes, len(w) <= 3000 AS allowed FROM (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '(?is)^.*?<body[^>]*>|<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '(?i)<img\s[^>]*?alt="([^"]*)"[^>]*>', ' \1 ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*') AS w
+FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html || '<img src=x alt="a picture of three things">' ELSE html END AS html FROM pages))""")
 def _(spark, d):
-    return report.html_words(fx.read(spark, d, "pages"))
+    pages = fx.read(spark, d, "pages")
+    with_picture = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit('<img src=x alt="a picture of three things">'))).otherwise(F.col("html"))
+    return report.html_words(pages.withColumn("html", with_picture))
 
 
 @query("formatted_metrics", LEFT + "SELECT task_id, printf('%.4f', round(macro_f1, 6)) AS f1, printf('%.2f%%', 100 * round(macro_f1, 6)) AS percent, printf('%+.3f', round(macro_f1, 6) - 0.5) AS difference FROM ts")
@@ -647,3 +952,27 @@ def _(spark, d):
     counts, tasks, _ = _left(spark, d)
     m = _rounded(scoring.task_metrics(counts, tasks), "macro_f1")
     return m.select("task_id", report.fixed(F.col("macro_f1")).alias("f1"), report.percent(F.col("macro_f1")).alias("percent"), report.signed(F.col("macro_f1") - 0.5).alias("difference"))
+
+
+@query("golden_values", f"{WITH}, {fx.scores_sql(SYSTEMS, ['system'])}, {RARE_BY_SYSTEM} SELECT system || '.' || key AS name, value, value + (system = 'right' AND key = 'rare_n')::INT AS expected, NOT (system = 'right' AND key = 'rare_n') AS holds FROM (UNPIVOT ry ON rare_n, rare_correct, rare_chosen INTO NAME key VALUE value)")
+def _(spark, d):
+    left, right, _, cover = _both(spark, d)
+    both = left.withColumn("system", F.lit("left")).unionByName(right.withColumn("system", F.lit("right")))
+    stats = scoring.rare_stats(scoring.confusion(both, ["system"]), cover, ["system"])
+    values = report.metric_rows(stats, ["system"], ["rare_n", "rare_correct", "rare_chosen"]).select(F.concat_ws(".", "system", "metric").alias("name"), F.col("value").cast("long").alias("value"))
+    prose = values.select("name", (F.col("value") + (F.col("name") == "right.rare_n").cast("int")).alias("expected"))
+    return report.golden(values, prose)
+
+
+@query("evidence", f"{WITH}, {fx.scores_sql(SYSTEMS, ['system'])}, {RARE_BY_SYSTEM}, q AS (SELECT system, round(avg(macro_f1) FILTER (eligible), 6) AS f FROM ts JOIN eligible USING (task_id) GROUP BY system) SELECT system, count(*) AS n, printf('%.6f', any_value(f)) AS question_macro_f1, any_value(rare_n) AS rare_n, any_value(rare_correct) AS rare_correct, count(*) FILTER (prediction = -1) AS invalid_outputs FROM pr JOIN q USING (system) JOIN ry USING (system) GROUP BY system")
+def _(spark, d):
+    left, right, tasks, cover = _both(spark, d)
+    both = left.withColumn("system", F.lit("left")).unionByName(right.withColumn("system", F.lit("right")))
+    e = report.evidence(both, tasks, cover)
+    return e.select("system", "scores.n", F.format_string("%.6f", F.round("scores.question_macro_f1", 6)).alias("question_macro_f1"), "rare.rare_n", "rare.rare_correct", "invalid_outputs")
+
+
+@query("template_keys", f"WITH {PATHS}, tk AS (SELECT page_id, unnest(regexp_extract_all('{{{{URL}}}} {{{{TITLE}}}} {{{{' || CASE WHEN page_id % 5 = 0 THEN 'MISSING' ELSE 'PATH' END || '}}}} {{{{low}}}}', '\\{{\\{{([A-Z0-9_]+)\\}}\\}}', 1)) AS k FROM pa) SELECT page_id, k AS unresolved FROM tk WHERE k NOT IN ('URL', 'TITLE', 'PATH')")
+def _(spark, d):
+    template = F.concat(F.lit("{{URL}} {{TITLE}} {{"), F.when(F.col("page_id") % 5 == 0, "MISSING").otherwise("PATH"), F.lit("}} {{low}}"))
+    return report.unresolved(fx.read(spark, d, "pages").select("page_id", template.alias("template")), ["URL", "TITLE", "PATH"]).select("page_id", "unresolved")

@@ -96,19 +96,19 @@ def test_selection_and_stopping(spark):
 
 
 def test_padding_and_supervision(spark):
-    df = spark.createDataFrame([(1, [10, 20, 30]), (1, [5, 6])], "b int, t array<int>")
-    out = {tuple(r.padded): r.mask for r in runlog.pad(df, "t", "b", -100).collect()}
-    assert out == {(10, 20, 30): [1, 1, 1], (5, 6, -100): [1, 1, 0]}
-    row = df.limit(1).select(runlog.supervision(F.col("t"), F.array(F.lit(65), F.lit(99)), 5).alias("l")).first()
-    assert row.l == [-100, -100, -100, 65, 99]
+    df = spark.createDataFrame([(7, [3, 1, 4, 1]), (7, [9]), (8, [2, 7])], "b int, t array<int>")
+    out = {tuple(r.padded): r.mask for r in runlog.pad(df, "t", "b", -1).collect()}
+    assert out == {(3, 1, 4, 1): [1, 1, 1, 1], (9, -1, -1, -1): [1, 0, 0, 0], (2, 7): [1, 1]}
+    row = df.where("b = 8").select(runlog.supervision(F.col("t"), F.array(F.lit(5), F.lit(6), F.lit(0)), 5).alias("l")).first()
+    assert row.l == [-100, -100, 5, 6, 0]
     with pytest.raises(Exception, match="exceeds"):
-        df.limit(1).select(runlog.supervision(F.col("t"), F.array(F.lit(65), F.lit(99)), 4).alias("l")).collect()
+        df.where("b = 8").select(runlog.supervision(F.col("t"), F.array(F.lit(5), F.lit(6), F.lit(0)), 4).alias("l")).collect()
 
 
 def test_weighted_loss(spark):
-    df = spark.createDataFrame([(0, 2.0, 1.0), (0, 2.0, 3.0), (1, 0.5, 1.0), (1, 2.0, 1.0), (1, 4.0, 1.0)], "batch int, loss double, weight double")
-    got = {r.batch: r.weighted_loss for r in runlog.weighted_loss(df).collect()}
-    assert got[0] == 2.0 and got[1] == pytest.approx(6.5 / 3)
+    df = spark.createDataFrame([(3, 1.5, 2.0), (3, 0.5, 6.0), (4, 0.25, 1.0), (4, 0.75, 1.0)], "batch int, loss double, weight double")
+    got = {r.batch: (r.weighted_loss, r.weight_sum, r.upweighted) for r in runlog.weighted_loss(df).collect()}
+    assert got == {3: (0.75, 8.0, 2), 4: (0.5, 2.0, 0)}
 
 
 def test_near_pairs_against_brute_force(spark):
