@@ -2,6 +2,11 @@
 
 toxicity (toxic documents go), line dedup (boilerplate lines go), near duplicates (one document of each class stays),
 benchmark decontamination (documents that hold benchmark passages go), mixing (documents are drawn to target weights).
+
+Defined cases. A null or empty text is no reason to drop a document before mixing, which draws among texts that have words.
+Null columns pass through. Of rows that are equal, or in one class of near duplicates, one stays. Ties go to the smaller
+id. Very long texts are worked on whole. An empty table, and empty labels or benchmark, give what there is. Columns
+besides those of the documents are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +41,9 @@ def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn, with topic, tokens, probability and weight."""
     drawn = mixing.sample(docs)
-    return drawn.select(*docs.columns, F.col("tf_topic").alias("topic"), F.col("tf_tokens").alias("tokens"), F.round("tf_p", 6).alias("p"), F.round("tf_weight", 6).alias("weight"))
+    plain = drawn.toDF(*[f"c{i}" for i in range(len(drawn.columns))])
+    *kept, p, weight = plain.columns
+    return plain.select(*kept, F.round(p, 6), F.round(weight, 6)).toDF(*docs.columns, "topic", "tokens", "p", "weight")
 
 
 STAGES = [
