@@ -71,3 +71,44 @@ def test_mixing_cases(spark):
     assert mixing.mixing_report(df.limit(0)).count() == 0
     given = mixing.mix(df, topic=F.col("doc_id") % 2)
     assert {r.topic for r in given.select("topic").distinct().collect()} == {0, 1}
+
+
+def test_lines_against_loops(spark):
+    """The report against plain loops: sites of each line, and copies by whole sequences of lines."""
+    import random
+
+    rng = random.Random(2)
+    pool = [f"notice {k} of many" for k in range(6)] + [f"rare line {k}" for k in range(30)]
+    rows = [(i, "\n".join(rng.choice(["", " ", "\t"]) + rng.choice(pool) + rng.choice(["", "  "]) if rng.random() < 0.9 else "" for _ in range(rng.randrange(0, 7))), rng.choice([None, *[f"s{k}" for k in range(8)]])) for i in range(160)]
+    rows += [(200, None, "s1")]
+    sites = {}
+    for _, t, s in rows:
+        for line in (t or "").split("\n"):
+            if line.strip():
+                sites.setdefault(line.strip(), set()).add(s or "")
+    flagged = {line for line, s in sites.items() if len(s) >= lines.MIN_SITES}
+    sequences = [(i, [x.strip() for x in (t or "").split("\n") if x.strip()]) for i, t, _ in rows]
+    got = {r.doc_id: r for r in lines.line_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    copied = 0
+    for (i, t, _), (_, own) in zip(rows, sequences, strict=True):
+        raw = [] if t is None else t.split("\n")
+        hits = [x for x in raw if x.strip() in flagged]
+        inside = any(j != i and any(other[k : k + len(own)] == own for k in range(len(other) - len(own) + 1)) for j, other in sequences)
+        copy = bool(own) and all(x in flagged for x in own) and inside
+        copied += copy
+        left = t if copy or not hits else "\n".join(x for x in raw if x.strip() not in flagged)
+        want = (len(raw), len(hits), 0 if copy else len(hits), hashlib.sha256((left or "").encode()).hexdigest())
+        assert (got[i].n_lines, got[i].n_flagged, got[i].n_removed, got[i].kept_sha256) == want, i
+    assert copied > 3
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = "\n".join(f"own line {i}" for i in range(25_000))
+    rows = [(i, f"own {i}\nshared by all", f"s{i}", "en", 9, "x", 1, 2) for i in range(8)] + [(9, long + "\nshared by all", "s9", "en", 9, "x", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, tf_text string, tf_tokens int, `a.b` int")
+    out = lines.remove(df)
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns == df.columns and got[3].text == "own 3" and got[3].n_chars == 5 and got[9].text == long
+    assert lines.clean(df).columns == [*df.columns, "tf_text", "tf_flagged", "tf_removed"]
+    drawn = mixing.sample(df)
+    assert drawn.columns == [*df.columns, "tf_topic", "tf_tokens", "tf_p", "tf_weight"] and all(0 < r[-2] <= 1 for r in drawn.collect())
