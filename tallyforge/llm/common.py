@@ -34,14 +34,30 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: What this process has written and not dropped.
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: a lineage cut that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tallyforge/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> int:
+    """Deletes the tables that ``materialise`` has written so far and says how many; call it when results are written,
+    since results read them until then."""
+    count = len(_written)
+    for path in _written:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written.clear()
+    return count
+
+
 def boxed(rows: DataFrame, *named: str) -> DataFrame:
     """``rows`` with all columns but ``named`` renamed by place, so that no name of theirs can clash with one in use."""
     return rows.toDF(*[c if c in named else f"tf_c{i}" for i, c in enumerate(rows.columns)])

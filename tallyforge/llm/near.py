@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import WordHasher, ascii_nonword_separators, boxed, grouped, materialise, unboxed
+from tallyforge.llm.common import WordHasher, ascii_nonword_separators, boxed, grouped, materialise, one_thread, unboxed
 from tallyforge.llm.graph import blocked, components
 
 WORDS = 5
@@ -181,6 +181,7 @@ def overlaps(sets: list[np.ndarray], cells: int = 1 << 23) -> np.ndarray:
 
 def _verify(similarity: float):
     def solve(group: pa.Table):
+        one_thread()
         nodes = group.column("node").to_numpy()
         _, first = np.unique(nodes, return_index=True)
         nodes = nodes[first]
@@ -254,3 +255,29 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     marked = rows.withColumn("tf_row", F.xxhash64("doc_id", "text"))
     kept = marked.join(first.select(F.col("first.row").alias("tf_row")), "tf_row", "left_semi").dropDuplicates(["tf_row"])
     return unboxed(kept.drop("tf_row"), docs)
+
+
+ORACLE = f"""
+WITH RECURSIVE s AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), t AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) > 0 THEN md5(array_to_string(w, ' ')) END AS k, w FROM s
+), n AS MATERIALIZED (
+  SELECT k, any_value(w) AS w, min(doc_id) AS least, count(*) AS copies FROM t WHERE k IS NOT NULL GROUP BY k
+), g AS MATERIALIZED (
+  SELECT DISTINCT k, md5(array_to_string(w[i:i + {WORDS - 1}], ' ')) AS g FROM (SELECT k, w, unnest(generate_series(1, len(w) - {WORDS - 1})) AS i FROM n WHERE len(w) >= {WORDS})
+), z AS (
+  SELECT k, count(*) AS size FROM g GROUP BY k
+), p AS MATERIALIZED (
+  SELECT c.a, c.b FROM (SELECT x.k AS a, y.k AS b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.k <> y.k GROUP BY ALL) c JOIN z za ON za.k = c.a JOIN z zb ON zb.k = c.b
+  WHERE shared >= {SIMILARITY} * (za.size + zb.size - shared) - 1e-9
+), r AS (
+  SELECT k, k AS other FROM n UNION SELECT r.k, p.b FROM r JOIN p ON p.a = r.other
+), c AS (
+  SELECT r.k, min(n.least) AS class_id FROM r JOIN n ON n.k = r.other GROUP BY r.k
+), l AS (
+  SELECT a AS k, count(*) AS links FROM p GROUP BY a
+)
+SELECT t.doc_id, CASE WHEN t.k IS NULL THEN t.doc_id ELSE c.class_id END AS class_id, coalesce(n.copies, 1) AS n_copies, coalesce(l.links, 0) AS n_links
+FROM t LEFT JOIN n ON n.k = t.k LEFT JOIN c ON c.k = t.k LEFT JOIN l ON l.k = t.k
+"""

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from tallyforge.llm.common import grouped, materialise
+from tallyforge.llm.common import grouped, materialise, one_thread
 
 K = 20
 QUERY_EVERY = 20
@@ -256,6 +256,7 @@ def search(vectors: DataFrame, asked: DataFrame, count: int, dim: int, k: int, r
     met = left.union(right).repartition(tasks, "block", "b").sortWithinPartitions("block", "b", "kind")
 
     def solve(group: pa.Table):
+        one_thread()
         side = group.column("kind").to_numpy()
         ids = group.column("id").to_numpy()
         v = _matrix(group.column("v"), dim)

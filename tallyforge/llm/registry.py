@@ -20,5 +20,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": lines.ORACLE,
+    "op5_substring_dedup": substrings.ORACLE,
+    "op6_ngram_jaccard": near.ORACLE,
     "op9_mixing": mixing.oracle(),
 }

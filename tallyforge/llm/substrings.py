@@ -336,3 +336,19 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, order: int = ORDER, capa
 
 def substring_report(docs: DataFrame) -> DataFrame:
     return drop_repeats(docs).drop("kept")
+
+
+ORACLE = f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), p AS MATERIALIZED (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS i FROM d WHERE len(w) >= {WINDOW})
+), m AS (
+  SELECT g, min(doc_id) AS least FROM p GROUP BY g
+), c AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + {WINDOW - 1})) AS i FROM p JOIN m USING (g) WHERE doc_id > least
+), k AS (
+  SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d) x ANTI JOIN c ON c.doc_id = x.doc_id AND c.i = x.i GROUP BY x.doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

@@ -71,3 +71,32 @@ def test_empty_and_repeated(spark):
 def test_bands_reach_recall():
     bands, rows = near.choose_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
+
+
+def test_one_row_of_each_class_and_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (1, text + " more"), (2, text), (None, text), (None, "other words that nobody else has here"), (None, "Other words that nobody else has here!"), (None, None), (None, None), (5, ""), (6, "")]
+    df = spark.createDataFrame([(i, t, 7, "x", 1, 2) for i, t in rows], "doc_id long, text string, tf_row int, label string, tf_class int, `a.b` int")
+    kept = near.deduplicate(df)
+    assert kept.columns == df.columns
+    got = sorted(((r[0], (r[1] or "")[:5].lower()) for r in kept.collect()), key=str)
+    assert got == sorted([(1, "w0 w1"), (None, "other"), (None, ""), (5, ""), (6, "")], key=str) and kept.first()[2] == 7
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(40_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:20_000], "x", *words[20_001:]])), (3, " ".join(words[20_000:]))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near.near_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+
+
+def test_components_do_not_end_early(spark):
+    import pytest
+
+    from tallyforge.llm.graph import components
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)], "u long, v long")
+    got = {r.node: r.label for r in components(chain).collect()}
+    assert all(got[i] == 0 for i in range(201)) and all(got[1000 + i] == 1000 for i in range(300))
+    with pytest.raises(RuntimeError, match="not settled"):
+        components(chain, rounds=2)
