@@ -20,8 +20,8 @@ def seeded_order(rows: DataFrame, seed: str, epoch: int, key: str = "example_id"
 def positions(rows: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """Rows with pos, their place in the order of the columns, without sorting all of them in one task.
 
-    Rows are dealt by ranges of the first column's own first bytes; places inside a range start after the rows of all
-    ranges before it, of which there are few.
+    The first column is a number, or a hash in hexadecimal digits. Rows are dealt by ranges of it; places inside a range
+    start after the rows of all ranges before it, of which there are few.
     """
     n = parts or 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = rows.select(F.min(order[0]).alias("low")).schema[0].dataType.typeName()

@@ -192,6 +192,12 @@ def _(spark, d):
     return prepare.restore(rows.drop("split"), assignment, excluded, rows.where("split = 'train'").select("split").distinct()).select("example_id", "agreement_id", "split")
 
 
+@query("normalised_texts", "SELECT doc_id, sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\\s]+', ' ', 'g'))) AS norm_sha256 FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    docs = fx.read(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.sha2(tx.normalise_exact(F.col("text")), 256).alias("norm_sha256"))
+
+
 # overlap ------------------------------------------------------------------------------------------------------------
 DX = f"WITH {fx.DOCS}, g AS (SELECT task_id, norm, list_sort(list(DISTINCT agreement_id)) AS a, list_sort(list(DISTINCT split)) AS s, list_sort(list(example_id)) AS ids, list_sort(list(DISTINCT label)) AS labels FROM dx WHERE norm IS NOT NULL GROUP BY task_id, norm HAVING count(DISTINCT agreement_id) > 1)"
 #: The same over the documents and their variants.
