@@ -94,9 +94,9 @@ class Codes:
         mass = np.maximum(mass, 0.5)
         return (mass / mass.sum()).reshape(self.side, self.side)
 
-    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(codes, log shares, whether the log count is still to be added to the share)."""
-        at = self.lookup(h)
+    def __call__(self, h: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, log shares, whether the log count is still to be added to the share); ``at``: places in the list, if known."""
+        at = self.lookup(h) if at is None else at
         shared = ((h >> np.uint64(33)) % np.uint64(len(self.mass))).astype(np.int64)
         alone = (at >= 0) & (at < self.own)
         inside = np.where(alone, 0.0, -self.log_mass[shared])
@@ -226,28 +226,35 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encoding(codes: Codes):
-    """Rows of (doc_id, text) to (doc_id, n, inside, codes, rare, times): codes in two bytes each, words whose count is not known here."""
+    """Rows of (doc_id, text) to (doc_id, n, inside, own, codes, rare, times).
+
+    Codes are two bytes each; own counts the words of the list that stand in no other document; rare are the words whose
+    count is not known here.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(ascii_nonword_separators())
         for batch in batches:
             for first, h, sizes in word_chunks(batch.column(1), hasher):
-                code, inside, unknown = codes(h)
+                at = codes.lookup(h)
+                code, inside, unknown = codes(h, at)
                 raw = code.astype("<u2").tobytes()
                 edges = np.concatenate([[0], np.cumsum(sizes)])
                 total = np.concatenate([[0.0], np.cumsum(inside)])
-                rare, times = [], []
+                rare, times, own = [], [], []
                 for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     u, n = np.unique(h[i:j][unknown[i:j]], return_counts=True)
                     rare.append(u.view(np.int64))
                     times.append(n.astype(np.int32))
+                    u, n = np.unique(at[i:j][~unknown[i:j]], return_counts=True)
+                    own.append(int(n[codes.counts[u] == n].sum()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(total[edges[1:]] - total[edges[:-1]]),
+                        batch.column(0).slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(total[edges[1:]] - total[edges[:-1]]), pa.array(own, pa.int64()),
                         pa.array([raw[2 * i : 2 * j] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary()),
                         pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())),
                     ],
-                    ["doc_id", "n", "inside", "codes", "rare", "times"],
+                    ["doc_id", "n", "inside", "own", "codes", "rare", "times"],
                 )
 
     return run
@@ -299,7 +306,7 @@ def _summing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scoring(flat: np.ndarray, side: int):
-    """Rows of (doc_id, rid, n, inside, codes) to (doc_id, rid, n, s): the sum of log probabilities but for joined counts."""
+    """Rows of (doc_id, rid, n, inside, codes, own) to (doc_id, rid, n, s, own): the sum of log probabilities but for joined counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
@@ -322,7 +329,7 @@ def _scoring(flat: np.ndarray, side: int):
                     sums[at:end] = total[edges[1:]] - total[edges[:-1]]
                 at = end
             s = sums + batch.column(3).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(s)], ["doc_id", "rid", "n", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(s), batch.column(5)], ["doc_id", "rid", "n", "s", "own"])
 
     return run
 
@@ -348,7 +355,7 @@ def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, Codes, np.ndarray]:
     texts = docs.select("text").where("text is not null and text != ''")
     counts = materialise(texts.mapInArrow(_counting, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
     codes = code_table(counts)
-    encoded = docs.select("doc_id", "text").mapInArrow(_encoding(codes), "doc_id long, n long, inside double, codes binary, rare array<long>, times array<int>")
+    encoded = docs.select("doc_id", "text").mapInArrow(_encoding(codes), "doc_id long, n long, inside double, own long, codes binary, rare array<long>, times array<int>")
     encoded = materialise(encoded.withColumn("rid", F.monotonically_increasing_id()), "encoded")
     side, flat = codes.side, new_network(codes.side)
     w, prior = parts_of(flat, side), codes.prior()
@@ -368,10 +375,15 @@ def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame, Codes, np.ndarray]:
 
 
 def lm_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (the sum over tokens) and its mean, for every row of ``docs``."""
+    """doc_id, n_tokens, log_likelihood (the sum over tokens), its mean, and n_unshared, for every row of ``docs``.
+
+    n_unshared counts the tokens whose word stands in no other row: what a model of the others would know nothing of.
+    """
     encoded, counts, codes, flat = fit(docs)
-    scored = encoded.select("doc_id", "rid", "n", "inside", "codes").mapInArrow(_scoring(flat, codes.side), "doc_id long, rid long, n long, s double")
+    scored = encoded.select("doc_id", "rid", "n", "inside", "codes", "own").mapInArrow(_scoring(flat, codes.side), "doc_id long, rid long, n long, s double, own long")
     rare = encoded.where(F.size("rare") > 0).select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.times").alias("k"))
-    added = rare.join(counts, "h").groupBy("rid").agg(F.sum(F.col("k") * F.log("n")).alias("more"))
-    joined = scored.join(added, "rid", "left").select("doc_id", F.col("n").alias("n_tokens"), (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"))
-    return joined.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+    alone = F.sum(F.when(F.col("k") == F.col("n"), F.col("k")).otherwise(0))
+    added = rare.join(counts, "h").groupBy("rid").agg(F.sum(F.col("k") * F.log("n")).alias("more"), alone.alias("alone"))
+    joined = scored.join(added, "rid", "left").select("doc_id", F.col("n").alias("n_tokens"), (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"), (F.col("own") + F.coalesce("alone", F.lit(0))).alias("n_unshared"))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return joined.select("doc_id", "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"), "n_unshared")

@@ -93,10 +93,12 @@ def test_scores_equal_the_definition_whatever_the_partitions(spark, monkeypatch)
     assert encoded.where("size(rare) > 0").count() > 0
     want, of_words, of_codes, shares = slow_scores(rows, flat, codes.side, top)
     assert shares and of_words == pytest.approx(of_codes) and of_words <= 1 + 1e-9
+    sets = {i: set((t or "").split()) for i, t in rows}
     for parts in (1, 5):
         got = {r.doc_id: r for r in lm.lm_report(df.repartition(parts)).collect()}
         for i, n, s in want:
             assert got[i].n_tokens == n and got[i].log_likelihood == pytest.approx(s, rel=1e-4, abs=1e-4)
+            assert got[i].n_unshared == sum(all(w not in other for j, other in sets.items() if j != i) for w in (dict(rows)[i] or "").split())
 
 
 def test_probabilities_sum_to_one():
