@@ -38,12 +38,18 @@ def shared_root(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for ``drop_tables`` to delete."""
+    path = f"{shared_root(spark)}/tallyforge/{uuid.uuid4().hex}-{name}"
+    _written.append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: a lineage cut that outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/tallyforge/{uuid.uuid4().hex}-{name}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

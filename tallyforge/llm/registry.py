@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import audit_filters, decontam, licenses, lines, lm, mixing, near, neighbours, pages, substrings, toxicity
+from tallyforge.llm import audit_filters, decontam, licenses, lines, lm, mixing, near, neighbours, pages, substrings, toxicity, warc
 from tallyforge.llm.common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_decontamination": lambda spark, d: decontam.decontamination_report(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op9_mixing": lambda spark, d: mixing.mixing_report(table(spark, d, "documents")),
     "op10_nearest_neighbours": lambda spark, d: neighbours.nearest(table(spark, d, "embeddings")),
+    "op11_warc": lambda spark, d: warc.warc_report(table(spark, d, "pages")),
     "op12_filter_interactions": lambda spark, d: audit_filters.filter_report(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
@@ -24,5 +25,6 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": substrings.ORACLE,
     "op6_ngram_jaccard": near.ORACLE,
     "op9_mixing": mixing.oracle(),
+    "op11_warc": warc.ORACLE,
     "op12_filter_interactions": audit_filters.ORACLE,
 }
