@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import audit_filters, decontam, licenses, lines, lm, mixing, near, neighbours, pages, substrings, toxicity, warc
+from tallyforge.llm import audit_filters, decontam, licenses, lines, lm, mixing, near, neighbours, pages, spelling, substrings, toxicity, warc
 from tallyforge.llm.common import table
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_nearest_neighbours": lambda spark, d: neighbours.nearest(table(spark, d, "embeddings")),
     "op11_warc": lambda spark, d: warc.warc_report(table(spark, d, "pages")),
     "op12_filter_interactions": lambda spark, d: audit_filters.filter_report(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op13_spelling_variants": lambda spark, d: spelling.variants(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
