@@ -17,7 +17,7 @@ def test_lines_by_hand(spark):
     assert all(got[i][0].tf_text == f"{body} {i}\nlast {i}" and got[i][0].tf_removed == 1 for i in range(12))
     assert len(got[0]) == 2 and got[0][0] == got[0][1]
     assert got[100][0].tf_text == "few sites" and got[100][0].tf_flagged == 0
-    assert (got[200][0].tf_text, got[200][0].tf_flagged, got[200][0].tf_removed) == ("shared notice", 1, 0)
+    assert (got[200][0].tf_text, got[200][0].tf_flagged, got[200][0].tf_removed) == ("", 1, 1)
     assert got[201][0].tf_text is None and got[202][0].tf_text == "" and got[None][0].tf_text == f"{body} n"
     assert lines.clean(df).columns[:4] == df.columns
     r = {x.doc_id: x for x in lines.line_report(df).collect()}
@@ -25,7 +25,7 @@ def test_lines_by_hand(spark):
     assert lines.line_report(df.limit(0)).count() == 0
 
 
-def test_only_a_copy_keeps_its_boilerplate(spark):
+def test_copies_have_no_exemption(spark):
     notices = [f"notice {k} that many sites print under every page" for k in range(4)]
     block = "\n".join(notices)
     rows = [(i, f"own sentence {i}\n{block}", f"s{i}") for i in range(6)]
@@ -35,8 +35,7 @@ def test_only_a_copy_keeps_its_boilerplate(spark):
     got = {r.doc_id: r for r in lines.clean(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[i].tf_text == f"own sentence {i}" and got[i].tf_removed == 4 for i in range(6))
     assert got[10].tf_text == got[11].tf_text == "short" and got[40].tf_text == "middle"
-    assert all((got[i].tf_text, got[i].tf_removed) == (got[i].text, 0) for i in (20, 22, None))
-    assert (got[21].tf_text, got[21].tf_removed, got[30].tf_text) == ("", 2, "")
+    assert [(got[i].tf_text, got[i].tf_removed, got[i].tf_flagged) for i in (20, 21, 22, 30, None)] == [("", 2, 2), ("", 2, 2), ("", 4, 4), ("", 3, 3), ("", 4, 4)]
 
 
 def test_exact_counts_decide_near_the_threshold(spark):
