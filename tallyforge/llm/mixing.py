@@ -25,8 +25,6 @@ between topics: the smaller. An empty table gives an empty table. ``sample`` kee
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +33,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tallyforge.llm.common import boxed, materialise, unboxed
 
 TOPICS = 6
-#: Rounds that the SQL of ``oracle`` unrolls; the operator goes on until it has settled.
-ROUNDS = 5
 TOLERANCE = 1e-9
-MOST_ROUNDS = 1000
+#: An error if the weights have not settled by then.
+MOST_ROUNDS = 20_000
 TEMPERATURE = 0.5
 SHARE = 0.5
 KEYS = ["source", "lang", "topic"]
@@ -95,8 +92,7 @@ def settle(start: np.ndarray, cap: np.ndarray, groups: list[tuple[np.ndarray, np
         if moved <= TOLERANCE:
             return w
         was = w
-    warnings.warn(f"mixing: the last of {rounds} rounds still moved {moved:.2g} of the weight", stacklevel=2)
-    return was
+    raise ArithmeticError(f"mixing has not settled: the last of {rounds} rounds still moved {moved:.2g} of the weight")
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MOST_ROUNDS, share: float | None = None) -> DataFrame:
@@ -169,6 +165,10 @@ def _sampled(docs: DataFrame) -> DataFrame:
     return docs.join(drawn, on).select(*[docs[c] for c in docs.columns], "tf_topic", "tf_tokens", "tf_p", "tf_weight")
 
 
+#: Rounds that the SQL unrolls.
+ROUNDS = 5
+
+
 def oracle(table: str = "documents", final: str | None = None, prelude: str = "") -> str:
     """SQL for ``mixing_report`` over a table; ``final`` replaces the outermost query, ``prelude`` goes before the rest."""
     votes = ", ".join(f"count(*) FILTER (w <> '' AND ascii(w) % {TOPICS} = {k}) AS t{k}" for k in range(TOPICS))
