@@ -165,36 +165,40 @@ def _sampled(docs: DataFrame) -> DataFrame:
     return docs.join(drawn, on).select(*[docs[c] for c in docs.columns], "tf_topic", "tf_tokens", "tf_p", "tf_weight")
 
 
-#: Rounds that the SQL unrolls.
-ROUNDS = 5
-
-
-def oracle(table: str = "documents", final: str | None = None, prelude: str = "") -> str:
-    """SQL for ``mixing_report`` over a table; ``final`` replaces the outermost query, ``prelude`` goes before the rest."""
+def oracle() -> str:
+    """SQL for ``mixing_report``: the same raking as a recursive query, one step of one key in each turn, until it has settled."""
     votes = ", ".join(f"count(*) FILTER (w <> '' AND ascii(w) % {TOPICS} = {k}) AS t{k}" for k in range(TOPICS))
     total = " + ".join(f"t{k}" for k in range(TOPICS))
     best = "greatest(" + ", ".join(f"t{k}" for k in range(TOPICS)) + ")"
     topic = "CASE " + " ".join(f"WHEN t{k} = {best} THEN {k}" for k in range(TOPICS)) + " END"
-    parts = [
-        f"mx_w AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, unnest(regexp_split_to_array(coalesce(text, ''), '{SPACE}')) AS w FROM {table})",
-        f"mx_v AS (SELECT doc_id, source, lang, {votes} FROM mx_w GROUP BY ALL)",
-        f"mx_t AS MATERIALIZED (SELECT doc_id, source, lang, {topic} AS topic, {total} AS tokens FROM mx_v)",
-        "mx_c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM mx_t WHERE tokens > 0 GROUP BY ALL)",
-    ]
-    for k in KEYS:
-        parts.append(f"mx_a_{k} AS (SELECT {k}, pow(sum(tokens)::DOUBLE, {TEMPERATURE}) AS a FROM mx_c GROUP BY {k})")
-        parts.append(f"mx_m_{k} AS MATERIALIZED (SELECT {k}, a / (SELECT sum(a) FROM mx_a_{k}) AS share FROM mx_a_{k})")
-    parts.append("mx_r0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens::DOUBLE AS w FROM mx_c)")
-    n = 0
-    for _ in range(ROUNDS):
-        for k in KEYS:
-            parts.append(f"mx_r{n + 1} AS MATERIALIZED (SELECT r.source, r.lang, r.topic, r.tokens, r.w * m.share / sum(r.w) OVER (PARTITION BY r.{k}) AS w FROM mx_r{n} r JOIN mx_m_{k} m ON r.{k} = m.{k})")
-            n += 1
-    parts += [
-        f"mx_x AS MATERIALIZED (SELECT source, lang, topic, tokens, w / (SELECT sum(w) FROM mx_r{n}) * (SELECT sum(tokens) * {SHARE} FROM mx_r{n}) / tokens AS r FROM mx_r{n})",
-        f"mx_f AS (SELECT coalesce(sum(tokens) FILTER (r >= 1), 0) AS filled, coalesce(sum(r * tokens) FILTER (r < 1), 0) AS rest, sum(tokens) * {SHARE} AS want FROM mx_x)",
-        "mx_p AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN r >= 1 THEN 1.0 ELSE least(1.0, greatest(0.0, r * CASE WHEN rest > 0 THEN (want - filled) / rest ELSE 1.0 END)) END::DOUBLE AS p FROM mx_x, mx_f)",
-        "mx_d AS (SELECT t.*, p.p FROM mx_t t JOIN mx_p p ON t.source = p.source AND t.lang = p.lang AND t.topic = p.topic WHERE t.tokens > 0 AND ('0x' || substr(md5(coalesce(t.doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < p.p)",
-    ]
-    last = final or "SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS p, round(1 / p, 6) AS weight FROM mx_d"
-    return f"WITH {prelude}{', '.join(parts)} {last}"
+    # the factor by which lat, cut at cap, sums to goal among the cells (or values) of one group
+    step = """coalesce(max(CASE WHEN f <= ratio THEN f END) OVER (PARTITION BY g), max(ratio) OVER (PARTITION BY g))"""
+    tries = """(goal - coalesce(sum(cap) OVER (PARTITION BY g ORDER BY ratio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(lat) OVER (PARTITION BY g ORDER BY ratio ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
+    values = " UNION ALL ".join(f"SELECT {i} AS g, {k}::VARCHAR AS value, sum(tokens)::DOUBLE AS n, pow(sum(tokens)::DOUBLE, {TEMPERATURE}) AS a FROM cells GROUP BY {k}" for i, k in enumerate(KEYS))
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, unnest(regexp_split_to_array(coalesce(text, ''), '{SPACE}')) AS w FROM documents
+), votes AS (
+  SELECT doc_id, source, lang, {votes} FROM words GROUP BY ALL
+), docs AS MATERIALIZED (
+  SELECT doc_id, source, lang, {topic} AS topic, {total} AS tokens FROM votes
+), cells AS MATERIALIZED (
+  SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens, (SELECT sum(tokens) * {SHARE} FROM docs) AS want FROM docs WHERE tokens > 0 GROUP BY ALL
+), values_ AS (
+  SELECT g, value, n / (SELECT max(want) FROM cells) AS cap, a / sum(a) OVER (PARTITION BY g) AS lat, 1.0::DOUBLE AS goal FROM ({values})
+), goals AS MATERIALIZED (
+  SELECT g AS k, value, least(cap, lat * {step}) AS goal FROM (SELECT *, {tries} AS f FROM (SELECT *, cap / lat AS ratio FROM values_))
+), raking AS (
+  SELECT 0 AS it, source, lang, topic, tokens, want, tokens / want AS cap, tokens / sum(tokens) OVER () AS lat, 0.0::DOUBLE AS was, 1.0::DOUBLE AS moved FROM cells
+  UNION ALL
+  SELECT it, source, lang, topic, tokens, want, cap, lat, CASE WHEN it % 3 = 0 THEN least(lat, cap) ELSE was END, CASE WHEN it % 3 = 0 THEN sum(abs(least(lat, cap) - was)) OVER () ELSE 1.0 END
+  FROM (SELECT it + 1 AS it, source, lang, topic, tokens, want, cap, lat * {step} AS lat, was FROM (SELECT *, {tries} AS f FROM (
+    SELECT r.*, v.value AS g, v.goal, cap / lat AS ratio FROM raking r JOIN goals v ON v.k = r.it % 3 AND v.value = CASE r.it % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE topic::VARCHAR END
+    WHERE r.moved > {TOLERANCE})))
+), p AS MATERIALIZED (
+  SELECT source, lang, topic, least(1.0, was * want / tokens) AS p FROM raking WHERE it > 0 AND moved <= {TOLERANCE}
+)
+SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS p, round(1 / p, 6) AS weight FROM docs JOIN p USING (source, lang, topic)
+WHERE tokens > 0 AND ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < p
+"""
