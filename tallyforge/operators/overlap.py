@@ -1,12 +1,10 @@
-"""Duplicates and near duplicates across groups and splits, by exact text and by word shingles."""
+"""Duplicates and near duplicates across groups and splits: exact texts, and what near pairs mean for rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import shingles, words
-
 
 def exact_groups(rows: DataFrame, text: str = "norm") -> DataFrame:
     """Groups of equal text within a task that span more than one agreement."""
@@ -30,39 +28,6 @@ def seen_exact(rows: DataFrame, text: str = "norm") -> DataFrame:
     return keyed.where("split <> 'train'").join(hot, ["task_id", "h"], "left_semi").select("example_id")
 
 
-def text_sets(rows: DataFrame, n: int = 5, least: int = 26, text: str = "norm") -> DataFrame:
-    """(text_type, h, grams, size) of the distinct texts with at least ``least`` shingles.
-
-    The words are written out before the shingle lambda reads them: an expression would be evaluated once per shingle.
-    """
-    from tallyforge.sources.io import materialise
-
-    distinct = rows.select("text_type", F.col(text).alias("t")).distinct()
-    split = materialise(distinct.select("text_type", F.sha2("t", 256).alias("h"), words(F.col("t")).alias("w")).where(F.size("w") >= least + n - 1), "words")
-    return materialise(split.select("text_type", "h", shingles(F.col("w"), n).alias("grams")).withColumn("size", F.size("grams")), "grams").where(F.col("size") >= least)
-
-
-def near_pairs(sets: DataFrame, similarity: float = 0.9) -> DataFrame:
-    """(text_type, left, right, jaccard) of distinct texts at or above the similarity, exact, by prefixes.
-
-    Two sets this similar share a shingle among the rarest ``size - ceil(similarity * size) + 1`` of each, so only those
-    are joined; common shingles, which would pair everything, hardly ever are among them. Pairs are then counted on
-    the full sets.
-    """
-    rows = sets.select("text_type", "h", "size", F.explode("grams").alias("g"))
-    frequency = rows.groupBy("text_type", "g").agg(F.count("*").alias("f"))
-    ranked = rows.join(frequency, ["text_type", "g"]).groupBy("text_type", "h", "size").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("r"))
-    keep = (F.col("size") - F.ceil(F.col("size") * similarity) + 1).cast("int")
-    prefix = ranked.select("text_type", "h", "size", F.explode(F.slice("r", F.lit(1), keep)).alias("x")).where("x.f > 1").select("text_type", "h", "size", F.col("x.g").alias("g"))
-    a, b = (prefix.select("text_type", "g", F.col("h").alias(s), F.col("size").alias(f"n_{s}")) for s in ("left", "right"))
-    candidates = a.join(b, ["text_type", "g"]).where((F.col("left") < F.col("right")) & (F.least("n_left", "n_right") >= similarity * F.greatest("n_left", "n_right"))).select("text_type", "left", "right").distinct()
-    full = lambda s: sets.select(F.col("h").alias(s), F.col("text_type"), F.col("grams").alias(f"g_{s}"))
-    both = candidates.join(full("left"), ["text_type", "left"]).join(full("right"), ["text_type", "right"])
-    inside = F.size(F.array_intersect("g_left", "g_right"))
-    j = inside / (F.size("g_left") + F.size("g_right") - inside)
-    return both.select("text_type", "left", "right", j.alias("jaccard")).where(F.col("jaccard") >= similarity)
-
-
 def near_tasks(pairs: DataFrame, rows: DataFrame, text: str = "norm") -> DataFrame:
     """Pairs expanded to the tasks both texts occur under, where two rows have different agreements."""
     keyed = rows.select("example_id", "task_id", "text_type", "agreement_id", "split", F.sha2(F.col(text), 256).alias("h"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as tx
-from tallyforge.operators import audit, bootstrap, guard, overlap, prepare, report, runlog, scan, scoring
+from tallyforge.operators import audit, bootstrap, guard, near, overlap, prepare, report, runlog, scan, scoring
 from tallyforge.plans import fixtures as fx
 from tallyforge.sources import io as files
 
@@ -241,7 +241,17 @@ def _(spark, d):
 
 @query("near_overlap", DV + GRAMS + " SELECT text_type, h1 AS left_sha256, h2 AS right_sha256, round(j, 6) AS jaccard FROM np")
 def _(spark, d):
-    return overlap.near_pairs(overlap.text_sets(_with_variants(spark, d))).select("text_type", F.col("left").alias("left_sha256"), F.col("right").alias("right_sha256"), F.round("jaccard", 6).alias("jaccard"))
+    return near.near_pairs(near.text_sets(_with_variants(spark, d))).select("text_type", F.col("left").alias("left_sha256"), F.col("right").alias("right_sha256"), F.round("jaccard", 6).alias("jaccard"))
+
+
+CLASSES = """, pw AS MATERIALIZED (SELECT text_type, h1 AS h, h2 AS o FROM np UNION ALL SELECT text_type, h2, h1 FROM np),
+reach AS (SELECT text_type, sha256(norm) AS h, sha256(norm) AS o FROM tn UNION SELECT r.text_type, r.h, p.o FROM reach r JOIN pw p ON p.text_type = r.text_type AND p.h = r.o)"""
+
+
+@query("near_overlap_classes", DV.replace("WITH", "WITH RECURSIVE", 1) + GRAMS + CLASSES + " SELECT r.text_type, r.h AS text_sha256, min(r.o) AS class_sha256, (SELECT count(*) FROM pw WHERE pw.text_type = r.text_type AND pw.h = r.h) AS links FROM reach r GROUP BY r.text_type, r.h")
+def _(spark, d):
+    c = near.near_classes(near.text_sets(_with_variants(spark, d)))
+    return c.select("text_type", F.col("h").alias("text_sha256"), F.col("class_h").alias("class_sha256"), "links")
 
 
 EXPANDED = """, ex AS MATERIALIZED (SELECT np.text_type, l.task_id, h1, h2, n1, n2, j, bool_or(l.agreement_id <> r.agreement_id) AS crossed, list_sort(list(DISTINCT l.example_id)) AS li, list_sort(list(DISTINCT r.example_id)) AS ri,
@@ -252,7 +262,7 @@ FROM np JOIN dx l ON l.norm = n1 AND l.text_type = np.text_type JOIN dx r ON r.n
 @query("near_overlap_tasks", DV + GRAMS + EXPANDED + " SELECT task_id, h1 AS left_sha256, h2 AS right_sha256, array_to_string(li, ',') AS left_example_ids, array_to_string(ri, ',') AS right_example_ids, array_to_string(splits, ',') AS splits FROM ex")
 def _(spark, d):
     rows = _with_variants(spark, d)
-    e = overlap.near_tasks(overlap.near_pairs(overlap.text_sets(rows)), rows)
+    e = overlap.near_tasks(near.near_pairs(near.text_sets(rows)), rows)
     return e.select("task_id", F.col("left").alias("left_sha256"), F.col("right").alias("right_sha256"), *_ids("left_example_ids", "right_example_ids", "splits"))
 
 
@@ -262,14 +272,14 @@ SEEN = " SELECT DISTINCT x.example_id FROM ex, dx x WHERE x.split <> 'train' AND
 @query("train_seen_near", DV + GRAMS + EXPANDED + SEEN)
 def _(spark, d):
     rows = _with_variants(spark, d)
-    return overlap.seen_near(overlap.near_tasks(overlap.near_pairs(overlap.text_sets(rows)), rows), rows)
+    return overlap.seen_near(overlap.near_tasks(near.near_pairs(near.text_sets(rows)), rows), rows)
 
 
 @query("train_seen", DV + GRAMS + EXPANDED + f" SELECT x.example_id FROM dx x JOIN g ON g.task_id = x.task_id AND g.norm = x.norm WHERE x.split <> 'train' AND list_contains(g.s, 'train') UNION {SEEN}")
 def _(spark, d):
     rows = _with_variants(spark, d)
-    near = overlap.seen_near(overlap.near_tasks(overlap.near_pairs(overlap.text_sets(rows)), rows), rows)
-    return overlap.seen_exact(rows).union(near).distinct()
+    found = overlap.seen_near(overlap.near_tasks(near.near_pairs(near.text_sets(rows)), rows), rows)
+    return overlap.seen_exact(rows).union(found).distinct()
 
 
 @query("overlap_summary", DV + GRAMS + EXPANDED + f""", sn AS ({SEEN}), se AS (SELECT x.example_id FROM dx x JOIN g ON g.task_id = x.task_id AND g.norm = x.norm WHERE x.split <> 'train' AND list_contains(g.s, 'train'))
@@ -278,7 +288,7 @@ UNION ALL SELECT 'near_pairs', count(*) FROM ex UNION ALL SELECT 'near_cross_spl
 def _(spark, d):
     rows = _with_variants(spark, d)
     groups = overlap.exact_groups(rows)
-    e = overlap.near_tasks(overlap.near_pairs(overlap.text_sets(rows)), rows)
+    e = overlap.near_tasks(near.near_pairs(near.text_sets(rows)), rows)
     return overlap.summary(groups, e, overlap.seen_exact(rows), overlap.seen_near(e, rows))
 
 

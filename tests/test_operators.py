@@ -10,7 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import guard, overlap, runlog, scan
+from tallyforge.operators import guard, near, runlog, scan
 from tallyforge.sources import io as files
 from tallyforge.streaming.guard_stream import stream_machine
 
@@ -123,7 +123,7 @@ def test_near_pairs_against_brute_force(spark):
             w[rng.randrange(60)] = f"x{rng.randrange(5)}"
         rows.append((i, "en", " ".join(w)))
     df = spark.createDataFrame(rows, "example_id int, text_type string, norm string")
-    got = {(r.left, r.right) for r in overlap.near_pairs(overlap.text_sets(df)).collect()}
+    got = {(r.left, r.right) for r in near.near_pairs(near.text_sets(df)).collect()}
     sets = {hashlib.sha256(t.encode()).hexdigest(): {tuple(t.split()[j : j + 5]) for j in range(56)} for _, _, t in rows}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b])}
     assert got == want and want
