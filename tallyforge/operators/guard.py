@@ -27,7 +27,8 @@ class Limits:
 def decision(limits: Limits = Limits()) -> Column:  # noqa: B008
     """sensor_failure before limits_changed before hot before cool before hold.
 
-    A reading that is missing, not possible, or not of one device alone is a failure of the sensors, never a reason to go on.
+    A reading that is missing or not possible is a failure of the sensors, never a reason to go on. One of several devices at
+    once is several rows: ``watch.events`` makes them one failure.
     """
     c = F.col
     return (

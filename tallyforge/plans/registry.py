@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as tx
-from tallyforge.operators import audit, bootstrap, guard, near, overlap, prepare, report, runlog, scan, scoring
+from tallyforge.operators import audit, bootstrap, guard, near, overlap, prepare, report, runlog, scan, scoring, watch
 from tallyforge.plans import fixtures as fx
 from tallyforge.sources import io as files
 
@@ -823,6 +823,35 @@ def _(spark, d):
     return guard.stopping(guard.run_machine(_faulty(spark, d)))
 
 
+#: A machine with clocks: half a day without a reading is silence, a pause is of two days at least.
+CLOCKS = watch.Watch(guard.Limits(cool_readings=2, least_pause_seconds=172_800), 43_200)
+WATCH = FAULTY.replace("WITH ", "WITH RECURSIVE ", 1) + f""", e0 AS (SELECT host, epoch_us(ts) AS us, min(event_id) AS event_id, CASE WHEN count(*) > 1 THEN 'sensor_failure' ELSE min({FAIL_SAFE}) END AS decision FROM fr GROUP BY ALL),
+hz AS (SELECT max(us) AS h FROM e0), e1 AS (SELECT *, lead(us) OVER (PARTITION BY host ORDER BY us) AS nx, us + 43200000000 AS quiet FROM e0),
+e2 AS (SELECT host, us, event_id, 'reading' AS kind, decision FROM e1 UNION ALL SELECT host, quiet, event_id, 'silence', 'sensor_failure' FROM e1, hz WHERE quiet < nx OR (nx IS NULL AND quiet <= h)),
+ev AS MATERIALIZED (SELECT *, decision IN ('hot', 'limits_changed', 'sensor_failure') AS bad, row_number() OVER w AS i, lead(us) OVER w AS nx FROM e2 WINDOW w AS (PARTITION BY host ORDER BY us, kind)),
+ws AS (SELECT host, i, us, event_id, kind, decision, nx, bad AS paused, 0 AS cool, us AS since, CASE WHEN bad THEN 'pause' ELSE 'none' END AS action FROM ev WHERE i = 1
+UNION ALL SELECT o.host, o.i, o.us, o.event_id, o.kind, o.decision, o.nx, o.bad OR (x.p AND NOT x.back), CASE WHEN o.bad OR x.back THEN 0 WHEN x.p THEN x.c ELSE x.was END, CASE WHEN o.bad AND NOT x.p THEN o.us ELSE s.since END, CASE WHEN o.bad AND NOT x.p THEN 'pause' WHEN x.back AND NOT o.bad THEN 'resume' ELSE 'none' END
+FROM ws s JOIN ev o ON o.host = s.host AND o.i = s.i + 1, LATERAL (SELECT s.paused AND s.cool >= 2 AND s.since + 172800000000 < o.us AS fired) f,
+LATERAL (SELECT s.paused AND NOT f.fired AS p, CASE WHEN f.fired THEN 0 ELSE s.cool END AS was) y, LATERAL (SELECT y.p AS p, y.was AS was, CASE WHEN o.decision = 'cool' THEN y.was + 1 ELSE 0 END AS c, y.p AND o.decision = 'cool' AND y.was + 1 >= 2 AND o.us - s.since >= 172800000000 AS back) x),
+wl AS (SELECT host, us, event_id, kind, decision, action, paused, cool FROM ws UNION ALL
+SELECT host, since + 172800000000, event_id, 'timer', 'cool', 'resume', false, 0 FROM ws, hz WHERE paused AND cool >= 2 AND since + 172800000000 < coalesce(nx, since + 172800000001) AND (nx IS NOT NULL OR since + 172800000000 <= h))"""
+
+
+@query("guard_clocks", WATCH + " SELECT * FROM wl")
+def _(spark, d):
+    return watch.run(_faulty(spark, d), CLOCKS)
+
+
+@query("guard_clocks_latest", WATCH + " SELECT host, us, event_id, kind, decision, action, paused, cool FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY us DESC, kind DESC) AS rn FROM wl) WHERE rn = 1")
+def _(spark, d):
+    return watch.latest(watch.run(_faulty(spark, d), CLOCKS))
+
+
+@query("guard_silences", WATCH + " SELECT host, quiet AS us, nx AS until FROM e1, hz WHERE quiet < nx OR (nx IS NULL AND quiet <= h)")
+def _(spark, d):
+    return watch.silences(_faulty(spark, d), CLOCKS)
+
+
 # scanning and reports -----------------------------------------------------------------------------------------------
 def _payloads(spark, d):
     docs = fx.read(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), "text")

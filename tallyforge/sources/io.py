@@ -109,22 +109,35 @@ def with_line_numbers(df: DataFrame, order: str, first: int = 2) -> DataFrame:
     return positions(df, [order]).withColumn("row_number", F.col("pos") + first).drop("pos")
 
 
-def write_json(spark: SparkSession, document: dict, path: str) -> None:
-    """A small document as JSON, indented, non-ASCII kept; written aside and renamed, so readers see all or nothing."""
-    text = json.dumps(document, indent=2, ensure_ascii=False, allow_nan=False) + "\n"
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, written aside and renamed over the old one: readers see the old or the new, never nothing."""
     jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(aside, True)
+    fs = jvm.org.apache.hadoop.fs
+    target, aside = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    files = fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()) if target.toUri().getScheme() else fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(aside, True)
     try:
         out.write(bytearray(text.encode("utf-8", "surrogatepass")))
     finally:
         out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(aside, target):
-        raise OSError(f"cannot rename to {path}")
+    kind = getattr(fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    files.rename(aside, target, over)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file, None where there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return None
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def write_json(spark: SparkSession, document: dict, path: str) -> None:
+    """A small document as JSON, indented, non-ASCII kept; readers see the old or the new document."""
+    replace_text(spark, path, json.dumps(document, indent=2, ensure_ascii=False, allow_nan=False) + "\n")
 
 
 def config_hash(config: dict) -> str:
