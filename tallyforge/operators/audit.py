@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.text import parse_answer
 from tallyforge.operators import bootstrap, prepare, scoring
-from tallyforge.sources.io import same_identity
+from tallyforge.sources.io import materialise, same_identity
 
 #: What two branches must have in common, row by row, to be compared.
 SHARED = ["prompt_tokens_sha256", "valid_answers", "text_sha256"]
@@ -82,6 +82,32 @@ def compare_branches(control: DataFrame, other: DataFrame, tasks: DataFrame, cov
     return wide.join(F.broadcast(apart)).withColumn("promising", F.coalesce(promising, F.lit(False)))  # single rows
 
 
+def gated_comparison(control: DataFrame, other: DataFrame, tasks: DataFrame, cover: DataFrame, weights: DataFrame, pins: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row that is only made where two branches can be compared: scores, rare diagnostics, bootstrap intervals, the rule.
+
+    Errors stop it: the branches' identities (``pins``, single rows: hashes of data, contexts, configuration) differ, rows do not
+    pair up, something they were asked differs, there is nothing to draw from. The rows are counted once, by cluster; scores,
+    rare answers and every replicate follow from those counts.
+    """
+    if pins is not None:
+        require_equal(pins[0], pins[1], pins[0].columns, "the branches were not run on the same things")
+    require_empty(bootstrap.pairing_violations(control, other), "the branches do not pair up")
+    require_empty(prompt_mismatches(control, other, SHARED), "the branches were not asked the same")
+    both = control.withColumn("system", F.lit("left")).unionByName(other.withColumn("system", F.lit("right")))
+    require_empty(degenerate(both, cover), "nothing to draw from")
+    cells = materialise(bootstrap.cluster_cells(both), "cells")
+    counts = cells.groupBy("system", "task_id", "label", "prediction").agg(F.sum("n").alias("n"))
+    report = scoring.score(counts, tasks, cover, ["system"]).select("system", "question_macro_f1", "rare_accuracy")
+    report = report.join(scoring.rare_stats(counts, cover, ["system"]).select("system", F.col("recall").alias("rare_recall"), "rare_correct", F.col("rare_chosen").alias("rare_predictions"), F.col("rare_incorrect").alias("incorrect_rare_predictions")), "system")
+    names = [c for c in report.columns if c != "system"]
+    sides = {"left": "control", "right": "other"}
+    wide = report.agg(*[F.max(F.when(F.col("system") == s, F.col(c))).alias(f"{name}_{c}") for s, name in sides.items() for c in names])
+    limits = bootstrap.interval(bootstrap.cell_replicates(cells, bootstrap.vectors(weights), tasks, cover))
+    edges = limits.agg(F.max("replicates").alias("replicates"), *[F.max(F.when(F.col("statistic") == s, F.col(c))).alias(f"{name}_{c}") for s, name in (sides | {"difference": "difference"}).items() for c in ("low", "high")])
+    promising = (F.col("other_rare_accuracy") > F.col("control_rare_accuracy")) & (F.col("other_question_macro_f1") >= F.col("control_question_macro_f1"))
+    return wide.join(F.broadcast(edges)).withColumn("promising", F.coalesce(promising, F.lit(False))).drop("control_rare_accuracy", "other_rare_accuracy")  # single rows
+
+
 def rescore(gold: DataFrame, records: DataFrame, tasks: DataFrame, cover: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(report, error rows) of stored records, after a check that they can be scored; an error else."""
     require_empty(scoring.violations(gold, records, tasks), "records cannot be scored")

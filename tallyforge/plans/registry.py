@@ -643,6 +643,39 @@ def _(spark, d):
     return audit.degenerate(rows.where("split = 'nowhere'"), cover)
 
 
+#: The replicates of a published comparison.
+PUBLISHED = 2000
+MANY = REPS.replace(f"range({REPLICATES})", f"range({PUBLISHED})")
+
+
+@query("bootstrap_ci_published", MANY + """, lg AS (SELECT 'left' AS statistic, l AS x FROM reps UNION ALL SELECT 'right', r FROM reps UNION ALL SELECT 'difference', r - l FROM reps)
+SELECT statistic, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high, count(*) AS replicates FROM lg GROUP BY statistic""")
+def _(spark, d):
+    rows, tasks, cover = _prepared(spark, d)
+    test = rows.where("split = 'test'")
+    both = fx.left(test).withColumn("system", F.lit("left")).unionByName(fx.right(test).withColumn("system", F.lit("right")))
+    return _rounded(audit.paired_bootstrap(both, bootstrap.hashed_weights(test, PUBLISHED, fx.SEED), tasks, cover), "low", "high")
+
+
+TEST_SYSTEMS = "(SELECT *, 'left' AS system FROM pred_left WHERE split = 'test' UNION ALL SELECT *, 'right' FROM pred_right WHERE split = 'test')"
+
+
+@query("gated_comparison", MANY + f""", {fx.scores_sql(TEST_SYSTEMS, ['system'])}, {RARE_BY_SYSTEM}, q AS (SELECT system, avg(macro_f1) FILTER (eligible) AS f FROM ts JOIN eligible USING (task_id) GROUP BY system),
+s AS (SELECT system, f, rare_correct * 1.0 / rare_n AS r, rare_correct, rare_chosen FROM q JOIN ry USING (system)),
+iv AS (SELECT count(*) AS replicates, quantile_cont(l, 0.025) AS ll, quantile_cont(l, 0.975) AS lh, quantile_cont(r, 0.025) AS rl, quantile_cont(r, 0.975) AS rh, quantile_cont(r - l, 0.025) AS dl, quantile_cont(r - l, 0.975) AS dh FROM reps)
+SELECT round(c.f, 6) AS control_question_macro_f1, round(o.f, 6) AS other_question_macro_f1, round(c.r, 6) AS control_rare_recall, round(o.r, 6) AS other_rare_recall, c.rare_correct AS control_rare_correct, o.rare_correct AS other_rare_correct,
+c.rare_chosen AS control_rare_predictions, o.rare_chosen AS other_rare_predictions, c.rare_chosen - c.rare_correct AS control_incorrect_rare_predictions, o.rare_chosen - o.rare_correct AS other_incorrect_rare_predictions,
+replicates, round(ll, 6) AS control_low, round(lh, 6) AS control_high, round(rl, 6) AS other_low, round(rh, 6) AS other_high, round(dl, 6) AS difference_low, round(dh, 6) AS difference_high, o.r > c.r AND o.f >= c.f AS promising
+FROM s c, s o, iv WHERE c.system = 'left' AND o.system = 'right'""")
+def _(spark, d):
+    rows, tasks, cover = _prepared(spark, d)
+    test = rows.where("split = 'test'")
+    said = lambda p: p.withColumns({"prompt_tokens_sha256": F.sha2("task_id", 256), "valid_answers": F.array(*map(F.lit, fx.ANSWERS)), "text_sha256": F.sha2("data_type", 256)})
+    out = audit.gated_comparison(said(fx.left(test)), said(fx.right(test)), tasks, cover, bootstrap.hashed_weights(test, PUBLISHED, fx.SEED))
+    sides = ["control", "other"]
+    return _rounded(out, *[f"{s}_{n}" for s in sides for n in ("question_macro_f1", "rare_recall", "low", "high")], "difference_low", "difference_high")
+
+
 # run logs -----------------------------------------------------------------------------------------------------------
 RL = f"WITH {fx.RUNLOG}"
 
