@@ -27,8 +27,11 @@ def words(norm: Column) -> Column:
 
 
 def shingles(word_array: Column, n: int = 5) -> Column:
-    """Distinct runs of n words, as 64-bit hashes. Pass a materialised array of words: the lambda reads it many times."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(word_array) - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice(word_array, i, n), " ")))
+    """Distinct runs of n words, as 64-bit hashes. Pass a materialised array of words: the lambda reads it many times.
+
+    Words are taken one by one: a slice would copy the whole array for every run.
+    """
+    grams = F.transform(F.sequence(F.lit(0), F.size(word_array) - n), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(word_array, i + k) for k in range(n)])))
     return F.when(F.size(word_array) >= n, F.array_distinct(grams)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 

@@ -34,6 +34,8 @@ from tallyforge.sources.io import materialise
 MEETING_BLOCK = 2048
 FAMILY_BLOCK = 512
 SALTS = 8
+#: Texts at a meeting place whose pairs are all looked at at once.
+FEW = 16
 #: Bits of a bitmap at least and at most; between them half as many as there are shingles.
 BITS = (256, 1 << 16)
 
@@ -43,9 +45,12 @@ def text_sets(rows: DataFrame, n: int = 5, least: int = 26, text: str = "norm")
 
     The words are written out before the shingle lambda reads them: an expression would be evaluated once per shingle.
     """
-    distinct = rows.select("text_type", F.col(text).alias("t")).distinct()
+    # a fixed number of partitions: texts are small next to the work that they make, so their bytes must not decide on tasks
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = rows.select("text_type", F.col(text).alias("t")).repartition(parts, "text_type", "t").distinct()
     split = materialise(distinct.select("text_type", F.sha2("t", 256).alias("h"), words(F.col("t")).alias("w")).where(F.size("w") >= least + n - 1), "words")
-    return materialise(split.select("text_type", "h", shingles(F.col("w"), n).alias("grams")).withColumn("size", F.size("grams")).where(F.col("size") >= least), "grams")
+    grams = materialise(split.select("text_type", "h", shingles(F.col("w"), n).alias("grams")), "grams")  # a filter here would make them twice
+    return grams.withColumn("size", F.size("grams")).where(F.col("size") >= least)
 
 
 def ordered(sets: DataFrame, similarity: float) -> DataFrame:
@@ -54,15 +59,17 @@ def ordered(sets: DataFrame, similarity: float) -> DataFrame:
     own: shingles of this text alone; tokens: the shared ones, rare first; prefix: how many of these to meet by; k: the class.
     """
     numbered = materialise(sets.select(F.monotonically_increasing_id().alias("id"), "text_type", "h", "size", "grams"), "numbered")
-    each = numbered.select("id", "text_type", "size", F.explode("grams").alias("g"))
-    shared = each.groupBy("text_type", "g").agg(F.count("*").alias("f")).where("f > 1")
+    # a shingle of one type is not that of another
+    each = numbered.select("id", "text_type", F.explode("grams").alias("gram")).select("id", F.xxhash64("text_type", "gram").alias("g"))
+    shared = each.groupBy("g").agg(F.count("*").alias("f")).where("f > 1")
+    found = each.join(shared, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("r"))
     need = F.ceil(F.col("size") * similarity - 1e-9)
-    found = each.join(shared, ["text_type", "g"]).groupBy("id", "text_type", "size").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("r")).where(F.size("r") >= need)
+    rows = numbered.select("id", "text_type", "h", "size").join(found, "id").where(F.size("r") >= need)
     own = F.col("size") - F.size("r")
     # a little more than the factor, so that rounding never puts near sizes two classes apart
     k = F.floor(F.log(F.col("size").cast("double")) / (-math.log(similarity) * (1 + 1e-9))).cast("int")
-    out = found.select("id", "text_type", "size", own.alias("own"), F.col("r.g").alias("tokens"), (F.col("size") - need + 1 - own).cast("int").alias("prefix"), k.alias("k"))
-    return materialise(out.where("prefix > 0").join(numbered.select("id", "h"), "id"), "ordered")
+    out = rows.select("id", "text_type", "h", "size", own.alias("own"), F.col("r.g").alias("tokens"), (F.col("size") - need + 1 - own).cast("int").alias("prefix"), k.alias("k"))
+    return materialise(out.where("prefix > 0"), "ordered")
 
 
 def classed(rows: DataFrame) -> DataFrame:
@@ -71,12 +78,19 @@ def classed(rows: DataFrame) -> DataFrame:
 
 
 def dealt(rows: DataFrame, key: list[str], size: int) -> DataFrame:
-    """``rows`` with bi, bj and side: groups of ``key`` in blocks, a row once for each block that it must meet."""
-    counts = rows.groupBy(*key).agg(F.count("*").alias("n"), F.count(F.when(F.col("host"), 1)).alias("hosts")).where("n > 1 and hosts > 0").withColumn("blocks", F.ceil(F.col("n") / size).cast("int")).drop("n", "hosts")
-    block = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
-    met = rows.join(counts, key).withColumn("own_block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = met.withColumns({"bi": F.least("own_block", "other"), "bj": F.greatest("own_block", "other"), "side": F.col("own_block") > F.col("other")}).drop("own_block", "other", "blocks")
-    return placed.repartition(*key, "bi", "bj").sortWithinPartitions(*key, "bi", "bj")
+    """``rows`` with place (a hash of ``key`` and blocks), split and side, place by place.
+
+    A key with more rows than ``size`` is cut into blocks, and a row goes to every pair of blocks that holds its own: there
+    ``split`` says that two blocks meet, ``side`` which one is its own. Such keys are few, so their table is small.
+    """
+    named = rows.withColumn("place", F.xxhash64(*key))
+    heavy = materialise(named.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > size).select("place", F.ceil(F.col("n") / size).cast("int").alias("blocks")), "heavy")
+    met = named.join(heavy, "place", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own, other = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = met.withColumn("own_block", own).withColumn("other", other).withColumns({"split": F.col("own_block") != F.col("other"), "side": F.col("own_block") > F.col("other")})
+    pair = F.when(F.col("blocks") == 1, F.col("place")).otherwise(F.xxhash64("place", F.least("own_block", "other"), F.greatest("own_block", "other")))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.withColumn("place", pair).drop("own_block", "other", "blocks").repartition(parts, "place").sortWithinPartitions("place")
 
 
 def groups(columns: int, solve: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
@@ -138,33 +152,88 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[
     return out
 
 
-def _meet(similarity: float):
-    share = similarity / (1 + similarity)
+class Meeting:
+    """Texts of many meeting places, one after the other, and the pairs of them that no bound refuses."""
+
+    def __init__(self, t: pa.Table, similarity: float):
+        self.similarity, self.share = similarity, similarity / (1 + similarity)
+        self.ids, self.size, self.own, self.at = (t.column(x).to_numpy() for x in ("id", "size", "own", "at"))
+        self.host, self.side, self.split = (t.column(x).to_numpy(zero_copy_only=False) for x in ("host", "side", "split"))
+        bits = t.column("bits").combine_chunks()
+        at = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
+        data, self.width = np.frombuffer(bits.buffers()[2], np.uint8), np.diff(at)
+        self.place, self.maps = np.zeros(len(bits), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            mine = np.flatnonzero(self.width == w)
+            self.place[mine] = np.arange(len(mine))
+            self.maps[w] = np.ascontiguousarray(data[at[mine][:, None] + np.arange(w)]).view(np.uint64)
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether rows i and j of one place each may be near."""
+        a, b, own = self.size[i], self.size[j], self.own[i] + self.own[j]
+        need = self.share * (a + b) - 1e-6  # of both sets, to be shared
+        # what is before the shingle in one order can be shared at most as far as the shorter start goes, likewise after it
+        room = 1 + np.minimum(a - self.own[i] - self.at[i], b - self.own[j] - self.at[j]) - 1 + np.minimum(self.at[i], self.at[j])
+        ok = (self.host[i] | self.host[j]) & (np.minimum(a, b) >= self.similarity * np.maximum(a, b) - 1e-9) & (room >= need)
+        ok &= ~self.split[i] | (self.side[i] != self.side[j])
+        for w, maps in self.maps.items():
+            some = np.flatnonzero(ok & (self.width[i] == w))
+            for k in range(0, len(some), 1 << 16):
+                s = some[k : k + (1 << 16)]
+                differ = np.bitwise_count(maps[self.place[i[s]]] ^ maps[self.place[j[s]]]).sum(axis=1) + own[s]
+                ok[s] = differ <= a[s] + b[s] - 2 * need[s]
+        return ok
+
+    def edges(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that link what may be near at each place: all of them where few texts meet, else a spanning forest."""
+        u, v, count = [], [], ends - starts
+        for n in range(2, FEW + 1):
+            first = starts[count == n]
+            if len(first):
+                x, y = np.triu_indices(n, 1)
+                i, j = (first[:, None] + x).ravel(), (first[:, None] + y).ravel()
+                ok = self.near(i, j)
+                u.append(i[ok])
+                v.append(j[ok])
+        for a, b in zip(starts[count > FEW].tolist(), ends[count > FEW].tolist(), strict=True):
+            found = forest(b - a, lambda i, rest: self.near(np.full(len(rest), a + i), a + rest))  # noqa: B023
+            if found:
+                x, y = np.array(found).T
+                u.append(a + x)
+                v.append(a + y)
+        none = np.zeros(0, np.int64)
+        return self.ids[np.concatenate([*u, none]).astype(np.int64)], self.ids[np.concatenate([*v, none]).astype(np.int64)]
 
-    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, size, own, at = (t.column(x).to_numpy() for x in ("id", "size", "own", "at"))
-        host, side = (t.column(x).to_numpy(zero_copy_only=False) for x in ("host", "side"))
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
-        split = t.column("bi")[0].as_py() != t.column("bj")[0].as_py()
 
-        def near(i: int, rest: np.ndarray) -> np.ndarray:
-            need = share * (size[rest] + size[i]) - 1e-6  # of both sets, to be shared
-            # after this shingle there is room for so many more: what is before it in one order cannot be shared
-            room = 1 + np.minimum(size[rest] - own[rest] - at[rest] - 1, size[i] - own[i] - at[i] - 1) + np.minimum(at[rest], at[i])
-            ok = (host[rest] | host[i]) & (np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]) - 1e-9) & (room >= need)
-            if split:
-                ok &= side[rest] != side[i]
-            some = np.flatnonzero(ok)
-            differ = np.bitwise_count(bits[rest[some]] ^ bits[i]).sum(axis=1) + own[rest[some]] + own[i]
-            ok[some] = differ <= (size[rest[some]] + size[i]) - 2 * need[some]
-            return ok
+def _meet(similarity: float):
+    """(u, v) from rows sorted by key; a place that a batch cuts waits for the next one."""
+
+    def solve(t: pa.Table, whole: bool) -> tuple[pa.RecordBatch | None, pa.Table | None]:
+        key = t.column("place").to_numpy()
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        starts, ends = edge[:-1], edge[1:]
+        rest = None
+        if not whole:
+            rest, starts, ends = t.slice(int(starts[-1])), starts[:-1], ends[:-1]
+        if not len(starts):
+            return None, rest
+        u, v = Meeting(t, similarity).edges(starts, ends)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"]) if len(u) else None, rest
 
-        edges = forest(len(ids), near)
-        if edges:
-            u, v = np.array(edges).T
-            yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], ["u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                made, rest = solve(t if rest is None else pa.concat_tables([rest, t]), False)
+                if made is not None:
+                    yield made
+        if rest is not None and rest.num_rows:
+            made, _ = solve(rest, True)
+            if made is not None:
+                yield made
 
-    return groups(5, solve)
+    return run
 
 
 def links(texts: DataFrame, similarity: float) -> DataFrame:
@@ -174,7 +243,7 @@ def links(texts: DataFrame, similarity: float) -> DataFrame:
     )
     prefix = mapped.select("id", "text_type", "size", "own", "c", "host", "bits", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("at", "g"))
     met = dealt(prefix, ["text_type", "g", "c"], MEETING_BLOCK)
-    return met.select("text_type", "g", "c", "bi", "bj", "id", "size", "own", "at", "host", "side", "bits").mapInArrow(_meet(similarity), "u long, v long")
+    return met.select("place", "id", "size", "own", "at", "host", "side", "split", "bits").mapInArrow(_meet(similarity), "u long, v long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -220,12 +289,14 @@ def overlaps(sets: list[np.ndarray], cells: int = 1 << 23) -> np.ndarray:
 
 def _verify(similarity: float, pairs: bool):
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if t.num_rows < 2:
+            return
         ids, size = t.column("id").to_numpy(), t.column("size").to_numpy().astype(float)
         host, side = (t.column(x).to_numpy(zero_copy_only=False) for x in ("host", "side"))
         both = overlaps([np.asarray(x, np.int64) for x in t.column("tokens").to_pylist()])
         jaccard = both / (size[:, None] + size[None, :] - both)
         near = (jaccard >= similarity) & (host[:, None] | host[None, :])
-        if t.column("bi")[0].as_py() != t.column("bj")[0].as_py():
+        if t.column("split").to_numpy(zero_copy_only=False).any():
             near &= side[:, None] != side[None, :]
         np.fill_diagonal(near, False)
         if pairs:
@@ -240,14 +311,14 @@ def _verify(similarity: float, pairs: bool):
         if len(columns[0]):
             yield pa.RecordBatch.from_arrays(columns, ["u", "v", "x"])
 
-    return groups(4, solve)
+    return groups(1, solve)
 
 
 def _compared(sets: DataFrame, similarity: float, pairs: bool) -> tuple[DataFrame, DataFrame]:
     texts = ordered(sets, similarity)
     families = components(links(texts, similarity))
-    members = texts.join(families, F.col("id") == F.col("node")).select("label", "id", "size", "k", "tokens")
-    blocks = dealt(classed(members), ["label", "c"], FAMILY_BLOCK).select("label", "c", "bi", "bj", "id", "size", "host", "side", "tokens")
+    members = texts.join(families, F.col("id") == F.col("node")).select("label", "text_type", "id", "size", "k", "tokens")
+    blocks = dealt(classed(members), ["label", "text_type", "c"], FAMILY_BLOCK).select("place", "id", "size", "host", "side", "split", "tokens")
     return texts, blocks.mapInArrow(_verify(similarity, pairs), "u long, v long, x double")
 
 
