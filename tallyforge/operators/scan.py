@@ -31,17 +31,19 @@ DEPTH, ITEM, TOTAL = 6, 64 << 20, 512 << 20
 
 #: A character of a word, as a class without its brackets.
 W = r"\p{L}\p{N}_"
-#: What a line must not hold. None of these can span lines.
+#: What a line must not hold. None of these can span lines. Findings must be those of the rules as they were
+#: published, so the expressions are stated as they are; W is what a word character means to this engine.
 LINE_RULES = {
     "personal_path": r"""/(?:Users|home)/[^\s/"'<>]+|[A-Za-z]:\\Users\\[^\s\\]+""",
     "private_dns": rf"(?i)(?<![{W}])[{W}][{W}.-]*\.(?:ts\.net|internal|local)(?![{W}.-])",
     "url_credential": r"(?i)https?://[^\s/@:]+:[^\s/@]+@",
     "hidden_control": r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{E0000}-\x{E007F}]",
 }
+#: Fixed values, for the same reason: addresses.
 QUAD = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
 IPV4 = rf"(?<![{W}.])({QUAD})(?![{W}.])(?=(/[0-9]+)?)"
 IPV6 = rf"(?<![{W}:])(?:f[cd][0-9a-f]{{2}}|fe[89ab][0-9a-f]):[0-9a-f:]+"
-#: The one field whose digest is masked, and what stands for it.
+#: The one field whose digest is masked, and what stands for it.
 DIGEST, MASK = rf'(?<![{W}])prompt_tokens_sha256": "[a-f0-9]{{64}}"', 'prompt_tokens_sha256": "SHA256_DIGEST"'
 
 
@@ -158,6 +160,7 @@ def allowed_link(name: str, target: bytes, target_is_file: bool, target_content:
     return name == "AGENTS.md" and target == b"CLAUDE.md" and target_is_file and target_content == b""
 
 
+#: Fixed value: content inside a text.
 _DATA = re.compile(rb"data:[A-Za-z0-9_.+/-]+;base64,([A-Za-z0-9+/]+={0,2})")
 
 
@@ -245,22 +248,34 @@ def _tar_members(name: str, t: tarfile.TarFile, below) -> Found:
             yield from below(m.name, t.extractfile(m).read(ITEM + 1))
 
 
+class Members:
+    """Rows (name, text, problem) of a file and all it packs, one at a time: no list of an archive is made."""
+
+    def eval(self, path: str, content: bytes):
+        for name, inner, problem in expand(path or "", bytes(content or b"")):
+            text = None
+            if inner is not None and problem is None and not (inner[:2] == b"\x1f\x8b" or zipfile.is_zipfile(io.BytesIO(inner)) or inner[257:262] == b"ustar"):
+                try:
+                    text = inner.decode("utf-8")
+                    problem = "nul" if "\x00" in text else None
+                except UnicodeDecodeError:
+                    problem = "undecodable"
+            yield name, text, problem
+
+
 def expand_archives(files: DataFrame) -> DataFrame:
-    """(name, text, problem) of (path, content) files and all they pack; undecodable content is a problem, not skipped."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path, content in zip(f["path"], f["content"], strict=True):
-                rows = []
-                for name, inner, problem in expand(path, bytes(content)):
-                    text = None
-                    if inner is not None and problem is None and not (inner[:2] == b"\x1f\x8b" or zipfile.is_zipfile(io.BytesIO(inner)) or inner[257:262] == b"ustar"):
-                        try:
-                            text = inner.decode("utf-8")
-                            problem = "nul" if "\x00" in text else None
-                        except UnicodeDecodeError:
-                            problem = "undecodable"
-                    rows.append((name, text, problem))
-                yield pd.DataFrame(rows, columns=["name", "text", "problem"])
-
-    return files.select("path", "content").mapInPandas(run, "name string, text string, problem string")
+    """(name, text, problem) of (path, content) files and all they pack; undecodable content is a problem, not skipped.
+
+    A lateral join with a table function: members leave a task as they are read, within the bounds of depth and bytes. A
+    packed payload itself has neither text nor problem. Null content is an empty file, a null path an empty name.
+    """
+    members = F.udtf(Members, returnType="name string, text string, problem string")
+    return files.select("path", "content").lateralJoin(members(F.col("path").outer(), F.col("content").outer())).select("name", "text", "problem")
+
+
+def archive_findings(files: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
+    """(name, rule, line, n): what the rules find in every member of the files, and the problems of members, without a line."""
+    members = expand_archives(files)
+    texts = members.where("text is not null").select("name", "text")
+    found = line_findings(texts, LINE_RULES if rules is None else rules).select("name", "rule", F.col("line").cast("int").alias("line"), "n")
+    return found.unionByName(members.where("problem is not null").select("name", F.col("problem").alias("rule"), F.lit(None).cast("int").alias("line"), F.lit(1).cast("long").alias("n")))

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
+import io
+import tarfile
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tallyforge.operators import prepare
 
@@ -74,7 +82,50 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _pack(page_id: int, url: str, html: str) -> bytes:
+    """A page in one of six shapes, by its id."""
+    raw, out = html.encode(), io.BytesIO()
+    kind = page_id % 6
+    if kind == 0:
+        return gzip.compress(raw, mtime=0)
+    if kind == 1:
+        with zipfile.ZipFile(out, "w") as z:
+            z.comment = b"made of a page"
+            for name, content in (("index.html", raw), ("more/inner.gz", gzip.compress(url.encode(), mtime=0)), ("../outside.html", raw)):
+                z.writestr(zipfile.ZipInfo(name), content)
+        return out.getvalue()
+    if kind == 2:
+        with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as t:
+            for name, content in (("index.html", raw), ("keys/page.pem", b"x")):
+                info = tarfile.TarInfo(name)
+                info.size = len(content)
+                t.addfile(info, io.BytesIO(content))
+        return out.getvalue()
+    if kind == 3:
+        return raw + b'\n<img src="data:text/plain;base64,' + base64.b64encode(url.encode()) + b'">'
+    if kind == 4:
+        return gzip.compress(raw, mtime=0)[: len(raw) // 8 + 12]
+    return gzip.compress(gzip.compress(raw + b"\x00", mtime=0), mtime=0)
+
+
+def packed(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content): every page packed into an archive or a text."""
+    pack = F.pandas_udf(lambda i, u, h: pd.Series([_pack(int(a), b or "", c or "") for a, b, c in zip(i, u, h, strict=True)]), BinaryType())
+    return read(spark, d, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("path"), pack("page_id", "url", "html").alias("content"))
+
+
 # The same relations in SQL, as common table expressions.
+#: What ``packed`` holds, member by member: a text, a problem, or neither for a payload that is packed itself.
+MEMBERS = """
+mp AS (SELECT 'page-' || page_id::VARCHAR AS path, page_id % 6 AS kind, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+me AS MATERIALIZED (SELECT path AS name, CASE WHEN kind = 3 THEN html || chr(10) || '<img src="data:text/plain;base64,' || base64(encode(url)) || '">' END AS text, NULL::VARCHAR AS problem FROM mp
+UNION ALL SELECT path || '!gz', html, NULL FROM mp WHERE kind = 0
+UNION ALL SELECT path || m.n, CASE m.n WHEN '!comment' THEN 'made of a page' WHEN '!index.html' THEN html WHEN '!more/inner.gz!gz' THEN url END, CASE m.n WHEN '!../outside.html' THEN 'unsafe_member' END FROM mp, (SELECT unnest(['!comment', '!index.html', '!more/inner.gz', '!more/inner.gz!gz', '!../outside.html']) AS n) m WHERE kind = 1
+UNION ALL SELECT path || m.n, CASE m.n WHEN '!index.html' THEN html END, CASE m.n WHEN '!keys/page.pem' THEN 'unsafe_member' END FROM mp, (SELECT unnest(['!index.html', '!keys/page.pem']) AS n) m WHERE kind = 2
+UNION ALL SELECT path || '!data0', url, NULL FROM mp WHERE kind = 3
+UNION ALL SELECT path, NULL, 'unreadable' FROM mp WHERE kind = 4
+UNION ALL SELECT path || '!gz', NULL, NULL FROM mp WHERE kind = 5 UNION ALL SELECT path || '!gz!gz', html || chr(0), 'nul' FROM mp WHERE kind = 5)
+"""
 #: What a relation exam gives: support, training counts, rare labels, eligible tasks.
 SUPPORT = """
 labels4 AS (SELECT unnest([0, 1, 2, 3]) AS label),

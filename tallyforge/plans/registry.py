@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as tx
-from tallyforge.operators import audit, bootstrap, guard, near, overlap, prepare, report, runlog, scan, scoring, watch
+from tallyforge.operators import audit, bootstrap, guard, near, overlap, prepare, report, runlog, scan, scoring, terms, watch
 from tallyforge.plans import fixtures as fx
+from tallyforge.sources import blocks
 from tallyforge.sources import io as files
 
 QUERIES: dict = {}
@@ -973,6 +974,35 @@ def _(spark, d):
     return scan.term_search(_scanned(spark, d), TERMS)
 
 
+@query("archive_members", f"WITH {fx.MEMBERS} SELECT name, sha256(text) AS text_sha256, problem FROM me")
+def _(spark, d):
+    return scan.expand_archives(fx.packed(spark, d)).select("name", F.sha2("text", 256).alias("text_sha256"), "problem")
+
+
+MARKS = {"number": "[0-9]{3,}", "link": "https?://[a-z.]+", "script": "<script"}
+
+
+@query("archive_findings", f"WITH {fx.MEMBERS}, li AS (SELECT name, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM me WHERE text IS NOT NULL) " + " UNION ALL ".join(f"SELECT name, '{k}' AS rule, line, len(regexp_extract_all(t, '{p}')) AS n FROM li WHERE regexp_matches(t, '{p}')" for k, p in MARKS.items()) + " UNION ALL SELECT name, problem, NULL, 1 FROM me WHERE problem IS NOT NULL")
+def _(spark, d):
+    return scan.archive_findings(fx.packed(spark, d), MARKS)
+
+
+@query("term_automaton", f"""WITH {PAYLOADS}, tt AS MATERIALIZED (SELECT lower(w) AS low, min(w) AS term FROM (SELECT unnest(regexp_extract_all(text, '[^ \n]+')) AS w FROM benchmark) GROUP BY 1 HAVING length(lower(w)) >= 7),
+li AS MATERIALIZED (SELECT name, unnest(string_split(lower(text), chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM pl WHERE text IS NOT NULL)
+SELECT name, term, line, (length(t) - length(replace(t, low, ''))) // length(low) AS n FROM li JOIN tt ON contains(t, low)""")
+def _(spark, d):
+    words = fx.read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[^ \n]+"), F.lit(0))).alias("term")).where(F.length(F.lower("term")) >= 7)
+    return terms.search_terms(_payloads(spark, d), words)
+
+
+@query("freeze_check")
+def _(spark, d):
+    """The given files by blocks against the same files whole: no row where both agree."""
+    whole = files.file_hashes(spark, f"{d}/*.parquet")
+    manifest = whole.select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    return blocks.freeze_check(spark, d, manifest)
+
+
 #: Names are judged of all payloads, contents where they were seen first, by name.
 FINDINGS = f"""WITH {SCANNED.split(', li AS')[0]}, fs AS (SELECT min(name) AS name FROM sc GROUP BY text), li AS (SELECT name, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM sc WHERE name IN (SELECT name FROM fs)), {LEAK_SQL}, {V4_SQL}, {V6_SQL}, {TERM_SQL},
 {PATHS.replace("FROM pages)", "FROM (SELECT name, regexp_extract(name, '[0-9]+')::BIGINT AS page_id FROM sc))").replace("SELECT page_id, url, CASE page_id % 16", "SELECT name, name AS path2, page_id, CASE -1").replace("regexp_replace(url, '^https?:/+', '')", "name").replace("page_id::VARCHAR", "name")},
