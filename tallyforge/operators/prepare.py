@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ranks import exact_percentiles
+from tallyforge.sources.io import materialise
+
 SPLITS = ["train", "validation", "test"]
 
 
@@ -120,8 +123,9 @@ def audit_summary(rows: DataFrame, cover: DataFrame) -> DataFrame:
 
 def length_percentiles(rows: DataFrame, column: str = "prompt_tokens") -> DataFrame:
     """Exact percentiles by split, linear between ranks."""
-    p = F.percentile(column, F.array(*map(F.lit, [0.5, 0.9, 0.95, 0.99])))
-    return rows.groupBy("split").agg(p.alias("p"), F.max(column).alias("longest")).select("split", *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(["p50", "p90", "p95", "p99"])], "longest")
+    p = exact_percentiles(rows, ["split"], column, [0.5, 0.9, 0.95, 0.99]).withColumnRenamed("split", "tf_split")
+    both = rows.groupBy("split").agg(F.max(column).alias("longest")).join(p, F.col("split").eqNullSafe(F.col("tf_split")))
+    return both.select("split", *[F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(["p50", "p90", "p95", "p99"])], "longest")
 
 
 def context_size(rows: DataFrame, supervised: Column, least_new: int = 8, step: int = 256, most: int = 32768) -> DataFrame:
@@ -150,6 +154,33 @@ def content_id(name: Column, number: Column, row: Column) -> Column:
     return F.concat_ws(":", name, number.cast("string"), F.substring(F.sha2(F.to_json(row), 256), 1, 16))
 
 
-def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows on one side only, repeated rows counted; empty if the tables are equal."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+#: Parts in which two tables are compared by their fingerprints.
+PARTS = 4096
+
+
+def fingerprints(df: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(part, n, a, b): rows of each part of a table and sums of two hashes of them, whatever their order.
+
+    Sums see repeated rows, which a set of hashes would not. A null counts as a value of its own in its column.
+    """
+    told = [F.col(f"`{c}`").isNull() for c in df.columns]
+    hashes = [F.xxhash64(F.lit(s), *[F.col(f"`{c}`") for c in df.columns], *told) for s in (1, 2)]
+    return df.select(*[h.alias(n) for h, n in zip(hashes, "ab", strict=True)]).groupBy(F.pmod("a", F.lit(parts)).alias("part")).agg(F.count("*").alias("n"), *[F.sum(F.col(x).cast("decimal(38,0)")).alias(x) for x in "ab"])
+
+
+def differences(a: DataFrame, b: DataFrame, parts: int = PARTS) -> DataFrame:
+    """Rows on one side only, repeated rows counted; empty if the tables are equal.
+
+    Parts with the same fingerprints are equal (126 bits of sums and the count), so only rows of other parts are compared.
+    """
+    b = b.select(*[F.col(f"`{c}`") for c in a.columns])
+    x, y = (fingerprints(df, parts).select("part", F.struct("n", "a", "b").alias(s)) for df, s in ((a, "x"), (b, "y")))
+    apart = materialise(x.join(y, "part", "full_outer").where("not (x <=> y)").select(F.col("part").alias("tf_apart")), "apart")
+
+    def rest(df: DataFrame) -> DataFrame:
+        told = [F.col(f"`{c}`").isNull() for c in df.columns]
+        part = F.pmod(F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c in df.columns], *told), F.lit(parts))
+        return df.withColumn("tf_part", part).join(F.broadcast(apart), F.col("tf_part") == F.col("tf_apart"), "left_semi").drop("tf_part")  # at most ``parts`` rows
+
+    left, right = rest(a), rest(b)
+    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ranks import exact_percentiles
+from tallyforge.sources.io import materialise
+
 
 def seeded_order(rows: DataFrame, seed: str, epoch: int, key: str = "example_id") -> DataFrame:
     """Rows with pos, their place in a seeded order of the epoch."""
@@ -20,23 +23,18 @@ def seeded_order(rows: DataFrame, seed: str, epoch: int, key: str = "example_id"
 def positions(rows: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """Rows with pos, their place in the order of the columns, without sorting all of them in one task.
 
-    The first column is a number, or a hash in hexadecimal digits. Rows are dealt by ranges of it; places inside a range
-    start after the rows of all ranges before it, of which there are few.
+    Rows are dealt by ranges of the order, sorted inside, and written with their place in the range; places begin after the
+    rows of all ranges before, of which there are few. Equal rows have places in no certain order.
     """
     n = parts or 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = rows.select(F.min(order[0]).alias("low")).schema[0].dataType.typeName()
-    # hashes are even over their first digits; other keys are dealt by their quantiles
-    if first == "string":
-        bucket = F.floor(F.conv(F.substring(order[0], 1, 8), 16, 10).cast("double") / (2.0**32 / n)).cast("int")
-    else:
-        edges = rows.approxQuantile(order[0], [i / n for i in range(1, n)], 0.5 / n)
-        bucket = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(order[0]))) if edges else F.lit(0)
-    dealt = rows.withColumn("tf_bucket", bucket)
-    counts = dealt.groupBy("tf_bucket").agg(F.count("*").alias("tf_n"))
-    before = F.coalesce(F.sum("tf_n").over(Window.orderBy("tf_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(counts.select("tf_bucket", before.alias("tf_before")))  # one row for each of the parts
-    place = F.row_number().over(Window.partitionBy("tf_bucket").orderBy(*order)) - 1
-    return dealt.join(starts, "tf_bucket").withColumn("pos", (place + F.col("tf_before")).cast("long")).drop("tf_bucket", "tf_before")
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("tf_row", F.monotonically_increasing_id())
+    held = materialise(ranged, "positions")
+    part, place = F.shiftright("tf_row", 33), F.col("tf_row").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = held.groupBy(part.alias("tf_part")).agg(F.count("*").alias("tf_n"))
+    before = F.coalesce(F.sum("tf_n").over(Window.orderBy("tf_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("tf_part", before.alias("tf_before")))  # one row for each of the ranges
+    placed = held.withColumn("tf_part", part).join(starts, "tf_part")
+    return placed.withColumn("pos", (place + F.col("tf_before")).cast("long")).drop("tf_part", "tf_before", "tf_row")
 
 
 def numpy_order(spark: SparkSession, n: int, seed: int, epoch: int) -> DataFrame:
@@ -122,7 +120,9 @@ def runtime_estimate(steps_: int, seconds: float, epochs: int, inference_seconds
 def latency_summary(log: DataFrame, seconds: str) -> DataFrame:
     """Total, rate, exact median and 95th percentile."""
     s = F.sum(seconds)
-    return log.agg(F.count("*").alias("n"), s.alias("total"), F.try_divide(F.count("*").cast("double"), s).alias("per_second"), F.percentile(seconds, F.lit(0.5)).alias("p50"), F.percentile(seconds, F.lit(0.95)).alias("p95"))
+    p = exact_percentiles(log, [], seconds, [0.5, 0.95])
+    whole = log.agg(F.count("*").alias("n"), s.alias("total"), F.try_divide(F.count("*").cast("double"), s).alias("per_second"))
+    return whole.join(F.broadcast(p), how="left").select("n", "total", "per_second", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"))  # single rows
 
 
 def run_difference(a: DataFrame, b: DataFrame, metrics: list[str], limit: float = 1e-6) -> DataFrame:

@@ -445,9 +445,7 @@ def _(spark, d):
 
 @query("prefix_resume", f"{WITH}, w AS (SELECT example_id, row_number() OVER (ORDER BY example_id) - 1 AS pos FROM exam), dn AS (SELECT * FROM w WHERE pos < 100) SELECT count(*) AS done, max(pos) = count(*) - 1 AS is_prefix, count(*) AS next_position FROM dn")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    wanted = fx.exam(spark, d).select("example_id", (F.row_number().over(Window.orderBy("example_id")) - 1).alias("pos"))
+    wanted = runlog.positions(fx.exam(spark, d).select("example_id"), ["example_id"])
     return scoring.prefix_resume(wanted.where("pos < 100").select("example_id"), wanted)
 
 
@@ -997,10 +995,11 @@ def _(spark, d):
 
 @query("freeze_check")
 def _(spark, d):
-    """The given files by blocks against the same files whole: no row where both agree."""
-    whole = files.file_hashes(spark, f"{d}/*.parquet")
-    manifest = whole.select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
-    return blocks.freeze_check(spark, d, manifest)
+    """The given files by blocks, and whether a manifest of the same files, hashed whole, says the same of them."""
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    manifest = files.file_hashes(spark, f"{d}/*.parquet").select(name, "sha256")
+    wrong = blocks.freeze_check(spark, d, manifest)
+    return blocks.block_hashes(spark, d).select(name, "size", "blocks", "sha256").join(wrong, "name", "full_outer")
 
 
 #: Names are judged of all payloads, contents where they were seen first, by name.
