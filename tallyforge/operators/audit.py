@@ -59,6 +59,18 @@ def prompt_mismatches(left: DataFrame, right: DataFrame, shared: list[str] = SHA
     return both.select(F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())).alias("field"), "example_id")
 
 
+def sequence_mismatches(left: DataFrame, right: DataFrame, position: str, shared: list[str] = SHARED[:1]) -> DataFrame:
+    """(position, left_id, right_id, field) where two sequences of records differ: another row at a place, a field, or no row.
+
+    ``prompt_mismatches`` pairs rows by id; here the place counts, so rows in another order are mismatches too.
+    """
+    named = lambda df, s: df.select(F.col(position).alias("position"), F.col("example_id").alias(f"{s}_id"), F.lit(True).alias(f"in_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in shared])
+    both = named(left, "left").join(named(right, "right"), "position", "full_outer")
+    paired = F.col("in_left") & F.col("in_right")
+    rules = [("position", ~F.coalesce(paired, F.lit(False))), ("example_id", paired & ~F.col("left_id").eqNullSafe(F.col("right_id"))), *[(c, paired & ~F.col(f"{c}_left").eqNullSafe(F.col(f"{c}_right"))) for c in shared]]
+    return both.select("position", "left_id", "right_id", F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())).alias("field"))
+
+
 def receipt(systems: DataFrame, tasks: DataFrame, cover: DataFrame) -> DataFrame:
     """(system, rows, question_macro_f1, accuracy, rare_correct, rare_n): what an audit of all systems passed on."""
     counts = scoring.confusion(systems, ["system"])

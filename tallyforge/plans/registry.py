@@ -544,6 +544,19 @@ def _both(spark, d):
     return fx.left(rows), fx.right(rows), tasks, cover
 
 
+@query("sequence_mismatches", f"""{WITH}, l AS (SELECT row_number() OVER (ORDER BY example_id) - 1 AS position, example_id, task_id FROM exam),
+r AS (SELECT row_number() OVER (ORDER BY CASE WHEN example_id % 500 = 0 THEN example_id + 3 ELSE example_id END, example_id) - 1 AS position, example_id, CASE WHEN example_id % 700 = 0 THEN 'other' ELSE task_id END AS task_id FROM exam WHERE example_id < (SELECT max(example_id) FROM exam)),
+b AS (SELECT coalesce(l.position, r.position) AS position, l.example_id AS left_id, r.example_id AS right_id, l.position IS NOT NULL AND r.position IS NOT NULL AS paired, l.task_id AS lt, r.task_id AS rt FROM l FULL JOIN r ON l.position = r.position)
+SELECT position, left_id, right_id, 'position' AS field FROM b WHERE NOT paired UNION ALL SELECT position, left_id, right_id, 'example_id' FROM b WHERE paired AND left_id <> right_id UNION ALL SELECT position, left_id, right_id, 'prompt_tokens_sha256' FROM b WHERE paired AND lt <> rt""")
+def _(spark, d):
+    rows, k = fx.exam(spark, d).select("example_id", "task_id"), F.col("example_id")
+    left = runlog.positions(rows.withColumn("prompt_tokens_sha256", F.sha2("task_id", 256)), ["example_id"])
+    top = rows.agg(F.max("example_id").alias("top"))
+    moved = rows.join(F.broadcast(top)).where(k < F.col("top")).withColumn("moved", F.when(k % 500 == 0, k + 3).otherwise(k))  # one row
+    right = runlog.positions(moved.withColumn("prompt_tokens_sha256", F.sha2(F.when(k % 700 == 0, "other").otherwise(F.col("task_id")), 256)), ["moved", "example_id"])
+    return audit.sequence_mismatches(left, right, "pos")
+
+
 @query("receipt", f"{WITH}, {fx.scores_sql(SYSTEMS, ['system'])}, {RARE_BY_SYSTEM}, q AS (SELECT system, round(avg(macro_f1) FILTER (eligible), 6) AS question_macro_f1 FROM ts JOIN eligible USING (task_id) GROUP BY system) SELECT pr.system, count(*) AS \"rows\", any_value(question_macro_f1) AS question_macro_f1, round(avg((label = prediction)::INT), 6) AS accuracy, any_value(rare_correct) AS rare_correct, any_value(rare_n) AS rare_n FROM pr JOIN q USING (system) JOIN ry USING (system) GROUP BY pr.system")
 def _(spark, d):
     left, right, tasks, cover = _both(spark, d)

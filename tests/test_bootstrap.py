@@ -107,3 +107,12 @@ def test_a_comparison_stops_where_branches_do_not_fit(spark):
     for message, (a, b, pins) in stops.items():
         with pytest.raises(ValueError, match=message):
             audit.gated_comparison(a, b, tasks, cover, drawn, pins)
+
+
+def test_sequences_count_places(spark):
+    schema = "pos long, example_id long, prompt_tokens_sha256 string"
+    left = spark.createDataFrame([(0, 1, "a"), (1, 2, "b"), (2, 3, None), (3, 4, "d")], schema)
+    right = spark.createDataFrame([(0, 1, "a"), (1, 3, None), (2, 2, "b"), (4, 4, "d")], schema)
+    got = {tuple(r) for r in audit.sequence_mismatches(left, right, "pos").collect()}
+    assert got == {(1, 2, 3, "example_id"), (1, 2, 3, "prompt_tokens_sha256"), (2, 3, 2, "example_id"), (2, 3, 2, "prompt_tokens_sha256"), (3, 4, None, "position"), (4, None, 4, "position")}
+    assert audit.sequence_mismatches(left, left, "pos").count() == 0 and audit.prompt_mismatches(left, right).count() == 0
