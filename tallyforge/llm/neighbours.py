@@ -277,6 +277,8 @@ def search(vectors: DataFrame, asked: DataFrame, count: int, dim: int, k: int, r
         good = names[at] == flat
         visit[rows_[good], at[good]] = True
         cand = v[own]
+        # a product's rounding grows with both norms: what lies so near the edge may be a tie
+        slack = 4 * dim * np.finfo(float).eps * np.linalg.norm(cand, axis=1).max()
         for i in range(0, len(asking), 512):
             q, looks = v[asking[i : i + 512]], visit[i : i + 512]
             scores = np.full((len(q), len(own)), -np.inf)
@@ -287,7 +289,8 @@ def search(vectors: DataFrame, asked: DataFrame, count: int, dim: int, k: int, r
             n = min(k + 1, scores.shape[1])
             # ties at the edge stay, all of them: the least id among them is settled after the merge
             edge = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
-            who, which = np.nonzero((scores >= edge[:, None] - 1e-12) & (scores > -np.inf))
+            near = edge - slack * np.linalg.norm(q, axis=1)
+            who, which = np.nonzero((scores >= near[:, None]) & (scores > -np.inf))
             exact = np.einsum("ij,ij->i", q[who], cand[which])
             yield pa.RecordBatch.from_arrays([pa.array(ids[asking[i + who]]), pa.array(ids[own[which]]), pa.array(exact)], ["qid", "vid", "score"])
 

@@ -80,3 +80,16 @@ def test_blocks_and_lengths(spark, monkeypatch):
             hit += len({j for _, j in best} & {j for _, j in got[i]})
             total += 20
     assert len(got) == 25 and hit / total > 0.95
+
+
+def test_ties_of_large_vectors(spark):
+    """Copies of one large vector tie in double precision, however a product of matrices rounds them."""
+    rng = np.random.default_rng(4)
+    large = [float(x) for x in np.float32(rng.normal(size=9) * 1e9)]
+    rows = [(i, large if i % 3 else [float(x) for x in rng.normal(size=9)], 0, "") for i in range(200)]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    copies = [i for i in range(200) if i % 3]
+    for i in (20, 40, 80):
+        assert [v for _, v in sorted(got[i])] == [c for c in copies if c != i][:20]
