@@ -9,6 +9,11 @@ inside a block made one space, blocks in page order, one line each.
 
 Rows are independent: no shuffle. Nothing is cut or capped.
 
+A form that holds most of a page's text and parts of a page or long paragraphs (as server frameworks write around the whole
+body) is page structure: it counts as a plain container and its children are decoded. Every other form is dropped like
+the rest of the boilerplate. The headers that go are those of the page: a header inside the article that holds its title is
+part of the article, and what else stands there (authors, dates, links) is decoded by itself.
+
 Defined cases. Null and empty html, and pages without content: empty text. Pages cut off in the middle: what is there;
 an unfinished tag at the end is dropped. A script or style without an end tag runs to the end of the page, as in a
 browser; of every other element without an end tag the tag alone is dropped, never what follows it. Null ids and urls pass
@@ -46,6 +51,9 @@ ENDS_P = set("address article aside blockquote center details dialog dir div dl
 FENCE = set("div article section main aside nav header footer body td th ul ol dl table form blockquote figure".split())
 TAGS = ["p", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "td", "blockquote", "pre", "figure", "figcaption", "dl", "#run", "button", "fieldset", "details", "dialog"]
 BAD = "nav menu footer header sidebar side ad ads advert advertisement banner promo sponsor sponsored cookie consent notice popup modal comment comments respond reply disqus share social related recommend newsletter subscribe signup login form search breadcrumb breadcrumbs pagination pager widget toolbar tags meta copyright legal alert gdpr overlay author bio".split()
+#: Parts of a page, which no form to be filled in holds, and the words of a paragraph that such a form does not hold either.
+PARTS = set("article main nav header footer section aside".split())
+LONG = 20
 GOOD = "article content main post body entry story text page hentry blog prose".split()
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)", re.S)
@@ -162,8 +170,23 @@ def parse(source: str) -> Node:
     return root
 
 
+def _structural(nodes: list[Node], parents: list[int], chars: list[int]) -> list[int]:
+    """The forms that hold over half of the page's text and parts of a page or long paragraphs."""
+    forms = {k for k, n in enumerate(nodes) if n.tag == "form" and 2 * chars[k] > chars[0]}
+    found = set()
+    if forms:
+        for k, n in enumerate(nodes):
+            if n.tag in PARTS or n.text.count(" ") + 1 >= LONG and nodes[parents[k]].tag == "p":
+                p = parents[k]
+                while p >= 0 and p not in found:
+                    if p in forms:
+                        found.add(p)
+                    p = parents[p]
+    return sorted(found)
+
+
 _TAG = {t: i for i, t in enumerate(TAGS)}
-WIDTH = len(TAGS) + 22
+WIDTH = len(TAGS) + 23
 
 
 def measure(root: Node) -> tuple[list[Node], list[int], np.ndarray]:
@@ -183,15 +206,19 @@ def measure(root: Node) -> tuple[list[Node], list[int], np.ndarray]:
         for i in range(7):
             t[i] += s[i]
     total = max(1, sums[0][0])
+    for k in _structural(nodes, parents, [s[0] for s in sums]):
+        nodes[k].tag, nodes[k].tokens = "div", frozenset()
     x = np.zeros((size, WIDTH), np.float32)
-    own_bad, own_good, above_bad, above_good, before = [0] * size, [0] * size, [0] * size, [0] * size, 0
+    own_bad, own_good, above_bad, above_good, inside, before = [0] * size, [0] * size, [0] * size, [0] * size, [False] * size, 0
     place: dict[int, int] = {}
     for k, n in enumerate(nodes):
         p = parents[k]
         own_bad[k] = sum(t in _BAD for t in n.tokens)
         own_good[k] = sum(t in _GOOD for t in n.tokens)
         if p >= 0:
-            above_bad[k] = above_bad[p] + own_bad[p] + (nodes[p].tag in ("nav", "footer", "aside", "header", "form", "button", "dialog"))
+            apart = nodes[p].tag in ("nav", "footer", "aside", "form", "button", "dialog") or nodes[p].tag == "header" and not inside[p]
+            above_bad[k] = above_bad[p] + own_bad[p] + apart
+            inside[k] = inside[p] or nodes[p].tag in ("article", "main")
             above_good[k] = above_good[p] + own_good[p] + (nodes[p].tag in ("article", "main"))
         chars, linked, tags, runs, marks, words, paragraphs = sums[k]
         siblings = len(nodes[p].children) if p >= 0 else 1
@@ -202,7 +229,7 @@ def measure(root: Node) -> tuple[list[Node], list[int], np.ndarray]:
             x[k, t] = 1
         x[k, len(TAGS) :] = (
             n.depth, chars, linked / max(1, chars), chars / tags, chars / max(1, runs), marks / max(1, words), words, paragraphs, chars / total, before / total,
-            at, siblings, at / siblings, own_bad[k], own_good[k], above_bad[k], above_good[k], n.hidden, sums[p][0] / total if p >= 0 else 1, sums[p][1] / max(1, sums[p][0]) if p >= 0 else 0,
+            at, siblings, at / siblings, own_bad[k], own_good[k], above_bad[k], above_good[k], inside[k], n.hidden, sums[p][0] / total if p >= 0 else 1, sums[p][1] / max(1, sums[p][0]) if p >= 0 else 0,
             _TAG.get(nodes[p].tag, len(TAGS)) if p >= 0 else -1, chars / max(1, sums[p][0]) if p >= 0 else 1,
         )
         before += len(n.text)
@@ -329,7 +356,8 @@ def generate(rng: random.Random) -> tuple[str, list[str]]:
         if kind == 7:
             return f"<div{attribute('share', 'social', 'related', 'breadcrumbs', 'pagination', 'tags')}>{links(rng.randrange(2, 7), rng.choice(['li', 'span']))}</div>"
         if kind == 8:
-            return f"<header{attribute('site-header', 'header')}><div>{label(2)}</div>{links(rng.randrange(2, 8))}</header>"
+            name = rng.choice(["div", "div", "h1"])
+            return f"<header{attribute('site-header', 'header')}><{name}>{label(2)}</{name}>{links(rng.randrange(2, 8))}</header>"
         if kind == 9:
             return f"<footer{attribute('footer', 'site-footer')}><p>&copy; {label(rng.randrange(2, 14))}</p>{links(rng.randrange(0, 5)) if rng.random() < 0.5 else ''}</footer>"
         if kind == 10:
@@ -338,6 +366,9 @@ def generate(rng: random.Random) -> tuple[str, list[str]]:
 
     def article():
         out = [block(rng.choice(["h1", "h1", "h2"]), rng.randrange(2, 14))] if rng.random() < 0.85 else []
+        if out and rng.random() < 0.35:
+            line = f'<{rng.choice(["p", "div"])} class="{rng.choice(["meta", "author", "byline author"])}">{label(rng.randrange(2, 6))}' if rng.random() < 0.5 else ""
+            out = [f"<header{rng.choice(['', attribute('entry-header', 'post-header', 'article-header')])}>{out[0]}{line}{'</' + line[1 : line.index(' ')] + '>' if line else ''}</header>"]
         for _ in range(rng.choice([1, 2, 4, 8, 16])):
             kind = rng.random()
             if kind < 0.7:
@@ -363,7 +394,10 @@ def generate(rng: random.Random) -> tuple[str, list[str]]:
     if rng.random() < 0.4:
         main = f"<div{attribute('page', 'wrapper', 'container')}>{main}{''.join(boiler() for _ in range(rng.randrange(0, 3)))}</div>"
     after = "".join(boiler() for _ in range(rng.randrange(0, 5)))
-    page = f"<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{before}{main}{after}</body></html>"
+    body = before + main + after
+    if rng.random() < 0.12:
+        body = f'<form method="post" action="/x" id="{rng.choice(["form1", "aspnetForm", "mainform"])}"><div><input type="hidden" name="state"></div>{body}</form>'
+    page = f"<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{body}</body></html>"
     return (page[: rng.randrange(len(page) // 2, len(page))] if rng.random() < 0.1 else page), content
 
 

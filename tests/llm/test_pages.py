@@ -81,3 +81,33 @@ def test_repeated_rows_and_long_pages(spark):
     long = f"<html><head><title>x</title></head><body><nav><a href=/>menu</a></nav><article>{para * 20_000}</article></body></html>"
     got = pages.main_texts(spark.createDataFrame([(1, "u", long), (1, "u", long)], "page_id long, url string, html string")).collect()
     assert got[0] == got[1] and got[0].text.count("\n") == 19_999
+
+
+def test_page_wide_forms_and_titles_in_headers():
+    boosted = pages.model()
+    para = "<p>This is a paragraph of the article, and it is long enough to be kept, since it has some more words than a label.</p>"
+    text = para[3:-4]
+    menu = "<nav><ul><li><a href=/a>Menu</a></li><li><a href=/b>More</a></li></ul></nav>"
+    foot = "<footer>&copy; site, all rights</footer>"
+    search = '<form class="search"><label>Find</label><input name=q><button>Go</button></form>'
+    for name in ('id="form1"', 'id="aspnetForm" class="form"', ""):
+        page = f'<html><body><form method="post" {name}><input type=hidden name=s>{menu}{search}<article><h1>Title here</h1>{para}{para}</article>{foot}</form></body></html>'
+        assert pages.texts([page], boosted)[0] == f"Title here\n{text}\n{text}", name
+    page = f'<html><body>{menu}<article><header><h1>Title here</h1></header>{para}{para}</article>{foot}</body></html>'
+    assert pages.texts([page], boosted)[0] == f"Title here\n{text}\n{text}"
+    page = f'<html><body><header class="site-header"><h1>My site</h1><ul><li><a href=/a>Menu</a></li></ul></header><article><header class="entry-header"><h1>Title here</h1><p class="meta">By someone</p></header>{para}{para}</article>{foot}</body></html>'
+    assert pages.texts([page], boosted)[0] == f"Title here\n{text}\n{text}"
+    login = '<html><body><form class="login"><label>Name</label><input name=a><label>Word</label><input name=b><p>Forgot it?</p><button>Sign in</button></form></body></html>'
+    assert pages.texts([login], boosted)[0] == ""
+    page = f"<html><body>{menu}<article>{para}{para}</article>{search}</body></html>"
+    assert pages.texts([page], boosted)[0] == f"{text}\n{text}"
+
+
+def test_very_deep_nesting():
+    boosted = pages.model()
+    para = "<p>This is a paragraph of the article, and it is long enough to be kept, since it has some more words than a label.</p>"
+    for tag, deep in (("div", 20_000), ("span", 20_000), ("font", 20_000), ("ul><li", 3_000), ("form", 3_000)):
+        page = f"<html><body>{f'<{tag}>' * deep}<article>{para}{para}</article></body></html>"
+        start = time.time()
+        assert pages.texts([page], boosted)[0].split("\n") in ([para[3:-4]] * 2, [""]), tag
+        assert time.time() - start < 20, tag
