@@ -12,6 +12,12 @@ themselves: the longest common subsequence of the item with the words around the
 the item's answer (its last words) must be there too, unless nearly all of the item is. Items of fewer than ``LEAST_WORDS``
 words say too little to be retrieved by meaning: they are found where they stand whole.
 
+Limits of recall. The cosine is the one approximate step; it is weakest where an item of nothing but common words stands
+among rare ones, which outweigh it. A passage too light to belong to any place that the word checks
+accept is not compared (``_floor`` proves this), and a candidate is left out only where the item was just found or where the
+words around it were all searched before. Each block of items has weights and a space of its own, so cosines near the
+threshold can differ between one block and many; the word checks are the same.
+
 The benchmark is worked off in blocks of ``BLOCK_ITEMS`` items, so what is broadcast is bounded. Sums sent on are TERMS x
 RANK numbers for each task and are added up before the driver sees one of them. Nothing of the documents is collected or
 shuffled but their verdicts.
@@ -248,6 +254,18 @@ def verdict(item: list, words: list) -> float:
     return share if share >= COVER or said >= ANSWER * len(answer) else 0.0
 
 
+def _floor(weight: np.ndarray) -> float:
+    """A weight that some passage has wherever ``verdict`` finds the item whose words weigh so much.
+
+    It asks for nine tenths of ``PARAPHRASE`` of the words inside a run of twice as many; these are no lighter than as many
+    of the lightest words. Passages that follow each other without a gap, the first one beginning less than ``STRIDE``
+    words before the run, cover it, and the heaviest of them has its share at least.
+    """
+    matched = -int(-PARAPHRASE * len(weight) // 1)
+    lightest = float(np.sort(weight.astype(np.float64))[: int(0.9 * matched)].sum())
+    return lightest / -(-(2 * len(weight) + STRIDE - 1) // PASSAGE) * (1 - 1e-6)
+
+
 class Items:
     """A block of items, ready to be looked for: words, vectors, columns, and the short ones by length."""
 
@@ -263,8 +281,7 @@ class Items:
             k, count = np.unique(c, return_counts=True)
             self.vectors[n] = ((1 + np.log(count)) * idf[k]) @ space[k]
         self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
-        # a passage over half of an item or all of it has at least so much weight in known words
-        self.least = PARAPHRASE * min((float(idf[c].sum()) * min(1.0, PASSAGE / (2 * len(c))) for c in columns), default=0.0)
+        self.least = min((_floor(idf[c]) for c in columns), default=0.0)
         self.short: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
         for i, w in words:
             if 0 < len(w) < LEAST_WORDS:
@@ -308,16 +325,28 @@ def _judging(vocabulary: Vocabulary, idf: np.ndarray, space: np.ndarray, items:
             """(text, first word of a passage, number of an item) of pairs with enough cosine, text by text."""
             mass = np.concatenate([[0.0], np.cumsum(weight[columns])])
             text, start, end = _windows(sizes)
-            heavy = mass[end] - mass[start] >= wanted.least
-            text, start, end = text[heavy], start[heavy], end[heavy]
+            # columns with each text filled up to whole strides, and the stride at which each passage begins there
+            strides = np.where(sizes > 0, np.maximum(-(-sizes // STRIDE), PASSAGE // STRIDE), 0)
+            offset, into = np.cumsum(sizes) - sizes, np.cumsum(strides) - strides
+            padded = np.full(int(strides.sum()) * STRIDE, TERMS)
+            padded[np.arange(len(columns)) + np.repeat(into * STRIDE - offset, sizes)] = columns
+            inside = start - offset[text]
+            at, ends_text = into[text] + inside // STRIDE, inside % STRIDE > 0
             most = max(64, min(2048, (1 << 22) // max(1, len(wanted.ids))))
             for i in range(0, len(start), most):
-                place = start[i : i + most, None] + np.arange(PASSAGE)
-                inside = np.where(place < end[i : i + most, None], columns[np.minimum(place, len(columns) - 1)], TERMS)
-                p = weighted[inside].sum(axis=1)
+                heavy = i + np.flatnonzero(mass[end[i : i + most]] - mass[start[i : i + most]] >= wanted.least)
+                if not len(heavy):
+                    continue
+                # passages overlap: the sums of every STRIDE words give each of them, but for those that end with their text
+                lowest, highest = int(at[heavy[0]]), int(at[heavy[-1]]) + PASSAGE // STRIDE
+                sums = np.einsum("ijk->ik", np.take(weighted, padded[lowest * STRIDE : highest * STRIDE], axis=0).reshape(-1, STRIDE, weighted.shape[1]))
+                n = at[heavy] - lowest
+                p = sum((sums[n + k] for k in range(1, PASSAGE // STRIDE)), sums[n])
+                if len(odd := np.flatnonzero(ends_text[heavy])):
+                    p[odd] = np.take(weighted, columns[start[heavy[odd], None] + np.arange(PASSAGE)], axis=0).sum(axis=1)
                 p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
-                which, who = np.nonzero(p @ wanted.vectors.T >= COSINE)
-                yield from zip(text[i + which].tolist(), start[i + which].tolist(), who.tolist(), strict=True)
+                which, who = np.divmod(np.flatnonzero((p @ wanted.vectors.T).ravel() >= COSINE), len(wanted.ids))
+                yield from zip(text[heavy[which]].tolist(), start[heavy[which]].tolist(), who.tolist(), strict=True)
 
         tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -358,19 +387,23 @@ def _judging(vocabulary: Vocabulary, idf: np.ndarray, space: np.ndarray, items:
                     continue
                 columns = vocabulary(h)
                 columns[columns < 0] = TERMS
-                # where an item was looked for last: what overlaps that passage was seen whole, whatever came of it
-                looked: dict[tuple[int, int], int] = {}
+                # where an item was found last, and where the words end that were searched for it last
+                standing: dict[tuple[int, int], int] = {}
+                searched: dict[tuple[int, int], int] = {}
                 for k, start, n in candidates(columns, sizes):
                     hits, i, size = found[first + k], wanted.ids[n], len(wanted.words[n])
-                    if hits.get(i) == 1.0 or start < looked.get((k, n), -PASSAGE) + PASSAGE:
+                    if hits.get(i) == 1.0 or start < standing.get((k, n), -PASSAGE) + PASSAGE:
                         continue
-                    looked[k, n] = start
                     a = max(0, start - int(offset[k]) - size)
                     b = min(int(sizes[k]), start - int(offset[k]) + PASSAGE + size)
+                    if b <= searched.get((k, n), -1):  # passages come in order: these words were all there before
+                        continue
+                    searched[k, n] = b
                     if in_common(n, columns[offset[k] + a : offset[k] + b]) < PARAPHRASE * size:
                         continue
                     if (share := verdict(wanted.words[n], words_of(k)[a:b])) > 0:
                         hits[i] = max(share, hits.get(i, 0.0))
+                        standing[k, n] = start
             keep = [batch.column(i) for i in range(batch.num_columns - 1)]
             lists = pa.array([sorted(x) for x in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*keep, lists, pa.array([max(x.values(), default=0.0) for x in found], pa.float64())], [*batch.schema.names[:-1], "tf_items", "tf_share"])
