@@ -104,7 +104,8 @@ def _pack(page_id: int, url: str, html: str) -> bytes:
     if kind == 3:
         return raw + b'\n<img src="data:text/plain;base64,' + base64.b64encode(url.encode()) + b'">'
     if kind == 4:
-        return gzip.compress(raw, mtime=0)[: len(raw) // 8 + 12]
+        whole = gzip.compress(raw, mtime=0)
+        return whole[: min(len(raw) // 8 + 12, len(whole) - 8)]  # cut before its end, however well the page packs
     return gzip.compress(gzip.compress(raw + b"\x00", mtime=0), mtime=0)
 
 
