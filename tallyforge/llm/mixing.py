@@ -75,19 +75,33 @@ def factor(lat: np.ndarray, cap: np.ndarray, to: float) -> float:
     return float(f[fits].max() if fits.any() else ratio[-1])
 
 
+def log_factor(lat: np.ndarray, cap: np.ndarray, to: float) -> float:
+    """The logarithm of ``factor``, of logarithms of ``lat`` and ``cap``: weights that drift apart without end stay numbers."""
+    order = np.argsort(cap - lat, kind="stable")
+    ratio, cap, lat = (cap - lat)[order], cap[order], lat[order]
+    left = to - np.concatenate([[0.0], np.cumsum(np.exp(cap))[:-1]])
+    f = np.log(left, out=np.full(len(left), -np.inf), where=left > 0) - np.logaddexp.accumulate(lat[::-1])[::-1]
+    fits = f <= ratio
+    return float(f[fits].max() if fits.any() else ratio[-1])
+
+
 def settle(start: np.ndarray, cap: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]], rounds: int) -> np.ndarray:
-    """Weights near ``start``, none above ``cap``; ``groups``: for each key the value of each cell, the share of each value."""
+    """Weights near ``start``, none above ``cap``; ``groups``: for each key the value of each cell, the share of each value.
+
+    Factors are summed as logarithms: where targets contradict each other, some grow and some shrink in every round, and
+    plain products leave the range of a double before the weights have settled.
+    """
     at = [[np.flatnonzero(codes == v) for v in range(len(share))] for codes, share in groups]
     wanted = []
     for (_, share), cells in zip(groups, at, strict=True):
         held = np.array([cap[i].sum() for i in cells])
         wanted.append(np.minimum(held, share * factor(share, held, 1.0)) if np.isfinite(held).all() else share)
-    lat, was, moved = start.copy(), np.zeros(len(start)), 0.0
+    lat, most, was, moved = np.log(start), np.log(cap), np.zeros(len(start)), 0.0
     for _ in range(rounds):
         for to, cells in zip(wanted, at, strict=True):
             for v, i in enumerate(cells):
-                lat[i] *= factor(lat[i], cap[i], to[v])
-        w = np.minimum(lat, cap)
+                lat[i] += log_factor(lat[i], most[i], to[v])
+        w = np.exp(np.minimum(lat, most))
         moved = np.abs(w - was).sum()
         if moved <= TOLERANCE:
             return w
