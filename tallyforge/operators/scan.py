@@ -39,6 +39,8 @@ LINE_RULES = {
     "url_credential": r"(?i)https?://[^\s/@:]+:[^\s/@]+@",
     "hidden_control": r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{E0000}-\x{E007F}]",
 }
+#: Of what a text in lower case must hold something, besides a hidden control, for any of these rules to match in it.
+NEEDED = ["/users/", "/home/", ":\\users\\", ".ts.net", ".internal", ".local", "://"]
 #: Fixed values, for the same reason: addresses.
 QUAD = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
 IPV4 = rf"(?<![{W}.])({QUAD})(?![{W}.])(?=(/[0-9]+)?)"
@@ -73,6 +75,9 @@ def text_lines(payloads: DataFrame) -> DataFrame:
 
 def line_findings(payloads: DataFrame, rules: dict[str, str] = LINE_RULES) -> DataFrame:
     """(name, rule, line, n): how often a rule matches on a line."""
+    if rules is LINE_RULES:  # most texts hold nothing that any rule could match: they are not split, let alone searched line by line
+        held = F.get(F.transform(F.array(F.lower("text")), lambda low: _any(low.contains, NEEDED)), 0)
+        payloads = payloads.where(held | F.col("text").rlike(rules["hidden_control"]))
     counts = F.array(*[F.struct(F.lit(n).alias("rule"), F.regexp_count("t", F.lit(p)).cast("long").alias("n")) for n, p in rules.items()])
     return text_lines(payloads).select("name", "line", F.inline(F.filter(counts, lambda x: x["n"] > 0))).select("name", "rule", "line", "n")
 
@@ -83,7 +88,7 @@ def private_ipv4(payloads: DataFrame) -> DataFrame:
     An address stands alone: no letter, digit, underscore or dot touches it. Octets are decimal, without leading zeros.
     """
     each = lambda g: F.regexp_extract_all("t", F.lit(IPV4), F.lit(g))
-    likely = text_lines(payloads).where(F.col("t").rlike(QUAD))
+    likely = text_lines(payloads.where(F.col("text").rlike(QUAD))).where(F.col("t").rlike(QUAD))
     found = likely.select("name", "line", F.inline(F.arrays_zip(each(1).alias("address"), each(2).alias("prefix"))))
     octets = F.split("address", "\\.")
     part = lambda i: F.element_at(octets, i).cast("long")
@@ -100,7 +105,8 @@ def private_ipv4(payloads: DataFrame) -> DataFrame:
 
 def private_ipv6(payloads: DataFrame) -> DataFrame:
     """(name, line, address) of unique local and link-local addresses, in lower case."""
-    return text_lines(payloads).select("name", "line", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(IPV6), F.lit(0))).alias("address"))
+    likely = text_lines(payloads.where(F.col("text").rlike("(?i)f[cde][0-9a-f]{2}:")))
+    return likely.select("name", "line", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(IPV6), F.lit(0))).alias("address"))
 
 
 def term_search(payloads: DataFrame, terms: list[str]) -> DataFrame:
@@ -108,10 +114,11 @@ def term_search(payloads: DataFrame, terms: list[str]) -> DataFrame:
     terms = [t for t in terms if t.strip()]
     if not terms:
         return payloads.sparkSession.createDataFrame([], "name string, term string, line int, n long")
-    low = F.lower("t")
+    low = F.col("t")  # texts are lowered once, before they are split
     times = lambda t: F.floor((F.length(low) - F.length(F.replace(low, F.lit(t.lower()), F.lit("")))) / len(t)).cast("long")
     counts = F.array(*[F.struct(F.lit(t).alias("term"), times(t).alias("n")) for t in terms])
-    return text_lines(payloads).select("name", "line", F.inline(F.filter(counts, lambda x: x["n"] > 0))).select("name", "term", "line", "n")
+    lines = text_lines(payloads.select("name", F.lower("text").alias("text"))).where(_any(F.col("t").contains, [t.lower() for t in terms]))
+    return lines.select("name", "line", F.inline(F.filter(counts, lambda x: x["n"] > 0))).select("name", "term", "line", "n")
 
 
 def findings(payloads: DataFrame, terms: list[str], order: str) -> DataFrame:
@@ -149,7 +156,7 @@ def merge_scanner(outside: DataFrame, sources: DataFrame, own: DataFrame) -> Dat
 
 def scan_summary(payloads: DataFrame, found: DataFrame) -> DataFrame:
     """One row: unique payloads, their bytes, digest fields masked, findings, and whether the scan is passed."""
-    once = payloads.groupBy(F.sha2("text", 256).alias("h")).agg(F.max(F.octet_length("text")).alias("bytes"), F.max(mask_digests(F.col("text"))[1]).alias("masked"))
+    once = payloads.groupBy(F.sha2("text", 256).alias("h")).agg(F.max(F.octet_length("text")).alias("bytes"), F.max(F.when(F.col("text").contains("prompt_tokens_sha256"), mask_digests(F.col("text"))[1]).otherwise(0)).alias("masked"))
     a = once.agg(F.count("*").alias("unique_payloads"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("inspected_bytes"), F.coalesce(F.sum("masked"), F.lit(0)).cast("long").alias("masked_digests"))
     b = found.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("findings"))
     return a.join(F.broadcast(b)).withColumn("passed", F.col("findings") == 0)  # single rows
