@@ -24,12 +24,15 @@ def prediction_records(rows: DataFrame, tasks: DataFrame, flagged: DataFrame, ra
     ``flagged`` holds the example_id of rows that training has seen.
     """
     seen = flagged.select("example_id").distinct().withColumn("tf_seen", F.lit(True))
-    joined = rows.join(tasks.select("task_id", F.col("answers").alias("valid_answers")), "task_id").join(seen, "example_id", "left")
-    parsed = prediction if prediction is not None else parse_answer(raw, F.size("valid_answers"))
+    # texts are hashed before anything moves, and the few tasks go to the rows: one task may have most of them
+    hashed = rows.withColumns({"raw_output": raw, "text_sha256": F.sha2("text", 256)})
+    joined = hashed.join(F.broadcast(tasks.select("task_id", F.col("answers").alias("valid_answers"))), "task_id")
+    parsed = prediction if prediction is not None else parse_answer(F.col("raw_output"), F.size("valid_answers"))
+    joined = joined.withColumn("prediction", parsed.cast("int")).drop("text").join(seen, "example_id", "left")
     tokens = F.col("prompt_tokens")
     return joined.select(
-        "example_id", "agreement_id", "task_id", "label", "split", "data_type", parsed.cast("int").alias("prediction"), raw.alias("raw_output"), "valid_answers",
-        F.sha2("text", 256).alias("text_sha256"), F.coalesce("tf_seen", F.lit(False)).alias("train_overlap"), prepare.length_bucket(tokens).alias("length_bucket"), "prompt_tokens",
+        "example_id", "agreement_id", "task_id", "label", "split", "data_type", "prediction", "raw_output", "valid_answers",
+        "text_sha256", F.coalesce("tf_seen", F.lit(False)).alias("train_overlap"), prepare.length_bucket(tokens).alias("length_bucket"), "prompt_tokens",
     )
 
 
@@ -38,7 +41,7 @@ def published_violations(gold: DataFrame, records: DataFrame, tasks: DataFrame,
     basic = scoring.violations(gold, records, tasks)
     seen = flagged.select("example_id").distinct().withColumn("tf_seen", F.lit(True))
     want = gold.select("example_id", "task_id", F.sha2("text", 256).alias("w_text_sha256"), F.col("data_type").alias("w_data_type"))
-    want = want.join(tasks.select("task_id", F.col("answers").alias("w_valid_answers")), "task_id", "left").join(seen, "example_id", "left").withColumn("w_train_overlap", F.coalesce("tf_seen", F.lit(False))).drop("task_id")
+    want = want.join(F.broadcast(tasks.select("task_id", F.col("answers").alias("w_valid_answers"))), "task_id", "left").join(seen, "example_id", "left").withColumn("w_train_overlap", F.coalesce("tf_seen", F.lit(False))).drop("task_id")
     both = records.join(want, "example_id")
     rules = [(f"{c}_differs", ~F.col(c).eqNullSafe(F.col(f"w_{c}"))) for c in ("valid_answers", "text_sha256", "data_type", "train_overlap")]
     rules.append(("raw_output_differs", ~parse_answer(F.col("raw_output"), F.size("w_valid_answers")).eqNullSafe(F.col("prediction"))))

@@ -22,8 +22,9 @@ def group_split(groups: DataFrame, seed: str, train: int = 106, validation: int
 
 
 def propagate_split(rows: DataFrame, assignment: DataFrame, key: str = "agreement_id") -> DataFrame:
-    """Rows with the split of their group. The optimizer broadcasts the assignment where its size allows."""
-    return rows.join(assignment, key)
+    """Rows with the split of their group. Rows stay where they are: groups are few, ordered in one task before, and some have
+    a large part of all rows, so their table goes to the rows."""
+    return rows.join(F.broadcast(assignment), key)
 
 
 def binary_target(subquestion: Column, answer: Column) -> tuple[Column, Column]:

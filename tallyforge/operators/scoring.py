@@ -17,7 +17,7 @@ def violations(gold: DataFrame, predictions: DataFrame, tasks: DataFrame) -> Dat
     compared = ["agreement_id", "task_id", "label", "split"]
     g = gold.groupBy("example_id").agg(F.count("*").alias("g_n"), *[F.first(c).alias(f"g_{c}") for c in compared])
     p = predictions.groupBy("example_id").agg(F.count("*").alias("p_n"), *[F.first(c).alias(f"p_{c}") for c in compared], F.min("prediction").alias("low"), F.max("prediction").alias("high"))
-    both = g.join(p, "example_id", "full_outer").join(tasks.select(F.col("task_id").alias("g_task_id"), F.size("answers").alias("choices")), "g_task_id", "left")
+    both = g.join(p, "example_id", "full_outer").join(F.broadcast(tasks.select(F.col("task_id").alias("g_task_id"), F.size("answers").alias("choices"))), "g_task_id", "left")
     here = F.col("g_n").isNotNull() & F.col("p_n").isNotNull()
     rules = [
         ("gold_repeated", F.col("g_n") > 1), ("prediction_repeated", F.col("p_n") > 1), ("missing", F.col("p_n").isNull()), ("foreign", F.col("g_n").isNull()),
