@@ -6,7 +6,7 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +14,10 @@ from tallyforge.operators.ranks import exact_percentiles
 from tallyforge.sources.io import materialise
 
 
+#: Ids in a block of a sequence that is hashed.
+BLOCK = 8192
+
+
 def seeded_order(rows: DataFrame, seed: str, epoch: int, key: str = "example_id") -> DataFrame:
     """Rows with pos, their place in a seeded order of the epoch."""
     h = F.sha2(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(key).cast("string")), 256)
@@ -139,30 +143,57 @@ def longest_row(rows: DataFrame, tokens: str = "prompt_tokens", key: str = "exam
 
 
 def sequence_hash(rows: DataFrame, key: str, position: str, groups: list[str]) -> DataFrame:
-    """Per group the hash of its ids in order, one per line: rows stream through it in order, group by group.
+    """Per group the hash of its ids in order, one per line.
 
-    A hash of a sequence is taken in one go, so a group is one task's work, but never one row: the hash takes the ids as
-    they come.
+    Rows are sorted by ranges and packed there into blocks of ids. A hash of a sequence is taken in one go, so a group is one
+    task's work, but that task only sorts and hashes blocks: as many bytes as the ids have, and a row for thousands of them.
     """
-    out = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in groups) + ", sequence_sha256 string, n long"
-    dealt = rows.select(*groups, position, F.col(key).cast("string").alias("tf_id")).repartition(*groups).sortWithinPartitions(*groups, position)
+    types = {c: rows.schema[c].dataType.simpleString() for c in (*groups, position)}
+    named, k = ", ".join(f"`{c}` {types[c]}" for c in groups), len(groups)
+    ids = rows.select(*groups, position, F.col(key).cast("string").alias("tf_id"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = ids.repartitionByRange(parts, *groups, position).sortWithinPartitions(*groups, position)
+
+    def pack(batches):
+        now, held, seq = None, [], 0
+        for batch in batches:
+            kinds = [f.type for f in batch.schema][: k + 1]
+
+            def block():
+                return pa.RecordBatch.from_arrays([*[pa.array([v], t) for v, t in zip(now, kinds, strict=True)], pa.array([seq], pa.int64()), pa.array([len(held)], pa.int64()), pa.array(["\n".join(held).encode()], pa.binary())], names)  # noqa: B023
+
+            for *row, id_ in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if now is not None and (row[:k] != now[:k] or len(held) == BLOCK):
+                    yield block()
+                    now, held, seq = None, [], seq + 1
+                now = row if now is None else now
+                held.append(id_)
+        if now is not None:
+            yield block()
 
-    def walk(frames):
+    names = [*groups, position, "tf_seq", "tf_n", "tf_ids"]
+    blocks = ranged.mapInArrow(pack, f"{named + ', ' if named else ''}`{position}` {types[position]}, tf_seq long, tf_n long, tf_ids binary")
+    dealt = blocks.repartition(*([parts, *groups] if groups else [1])).sortWithinPartitions(*groups, position, "tf_seq")
+
+    def walk(batches):
         now, digest, n = None, None, 0
-        for f in frames:
-            done = []
-            for *group, _, id_ in f.itertuples(index=False):
+
+        def done():
+            return pa.RecordBatch.from_arrays([*[pa.array([v], t) for v, t in zip(now, kinds, strict=True)], pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], [*groups, "sequence_sha256", "n"])
+
+        for batch in batches:
+            kinds = [f.type for f in batch.schema][:k]
+            for *group, _, _, some, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if group != now:
                     if now is not None:
-                        done.append((*now, digest.hexdigest(), n))
+                        yield done()
                     now, digest, n = group, hashlib.sha256(), 0
-                digest.update(("\n" if n else "").encode() + id_.encode())
-                n += 1
-            yield pd.DataFrame(done, columns=[*groups, "sequence_sha256", "n"])
+                digest.update((b"\n" if n else b"") + block)
+                n += some
         if now is not None:
-            yield pd.DataFrame([(*now, digest.hexdigest(), n)], columns=[*groups, "sequence_sha256", "n"])
+            yield done()
 
-    return dealt.mapInPandas(walk, out)
+    return dealt.mapInArrow(walk, f"{named + ', ' if named else ''}sequence_sha256 string, n long")
 
 
 def pad(rows: DataFrame, tokens: str, batch: str, value: int) -> DataFrame:
