@@ -42,6 +42,8 @@ KNOWN = 131_072
 SHARD, TURNS, RATE = 1 << 21, 2, 0.05
 STEPS, LEAST_BATCH, MOST_BATCH = 512, 128, 4096
 SLICE = 1 << 15
+TILE, SPAN = 8, 512
+UNITS = 2.0**28
 BLOCK = 4096
 
 
@@ -109,20 +111,24 @@ def own_codes(side: int) -> int:
     return side * side * 3 // 4
 
 
-def contexts(codes: np.ndarray, edge: int) -> np.ndarray:
-    """For each word the codes of SIDE words before and after it; ``edge`` beyond the ends."""
-    padded = np.concatenate([np.full(SIDE, edge, np.int32), codes.astype(np.int32), np.full(SIDE, edge, np.int32)])
-    n = len(codes)
-    return np.stack([padded[i : i + n] for i in [*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)]], axis=1)
+def contexts(held: list[np.ndarray], edge: int, order=slice(None)) -> np.ndarray:
+    """For each word of the texts, in this order, the codes of SIDE words before and after it; ``edge`` beyond the ends of its text."""
+    gap = np.full(SIDE, edge, np.uint16)
+    line = np.concatenate([gap, *(x for text in held for x in (text, gap))])
+    sizes = [len(text) for text in held]
+    places = (np.arange(sum(sizes)) + SIDE * np.repeat(np.arange(1, len(held) + 1), sizes))[order]
+    out = np.empty((len(places), 2 * SIDE), np.uint16)
+    for k, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
+        out[:, k] = line.take(places + step)
+    return out
 
 
-def _powers(h: np.ndarray, a: np.ndarray, b: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(logits, their powers) of h @ a + b; where they can be ``wide``, the largest of each row is taken off first."""
-    z = h @ a
-    z += b
-    if wide:
-        z -= z.max(axis=1, keepdims=True)
-    return z, np.exp(z)
+def sums_of(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of these sizes, each by itself: a run has the same sum whatever runs are beside it."""
+    out, some = np.zeros(len(sizes)), np.flatnonzero(sizes)
+    if len(some):
+        out[some] = np.add.reduceat(x, (np.cumsum(sizes) - sizes)[some])
+    return out
 
 
 def _wide(w: list[np.ndarray]) -> tuple[bool, bool]:
@@ -130,59 +136,104 @@ def _wide(w: list[np.ndarray]) -> tuple[bool, bool]:
     return tuple(bool(np.abs(a).sum(axis=-2).max() + np.abs(b).max() > 60) for a, b in ((w[3], w[4]), (w[5], w[6])))
 
 
+def _heads(w: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of groups, and of members by group, each with its biases as the last row."""
+    return np.concatenate([w[3], w[4][None]]), np.concatenate([w[5], w[6][:, None]], axis=1)
+
+
 def _by_group(group: np.ndarray, side: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order by group, and (group, first, end) of each that occurs."""
-    order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(side + 1)).tolist()
+    order = np.argsort(group.astype(np.uint16), kind="stable")  # two bytes are sorted by their digits
+    edges = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=side))]).tolist()
     return order, [(g, a, b) for g, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
 
 
+def _log_shares(z: np.ndarray, right: np.ndarray, wide: bool) -> np.ndarray:
+    """Log probability of the ``right`` column of each row of logits, which are overwritten."""
+    if wide:
+        z -= z.max(axis=1, keepdims=True)
+    chosen = z[np.arange(len(z)), right]
+    return chosen - np.log(np.exp(z, out=z).sum(axis=1))
+
+
 def log_probabilities(w: list[np.ndarray], context: np.ndarray, codes: np.ndarray, side: int) -> np.ndarray:
-    """Log probability of each code given its context."""
-    e, a, b, c, d, m, n = w
-    wide = _wide(w)
-    h = np.tanh(e[context].reshape(len(context), -1) @ a + b)
-    group, member = codes // side, codes % side
-    z, p = _powers(h, c, d, wide[0])
-    out = (z[np.arange(len(codes)), group] - np.log(p.sum(axis=1))).astype(np.float64)
-    order, runs = _by_group(group, side)
-    h, member = h[order], member[order]
-    inner = np.empty(len(codes))
+    """Log probability of each code given its context.
+
+    A case has the same result whatever cases are beside it. The rounding of a library's product depends on the place of
+    a row, more so outside whole tiles, so products are taken in double precision of ``TILE`` rows at least, and rounded
+    to the network's own precision before anything else.
+    """
+    kind, wide = w[0].dtype, _wide(w)
+    e, a, b, *_ = w = [x.astype(np.float64) for x in w]
+    cd, mn = _heads(w)
+    order, runs = _by_group(codes // side, side)
+    place, spans, end = np.empty(len(codes), np.int64), [], 0
     for g, i, j in runs:
-        z, p = _powers(h[i:j], m[g], n[g], wide[1])
-        inner[i:j] = z[np.arange(j - i), member[i:j]] - np.log(p.sum(axis=1))
-    out[order] += inner
+        place[i:j] = np.arange(end, end + j - i)
+        start, end = end, end + -(-(j - i) // TILE) * TILE
+        spans += [(g, k, min(k + SPAN, end)) for k in range(start, end, SPAN)]
+    near, code = np.full((end, context.shape[1]), side * side), np.zeros(end, np.int64)
+    near[place], code[place] = context.take(order, axis=0), codes.take(order)
+    group, member = code // side, code % side
+    h, logs = np.ones((end, HIDDEN + 1)), np.empty(end)
+    for i in range(0, end, SPAN):
+        rows = slice(i, i + SPAN)
+        z = e.take(near[rows], axis=0).reshape(-1, len(a)) @ a
+        z += b
+        h[rows, :-1] = np.tanh(z.astype(kind))
+        logs[rows] = _log_shares((h[rows] @ cd).astype(kind), group[rows], wide[0])
+    for g, i, j in spans:
+        logs[i:j] += _log_shares((h[i:j] @ mn[g]).astype(kind), member[i:j], wide[1])
+    out = np.empty(len(codes))
+    out[order] = logs[place]
     return out
 
 
-def _errors(p: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
-    """Gradient of the mean negative log probability by the logits, in place of their powers."""
-    p *= (1 / (size * p.sum(axis=1)))[:, None]
-    p[np.arange(len(right)), right] -= 1 / size
-    return p
+def _errors(z: np.ndarray, right: np.ndarray, wide: bool) -> np.ndarray:
+    """Gradient of the mean negative log probability by the logits, in their place; where they can be ``wide``, the largest of each row is taken off first."""
+    if wide:
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    size = len(z)
+    z *= (1 / (size * (z @ np.ones(z.shape[1], z.dtype))))[:, None]
+    z[np.arange(size), right] -= 1 / size
+    return z
 
 
-def gradients(w: list[np.ndarray], context: np.ndarray, codes: np.ndarray, side: int):
-    """Gradients of the mean negative log probability: of the shared arrays, and (group, of m[group], of n[group]) of those that occur."""
-    e, a, b, c, d, m, n = w
-    size, wide = len(codes), _wide(w)
-    x = e[context].reshape(size, -1)
-    h = np.tanh(x @ a + b)
-    group, member = codes // side, codes % side
-    g1 = _errors(_powers(h, c, d, wide[0])[1], group, size)
-    back = g1 @ c.T
-    order, runs = _by_group(group, side)
-    hs, ms, inner, touched = h[order], member[order], np.empty_like(h), []
+def slopes(w: list[np.ndarray], context: np.ndarray, codes: np.ndarray, side: int) -> list[np.ndarray]:
+    """Gradients of the mean negative log probability by all arrays of the network, zero for groups that do not occur.
+
+    Only products are taken group by group; the rest is done on the whole batch at once.
+    """
+    wide, (cd, mn) = _wide(w), _heads(w)
+    order, runs = _by_group(codes // side, side)
+    context, codes = context.take(order, axis=0), codes.take(order)
+    x = w[0].take(context, axis=0).reshape(len(codes), -1)
+    h = np.ones((len(codes), HIDDEN + 1), x.dtype)  # the last column is of the biases
+    h[:, :-1] = np.tanh(x @ w[1] + w[2])
+    errors = _errors(h @ cd, codes // side, wide[0])
+    g_cd, back = h.T @ errors, errors @ w[3].T
+    inner, g_mn = np.empty_like(back), np.zeros_like(mn)
+    for g, i, j in runs:
+        np.dot(h[i:j], mn[g], out=errors[i:j])
+    errors = _errors(errors, codes % side, wide[1])
     for g, i, j in runs:
-        g2 = _errors(_powers(hs[i:j], m[g], n[g], wide[1])[1], ms[i:j], size)
-        touched.append((g, hs[i:j].T @ g2, g2.sum(axis=0)))
-        inner[i:j] = g2 @ m[g].T
-    back[order] += inner
-    back *= 1 - h * h
-    into = (back @ a.T).reshape(-1, EMBED)
-    flat = context.ravel()
-    ge = np.stack([np.bincount(flat, into[:, k], len(e)) for k in range(EMBED)], axis=1).astype(e.dtype)
-    return (ge, x.T @ back, back.sum(axis=0), h.T @ g1, g1.sum(axis=0)), touched
+        np.dot(h[i:j].T, errors[i:j], out=g_mn[g])
+        np.dot(errors[i:j], w[5][g].T, out=inner[i:j])
+    back += inner
+    back *= 1 - np.square(h[:, :-1])
+    # by numbers of an embedding, each over the words of all places one after the other
+    into = (w[1].reshape(2 * SIDE, EMBED, HIDDEN).swapaxes(0, 1).reshape(-1, HIDDEN) @ back.T).reshape(EMBED, -1)
+    near, g_e = context.T.ravel().astype(np.intp), np.empty_like(w[0])
+    for k in range(EMBED):
+        g_e[:, k] = np.bincount(near, into[k], len(g_e))
+    return [g_e, x.T @ back, back.sum(axis=0), g_cd[:-1], g_cd[-1], g_mn[:, :-1], g_mn[:, -1]]
+
+
+def gradients(w: list[np.ndarray], context: np.ndarray, codes: np.ndarray, side: int):
+    """Gradients of the shared arrays, and (group, of m[group], of n[group]) of the groups that occur."""
+    *shared, m, n = slopes(w, context, codes, side)
+    return shared, [(g, m[g], n[g]) for g in np.unique(codes // side)]
 
 
 def train(flat: np.ndarray, side: int, context: np.ndarray, codes: np.ndarray, rate: float = RATE) -> np.ndarray:
@@ -191,18 +242,10 @@ def train(flat: np.ndarray, side: int, context: np.ndarray, codes: np.ndarray, r
     w = parts_of(flat, side)
     seen = parts_of(np.full(len(flat), 1e-7, flat.dtype), side)
     batch = min(MOST_BATCH, max(LEAST_BATCH, len(codes) // STEPS))
-
-    def step(p, s, grad):
-        s += grad * grad
-        p -= rate * grad / np.sqrt(s)
-
     for at in range(0, len(codes), batch):
-        shared, touched = gradients(w, context[at : at + batch], codes[at : at + batch], side)
-        for p, s, grad in zip(w[:5], seen[:5], shared, strict=True):
-            step(p, s, grad)
-        for g, grad_m, grad_n in touched:
-            step(w[5][g], seen[5][g], grad_m)
-            step(w[6][g], seen[6][g], grad_n)
+        for p, s, grad in zip(w, seen, slopes(w, context[at : at + batch], codes[at : at + batch], side), strict=True):
+            s += grad * grad
+            p -= rate * grad / np.sqrt(s)
     return flat
 
 
@@ -240,7 +283,6 @@ def _encoding(codes: Codes):
                 code, inside, unknown = codes(h, at)
                 raw = code.astype("<u2").tobytes()
                 edges = np.concatenate([[0], np.cumsum(sizes)])
-                total = np.concatenate([[0.0], np.cumsum(inside)])
                 rare, times, own = [], [], []
                 for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     u, n = np.unique(h[i:j][unknown[i:j]], return_counts=True)
@@ -250,7 +292,7 @@ def _encoding(codes: Codes):
                     own.append(int(n[codes.counts[u] == n].sum()))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(total[edges[1:]] - total[edges[:-1]]), pa.array(own, pa.int64()),
+                        batch.column(0).slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(sums_of(inside, sizes)), pa.array(own, pa.int64()),
                         pa.array([raw[2 * i : 2 * j] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary()),
                         pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())),
                     ],
@@ -271,9 +313,8 @@ def _training(flat: np.ndarray, side: int, turn: int):
             nonlocal total, cases
             held = [np.frombuffer(x, "<u2") for x in group.column("codes").to_pylist()]
             code = np.concatenate(held).astype(np.int64)
-            context = np.concatenate([contexts(x, side * side) for x in held])
             order = np.random.default_rng([turn, len(code)]).permutation(len(code))
-            total += len(code) * train(flat, side, context[order], code[order]).astype(np.float64)
+            total += len(code) * train(flat, side, contexts(held, side * side, order), code.take(order)).astype(np.float64)
             cases += len(code)
             yield from ()
 
@@ -312,7 +353,7 @@ def _scoring(flat: np.ndarray, side: int):
         one_thread()
         w = parts_of(flat, side)
         for batch in batches:
-            held = [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column(4).to_pylist()]
+            held = [np.frombuffer(x, "<u2") for x in batch.column(4).to_pylist()]
             sums = np.zeros(len(held))
             at = 0
             while at < len(held):
@@ -321,12 +362,10 @@ def _scoring(flat: np.ndarray, side: int):
                     size += len(held[end])
                     end += 1
                 if size:
-                    code = np.concatenate(held[at:end])
-                    context = np.concatenate([contexts(x, side * side) for x in held[at:end]])
+                    code = np.concatenate(held[at:end]).astype(np.int64)
+                    context = contexts(held[at:end], side * side)
                     logp = np.concatenate([log_probabilities(w, context[i : i + SLICE], code[i : i + SLICE], side) for i in range(0, size, SLICE)])
-                    total = np.concatenate([[0.0], np.cumsum(logp)])
-                    edges = np.concatenate([[0], np.cumsum([len(x) for x in held[at:end]])])
-                    sums[at:end] = total[edges[1:]] - total[edges[:-1]]
+                    sums[at:end] = sums_of(logp, np.array([len(x) for x in held[at:end]]))
                 at = end
             s = sums + batch.column(3).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(s), batch.column(5)], ["doc_id", "rid", "n", "s", "own"])
@@ -383,7 +422,9 @@ def lm_report(docs: DataFrame) -> DataFrame:
     scored = encoded.select("doc_id", "rid", "n", "inside", "codes", "own").mapInArrow(_scoring(flat, codes.side), "doc_id long, rid long, n long, s double, own long")
     rare = encoded.where(F.size("rare") > 0).select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.times").alias("k"))
     alone = F.sum(F.when(F.col("k") == F.col("n"), F.col("k")).otherwise(0))
-    added = rare.join(counts, "h").groupBy("rid").agg(F.sum(F.col("k") * F.log("n")).alias("more"), alone.alias("alone"))
+    # in whole units, since sums of fractions depend on the order of the rows; a text of 2 GB stays within a long
+    more = F.sum(F.round(F.col("k") * F.log("n") * F.lit(UNITS)).cast("long")) / F.lit(UNITS)
+    added = rare.join(counts, "h").groupBy("rid").agg(more.alias("more"), alone.alias("alone"))
     joined = scored.join(added, "rid", "left").select("doc_id", F.col("n").alias("n_tokens"), (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("log_likelihood"), (F.col("own") + F.coalesce("alone", F.lit(0))).alias("n_unshared"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return joined.select("doc_id", "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"), "n_unshared")

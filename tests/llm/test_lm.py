@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tallyforge.llm import lm
-from tallyforge.llm.common import Lookup, WordHasher, ascii_nonword_separators
+from tallyforge.llm.common import Lookup, WordHasher, ascii_nonword_separators, one_thread
 
 
 def test_gradients():
@@ -133,3 +133,44 @@ def test_long_text(spark):
     rows = [(1, "one two three four " * 20_000), (2, "one two three four")]
     got = {r.doc_id: r for r in lm.lm_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].n_tokens == 80_000 and np.isfinite(got[1].log_likelihood)
+
+
+def test_a_case_scores_alike_whatever_cases_are_beside_it():
+    one_thread()  # as in a task
+    rng = np.random.default_rng(6)
+    side = 16
+    w = lm.parts_of(lm.new_network(side), side)
+    context, y = rng.integers(0, side * side + 1, (700, 2 * lm.SIDE)), rng.integers(0, side * side, 700)
+    whole = lm.log_probabilities(w, context, y, side)
+    for size in (1, 2, 5, 13, 50, 333):
+        for at in (0, 7, 200, 350):
+            some = rng.permutation(700)[at : at + size]
+            assert np.array_equal(lm.log_probabilities(w, context[some], y[some], side), whole[some])
+
+
+def test_repeated_texts_score_alike_wherever_they_stand(spark):
+    rng = random.Random(9)
+    texts = [zipf(rng, rng.randrange(1, 300)) for _ in range(60)]
+    rows = [(i, rng.choice(texts)) for i in range(400)]
+    got = lm.lm_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    scores = {}
+    for r in got:
+        scores.setdefault(dict(rows)[r.doc_id], set()).add(r.log_likelihood)
+    assert len(got) == 400 and {len(x) for x in scores.values()} == {1}
+
+
+def test_powers_of_a_batch_are_taken_at_once(monkeypatch):
+    """Training costs products by group alone: powers and errors, and the steps, take the whole batch, however many groups it has."""
+    side, calls = 32, Counter()
+
+    class Counted:
+        def __getattr__(self, name):
+            calls[name] += 1
+            return getattr(np, name)
+
+    rng = np.random.default_rng(3)
+    context, y = rng.integers(0, side * side + 1, (2 * lm.MOST_BATCH, 2 * lm.SIDE)), rng.integers(0, side * side, 2 * lm.MOST_BATCH)
+    monkeypatch.setattr(lm, "STEPS", 2)
+    monkeypatch.setattr(lm, "np", Counted())
+    lm.train(lm.new_network(side), side, context, y)
+    assert (calls["exp"], calls["sqrt"]) == (4, 14)
