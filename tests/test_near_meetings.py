@@ -32,7 +32,7 @@ def test_hashed_rows_need_no_texts(spark):
     assert [r.example_id for r in overlap.seen_exact(rows).collect()] == [2]
 
 
-@pytest.mark.parametrize("name", ["near_overlap_tasks", "overlap_summary", "train_seen"])
+@pytest.mark.parametrize("name", ["near_overlap_tasks", "overlap_summary", "train_seen", "train_seen_near"])
 def test_documents_are_read_before_the_pairs_only(spark, name):
     """What is left to do when the pairs are found reads tables of hashes, never the documents again."""
     files = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
